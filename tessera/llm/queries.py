@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm.minhash_dedup import op8_minhash_dedup
 from tessera.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
