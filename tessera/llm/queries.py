@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tessera.llm.minhash_dedup import op8_minhash_dedup
+from tessera.llm.mixing import op7_mixing
+from tessera.llm.ring_shards import op10_ring_shards
 from tessera.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op7_mixing": op7_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op10_ring_shards": op10_ring_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
