@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from tessera.llm.minhash_dedup import op8_minhash_dedup
 from tessera.llm.mixing import op7_mixing
+from tessera.llm.packing import op9_packing
 from tessera.llm.ring_shards import op10_ring_shards
 from tessera.llm.suffix_dedup import op1_suffix_dedup
+from tessera.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_token_counts": op4_token_counts,
     "op7_mixing": op7_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_packing": op9_packing,
     "op10_ring_shards": op10_ring_shards,
 }
 

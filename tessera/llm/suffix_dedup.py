@@ -27,7 +27,7 @@ from tessera.llm.common import byte_chunks, materialise, row_key, table
 MIN_LEN = 400
 LEVELS = (128, 320, 400)
 HOT_RUNS = 4096
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 512 << 10
 CHUNK_BYTES = 1 << 20
 MAX_RUN = 8192
 SEPARATOR = 0xFF  # never part of UTF-8
@@ -183,7 +183,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << _U(8)) | wrapped[j : j + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable").astype(np.int64)
+    order = np.argsort(key)
     ranked = key[order]
     new = np.ones(n, bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -202,7 +202,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         nxt = pos + step
         nxt[nxt >= n] -= n
         both = (rank[pos].astype(np.uint64) << _U(32)) | rank[nxt].astype(np.uint64)
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         pos, both = pos[by], both[by]
         order[slots] = pos
         apart = np.ones(len(slots), bool)
