@@ -8,10 +8,12 @@ from tessera.llm.packing import op9_packing
 from tessera.llm.ring_shards import op10_ring_shards
 from tessera.llm.suffix_dedup import op1_suffix_dedup
 from tessera.llm.token_counts import op4_token_counts
+from tessera.llm.vector_dedup import op6_vector_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_token_counts": op4_token_counts,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_mixing": op7_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,
