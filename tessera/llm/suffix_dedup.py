@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import byte_chunks, materialise, row_key, table
 
@@ -176,21 +177,28 @@ def _cut(min_len: int):
     return run
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of data (cyclic) sorted by their first ``depth`` bytes, by prefix doubling on the parts still tied."""
+WORD = 8
+
+
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of data (cyclic) sorted by their first ``depth`` bytes, by prefix doubling on the parts still tied.
+
+    Also where, in that order, the first WORD bytes (or depth, if less) change.
+    """
     n = len(data)
-    wrapped = np.concatenate([data, data[: min(8, n)], np.zeros(8, np.uint8)])
+    h = min(WORD, depth)
+    wrapped = np.resize(data, n + h)
     key = np.zeros(n, np.uint64)
-    for j in range(8):
+    for j in range(h):
         key = (key << _U(8)) | wrapped[j : j + n].astype(np.uint64)
     order = np.argsort(key)
     ranked = key[order]
     new = np.ones(n, bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    words = new.copy()
     heads = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-    h = 8
     while h < depth:
         step = min(h, depth - h)
         tied = ~new
@@ -210,15 +218,16 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         new[slots] = apart
         rank[pos] = slots[np.maximum.accumulate(np.where(apart, np.arange(len(slots)), 0))]
         h += step
-    return order
+    return order, words
 
 
-def bounded_boundaries(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+def bounded_boundaries(data: np.ndarray, order: np.ndarray, limit: int, words: np.ndarray | None = None) -> np.ndarray:
     """True at slot i when the suffixes at slots i-1 and i share fewer than ``limit`` bytes.
 
     Breadth-first interval expansion: the interval of a string w in the order gives, by backward extension with each
     byte c before it, the interval of cw. A right end not met before is a common prefix of value l at length l; only
-    such intervals are expanded further. Level ``limit`` is not expanded.
+    such intervals are expanded further. Level ``limit`` is not expanded. words: where the first min(WORD, limit) bytes change,
+    to start from the intervals of these strings rather than from the empty one.
     """
     n = len(data)
     before = order - 1
@@ -233,7 +242,13 @@ def bounded_boundaries(data: np.ndarray, order: np.ndarray, limit: int) -> np.nd
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
     left, right = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
-    for _ in range(limit):
+    length = 0
+    if words is not None:
+        length = min(WORD, limit)
+        found[:n] |= words
+        left = np.flatnonzero(words).astype(np.int32)
+        right = np.append(left[1:] - 1, n - 1).astype(np.int32)
+    for _ in range(length, limit):
         if not len(left):
             break
         width = right - left + 1
@@ -264,8 +279,8 @@ def repeated_ranges(bodies: list[bytes], weights: list[int], min_len: int) -> li
     lens = np.fromiter(map(len, bodies), np.int64, len(bodies))
     data = np.frombuffer(b"".join(b + bytes([SEPARATOR]) for b in bodies), np.uint8)
     begins = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-    order = suffix_order(data, min_len)
-    classes = np.cumsum(bounded_boundaries(data, order, min_len)) - 1
+    order, words = suffix_order(data, min_len)
+    classes = np.cumsum(bounded_boundaries(data, order, min_len, words)) - 1
     change = np.zeros(len(data) + 1, np.int64)
     fit = lens >= min_len
     w = np.asarray(weights, np.int64)
@@ -333,9 +348,9 @@ def _strip(min_len: int, with_text: bool):
                 spans_out.append(merged)
                 if with_text:
                     # a cut inside a character leaves part of it on either side: those bytes go too
-                    texts.append(rest.decode("utf-8", errors="ignore") if merged else None)
-            cols = [batch[c] for c in batch.schema.names if c not in ("text", "spans", "rid")] if not with_text else [batch["doc_id"], batch["rid"]]
-            names = [c for c in batch.schema.names if c not in ("text", "spans", "rid")] if not with_text else ["doc_id", "rid"]
+                    texts.append(text.as_py() if text.as_py() is None else rest.decode("utf-8", errors="ignore"))
+            names = [c for c in batch.schema.names if c not in ("text", "spans")]
+            cols = [batch[c] for c in names]
             more = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
             if with_text:
                 more += [pa.array(spans_out, pa.list_(pa.list_(pa.int32()))), pa.array(texts, pa.string())]
@@ -392,18 +407,20 @@ def _with(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     return docs.join(right.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")), how).drop("_id", "_rid")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, with_text: bool = False, levels: tuple[int, ...] = LEVELS, hot: int = HOT_RUNS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, with_text: bool = False, keep: tuple[str, ...] = (), levels: tuple[int, ...] = LEVELS, hot: int = HOT_RUNS) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans, kept_sha256; with_text adds removed spans and the text that is left.
 
     Null text counts as empty. Rows repeated as a whole count as further occurrences, so long ones lose all their bytes.
-    Texts shorter than ``min_len`` bytes are never cut. Only the id and text columns are read; other columns stay out.
-    kept_text is null where nothing was removed (the row's own text holds).
+    Texts shorter than ``min_len`` bytes are never cut. Of the other columns those named in keep are passed on, the rest
+    is not read. kept_text of a null text is null.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(df, id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    joined = _with(docs, repeated_spans(docs, min_len, levels, hot), "left")
-    if with_text:
-        return joined.mapInArrow(_strip(min_len, True), "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<int>>, kept_text string")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_strip(min_len, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(df, id_col, text_col).alias("rid"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    joined = _with(whole, repeated_spans(docs, min_len, levels, hot), "left").drop("rid")
+    schema = T.StructType([f for f in joined.schema.fields if f.name not in ("text", "spans")])
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *((("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), ("kept_text", "string")) if with_text else ())):
+        schema.add(name, kind)
+    return joined.mapInArrow(_strip(min_len, with_text), schema).withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
