@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm.audio import op2_audio_features
+from tessera.llm.importance import op5_importance_resampling
 from tessera.llm.minhash_dedup import op8_minhash_dedup
 from tessera.llm.mixing import op7_mixing
 from tessera.llm.packing import op9_packing
@@ -9,10 +11,14 @@ from tessera.llm.ring_shards import op10_ring_shards
 from tessera.llm.suffix_dedup import op1_suffix_dedup
 from tessera.llm.token_counts import op4_token_counts
 from tessera.llm.vector_dedup import op6_vector_dedup
+from tessera.llm.warc import op3_warc
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_audio_features": op2_audio_features,
+    "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_mixing": op7_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
