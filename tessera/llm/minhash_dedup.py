@@ -5,11 +5,14 @@
    is met (optimal densification). Equal word sequences are one class from here on.
 2. ``BANDS`` groups of ``ROWS`` values are bucket keys: a pair of similarity 0.75 misses every bucket with probability
    (1 - 0.75**3)**21 = 1e-5. Buckets of one class are dropped; buckets with many classes are dealt out by a salt.
-3. In a bucket each class joins the first leader whose 128-bit sketch is close enough, or becomes a leader: the candidate
-   pairs form stars, so there are fewer of them than classes. Leaders of a dealt-out bucket meet again among themselves.
+3. In a bucket the class that is closest to the others by 128-bit sketches leads, those close to it are its star, and the
+   rest goes on in the same way: candidate pairs form stars, so there are fewer of them than classes. Leaders of a
+   dealt-out bucket meet again among themselves.
 4. Candidates are confirmed on the full shingle sets; confirmed pairs give components.
-5. Buckets that still hold several components are gone through once more: all pairs across components whose sketches
-   are close are confirmed too, so a star whose middle is too far from one member loses nothing.
+5. Buckets that still hold several components are gone through once more, with the full sets at hand: all pairs across
+   components whose signatures are close are compared, each in its first common bucket, so a star whose middle is too far
+   from one member loses nothing. Only links leave the task, and those between components that it has joined already are
+   left out, so what is written stays below the number of classes.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ ROWS = 3
 BANDS = 21
 HOT_BUCKET = 4096
 HOT_STAR = 2048
-#: Bits of 128 that agree: mean 112 and deviation 3.7 at similarity 0.75.
-CLOSE_BITS = 92
+#: Rows of a block in the last pass, where rows carry their sets.
+BLOCK = 1024
+#: A pair counts as close when its estimate is at most so many standard deviations below the similarity asked for.
+DEVIATIONS = 4.5
+SAMPLE = 32
 _U = np.uint64
 
 
@@ -112,7 +118,7 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words_of = _WordHashes()
     for batch in batches:
-        node, count, keys, low, high = [], [], [], [], []
+        node, count, keys, low, high, values = [], [], [], [], [], []
         for text in batch["text"].cast(pa.large_binary()):
             hashes, words = shingles(text.as_py() or b"", words_of)
             count.append(len(hashes))
@@ -121,18 +127,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
                 keys.append(bands(sig))
                 a, b = sketch(sig).tolist()
+                values.append((sig & _U(0xFF)).astype(np.uint8).tobytes())
             else:
                 node.append(None)
                 keys.append(None)
+                values.append(None)
                 a = b = 0
             low.append(a)
             high.append(b)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-            names=["doc_id", "node", "n_shingles", "bands", "low", "high"],
+            [batch["doc_id"], pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(values, pa.binary())],
+            names=["doc_id", "node", "n_shingles", "bands", "low", "high", "sig"],
         )
 
 
+def least_agreement(similarity: float, estimate_noise: float) -> np.ndarray:
+    """By the smaller set's size (up to BINS): the share of agreeing values that a pair of this similarity reaches."""
+    n = np.arange(BINS + 1)
+    spread = np.sqrt(similarity * (1 - similarity) / np.maximum(n, 1) + estimate_noise**2)
+    return np.maximum(0, similarity - DEVIATIONS * spread)
+
+
 def _agree(low: np.ndarray, high: np.ndarray, a: int, b: int) -> np.ndarray:
     differ = np.bitwise_count((low ^ a).view(np.uint64)).astype(np.int16)  # of signed numbers it would count the absolute value
     return 128 - differ - np.bitwise_count((high ^ b).view(np.uint64))
@@ -167,23 +182,29 @@ def _joined(held: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return held[0] if len(held) == 1 else {n: np.concatenate([x[n] for x in held]) for n in held[0]}
 
 
-_STAR = "key long, a long, b long, low long, high long"
+_STAR = "key long, a long, b long, low long, high long, grams long"
 
 
-def _stars(close: int):
+def _stars(similarity: float):
     """Star edges (a: leader, b) of each run, and its leaders with their sketches (b null)."""
+    # a bit agrees with probability (1 + similarity) / 2; the noise of 128 bits is that of their mean
+    close = 64 + 64 * least_agreement(similarity, np.sqrt((1 - similarity**2) / BINS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for x in _runs(batches, ["key", "salt"]):
             left = np.argsort(x["node"], kind="stable")
             key = int(x["key"][0])
-            nodes, low, high = x["node"], x["low"], x["high"]
+            nodes, low, high, grams = x["node"], x["low"], x["high"], np.minimum(x["grams"], BINS)
             while len(left):
-                lead, rest = left[0], left[1:]
-                out.append((key, int(nodes[lead]), None, int(low[lead]), int(high[lead])))
-                near = _agree(low[rest], high[rest], low[lead], high[lead]) >= close
-                out += [(key, int(nodes[lead]), int(v), 0, 0) for v in nodes[rest[near]] if v != nodes[lead]]
+                lead = left[0]
+                if len(left) > 2:
+                    some = left[:: -(-len(left) // SAMPLE)]
+                    lead = left[np.argmax(sum(_agree(low[left], high[left], low[i], high[i]).astype(np.int64) for i in some))]
+                rest = left[left != lead]
+                out.append((key, int(nodes[lead]), None, int(low[lead]), int(high[lead]), int(grams[lead])))
+                near = _agree(low[rest], high[rest], low[lead], high[lead]) >= close[np.minimum(grams[rest], grams[lead])]
+                out += [(key, int(nodes[lead]), int(v), 0, 0, 0) for v in nodes[rest[near]] if v != nodes[lead]]
                 left = rest[~near]
             if len(out) > 20_000:
                 yield _batch(out, _STAR)
@@ -199,24 +220,54 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
-def _across(close: int):
-    """Close pairs (a, b) of different components in each run; tiles of a large bucket hold two blocks each."""
+def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sorted sets reach the similarity (numerator, denominator)."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    numerator, denominator = similarity
+    if denominator * len(small) < numerator * len(large):
+        return False
+    found = np.searchsorted(large, small)
+    both = int((large[np.minimum(found, len(large) - 1)] == small).sum())
+    return denominator * both >= numerator * (len(a) + len(b) - both)
+
+
+def _across(similarity: tuple[int, int]):
+    """Links (u, v) between different components in each run; tiles of a large bucket hold two blocks each.
+
+    A pair that meets in several buckets is compared in the first of its common bands only.
+    """
+    share = similarity[0] / similarity[1]
+    close = 64 + 64 * least_agreement(share, np.sqrt((1 - share**2) / BINS))
+    closer = BINS * least_agreement(share, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for x in _runs(batches, ["key", "lo", "hi"]):
-            nodes, comp, low, high, block = (x[c] for c in ("node", "component", "low", "high", "block"))
+            nodes, low, high, block, grams = (x[c] for c in ("node", "low", "high", "block", "grams"))
+            comp = x["component"].copy()
+            key, grams = x["key"][0], np.minimum(grams, BINS)
+            sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(nodes), BINS)
+            keys = np.stack(x["bands"])
+            sets = [np.frombuffer(m, np.uint64) for m in x["members"]]
             tile = x["lo"][0] != x["hi"][0]
-            for i in range(len(nodes)):
-                near = (comp[i + 1 :] != comp[i]) & (_agree(low[i + 1 :], high[i + 1 :], low[i], high[i]) >= close)
+            for i in range(len(nodes) - 1):
+                least = np.minimum(grams[i + 1 :], grams[i])
+                near = (comp[i + 1 :] != comp[i]) & (_agree(low[i + 1 :], high[i + 1 :], low[i], high[i]) >= close[least])
                 if tile:
                     near &= block[i + 1 :] != block[i]
-                out += [(min(int(nodes[i]), int(v)), max(int(nodes[i]), int(v))) for v in nodes[i + 1 :][near]]
+                at = np.flatnonzero(near)
+                at = at[(sig[i + 1 + at] == sig[i]).sum(axis=1) >= closer[least[at]]] + i + 1
+                same = keys[at] == keys[i]
+                at = at[keys[i][same.argmax(axis=1)] == key] if len(at) else at
+                for j in at.tolist():
+                    if comp[i] != comp[j] and similar(sets[i], sets[j], similarity):
+                        out.append((int(nodes[i]), int(nodes[j])))
+                        comp[comp == comp[j]] = comp[i]
             if len(out) > 20_000:
-                yield _batch(out, "a long, b long")
+                yield _batch(out, "u long, v long")
                 out = []
         if out:
-            yield _batch(out, "a long, b long")
+            yield _batch(out, "u long, v long")
 
     return run
 
@@ -228,7 +279,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "members"])
 
 
-def _confirm(numerator: int, denominator: int):
+def _confirm(similarity: tuple[int, int]):
     """Rows sorted by star; each star's middle comes first. Keeps the pairs that reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +292,7 @@ def _confirm(numerator: int, denominator: int):
                     middle, at = own, a
                     continue
                 assert at == a
-                small, large = (own, middle) if len(own) < len(middle) else (middle, own)
-                found = np.searchsorted(large, small)
-                both = int((large[np.minimum(found, len(large) - 1)] == small).sum())
-                if denominator * both >= numerator * (len(own) + len(middle) - both):
+                if similar(own, middle, similarity):
                     a_out.append(a)
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["u", "v"])
@@ -258,10 +306,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -
     members = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("node"))
     middles = sizes.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
     rows = members.unionByName(middles).join(sets, "node").select("a", "b", "salt", "members")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm(*similarity), "u long, v long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm(similarity), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), hot: int = HOT_BUCKET, close: int = CLOSE_BITS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), hot: int = HOT_BUCKET) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Null and empty texts have no shingles and link with nothing. Rows of equal word sequences are linked at once. A null
@@ -269,18 +317,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id but not a text are told apart. Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInArrow(_signatures, "doc_id long, node long, n_shingles long, bands array<long>, low long, high long"), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("high").alias("high"))
-    banded = nodes.select(F.explode("bands").alias("key"), "node", "low", "high")
+    signed = materialise(docs.mapInArrow(_signatures, "doc_id long, node long, n_shingles long, bands array<long>, low long, high long, sig binary"), "signatures")
+    wanted_share = similarity[0] / similarity[1]
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sig").alias("sig"), F.first("n_shingles").alias("grams"))
+    nodes = materialise(nodes, "classes")
+    banded = nodes.select(F.explode("bands").alias("key"), "node", "low", "high", "grams")
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(crowded, "key"), "buckets")
 
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / hot)).cast("int"))
     sort = ["key", "salt", "node"]
-    stars = materialise(salted.repartition("key", "salt").sortWithinPartitions(*sort).mapInArrow(_stars(close), _STAR), "stars")
+    stars = materialise(salted.repartition("key", "salt").sortWithinPartitions(*sort).mapInArrow(_stars(wanted_share), _STAR), "stars")
     leaders = stars.where("b is null").join(members.where(F.col("n") > hot).select("key").distinct(), "key", "left_semi")
-    again = leaders.select("key", F.col("a").alias("node"), "low", "high", F.lit(0).alias("salt"))
-    more = again.repartition("key").sortWithinPartitions(*sort).mapInArrow(_stars(close), _STAR)
+    again = leaders.select("key", F.col("a").alias("node"), "low", "high", "grams", F.lit(0).alias("salt"))
+    more = again.repartition("key").sortWithinPartitions(*sort).mapInArrow(_stars(wanted_share), _STAR)
     pairs = materialise(stars.unionByName(more).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
@@ -292,18 +342,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     labelled = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    blocks = F.ceil(F.col("n") / hot).cast("int")
+    blocks = F.ceil(F.col("n") / min(hot, BLOCK)).cast("int")
     tiles = (
         labelled.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "low", "high")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "low", "high", "grams")
+        .join(nodes.select("node", "bands", "sig"), "node")
+        .join(sets, "node")
     )
-    rest = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_across(close), "a long, b long").distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "across")
-    if not rest.isEmpty():
-        links = links.unionByName(materialise(_confirmed(rest, sets, similarity), "links"))
-        parts = materialise(connected_components(links), "parts")
+    more = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_across(similarity), "u long, v long")
+    more = materialise(more, "across")
+    if not more.isEmpty():
+        parts = materialise(connected_components(links.unionByName(more)), "parts")
 
     classes = nodes.select("node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
