@@ -1,9 +1,10 @@
 """Token counts from pre-token frequencies, without the ids of any document.
 
-1. Runs of documents (blocks) give, for each distinct pre-token of the block, the documents that hold it and how often.
-2. These rows are dealt out by pre-token, so each pre-token meets its piece count in one task: the pieces of a distinct
-   pre-token are counted once there and multiplied into the frequencies.
-3. Sums by document. A frequent pre-token has one row for each block, not one for each document.
+1. Runs of documents (blocks) give their distinct pre-tokens, and per-document frequencies by the pre-token's number.
+2. The pre-tokens are dealt out by content, so the pieces of each distinct one are counted once, and the counts go back
+   to the blocks that asked.
+3. Each block multiplies counts into its frequencies and sums by document. A frequent pre-token has one row for each
+   block, not one for each document.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 from tessera.llm.pretokens import WordTokens
 
 LIMIT = 2048
 BLOCK_BYTES = 24 << 20
 BLOCK_DOCS = 1 << 16
-_FREQ = "block long, piece string, docs binary, times binary, doc_id long, n_bytes long"
+_FREQ = "block long, piece string, place int, docs binary, times binary, ends binary, doc_ids array<long>, sizes array<long>"
+_NAMES = [c.split()[0] for c in _FREQ.split(", ")]
 
 
 class _Numbers(dict):
@@ -32,7 +34,10 @@ class _Numbers(dict):
 
 
 def _frequencies(path: str):
-    """For each block: a row for each pre-token (its documents as uint16, its counts as uint8), a row for each document."""
+    """For each block: a row for each pre-token with its place, and a row of frequencies.
+
+    Frequencies stand in order of pre-tokens: documents (uint16), counts (uint8) and where each pre-token's part ends (uint32).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
@@ -49,37 +54,19 @@ def _frequencies(path: str):
                 by = np.argsort(pair, kind="stable")
                 pair, times = pair[by], times[by]
             ends = np.searchsorted(pair >> 16, np.arange(len(numbers) + 1))
-            docs, counts = (pair & 0xFFFF).astype(np.uint16), times.astype(np.uint8)
+            docs = (pair & 0xFFFF).astype(np.uint16)
             names = list(numbers)
             for at in range(0, len(names), 20_000):
-                upto = min(at + 20_000, len(names))
-                lo, hi, off = ends[at], ends[upto], (ends[at : upto + 1] - ends[at])
-                n = upto - at
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, block)),
-                        pa.array(names[at:upto], pa.string()),
-                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((off * 2).astype(np.int32)), pa.py_buffer(docs[lo:hi].copy())]),
-                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(counts[lo:hi].copy())]),
-                        pa.nulls(n, pa.int64()),
-                        pa.nulls(n, pa.int64()),
-                    ],
-                    names=[c.split()[0] for c in _FREQ.split(", ")],
-                )
-            for at in range(0, len(ids), 20_000):
-                own = ids[at : at + 20_000]
-                n = len(own)
+                n = len(names[at : at + 20_000])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, block)),
-                        pa.nulls(n, pa.string()),
-                        pa.array([i.to_bytes(2, "little") for i in range(at, at + n)], pa.binary()),
-                        pa.array([b""] * n, pa.binary()),
-                        pa.array(own, pa.int64()),
-                        pa.array(sizes[at : at + n], pa.int64()),
-                    ],
-                    names=[c.split()[0] for c in _FREQ.split(", ")],
+                    [pa.array(np.full(n, block)), pa.array(names[at : at + n], pa.string()), pa.array(np.arange(at, at + n), pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3)), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(2))],
+                    names=_NAMES,
                 )
+            body = [docs.tobytes(), times.astype(np.uint8).tobytes(), ends[1:].astype(np.uint32).tobytes()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), *(pa.array([x], pa.binary()) for x in body), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes))],
+                names=_NAMES,
+            )
 
         for batch in batches:
             for doc, raw in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -99,65 +86,69 @@ def _frequencies(path: str):
     return run
 
 
-_PART = "block long, doc int, doc_id long, n_bytes long, n_tokens long"
+_COUNTED = "block long, places binary, pieces binary"
 
 
-def _weigh(path: str):
-    """Partial sums (block, doc, tokens) of the rows of this task's pre-tokens; document rows pass through."""
+def _count_pieces(path: str):
+    """For each block, the places of this task's pre-tokens in it and their numbers of pieces (both uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
         known: dict[str, int] = {}
-        keys, sums, held = [], [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate(sums), minlength=len(key)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key >> 16), pa.array((key & 0xFFFF).astype(np.int32)), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(n)], names=[c.split()[0] for c in _PART.split(", ")])
+            block, place, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = np.argsort(block, kind="stable")
+            block, place, n = block[by], place[by].astype(np.uint32), n[by].astype(np.uint32)
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            cut = [*zip(first, [*first[1:], len(block)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (place, n))], names=["block", "places", "pieces"])
 
         for batch in batches:
-            is_doc = batch["piece"].is_null()
-            own = batch.filter(is_doc)
-            if own.num_rows:
-                doc = np.frombuffer(b"".join(own["docs"].to_pylist()), np.uint16).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([own["block"], pa.array(doc), own["doc_id"], own["n_bytes"], pa.array(np.zeros(len(doc), np.int64))], names=[c.split()[0] for c in _PART.split(", ")])
-            rows = batch.filter(pa.compute.invert(is_doc))
-            if not rows.num_rows:
+            if not batch.num_rows:
                 continue
-            pieces = rows["piece"].to_pylist()
+            pieces = batch["piece"].to_pylist()
+            if len(known) > 500_000:
+                known.clear()
             for p in pieces:
                 if p not in known:
-                    if len(known) > 500_000:
-                        known.clear()
                     known[p] = len(tokens.ids(p))
-            weight = np.fromiter((known[p] if p in known else len(tokens.ids(p)) for p in pieces), np.int64, len(pieces))
-            docs = np.frombuffer(b"".join(rows["docs"].to_pylist()), np.uint16)
-            times = np.frombuffer(b"".join(rows["times"].to_pylist()), np.uint8)
-            n = rows["times"].cast(pa.large_binary())
-            n = pa.compute.binary_length(n).to_numpy(zero_copy_only=False)
-            keys.append(np.repeat(rows["block"].to_numpy(zero_copy_only=False) << 16, n) | docs)
-            sums.append(np.repeat(weight, n) * times)
-            held += len(docs)
-            if held > 4_000_000:
+            held.append((batch["block"].to_numpy(), batch["place"].to_numpy(), np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))))
+            size += len(pieces)
+            if size > 4_000_000:
                 yield flush()
-                keys, sums, held = [], [], 0
+                held, size = [], 0
         if held:
             yield flush()
 
     return run
 
 
+def _sum(group: pa.Table) -> pa.Table:
+    """Counts into the frequencies of one block."""
+    body = group.filter(group["docs"].is_valid()).to_pylist()[0]
+    ends = np.frombuffer(body["ends"], np.uint32).astype(np.int64)
+    pieces = np.zeros(len(ends), np.int64)
+    counted = group.filter(group["places"].is_valid())
+    for at, n in zip(counted["places"].to_pylist(), counted["pieces"].to_pylist(), strict=True):
+        pieces[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
+    each = np.repeat(pieces, np.diff(ends, prepend=0)) * np.frombuffer(body["times"], np.uint8)
+    sums = np.bincount(np.frombuffer(body["docs"], np.uint16), weights=each, minlength=len(body["doc_ids"])).astype(np.int64)
+    return pa.table({"doc_id": pa.array(body["doc_ids"], pa.int64()), "n_bytes": pa.array(body["sizes"], pa.int64()), "n_tokens": pa.array(sums)})
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit. Null text counts as empty; repeated rows and ids stay rows of their own.
 
-    Blocks are named by partition and order in it: scans deal rows out the same way when a task runs again. Other columns
-    are not read; an empty table gives no rows.
+    Blocks are written before they are used, so their names hold. Other columns are not read; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    freq = docs.mapInArrow(_frequencies(tokenizer_path), _FREQ)
-    spread = F.coalesce(F.xxhash64("piece"), F.xxhash64("block", "docs"))
-    parts = freq.withColumn("to", spread).repartition("to").drop("to").mapInArrow(_weigh(tokenizer_path), _PART)
-    sums = parts.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+    freq = materialise(docs.mapInArrow(_frequencies(tokenizer_path), _FREQ), "frequencies")
+    words = freq.where("piece is not null").select("block", "piece", "place").repartition("piece")
+    counted = words.mapInArrow(_count_pieces(tokenizer_path), _COUNTED)
+    bodies = freq.where("docs is not null").select("block", "docs", "times", "ends", "doc_ids", "sizes")
+    sums = bodies.unionByName(counted, allowMissingColumns=True).groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
