@@ -80,7 +80,7 @@ def pdf_text_rights(df: DataFrame, text: str) -> DataFrame:
     """SRC-05: right blocks of an extract's text: one row a block of (line 0 kind and share, line 1 number, line 2 day)."""
     blocks = F.filter(F.split(F.col(text), r"\n\s*\n"), lambda b: b.rlike(r"\d+/\d+-\d+/|-\d{2}/\d+/\d{4}-\d+|\d{2}:\d{2}:\d{6,7}:\d+-\d+"))
     rows = df.select(*(c for c in df.columns if c != text), F.posexplode(blocks).alias("block_no", "block"))
-    lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     line = lambda i: F.get(lines, F.lit(i))
     beneficiary = group(F.col("block"), r"(?iu)в пользу:?\s*([^\n]+)")
     return rows.withColumns({
