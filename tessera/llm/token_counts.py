@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from tessera.llm.pretokens import WordTokens
 LIMIT = 2048
 BLOCK_BYTES = 24 << 20
 BLOCK_DOCS = 1 << 16
-_FREQ = "block long, piece string, place int, docs binary, times binary, ends binary, doc_ids array<long>, sizes array<long>"
+#: Parts that pre-tokens are dealt into by hash; more than a cluster has cores.
+DEALS = 4096
+_FREQ = "block long, deal int, pieces array<string>, places binary, docs binary, times binary, ends binary, doc_ids array<long>, sizes array<long>"
 _NAMES = [c.split()[0] for c in _FREQ.split(", ")]
 
 
@@ -34,7 +38,7 @@ class _Numbers(dict):
 
 
 def _frequencies(path: str):
-    """For each block: a row for each pre-token with its place, and a row of frequencies.
+    """For each block: its pre-tokens with their places, in DEALS parts by hash, and a row of frequencies.
 
     Frequencies stand in order of pre-tokens: documents (uint16), counts (uint8) and where each pre-token's part ends (uint32).
     """
@@ -56,15 +60,26 @@ def _frequencies(path: str):
             ends = np.searchsorted(pair >> 16, np.arange(len(numbers) + 1))
             docs = (pair & 0xFFFF).astype(np.uint16)
             names = list(numbers)
-            for at in range(0, len(names), 20_000):
-                n = len(names[at : at + 20_000])
+            deal = np.fromiter((xxhash.xxh3_64_intdigest(n) % DEALS for n in names), np.int32, len(names))
+            by = np.argsort(deal, kind="stable")
+            parts, first = np.unique(deal[by], return_index=True)
+            ends_ = np.append(first, len(names)).astype(np.int32)
+            n = len(parts)
+            if n:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.array(names[at : at + n], pa.string()), pa.array(np.arange(at, at + n), pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3)), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(2))],
+                    [
+                        pa.array(np.full(n, block)),
+                        pa.array(parts, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(ends_), pa.array([names[i] for i in by], pa.string())),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends_ * 4), pa.py_buffer(by.astype(np.uint32))]),
+                        *(pa.nulls(n, pa.binary()) for _ in range(3)),
+                        *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(2)),
+                    ],
                     names=_NAMES,
                 )
             body = [docs.tobytes(), times.astype(np.uint8).tobytes(), ends[1:].astype(np.uint32).tobytes()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), *(pa.array([x], pa.binary()) for x in body), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes))],
+                [pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in body), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes))],
                 names=_NAMES,
             )
 
@@ -108,13 +123,15 @@ def _count_pieces(path: str):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pieces = batch["piece"].to_pylist()
+            pieces = batch["pieces"].flatten().to_pylist()
             if len(known) > 500_000:
                 known.clear()
             for p in pieces:
                 if p not in known:
                     known[p] = len(tokens.ids(p))
-            held.append((batch["block"].to_numpy(), batch["place"].to_numpy(), np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))))
+            places = np.frombuffer(b"".join(batch["places"].to_pylist()), np.uint32)
+            block = np.repeat(batch["block"].to_numpy(), pa.compute.list_value_length(batch["pieces"]).to_numpy(zero_copy_only=False))
+            held.append((block, places, np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))))
             size += len(pieces)
             if size > 4_000_000:
                 yield flush()
@@ -145,7 +162,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col:
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     freq = materialise(docs.mapInArrow(_frequencies(tokenizer_path), _FREQ), "frequencies")
-    words = freq.where("piece is not null").select("block", "piece", "place").repartition("piece")
+    words = freq.where("deal is not null").select("block", "deal", "pieces", "places").repartition("deal")
     counted = words.mapInArrow(_count_pieces(tokenizer_path), _COUNTED)
     bodies = freq.where("docs is not null").select("block", "docs", "times", "ends", "doc_ids", "sizes")
     sums = bodies.unionByName(counted, allowMissingColumns=True).groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")

@@ -49,7 +49,7 @@ def record_id(page: Column) -> Column:
 
 
 def to_chunks(records: DataFrame, date: str = "2024-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
-    """Rows (record, chunk_no, data): a header, then the block in pieces of at most ``chunk`` bytes; joined, a WARC/1.1 record.
+    """Rows (record, copy, chunk_no, chunks, data): a header, then the block in pieces of at most ``chunk`` bytes; joined, a WARC/1.1 record.
 
     A revisit carries no payload: its header names the payload's digest and length and the record it refers to.
     record is a hash that tells rows apart; rows repeated as a whole share it and differ by copy. Write the result before
@@ -79,7 +79,7 @@ def to_chunks(records: DataFrame, date: str = "2024-01-01T00:00:00Z", chunk: int
     pieces = whole.select("record", "copy", "header", "block", "n", F.posexplode(starts).alias("at", "start"))
     end = F.lit(_LINE + _LINE).cast("binary")
     data = F.concat(F.when(F.col("at") == 0, F.col("header")).otherwise(F.lit(b"")), F.substring("block", F.col("start"), F.lit(chunk)), F.when(F.col("start") + chunk > F.col("n"), end).otherwise(F.lit(b"")))
-    return pieces.select("record", "copy", F.col("at").alias("chunk_no"), data.alias("data"))
+    return pieces.select("record", "copy", F.col("at").alias("chunk_no"), F.ceil(F.greatest("n", F.lit(1)) / chunk).cast("int").alias("chunks"), data.alias("data"))
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -156,9 +156,13 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archive(chunks: DataFrame) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest (checked against the bytes of responses), record_type, refers_to."""
-    ordered = chunks.repartition("record").sortWithinPartitions("record", "copy", "chunk_no")
-    return ordered.mapInArrow(_parse, _READ)
+    """Per record: page_id, payload_bytes, payload_digest (checked against the bytes of responses), record_type, refers_to.
+
+    Records of one chunk are read where they lie; the chunks of longer ones are first brought together, in order.
+    """
+    short, long = chunks.where("chunks = 1"), chunks.where("chunks > 1")
+    ordered = long.repartition("record").sortWithinPartitions("record", "copy", "chunk_no")
+    return short.mapInArrow(_parse, _READ).unionByName(ordered.mapInArrow(_parse, _READ))
 
 
 def archive_pages(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
