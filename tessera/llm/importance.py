@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, table, tidied
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -33,23 +33,36 @@ _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
-class _Hashes(dict):
-    """(hash of the word, hash of its beginning) as one complex-free pair of numbers; emptied when it has grown large."""
+class _Words(dict):
+    """Hash of each word; emptied when it has grown large."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 400_000:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
             self.clear()
-        self[word] = h = (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:BEGINNING].lower(), seed=7))
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
+class _Beginnings(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word[:BEGINNING].lower(), seed=7)
+        return h
+
+
+class _Hashes:
+    def __init__(self):
+        self.words, self.beginnings = _Words(), _Beginnings()
+
+
 def ngrams(raw: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of words and pairs with repeats, distinct buckets of words and beginnings)."""
     words = raw.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.array([hashes[w] for w in words], np.uint64)
-    h, start = both[:, 0], both[:, 1]
+    h = np.fromiter(map(hashes.words.__getitem__, words), np.uint64, len(words))
+    start = np.fromiter(map(hashes.beginnings.__getitem__, words), np.uint64, len(words))
     shift = _U(64 - BITS)
     own = (h * _M1) >> shift
     pairs = ((h[:-1] * _M1 + h[1:] * _M2) * _M1) >> shift
@@ -131,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     sample = labelled_sample(labels, limit)
     known = materialise(sample, "labelled")
     marked = docs.join(F.broadcast(known), "doc_id", "left").select("text", "kind")
-    counts = marked.mapInArrow(_count, _COUNTS).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "clean", "clean_docs", "toxic_docs")))
+    counts = marked.mapInArrow(tidied(_count), _COUNTS).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "clean", "clean_docs", "toxic_docs")))
     raw, clean, clean_docs, toxic_docs = (np.zeros(BUCKETS) for _ in range(4))
     table_ = counts.toArrow()  # BUCKETS rows at most
     at = table_["bucket"].to_numpy()
@@ -142,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
         np.log((clean + PSEUDO_RAW) / (raw * (clean.sum() / max(1.0, raw.sum())) + PSEUDO_RAW)),
         np.log((toxic_docs + PSEUDO_TOXIC) / (clean_docs * (shown.get(2, 0) / max(1, shown.get(1, 0))) + PSEUDO_TOXIC)),
     )
-    held = docs.join(F.broadcast(known.where("kind = 4")), "doc_id").select("text").mapInArrow(_score(model), "likeness double, against double").toPandas()
+    held = docs.join(F.broadcast(known.where("kind = 4")), "doc_id").select("text").mapInArrow(tidied(_score(model)), "likeness double, against double").toPandas()
     if len(held):
         model.low, model.high = float(held["likeness"].quantile(LOSS)), float(held["against"].quantile(1 - LOSS))
         model.low_scale, model.high_scale = float(held["likeness"].std() or 0) or 1.0, float(held["against"].std() or 0) or 1.0
@@ -192,7 +205,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     rows = df_rows(docs, id_col, text_col)
     model = fit(rows.select("doc_id", "text"), labels, limit)
-    scored = rows.select("doc_id", "rid", "text").mapInArrow(_score(model), "doc_id long, rid long, likeness double, against double")
+    scored = rows.select("doc_id", "rid", "text").mapInArrow(tidied(_score(model)), "doc_id long, rid long, likeness double, against double")
     weight = F.least((F.col("likeness") - model.low) / model.low_scale, (model.high - F.col("against")) / model.high_scale)
     scored = materialise(scored.select("doc_id", "rid", weight.alias("log_weight")).withColumn("key", F.col("log_weight") + temperature * gumbel("doc_id", "rid", F.lit(23))), "scored")
     if k is None:

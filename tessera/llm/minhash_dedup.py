@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, materialise, table
+from tessera.llm.common import connected_components, materialise, table, tidied
 
 WORDS = 5
 BINS = 128
@@ -45,7 +45,7 @@ class _WordHashes(dict):
     """Hash of each word, kept for the next time; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -306,7 +306,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -
     members = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("node"))
     middles = sizes.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
     rows = members.unionByName(middles).join(sets, "node").select("a", "b", "salt", "members")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm(similarity), "u long, v long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(tidied(_confirm(similarity)), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), hot: int = HOT_BUCKET) -> DataFrame:
@@ -317,7 +317,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id but not a text are told apart. Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInArrow(_signatures, "doc_id long, node long, n_shingles long, bands array<long>, low long, high long, sig binary"), "signatures")
+    signed = materialise(docs.mapInArrow(tidied(_signatures), "doc_id long, node long, n_shingles long, bands array<long>, low long, high long, sig binary"), "signatures")
     wanted_share = similarity[0] / similarity[1]
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sig").alias("sig"), F.first("n_shingles").alias("grams"))
     nodes = materialise(nodes, "classes")
@@ -336,7 +336,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     # any row of a class will do for its set; a class without an id is found by its text alone
     texts = _texts(docs, signed, wanted)
-    sets = materialise(texts.mapInArrow(_sets, "node long, members binary"), "sets")
+    sets = materialise(texts.mapInArrow(tidied(_sets), "node long, members binary"), "sets")
     links = materialise(_confirmed(pairs, sets, similarity), "links")
     parts = materialise(connected_components(links), "parts")
 
@@ -351,7 +351,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(nodes.select("node", "bands", "sig"), "node")
         .join(sets, "node")
     )
-    more = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_across(similarity), "u long, v long")
+    more = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(tidied(_across(similarity)), "u long, v long")
     more = materialise(more, "across")
     if not more.isEmpty():
         parts = materialise(connected_components(links.unionByName(more)), "parts")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, table, tidied
 from tessera.llm.pretokens import WordTokens
 
 LENGTH = 2048
@@ -25,9 +25,9 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class _Ids(dict):
-    """Little-endian ids of each pre-token met so far; emptied when it has grown large. Kept for a worker's next tasks."""
+    """Little-endian ids of each pre-token that a task has met; emptied when it has grown large."""
 
-    def __init__(self, tokens: WordTokens, keep: int = 600_000):
+    def __init__(self, tokens: WordTokens, keep: int = 300_000):
         super().__init__()
         self.tokens, self.keep = tokens, keep
 
@@ -38,20 +38,11 @@ class _Ids(dict):
         return out
 
 
-_SHARED: dict[str, _Ids] = {}
-
-
-def _ids_of(path: str) -> _Ids:
-    if path not in _SHARED:
-        _SHARED[path] = _Ids(WordTokens(path))
-    return _SHARED[path]
-
-
 def _pieces(path: str, length: int, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids_of(path)
+        ids = _Ids(WordTokens(path))
         split, get, step = ids.tokens.split, ids.__getitem__, 4 * length
         for batch in batches:
             out: list[tuple] = []
@@ -104,7 +95,7 @@ def pack(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int =
     Rows repeated as a whole are packed as documents of their own. Other columns are not read; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialise(docs.mapInArrow(_pieces(tokenizer_path, length, end_id), _PIECE), "pieces")
+    pieces = materialise(docs.mapInArrow(tidied(_pieces(tokenizer_path, length, end_id)), _PIECE), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     # equal rows would share a group if only their content were hashed: the place in the table takes part
     group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))), F.lit(groups))

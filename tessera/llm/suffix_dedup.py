@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import byte_chunks, materialise, row_key, table
+from tessera.llm.common import byte_chunks, materialise, row_key, table, tidied
 
 MIN_LEN = 400
 LEVELS = (128, 320, 400)
@@ -371,7 +371,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, levels: tuple[int, .
         else:
             hot_docs = ranged.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "starts")).alias("ranges"))
             source = _with(docs, hot_docs).select("doc_id", "rid", "text", "ranges")
-        runs = materialise(source.mapInArrow(_runs_of(k, min_len, ranged is not None), _RUN), "runs")
+        runs = materialise(source.mapInArrow(tidied(_runs_of(k, min_len, ranged is not None)), _RUN), "runs")
         counts = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum("places").alias("p")).where("p > 1").drop("p")
         again = materialise(runs.join(counts, "key"), "again")
         last = level == len(levels) - 1
@@ -389,7 +389,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, levels: tuple[int, .
     volume = todo.agg(F.sum(F.col("starts") + min_len)).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
     per_doc = todo.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("key", "first", "starts")).alias("runs"))
-    bodies = _with(docs, per_doc).select("doc_id", "rid", "text", "runs").mapInArrow(_cut(min_len), "key long, body binary, doc_ids array<long>, rids array<long>, firsts array<int>")
+    bodies = _with(docs, per_doc).select("doc_id", "rid", "text", "runs").mapInArrow(tidied(_cut(min_len)), "key long, body binary, doc_ids array<long>, rids array<long>, firsts array<int>")
     spans = (
         bodies.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
         .groupBy("bucket")
@@ -420,7 +420,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([f for f in joined.schema.fields if f.name not in ("text", "spans")])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *((("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), ("kept_text", "string")) if with_text else ())):
         schema.add(name, kind)
-    return joined.mapInArrow(_strip(min_len, with_text), schema).withColumnsRenamed({f"keep_{c}": c for c in keep})
+    return joined.mapInArrow(tidied(_strip(min_len, with_text)), schema).withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

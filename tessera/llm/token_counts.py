@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, table, tidied
 from tessera.llm.pretokens import WordTokens
 
 LIMIT = 2048
@@ -124,7 +124,7 @@ def _count_pieces(path: str):
             if not batch.num_rows:
                 continue
             pieces = batch["pieces"].flatten().to_pylist()
-            if len(known) > 500_000:
+            if len(known) > 300_000:
                 known.clear()
             for p in pieces:
                 if p not in known:
@@ -161,9 +161,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col:
     Blocks are written before they are used, so their names hold. Other columns are not read; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    freq = materialise(docs.mapInArrow(_frequencies(tokenizer_path), _FREQ), "frequencies")
+    freq = materialise(docs.mapInArrow(tidied(_frequencies(tokenizer_path)), _FREQ), "frequencies")
     words = freq.where("deal is not null").select("block", "deal", "pieces", "places").repartition("deal")
-    counted = words.mapInArrow(_count_pieces(tokenizer_path), _COUNTED)
+    counted = words.mapInArrow(tidied(_count_pieces(tokenizer_path)), _COUNTED)
     bodies = freq.where("docs is not null").select("block", "docs", "times", "ends", "doc_ids", "sizes")
     sums = bodies.unionByName(counted, allowMissingColumns=True).groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
