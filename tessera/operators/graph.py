@@ -84,7 +84,7 @@ def node_index(frame: DataFrame, key: str, locals_: list[str]) -> DataFrame:
     return flat.groupBy("local").agg(F.min(key).alias("id"))
 
 
-def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop: str, depth: int = 8) -> DataFrame:
+def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop: str, depth: int = 4) -> DataFrame:
     """GRF-06: from each start up its parents to the first node that stops: (start, found, path, depth); cycles end a walk.
 
     One join a level, for forests of a known depth; rows that have ended leave the next join.
@@ -102,7 +102,9 @@ def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop:
 
 
 def chains_recursive(spark, view: str, node: str, parent: str, stop: str, depth: int = 64) -> DataFrame:
-    """GRF-06 as a recursive query over a registered view: for forests whose depth isn't known."""
+    """GRF-06 as a recursive query over a registered view: for forests whose depth isn't known. The session's row limit for
+    recursion is lifted: the rows are at most the nodes times the depth."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark.sql(f"""
         WITH RECURSIVE up(start, at, path, depth, hit, next) AS (
           SELECT {node}, {node}, array({node}), 0, {stop}, {parent} FROM {view}

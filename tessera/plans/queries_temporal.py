@@ -186,24 +186,24 @@ def edge_dedup(t: Tables) -> DataFrame:
 @query("""
 WITH RECURSIVE up(start, node, path, depth, hit) AS (
  SELECT c_custkey, c_custkey, CAST(c_custkey AS VARCHAR), 0, c_acctbal < 0 FROM customer
- UNION ALL SELECT start, c_custkey, path || '>' || c_custkey, depth + 1, c_acctbal < 0 FROM up JOIN customer ON c_custkey = node // 10 WHERE NOT hit)
+ UNION ALL SELECT start, c_custkey, path || '>' || c_custkey, depth + 1, c_acctbal < 0 FROM up JOIN customer ON c_custkey = node // 10 AND c_custkey <> node WHERE NOT hit)
 SELECT start, node AS found, path, depth FROM up WHERE hit""")
 def founder_chain(t: Tables) -> DataFrame:
     """GRF-06: up the founders to the first with a pledge; the depth of customer numbers is their number of digits."""
-    c = t.customer.select("c_custkey", F.floor(F.col("c_custkey") / 10).alias("up"), (F.col("c_acctbal") < 0).alias("hit"))
-    out = G.chains(c, c, "c_custkey", "up", "hit")
+    t.customer.select("c_custkey", F.floor(F.col("c_custkey") / 10).alias("up"), (F.col("c_acctbal") < 0).alias("hit")).createOrReplaceTempView("tessera_founders")
+    out = G.chains_recursive(t.spark, "tessera_founders", "c_custkey", "up", "hit")
     return out.select("start", "found", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
 @query("""
 WITH RECURSIVE up(start, node, path, depth, hit) AS (
  SELECT s_suppkey, s_suppkey, CAST(s_suppkey AS VARCHAR), 0, s_acctbal < 0 FROM supplier
- UNION ALL SELECT start, s_suppkey, path || '>' || s_suppkey, depth + 1, s_acctbal < 0 FROM up JOIN supplier ON s_suppkey = node // 3 WHERE NOT hit)
+ UNION ALL SELECT start, s_suppkey, path || '>' || s_suppkey, depth + 1, s_acctbal < 0 FROM up JOIN supplier ON s_suppkey = node // 100 AND s_suppkey <> node WHERE NOT hit)
 SELECT start, node AS found, path, depth FROM up WHERE hit""")
-def founder_chain_recursive(t: Tables) -> DataFrame:
-    """GRF-06 as a recursive query."""
-    t.supplier.select("s_suppkey", F.floor(F.col("s_suppkey") / 3).alias("up"), (F.col("s_acctbal") < 0).alias("hit")).createOrReplaceTempView("tessera_founders")
-    out = G.chains_recursive(t.spark, "tessera_founders", "s_suppkey", "up", "hit")
+def founder_levels(t: Tables) -> DataFrame:
+    """GRF-06 for forests of a known depth: a join for each level."""
+    s = t.supplier.select("s_suppkey", F.floor(F.col("s_suppkey") / 100).alias("up"), (F.col("s_acctbal") < 0).alias("hit"))
+    out = G.chains(s, s, "s_suppkey", "up", "hit", depth=3)
     return out.select("start", "found", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
