@@ -23,12 +23,12 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32(hex_col: Column, n_bytes: int = 20) -> Column:
-    """RFC 4648 base32 of a hex digest of whole 5-byte groups: each 5 hex digits are 4 letters."""
-    letters = [
-        F.concat(*(F.substring(F.lit(_ALPHABET), (F.shiftright(F.conv(F.substring(hex_col, at + 1, 5), 16, 10).cast("int"), shift).bitwiseAND(31) + 1), 1) for shift in (15, 10, 5, 0)))
-        for at in range(0, 2 * n_bytes, 5)
-    ]
-    return F.concat(*letters)
+    """RFC 4648 base32 of a hex digest of whole 5-byte groups: 5 hex digits are 4 letters; 60 bits are converted at a time."""
+    parts = []
+    for at in range(0, 2 * n_bytes, 15):
+        digits = min(15, 2 * n_bytes - at)
+        parts.append(F.lpad(F.conv(F.substring(hex_col, at + 1, digits), 16, 32), digits * 4 // 5, "0"))
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _ALPHABET)
 
 
 def assign_records(pages: DataFrame, least: int = 0) -> DataFrame:
