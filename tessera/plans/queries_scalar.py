@@ -240,9 +240,11 @@ def polygon_metrics(t: Tables) -> DataFrame:
     """GEO-01..06: rectangles written as text, read and measured in their own units."""
     n = F.col("p_size").cast("double")
     line = F.concat_ws(" ", F.lit("0.0 0.0,"), F.concat(n.cast("string"), F.lit(" 0.0,")), F.concat_ws(" ", n.cast("string"), F.concat((2 * n).cast("string"), F.lit(","))), F.concat(F.lit("0.0 "), (2 * n).cast("string")))
-    ring = geometry.polygon(line)
-    c, m = geometry.bbox_centre(ring), geometry.ring_centroid(ring)
-    return t.part.select("p_partkey", F.round(c[0], 6).alias("cx"), F.round(c[1], 6).alias("cy"), F.round(F.abs(geometry.signed_area(ring)), 4).alias("area"), F.round(m[0], 6).alias("mx"), F.size(geometry.normalised(ring)["points"]).alias("points"))
+    # a column for what the next step uses many times keeps the expressions small
+    rings = t.part.select("p_partkey", geometry.polygon(line).alias("ring"))
+    ring = F.col("ring")
+    parts = rings.select("p_partkey", geometry.bbox_centre(ring).alias("c"), geometry.ring_centroid(ring).alias("m"), geometry.signed_area(ring).alias("a"), geometry.normalised(ring).alias("n"))
+    return parts.select("p_partkey", F.round(F.col("c")[0], 6).alias("cx"), F.round(F.col("c")[1], 6).alias("cy"), F.round(F.abs("a"), 4).alias("area"), F.round(F.col("m")[0], 6).alias("mx"), F.size("n.points").alias("points"))
 
 
 @query("""
