@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,24 @@ _FREQ = "block long, deal int, pieces array<string>, places binary, docs binary,
 _NAMES = [c.split()[0] for c in _FREQ.split(", ")]
 
 
+def _steps(docs: np.ndarray, ends: np.ndarray) -> bytes:
+    """Sorted numbers of each part as steps, low bytes before high ones, deflated."""
+    step = np.diff(docs, prepend=docs[:1])
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    step[first] = docs[first]
+    return zlib.compress(np.concatenate([(step & 0xFF).astype(np.uint8), (step >> 8).astype(np.uint8)]).tobytes(), 1)
+
+
+def _unstepped(raw: bytes, ends: np.ndarray) -> np.ndarray:
+    both = np.frombuffer(zlib.decompress(raw), np.uint8).astype(np.int64)
+    step = both[: len(both) // 2] | both[len(both) // 2 :] << 8
+    lens = np.diff(ends, prepend=0)
+    total = np.cumsum(step)
+    begin = ends - lens
+    before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], 0) if len(total) else begin
+    return total - np.repeat(before, lens)
+
+
 class _Numbers(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
@@ -40,7 +59,8 @@ class _Numbers(dict):
 def _frequencies(path: str):
     """For each block: its pre-tokens with their places, in DEALS parts by hash, and a row of frequencies.
 
-    Frequencies stand in order of pre-tokens: documents (uint16), counts (uint8) and where each pre-token's part ends (uint32).
+    Frequencies stand in order of pre-tokens: documents (steps within a pre-token), counts (uint8) and where each
+    pre-token's part ends (uint32); documents and counts are deflated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +97,7 @@ def _frequencies(path: str):
                     ],
                     names=_NAMES,
                 )
-            body = [docs.tobytes(), times.astype(np.uint8).tobytes(), ends[1:].astype(np.uint32).tobytes()]
+            body = [_steps(docs, ends), zlib.compress(times.astype(np.uint8).tobytes(), 1), ends[1:].astype(np.uint32).tobytes()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in body), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes))],
                 names=_NAMES,
@@ -150,8 +170,8 @@ def _sum(group: pa.Table) -> pa.Table:
     counted = group.filter(group["places"].is_valid())
     for at, n in zip(counted["places"].to_pylist(), counted["pieces"].to_pylist(), strict=True):
         pieces[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
-    each = np.repeat(pieces, np.diff(ends, prepend=0)) * np.frombuffer(body["times"], np.uint8)
-    sums = np.bincount(np.frombuffer(body["docs"], np.uint16), weights=each, minlength=len(body["doc_ids"])).astype(np.int64)
+    each = np.repeat(pieces, np.diff(ends, prepend=0)) * np.frombuffer(zlib.decompress(body["times"]), np.uint8)
+    sums = np.bincount(_unstepped(body["docs"], ends), weights=each, minlength=len(body["doc_ids"])).astype(np.int64)
     return pa.table({"doc_id": pa.array(body["doc_ids"], pa.int64()), "n_bytes": pa.array(body["sizes"], pa.int64()), "n_tokens": pa.array(sums)})
 
 
