@@ -2,10 +2,12 @@
 
 N-grams (words, word pairs, beginnings of words) are hashed to ``BUCKETS``. The raw model counts all documents; the target
 models come from a bounded sample of labelled rows: clean text (quality 1, toxic 0) and, for what must not be drawn, toxic
-text. The log ratio of clean to raw text over a document's words and pairs is its likeness to the target; the strongest
-ratios of toxic to clean text over its words and beginnings speak against it. Both are put on the scale of held-out clean
-labelled rows, and the smaller margin is the log weight. The k documents with the largest log weight plus Gumbel noise
-are drawn, k being the number of documents whose log weight is not negative.
+text. The log ratio of clean to raw text over a document's words and pairs is its likeness to the target. What speaks
+against it are markers: words and beginnings, told apart by their whole hash, that enough more toxic than clean rows hold.
+The strongest markers of each window of words are summed; the worst window counts, and the mean of all. All are put on the
+scale of held-out clean labelled rows, and the smallest margin is the log weight. None depends on a text's length: likeness
+is a mean from ``FULL`` on, and the cut-off of the worst window rises with the number of windows. The k documents with the
+largest log weight plus Gumbel noise are drawn, k being the number of documents whose log weight is not negative.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ BUCKETS = 1 << BITS
 LABELLED = 20_000
 BEGINNING = 5
 STRONGEST = 3
+WINDOW = 512  # words
+FULL = 1024  # words and pairs
+SUPPORT, SURE = 5, 4.0  # toxic rows that hold a marker; standard deviations above what clean rows lead to expect
 PSEUDO_RAW, PSEUDO_TOXIC = 5.0, 2.0
 LOSS = 0.005  # share of held-out clean rows that each margin may turn down
 TEMPERATURE = 0.02
@@ -56,64 +61,116 @@ class _Hashes:
         self.words, self.beginnings = _Words(), _Beginnings()
 
 
-def ngrams(raw: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of words and pairs with repeats, distinct buckets of words and beginnings)."""
+def ngrams(raw: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of words and pairs with repeats, hashes of the words, hashes of their beginnings)."""
     words = raw.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.words.__getitem__, words), np.uint64, len(words))
     start = np.fromiter(map(hashes.beginnings.__getitem__, words), np.uint64, len(words))
-    shift = _U(64 - BITS)
-    own = (h * _M1) >> shift
-    pairs = ((h[:-1] * _M1 + h[1:] * _M2) * _M1) >> shift
-    return np.concatenate([own, pairs]).astype(np.int64), np.unique(np.concatenate([own, (start * _M1) >> shift])).astype(np.int64)
+    own = h * _M1
+    pairs = (own[:-1] + h[1:] * _M2) * _M1
+    return (np.concatenate([own, pairs]) >> _U(64 - BITS)).astype(np.int64), h, start
 
 
-_COUNTS = "bucket int, raw long, clean long, clean_docs long, toxic_docs long"
+_COUNTS = "bucket int, raw long, clean long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task by bucket; kind 1 is clean and used for fitting, 2 toxic and used for fitting, others count as raw."""
+    """Counts of this task by bucket; kind 1 is clean and used for fitting, others count as raw."""
     hashes = _Hashes()
-    raw, clean, clean_docs, toxic_docs = (np.zeros(BUCKETS, np.int64) for _ in range(4))
+    raw, clean = (np.zeros(BUCKETS, np.int64) for _ in range(2))
     for batch in batches:
         held, size = [], 0
         for text, kind in zip(batch["text"].cast(pa.large_binary()), batch["kind"].to_pylist(), strict=True):
-            grams, distinct = ngrams(text.as_py() or b"", hashes)
+            grams = ngrams(text.as_py() or b"", hashes)[0]
             held.append(grams)
             size += len(grams)
             if kind == 1:
                 np.add.at(clean, grams, 1)
-                clean_docs[distinct] += 1
-            elif kind == 2:
-                toxic_docs[distinct] += 1
             if size > 1 << 20:
                 raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 held, size = [], 0
         if held:
             raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
-    some = np.flatnonzero(raw | clean_docs | toxic_docs)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c[some]) for c in (raw, clean, clean_docs, toxic_docs))], names=[c.split()[0] for c in _COUNTS.split(", ")])
+    some = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c[some]) for c in (raw, clean))], names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
+_HELD_BY = "gram long, clean_docs long, toxic_docs long"
+
+
+def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many clean (kind 1) and toxic (kind 2) rows hold each word and each beginning, by hash."""
+    hashes = _Hashes()
+
+    def summed(grams: list[np.ndarray], kinds: list[int]) -> pa.RecordBatch:
+        found, at = np.unique(np.concatenate(grams), return_inverse=True)
+        toxic = np.repeat(np.array(kinds) == 2, [len(g) for g in grams])
+        counts = (np.bincount(at[of], minlength=len(found)).astype(np.int64) for of in (~toxic, toxic))
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, counts)], names=[c.split()[0] for c in _HELD_BY.split(", ")])
+
+    grams, kinds, size = [], [], 0
+    for batch in batches:
+        for text, kind in zip(batch["text"].cast(pa.large_binary()), batch["kind"].to_pylist(), strict=True):
+            grams.append(np.unique(np.concatenate(ngrams(text.as_py() or b"", hashes)[1:])))
+            kinds.append(kind)
+            size += len(grams[-1])
+            if size > 1 << 20:
+                yield summed(grams, kinds)
+                grams, kinds, size = [], [], 0
+    if grams:
+        yield summed(grams, kinds)
 
 
 @dataclass
 class Model:
-    """Log ratios by bucket (fixed size) and the margins' scales."""
+    """Log ratios by bucket (fixed size), markers (sorted hashes) with their log ratios, and the margins' scales."""
 
     likeness: np.ndarray
+    markers: np.ndarray
     toxicity: np.ndarray
     low: float = 0.0
     high: float = 0.0
     low_scale: float = 1.0
     high_scale: float = 1.0
-
-    def parts(self, grams: np.ndarray, distinct: np.ndarray) -> tuple[float, float]:
-        if not len(grams):
+    tail: float = 0.0
+
+    def __post_init__(self):
+        self.maybe = np.zeros(BUCKETS, bool)  # most words are no marker and need no search
+        self.maybe[(self.markers >> _U(64 - BITS)).astype(np.int64)] = True
+
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of markers, and which."""
+        at = np.flatnonzero(self.maybe[(h >> _U(64 - BITS)).astype(np.int64)])
+        if not len(at):
+            return at, at
+        which = np.minimum(np.searchsorted(self.markers, h[at]), len(self.markers) - 1)
+        same = self.markers[which] == h[at]
+        return at[same], which[same]
+
+    def against(self, words: np.ndarray, beginnings: np.ndarray) -> tuple[float, float]:
+        """The strongest different markers of the worst window, and of all on average; for the worst, windows overlap by half."""
+        (a, x), (b, y) = self.found(words), self.found(beginnings)
+        place, which = np.concatenate([a, b]), np.concatenate([x, y])
+        if not len(place):
             return 0.0, 0.0
-        against = self.toxicity[distinct]
-        if len(against) > STRONGEST:
-            against = np.partition(against, -STRONGEST)[-STRONGEST:]
-        return float(self.likeness[grams].sum() / np.sqrt(len(grams))), float(against.sum())
+        sums = []
+        for ahead in (0, WINDOW // 2):
+            each = np.unique(np.stack([(place + ahead) // WINDOW, which], axis=1), axis=0)
+            parts = np.split(self.toxicity[each[:, 1]], np.flatnonzero(np.diff(each[:, 0])) + 1)
+            sums.append([float(np.sort(ratios)[-STRONGEST:].sum()) for ratios in parts])
+        return max(map(max, sums)), sum(sums[0]) / -(-len(words) // WINDOW)
+
+    def parts(self, grams: np.ndarray, words: np.ndarray, beginnings: np.ndarray) -> tuple[float, float, float, int]:
+        """Likeness, the worst and the mean window, and the number of windows."""
+        if not len(grams):
+            return 0.0, 0.0, 0.0, 1
+        like = self.likeness[grams].mean() * np.sqrt(min(len(grams), FULL))
+        return float(like), *self.against(words, beginnings), -(-len(words) // WINDOW)
+
+
+_PARTS = "likeness double, against double, usual double, windows long"
 
 
 def _score(model: Model):
@@ -121,9 +178,9 @@ def _score(model: Model):
         hashes = _Hashes()
         for batch in batches:
             parts = [model.parts(*ngrams(t.as_py() or b"", hashes)) for t in batch["text"].cast(pa.large_binary())]
-            like, against = (pa.array([p[k] for p in parts], pa.float64()) for k in (0, 1))
+            cols = (pa.array([p[k] for p in parts], kind) for k, kind in enumerate((*(pa.float64(),) * 3, pa.int64())))
             rest = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), like, against], names=[*rest, "likeness", "against"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *cols], names=[*rest, *(c.split()[0] for c in _PARTS.split(", "))])
 
     return run
 
@@ -144,21 +201,28 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     sample = labelled_sample(labels, limit)
     known = materialise(sample, "labelled")
     marked = docs.join(F.broadcast(known), "doc_id", "left").select("text", "kind")
-    counts = marked.mapInArrow(tidied(_count), _COUNTS).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "clean", "clean_docs", "toxic_docs")))
-    raw, clean, clean_docs, toxic_docs = (np.zeros(BUCKETS) for _ in range(4))
+    counts = marked.mapInArrow(tidied(_count), _COUNTS).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "clean")))
+    raw, clean = (np.zeros(BUCKETS) for _ in range(2))
     table_ = counts.toArrow()  # BUCKETS rows at most
     at = table_["bucket"].to_numpy()
-    for into, name in ((raw, "raw"), (clean, "clean"), (clean_docs, "clean_docs"), (toxic_docs, "toxic_docs")):
+    for into, name in ((raw, "raw"), (clean, "clean")):
         into[at] = table_[name].to_numpy()
     shown = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    model = Model(
-        np.log((clean + PSEUDO_RAW) / (raw * (clean.sum() / max(1.0, raw.sum())) + PSEUDO_RAW)),
-        np.log((toxic_docs + PSEUDO_TOXIC) / (clean_docs * (shown.get(2, 0) / max(1, shown.get(1, 0))) + PSEUDO_TOXIC)),
-    )
-    held = docs.join(F.broadcast(known.where("kind = 4")), "doc_id").select("text").mapInArrow(tidied(_score(model)), "likeness double, against double").toPandas()
+    texts = materialise(docs.join(F.broadcast(known.where("kind in (1, 2, 4)")), "doc_id").select("text", "kind"), "labelled-texts")
+    held_by = texts.where("kind < 3").mapInArrow(tidied(_held_by), _HELD_BY).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs")))
+    expected = F.col("clean_docs") * F.lit(shown.get(2, 0) / max(1, shown.get(1, 0)))
+    # a text holds as many grams as it has words, so rows of SUPPORT and more are few beside the sample's texts
+    solid = held_by.where((F.col("toxic_docs") >= SUPPORT) & (F.col("toxic_docs") - expected >= SURE * F.sqrt(expected + 1))).select("gram", F.log((F.col("toxic_docs") + PSEUDO_TOXIC) / (expected + PSEUDO_TOXIC)).alias("ratio")).toArrow()
+    markers, ratios = solid["gram"].to_numpy().view(_U), solid["ratio"].to_numpy()
+    by = np.argsort(markers)
+    model = Model(np.log((clean + PSEUDO_RAW) / (raw * (clean.sum() / max(1.0, raw.sum())) + PSEUDO_RAW)), markers[by], ratios[by])
+    held = texts.where("kind = 4").select("text").mapInArrow(tidied(_score(model)), _PARTS).toPandas()
     if len(held):
         model.low, model.high = float(held["likeness"].quantile(LOSS)), float(held["against"].quantile(1 - LOSS))
         model.low_scale, model.high_scale = float(held["likeness"].std() or 0) or 1.0, float(held["against"].std() or 0) or 1.0
+        model.tail = float((held["against"] - model.high).clip(lower=0).sum() / max(1, (held["against"] > model.high).sum()))
+    # one marker is a word and its beginning: clean texts hold it by chance if they are long enough
+    model.high = max(model.high, float(ratios.max(initial=1.0)))
     return model
 
 
@@ -205,8 +269,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     rows = df_rows(docs, id_col, text_col)
     model = fit(rows.select("doc_id", "text"), labels, limit)
-    scored = rows.select("doc_id", "rid", "text").mapInArrow(tidied(_score(model)), "doc_id long, rid long, likeness double, against double")
-    weight = F.least((F.col("likeness") - model.low) / model.low_scale, (model.high - F.col("against")) / model.high_scale)
+    scored = rows.select("doc_id", "rid", "text").mapInArrow(tidied(_score(model)), f"doc_id long, rid long, {_PARTS}")
+    spare = F.least(model.high + model.tail * F.log(F.col("windows").cast("double")) - F.col("against"), model.high - F.col("usual"))
+    weight = F.least((F.col("likeness") - model.low) / model.low_scale, spare / model.high_scale)
     scored = materialise(scored.select("doc_id", "rid", weight.alias("log_weight")).withColumn("key", F.col("log_weight") + temperature * gumbel("doc_id", "rid", F.lit(23))), "scored")
     if k is None:
         k = scored.where("log_weight >= 0").count()

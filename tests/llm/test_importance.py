@@ -43,6 +43,19 @@ def test_held_out_accuracy(spark):
     assert sum(x.kept for x in resample(df, lab, k=100).collect()) == 100
 
 
+def test_length_alone_rejects_nothing(spark):
+    data, labels = rows()
+    r = random.Random(4)
+    common = [f"w{i:02}" for i in range(300)]
+    long = lambda n, bad=0.0: " ".join(r.choice(["vile", "viler", "awfulness"]) if r.random() < bad else f"{r.getrandbits(40):x}" if r.random() < 0.05 else r.choice(common) for _ in range(n))
+    texts = {6000 + i: long(n) for i, n in enumerate([2_000, 20_000, 20_000, 100_000, 100_000, 500_000])}
+    texts |= {7000: long(20_000, 0.02), 7001: long(500_000, 0.02)}
+    df = spark.createDataFrame(data + [(i, t, None, None) for i, t in texts.items()], SCHEMA).repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in resample(df, lab).where("doc_id >= 6000").collect()}
+    assert got == {i: i < 7000 for i in texts}
+
+
 def test_without_labels_and_rows(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resample(spark.createDataFrame([], SCHEMA), lab).collect() == []
