@@ -13,6 +13,8 @@ from tessera.llm import importance, minhash_dedup, mixing, packing, suffix_dedup
 from tessera.llm.common import materialise, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes that a passage of 51 words reaches, and the levels scaled to it.
+PASSAGE, PASSAGE_LEVELS = 240, (80, 192, 240)
 
 
 def _matching(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages that repeat; n_chars follows the text where it was cut."""
-    cut = suffix_dedup.remove_repeats(docs, with_text=True, keep=("lang", "source", "n_chars"))
+    cut = suffix_dedup.remove_repeats(docs, min_len=PASSAGE, levels=PASSAGE_LEVELS, with_text=True, keep=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("n_spans") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 

@@ -54,3 +54,16 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.where("start = 0").count() == docs.count() and packed.agg({"length": "max"}).first()[0] <= 2048
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
+
+
+def test_passages_of_just_over_fifty_words(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8))) for _ in range(n))
+    passages = [text(51), text(55), text(51), text(20)]
+    docs = [(i, f"{text(40)}\n{passages[i % 4]}\n{text(40)}", "en", "a", None) for i in range(12)] + [(100 + i, text(130), "en", "a", None) for i in range(12)]
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(docs, SCHEMA), "").collect()}
+    for i, t, *_ in docs:
+        if i < 100 and i % 4 < 3:
+            assert passages[i % 4] not in got[i] and len(got[i]) <= len(t) - len(passages[i % 4])
+        else:
+            assert got[i] == t
