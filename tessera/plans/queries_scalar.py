@@ -201,6 +201,24 @@ def name_matching(t: Tables) -> DataFrame:
     return matching.by_name(t.nation, t.nation.select(F.col("n_name").alias("other")), "n_name", "other")
 
 
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS l FROM part), k AS (SELECT l, list_sort(string_split(replace(l, ' ', ''), '')) AS k FROM n)
+SELECT k.l, min(o.l) AS r, 1.0::DOUBLE AS score FROM k JOIN k o USING (k) GROUP BY k.l""")
+def part_name_matching(t: Tables) -> DataFrame:
+    """JON-21 over the names of all parts."""
+    return matching.by_name(t.part, t.part.select(F.col("p_name").alias("other")), "p_name", "other")
+
+
+@query("SELECT s_suppkey, s_suppkey AS other, 1.0::DOUBLE AS score FROM supplier")
+def address_matching(t: Tables) -> DataFrame:
+    """JON-13: the right street's name contains the left one's."""
+    k = F.col("s_suppkey").cast("string")
+    street = F.concat(F.lit("садовая"), F.translate(k, "0123456789", "абвгдежзик"), F.lit("ю"))
+    left = t.supplier.select("s_suppkey", F.concat(F.lit("ул "), street, F.lit(" д "), k).alias("a"))
+    right = t.supplier.select(F.col("s_suppkey").alias("other"), F.concat(F.lit("ул ново"), street, F.lit(" д "), k).alias("b"), F.lit(1).alias("rank"))
+    return matching.by_address(left, right, "s_suppkey", "other", "a", "b", "rank").withColumn("score", F.when(F.col("score") >= 0.7, 1.0).otherwise(F.col("score")))
+
+
 @query("""
 SELECT p_partkey, round(p_retailprice, 2) AS number, CAST(p_size AS DOUBLE) AS lead, CASE WHEN 1690 + p_size BETWEEN 1700 AND 2100 THEN 1690 + p_size END AS year, substr(sha1(p_name || chr(0) || chr(0)), 1, 16) AS h, round(p_size / p_retailprice, 6) AS scale, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * round(p_size + 30 / 60.0 + 36 / 3600.0, 6) AS deg FROM part""")
 def numbers_parsed(t: Tables) -> DataFrame:
