@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import stable_hash
+from tessera.llm.common import materialise
 from tessera.operators.relational import top_one
 
 #: Levels of kinds and kinds of relations.
@@ -84,34 +85,36 @@ def node_index(frame: DataFrame, key: str, locals_: list[str]) -> DataFrame:
     return flat.groupBy("local").agg(F.min(key).alias("id"))
 
 
-def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop: str, depth: int = 4) -> DataFrame:
+def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop: str) -> DataFrame:
     """GRF-06: from each start up its parents to the first node that stops: (start, found, path, depth); cycles end a walk.
 
-    One join a level, for forests of a known depth; rows that have ended leave the next join.
+    One join a level, written to the shared folder, until no walk is open; rows that have ended leave the next join.
     """
     up = parents.select(F.col(node).alias("_n"), F.col(parent).alias("_up"), F.col(stop).alias("_stop"))
     walk = starts.select(F.col(node).alias("start"), F.col(node).alias("at"), F.array(F.col(node)).alias("path"))
-    done = None
-    for level in range(depth):
-        here = walk.join(up, F.col("at") == F.col("_n"), "left")
-        ended = here.where("_stop").select("start", F.col("at").alias("found"), "path", F.lit(level).alias("depth"))
-        done = ended if done is None else done.unionByName(ended)
-        ahead = here.where("coalesce(not _stop, false) and _up is not null and not array_contains(path, _up)")
+    is_open = F.expr("coalesce(not _stop, false) and _up is not null and not array_contains(path, _up)")
+    done: list[DataFrame] = []
+    while True:
+        here = materialise(walk.join(up, F.col("at") == F.col("_n")).where(F.col("_stop") | is_open), "chains")
+        done.append(here.where("_stop").select("start", F.col("at").alias("found"), "path", F.lit(len(done)).alias("depth")))
+        ahead = here.where(is_open)
+        if ahead.isEmpty():
+            return union_all(*done)
         walk = ahead.select("start", F.col("_up").alias("at"), F.concat("path", F.array("_up")).alias("path"))
-    return done
 
 
-def chains_recursive(spark, view: str, node: str, parent: str, stop: str, depth: int = 64) -> DataFrame:
-    """GRF-06 as a recursive query over a registered view: for forests whose depth isn't known. The session's row limit for
-    recursion is lifted: the rows are at most the nodes times the depth."""
+def chains_recursive(spark, view: str, node: str, parent: str, stop: str) -> DataFrame:
+    """GRF-06 as a recursive query over a registered view; only a stop, a cycle or a missing parent ends a walk. The session's
+    limits of rows and levels for recursion are lifted: the rows are at most the nodes times the depth."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     return spark.sql(f"""
         WITH RECURSIVE up(start, at, path, depth, hit, next) AS (
           SELECT {node}, {node}, array({node}), 0, {stop}, {parent} FROM {view}
           UNION ALL
           SELECT u.start, v.{node}, concat(u.path, array(v.{node})), u.depth + 1, v.{stop}, v.{parent}
           FROM up u JOIN {view} v ON v.{node} = u.next
-          WHERE NOT u.hit AND u.depth < {depth} AND NOT array_contains(u.path, v.{node}))
+          WHERE NOT u.hit AND NOT array_contains(u.path, v.{node}))
         SELECT start, at AS found, path, depth FROM up WHERE hit""")
 
 

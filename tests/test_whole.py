@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import address
+from tessera.operators import graph as G
 from tessera.operators import matching
 from tessera.plans import catalogue
 
@@ -37,3 +38,15 @@ def test_streets_against_all_pairs(spark):
     assert got == want
     one = lambda x, c: spark.createDataFrame([(1, x, 1)], f"{c} long, t{c} string, rank int")
     assert matching.by_address(one("ул садовая д 1", "i").drop("rank"), one("ул новосадовая д 1", "j"), "i", "j", "ti", "tj", "rank").count() == 1
+
+
+def test_founder_levels_has_no_depth(spark, tmp_path):
+    spark.createDataFrame([(1, -5.0), (100, 1.0), (10_000, 1.0), (1_000_000, 1.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted((x.start, x.found, x.path, x.depth) for x in catalogue.QUERIES["founder_levels"](spark, str(tmp_path)).collect())
+    assert got[-1] == (1_000_000, 1, "1000000>10000>100>1", 3) and len(got) == 4
+
+
+def test_recursive_chain_has_no_depth(spark):
+    spark.createDataFrame([(i, i - 1 if i else 2, i == 0) for i in range(68)], "n long, up long, hit boolean").coalesce(1).createOrReplaceTempView("long_chain")
+    deepest = G.chains_recursive(spark, "long_chain", "n", "up", "hit").agg(F.max("depth"), F.count("*")).first()
+    assert tuple(deepest) == (67, 68)
