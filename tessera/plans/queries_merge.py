@@ -269,6 +269,13 @@ def dump_rows(t: Tables) -> DataFrame:
     return lines.where(F.get_json_object("value", "$.extra.a") == "1").select(F.get_json_object("value", "$.doc").alias("doc"), F.get_json_object("value", "$.c_custkey").alias("k"))
 
 
+@query("SELECT 'customer' AS doc, CAST(c_custkey AS VARCHAR) AS k FROM customer")
+def dump_all_rows(t: Tables) -> DataFrame:
+    """SNK-02: every row as JSON read back by key."""
+    lines = sinks.dump(t.customer.select(F.lit("customer").alias("doc"), "c_custkey", F.lit('{"a":1}').alias("extra")), ["extra"])
+    return lines.where(F.get_json_object("value", "$.extra.a") == "1").select(F.get_json_object("value", "$.doc").alias("doc"), F.get_json_object("value", "$.c_custkey").alias("k"))
+
+
 @query("SELECT folder, count(*) AS files, count(*) FILTER (n > 1000) AS long FROM (SELECT unnest([source, source || '/' || lang]) AS folder, n_chars AS n FROM documents) GROUP BY 1")
 def folder_report(t: Tables) -> DataFrame:
     """SNK-09, AGG-09: every file counts in each folder above it."""

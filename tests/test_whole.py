@@ -50,3 +50,8 @@ def test_recursive_chain_has_no_depth(spark):
     spark.createDataFrame([(i, i - 1 if i else 2, i == 0) for i in range(68)], "n long, up long, hit boolean").coalesce(1).createOrReplaceTempView("long_chain")
     deepest = G.chains_recursive(spark, "long_chain", "n", "up", "hit").agg(F.max("depth"), F.count("*")).first()
     assert tuple(deepest) == (67, 68)
+
+
+def test_every_customer_is_dumped(spark, tmp_path):
+    spark.range(100).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalogue.QUERIES["dump_all_rows"](spark, str(tmp_path)).distinct().count() == 100
