@@ -1,14 +1,17 @@
 """Removal of repeated passages by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
-A byte goes when some string of ``min_len`` bytes that covers it starts at two or more places of the corpus.
+A byte goes when some string of ``min_len`` bytes that covers it starts at two or more places of the corpus. Bytes of
+shorter strings (``passage``) that repeat can be counted in the same pass.
 
-1. Every start of a ``min_len`` string is keyed by the smallest hash among the ``k``-byte pieces inside the string. Equal
-   strings have equal keys, so a repeat never crosses keys. Consecutive starts with one key form a run.
+1. Every start of a string of the asked length is keyed by the smallest hash among the pieces of ``k`` bytes inside the
+   string. Equal strings have equal keys, so a repeat never crosses keys. Consecutive starts with one key form a run.
 2. Runs whose key occurs once are done. The texts of the other runs are dealt to buckets by key. Keys with very many runs
-   are first keyed anew with longer pieces (``levels``); at the last level the piece is the string itself.
+   are first keyed anew with longer pieces (``levels``); at the last level the piece is the string itself, told apart by
+   128 bits more.
 3. Each bucket sorts the suffixes of its distinct run texts, takes the Burrows-Wheeler transform and expands intervals
-   breadth first by backward extension: length l finds all common prefixes of value l. It stops at ``min_len``; the
-   boundaries not found by then lie inside classes of equal ``min_len`` strings. A class with two occurrences repeats.
+   breadth first by backward extension: length l finds all common prefixes of value l. It stops at the asked length; the
+   boundaries not found by then lie inside classes of equal strings. A class with two occurrences repeats. Of two lengths
+   the shorter one is read off when the expansion passes it.
 4. Each document gets the union of its covered spans.
 """
 
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +31,8 @@ from tessera.llm.common import byte_chunks, materialise, row_key, table, tidied
 
 MIN_LEN = 400
 LEVELS = (128, 320, 400)
+#: Bytes that a passage of 51 words reaches, and the levels scaled to it.
+PASSAGE, PASSAGE_LEVELS = 240, (80, 192, 240)
 HOT_RUNS = 4096
 BUCKET_BYTES = 512 << 10
 CHUNK_BYTES = 1 << 20
@@ -69,11 +75,12 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def key_runs(payloads: list[bytes], k: int, min_len: int, powers, only: list | None = None):
-    """Runs of starts with one key: arrays of row, first start, number of starts, key and places of the smallest piece.
+    """Runs of starts with one key: arrays of row, first start, number of starts, key, places of the smallest piece, proof.
 
-    only: per row, ranges of starts. A run of one place has no string twice in itself.
+    only: per row, ranges of starts. A run of one place has no string twice in itself. proof: 16 bytes that tell strings
+    apart where the key is that of the whole string, else nothing.
     """
-    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
+    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64), [])
     lens = np.fromiter(map(len, payloads), np.int64, len(payloads))
     ends = np.cumsum(lens)
     begins = ends - lens
@@ -91,8 +98,10 @@ def key_runs(payloads: list[bytes], k: int, min_len: int, powers, only: list | N
     else:
         for row, ranges in enumerate(only):
             for first, count in ranges:
-                usable[begins[row] + first] += 1
-                usable[begins[row] + first + count] -= 1
+                count = min(count, lens[row] - min_len + 1 - first)
+                if count > 0:
+                    usable[begins[row] + first] += 1
+                    usable[begins[row] + first + count] -= 1
     starts = np.flatnonzero(np.cumsum(usable[:-1]) > 0)
     if not len(starts):
         return none
@@ -110,10 +119,11 @@ def key_runs(payloads: list[bytes], k: int, min_len: int, powers, only: list | N
     moved = np.ones(len(starts), np.int64)
     moved[1:] = at[1:] != at[:-1]
     moved[first] = 1
-    return row[first], starts[first] - begins[row[first]], length, key[first], np.add.reduceat(moved, first)
+    proof = [xxhash.xxh3_128_digest(data[at : at + k]) for at in starts[first].tolist()] if k == min_len else [None] * len(first)
+    return row[first], starts[first] - begins[row[first]], length, key[first], np.add.reduceat(moved, first), proof
 
 
-_RUN = "doc_id long, rid long, first int, starts int, key long, places long"
+_RUN = "doc_id long, rid long, first int, starts int, key long, places long, proof binary"
 
 
 def _runs_of(k: int, min_len: int, ranged: bool):
@@ -127,35 +137,35 @@ def _runs_of(k: int, min_len: int, ranged: bool):
                 if size > len(powers[0]) - 1:
                     powers = _powers(size)
                 only = [[(x["first"], x["starts"]) for x in r] for r in ranges[at : at + len(payloads)]] if ranged else None
-                row, first, starts, key, places = key_runs(payloads, k, min_len, powers, only)
+                row, first, starts, key, places, proof = key_runs(payloads, k, min_len, powers, only)
                 if len(row):
                     take = pa.array(row + at)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), rids.take(take), pa.array(first, pa.int32()), pa.array(starts, pa.int32()), pa.array(key.view(np.int64)), pa.array(places)],
-                        names=["doc_id", "rid", "first", "starts", "key", "places"],
+                        [ids.take(take), rids.take(take), pa.array(first, pa.int32()), pa.array(starts, pa.int32()), pa.array(key.view(np.int64)), pa.array(places), pa.array(proof, pa.binary())],
+                        names=["doc_id", "rid", "first", "starts", "key", "places", "proof"],
                     )
 
     return run
 
 
-def _cut(min_len: int):
+_BODY = "key long, long_only boolean, starts int, body binary, doc_ids array<long>, rids array<long>, firsts array<int>"
+
+
+def _cut(reach: int):
     """Texts of runs, once for each task and distinct text, with the places they stand at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list] = {}
+        held: dict[tuple[int, bool, int, bytes], list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys = list(held)
+            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.binary())
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k for k, _ in keys], pa.int64()),
-                    pa.array([t for _, t in keys], pa.binary()),
-                    pa.array([[x[0] for x in held[k]] for k in keys], pa.list_(pa.int64())),
-                    pa.array([[x[1] for x in held[k]] for k in keys], pa.list_(pa.int64())),
-                    pa.array([[x[2] for x in held[k]] for k in keys], pa.list_(pa.int32())),
+                    *(pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)),
+                    *(pa.array([[x[i] for x in places] for places in held.values()], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))),
                 ],
-                names=["key", "body", "doc_ids", "rids", "firsts"],
+                names=[c.split()[0] for c in _BODY.split(", ")],
             )
             held.clear()
             return out
@@ -164,8 +174,8 @@ def _cut(min_len: int):
             for doc, rid, text, runs in zip(batch["doc_id"].to_pylist(), batch["rid"].to_pylist(), batch["text"].cast(pa.large_binary()), batch["runs"].to_pylist(), strict=True):
                 raw = text.as_py() or b""
                 for r in runs:
-                    body = raw[r["first"] : r["first"] + r["starts"] + min_len - 1]
-                    places = held.setdefault((r["key"], body), [])
+                    body = raw[r["first"] : r["first"] + r["starts"] + reach - 1]
+                    places = held.setdefault((r["key"], r["long_only"], r["starts"], body), [])
                     size += 80 + (0 if places else len(body))
                     places.append((doc, rid, r["first"]))
                 if size > 16 << 20:
@@ -221,12 +231,12 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, words
 
 
-def bounded_boundaries(data: np.ndarray, order: np.ndarray, limit: int, words: np.ndarray | None = None) -> np.ndarray:
-    """True at slot i when the suffixes at slots i-1 and i share fewer than ``limit`` bytes.
+def bounded_boundaries(data: np.ndarray, order: np.ndarray, limits: list[int], words: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each limit (ascending): true at slot i when the suffixes at slots i-1 and i share fewer than ``limit`` bytes.
 
     Breadth-first interval expansion: the interval of a string w in the order gives, by backward extension with each
     byte c before it, the interval of cw. A right end not met before is a common prefix of value l at length l; only
-    such intervals are expanded further. Level ``limit`` is not expanded. words: where the first min(WORD, limit) bytes change,
+    such intervals are expanded further. The last limit is not expanded. words: where the first min(WORD, limit) bytes change,
     to start from the intervals of these strings rather than from the empty one.
     """
     n = len(data)
@@ -244,13 +254,16 @@ def bounded_boundaries(data: np.ndarray, order: np.ndarray, limit: int, words: n
     left, right = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
     length = 0
     if words is not None:
-        length = min(WORD, limit)
+        length = min(WORD, limits[0])
         found[:n] |= words
         left = np.flatnonzero(words).astype(np.int32)
         right = np.append(left[1:] - 1, n - 1).astype(np.int32)
-    for _ in range(length, limit):
+    passed = []
+    for at in range(length, limits[-1]):
+        if at in limits:
+            passed.append(found[:n].copy())
         if not len(left):
-            break
+            continue
         width = right - left + 1
         total = int(width.sum())
         if total == len(left):
@@ -271,70 +284,96 @@ def bounded_boundaries(data: np.ndarray, order: np.ndarray, limit: int, words: n
         fresh = ~found[r2 + 1]
         left, right = l2[fresh], r2[fresh]
         found[right + 1] = True
-    return found[:n]
+    return [*passed, found[:n]]
 
 
-def repeated_ranges(bodies: list[bytes], weights: list[int], min_len: int) -> list[np.ndarray]:
-    """For each distinct body, the covered [from, to) ranges of bytes whose ``min_len`` string occurs twice or more."""
+def repeated_ranges(bodies: list[bytes], starts: list[int], weights: list[int], lengths: list[int]) -> list[list[np.ndarray]]:
+    """For each length (ascending) and distinct body, the covered [from, to) ranges whose string of that length occurs twice or more.
+
+    Only the first ``starts`` places of a body count as starts, those of them where the string fits.
+    """
     lens = np.fromiter(map(len, bodies), np.int64, len(bodies))
     data = np.frombuffer(b"".join(b + bytes([SEPARATOR]) for b in bodies), np.uint8)
     begins = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-    order, words = suffix_order(data, min_len)
-    classes = np.cumsum(bounded_boundaries(data, order, min_len, words)) - 1
-    change = np.zeros(len(data) + 1, np.int64)
-    fit = lens >= min_len
-    w = np.asarray(weights, np.int64)
-    np.add.at(change, begins[fit], w[fit])
-    np.add.at(change, (begins + lens - min_len + 1)[fit], -w[fit])
-    weight = np.cumsum(change[:-1])  # occurrences in the corpus of the string at each place; 0 where none fits
-    twice = np.bincount(classes, weights=weight[order], minlength=int(classes[-1]) + 1)[classes] >= 2
-    hit = np.zeros(len(data), bool)
-    hit[order] = twice
-    hit &= weight > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    opened, closed = edge[::2], edge[1::2]
-    body = np.searchsorted(begins, opened, side="right") - 1
-    spans = np.stack([opened - begins[body], closed - begins[body] + min_len - 1], axis=1)
-    cuts = np.searchsorted(body, np.arange(len(bodies) + 1))
-    return [spans[cuts[i] : cuts[i + 1]] for i in range(len(bodies))]
-
-
-def _expand_bucket(min_len: int):
+    order, words = suffix_order(data, lengths[-1])
+    w, most = np.asarray(weights, np.int64), np.asarray(starts, np.int64)
+    out = []
+    for length, cuts in zip(lengths, bounded_boundaries(data, order, lengths, words), strict=True):
+        classes = np.cumsum(cuts) - 1
+        change = np.zeros(len(data) + 1, np.int64)
+        count = np.minimum(most, lens - length + 1)
+        fit = count > 0
+        np.add.at(change, begins[fit], w[fit])
+        np.add.at(change, (begins + count)[fit], -w[fit])
+        weight = np.cumsum(change[:-1])  # occurrences in the corpus of the string at each place; 0 where none fits
+        twice = np.bincount(classes, weights=weight[order], minlength=int(classes[-1]) + 1)[classes] >= 2
+        hit = np.zeros(len(data), bool)
+        hit[order] = twice
+        hit &= weight > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+        opened, closed = edge[::2], edge[1::2]
+        body = np.searchsorted(begins, opened, side="right") - 1
+        spans = np.stack([opened - begins[body], closed - begins[body] + length - 1], axis=1)
+        by_body = np.searchsorted(body, np.arange(len(bodies) + 1))
+        out.append([spans[by_body[i] : by_body[i + 1]] for i in range(len(bodies))])
+    return out
+
+
+_SPAN = "doc_id long, rid long, length int, lo int, hi int"
+
+
+def _expand_bucket(lengths: list[int]):
     def run(group: pa.Table) -> pa.Table:
-        members: dict[bytes, list[int]] = {}
-        for i, body in enumerate(group["body"].to_pylist()):
-            members.setdefault(body, []).append(i)
-        docs, rids, firsts = (group[c].combine_chunks() for c in ("doc_ids", "rids", "firsts"))
-        docs, rids, firsts = ([x.values for x in col] for col in (docs, rids, firsts))
-        bodies = list(members)
-        weights = [sum(len(docs[i]) for i in members[b]) for b in bodies]
-        out: list[list] = [[], [], [], []]
-        for b, spans in zip(bodies, repeated_ranges(bodies, weights, min_len), strict=True):
-            for i in members[b]:
-                for lo, hi in spans:
-                    at = firsts[i].to_numpy(zero_copy_only=False)
-                    out[0].append(docs[i])
-                    out[1].append(rids[i])
-                    out[2].append(pa.array(at + lo, pa.int32()))
-                    out[3].append(pa.array(at + hi, pa.int32()))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.table([pa.chunked_array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "rid", "lo", "hi"])
+        docs, rids, firsts = ([x.values for x in group[c].combine_chunks()] for c in ("doc_ids", "rids", "firsts"))
+        out: list[list] = [[], [], [], [], []]
+        # texts whose shorter strings are settled already are gone through for the longest length alone
+        for long_only in (False, True):
+            members: dict[tuple[int, bytes], list[int]] = {}
+            for i, (only, starts, body) in enumerate(zip(group["long_only"].to_pylist(), group["starts"].to_pylist(), group["body"].to_pylist(), strict=True)):
+                if only == long_only:
+                    members.setdefault((starts, body), []).append(i)
+            if not members:
+                continue
+            wanted = lengths[-1:] if long_only else lengths
+            weights = [sum(len(docs[i]) for i in own) for own in members.values()]
+            found = repeated_ranges([b for _, b in members], [n for n, _ in members], weights, wanted)
+            for length, each in zip(wanted, found, strict=True):
+                for own, spans in zip(members.values(), each, strict=True):
+                    for i in own:
+                        at = firsts[i].to_numpy(zero_copy_only=False)
+                        for lo, hi in spans:
+                            out[0].append(docs[i])
+                            out[1].append(rids[i])
+                            out[2].append(pa.array(np.full(len(at), length, np.int32)))
+                            out[3].append(pa.array(at + lo, pa.int32()))
+                            out[4].append(pa.array(at + hi, pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.table([pa.chunked_array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _SPAN.split(", ")])
 
     return run
 
 
-def _strip(min_len: int, with_text: bool):
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    return merged
+
+
+def _strip(min_len: int, passage: int | None, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, n_removed, n_spans, digests, spans_out, texts = [], [], [], [], [], []
+            n_bytes, n_removed, n_spans, digests, spans_out, texts, shared, n_shared = [], [], [], [], [], [], [], []
             for text, spans in zip(batch["text"].cast(pa.large_binary()), batch["spans"].to_pylist(), strict=True):
                 raw = text.as_py() or b""
-                merged: list[list[int]] = []
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
+                merged = _merged([(s["lo"], s["hi"]) for s in spans or () if s["length"] == min_len])
+                if passage:
+                    short = _merged([(s["lo"], s["hi"]) for s in spans or ()])
+                    shared.append(sum(hi - lo for lo, hi in short))
+                    n_shared.append(len(short))
                 kept, at = [], 0
                 for lo, hi in merged:
                     kept.append(raw[at:lo])
@@ -352,53 +391,63 @@ def _strip(min_len: int, with_text: bool):
             names = [c for c in batch.schema.names if c not in ("text", "spans")]
             cols = [batch[c] for c in names]
             more = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+            more += [pa.array(shared, pa.int64()), pa.array(n_shared, pa.int64())] if passage else []
             if with_text:
                 more += [pa.array(spans_out, pa.list_(pa.list_(pa.int32()))), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["removed", "kept_text"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, *(n for n, _ in _columns(passage, with_text))])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, levels: tuple[int, ...] = LEVELS, hot: int = HOT_RUNS) -> DataFrame:
-    """(doc_id, rid, text) -> (doc_id, rid, spans): the covered spans of each row that has any; rid tells rows apart."""
+def _columns(passage: int | None, with_text: bool) -> list[tuple]:
+    out: list[tuple] = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
+    out += [("passage_bytes", "long"), ("n_passages", "long")] if passage else []
+    return out + ([("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), ("kept_text", "string")] if with_text else [])
+
+
+def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, levels: tuple[int, ...] = LEVELS, hot: int = HOT_RUNS, passage: int | None = None, passage_levels: tuple[int, ...] = PASSAGE_LEVELS) -> DataFrame:
+    """(doc_id, rid, text) -> (doc_id, rid, spans): the covered spans (length, lo, hi) of each row that has any; rid tells rows apart.
+
+    With ``passage`` (shorter than min_len) starts are keyed by strings of that length, which settles both: a string of
+    min_len bytes repeats only where its first ``passage`` bytes do. Only keys whose short strings are hot at the last of
+    passage_levels go on with those of ``levels`` that are longer.
+    """
     spark = docs.sparkSession
+    steps = [(k, passage) for k in passage_levels] + [(k, min_len) for k in levels if k > passage] if passage else [(k, min_len) for k in levels]
+    lengths = [passage, min_len] if passage else [min_len]
     cold: list[DataFrame] = []
     sure: list[DataFrame] = []
     ranged: DataFrame | None = None
-    for level, k in enumerate(levels):
+    for step, (k, length) in enumerate(steps):
         if ranged is None:
             source = docs
         else:
             hot_docs = ranged.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "starts")).alias("ranges"))
             source = _with(docs, hot_docs).select("doc_id", "rid", "text", "ranges")
-        runs = materialise(source.mapInArrow(tidied(_runs_of(k, min_len, ranged is not None)), _RUN), "runs")
-        counts = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum("places").alias("p")).where("p > 1").drop("p")
-        again = materialise(runs.join(counts, "key"), "again")
-        last = level == len(levels) - 1
+        runs = materialise(source.mapInArrow(tidied(_runs_of(k, length, ranged is not None)), _RUN), "runs")
+        counts = runs.groupBy("key", "proof").agg(F.count("*").alias("n"), F.sum("places").alias("p")).where("p > 1").select(F.col("key").alias("_key"), F.col("proof").alias("_proof"), "n")
+        long_only = F.lit(length != lengths[0])
+        again = materialise(runs.join(counts, (F.col("key") == F.col("_key")) & F.col("proof").eqNullSafe(F.col("_proof"))).select("doc_id", "rid", "first", "starts", "key", long_only.alias("long_only"), "n"), "again")
         cold.append(again.where(F.col("n") <= hot).drop("n"))
         ranged = again.where(F.col("n") > hot)
-        if last and k == min_len:  # the key is that of the whole string: its many occurrences are equal
-            sure.append(ranged.select("doc_id", "rid", F.col("first").alias("lo"), (F.col("first") + F.col("starts") + F.lit(min_len - 1)).cast("int").alias("hi")))
-        elif last:
+        if k == length:  # the key is that of the whole string: its many occurrences are equal
+            sure.append(ranged.select("doc_id", "rid", F.lit(length).alias("length"), F.col("first").alias("lo"), (F.col("first") + F.col("starts") + F.lit(length - 1)).cast("int").alias("hi")))
+        elif step == len(steps) - 1:
             cold.append(ranged.drop("n"))
-        elif ranged.isEmpty():
+        if step < len(steps) - 1 and ranged.isEmpty():
             break
     todo = cold[0]
     for more in cold[1:]:
         todo = todo.unionByName(more)
     volume = todo.agg(F.sum(F.col("starts") + min_len)).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
-    per_doc = todo.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("key", "first", "starts")).alias("runs"))
-    bodies = _with(docs, per_doc).select("doc_id", "rid", "text", "runs").mapInArrow(tidied(_cut(min_len)), "key long, body binary, doc_ids array<long>, rids array<long>, firsts array<int>")
-    spans = (
-        bodies.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInArrow(_expand_bucket(min_len), "doc_id long, rid long, lo int, hi int")
-    )
+    per_doc = todo.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("key", "first", "starts", "long_only")).alias("runs"))
+    bodies = _with(docs, per_doc).select("doc_id", "rid", "text", "runs").mapInArrow(tidied(_cut(min_len)), _BODY)
+    spans = bodies.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_expand_bucket(lengths), _SPAN)
     for more in sure:
         spans = spans.unionByName(more)
     spans = materialise(spans, "spans")
-    return spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("length", "lo", "hi")).alias("spans"))
 
 
 def _with(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
@@ -407,21 +456,27 @@ def _with(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     return docs.join(right.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")), how).drop("_id", "_rid")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, with_text: bool = False, keep: tuple[str, ...] = (), levels: tuple[int, ...] = LEVELS, hot: int = HOT_RUNS) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, with_text: bool = False, keep: tuple[str, ...] = (),
+    levels: tuple[int, ...] = LEVELS, hot: int = HOT_RUNS, passage: int | None = None, passage_levels: tuple[int, ...] = PASSAGE_LEVELS,
+) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans, kept_sha256; with_text adds removed spans and the text that is left.
 
-    Null text counts as empty. Rows repeated as a whole count as further occurrences, so long ones lose all their bytes.
-    Texts shorter than ``min_len`` bytes are never cut. Of the other columns those named in keep are passed on, the rest
-    is not read. kept_text of a null text is null.
+    passage: a shorter length; adds passage_bytes and n_passages, the bytes and runs covered by strings of that length that
+    repeat, which are counted and not removed. Null text counts as empty. Rows repeated as a whole count as further
+    occurrences, so long ones lose all their bytes. Texts shorter than ``min_len`` bytes are never cut. A very long text is
+    worked on whole, in one task. Of the other columns those named in keep are passed on, the rest is not read. kept_text
+    of a null text is null. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(df, id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     whole = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(df, id_col, text_col).alias("rid"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    joined = _with(whole, repeated_spans(docs, min_len, levels, hot), "left").drop("rid")
+    joined = _with(whole, repeated_spans(docs, min_len, levels, hot, passage, passage_levels), "left").drop("rid")
     schema = T.StructType([f for f in joined.schema.fields if f.name not in ("text", "spans")])
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *((("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), ("kept_text", "string")) if with_text else ())):
+    for name, kind in _columns(passage, with_text):
         schema.add(name, kind)
-    return joined.mapInArrow(tidied(_strip(min_len, with_text)), schema).withColumnsRenamed({f"keep_{c}": c for c in keep})
+    return joined.mapInArrow(tidied(_strip(min_len, passage, with_text)), schema).withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """Strings of 400 bytes that repeat are removed; bytes in passages of 240 bytes (some 51 words) that repeat are counted beside."""
+    return remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
