@@ -1,34 +1,25 @@
 """WARC archives as a chunked record table: long records travel as rows (record, chunk number, bytes).
 
 An archive is a folder of Parquet rows whose bytes, in order of record and chunk, are WARC/1.1 files: any store that Spark
-reaches will do, and writing is atomic by task. Reading goes through the chunks in order with a running digest and never
-holds a record; ``record_chunks`` hands the payload on in the same form.
+reaches will do, and writing is atomic by task. Writing cuts a payload where it lies and carries a running checksum from
+chunk to chunk; reading goes through the chunks in order with a running digest. Neither puts a record together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, table, tidied
 
 CHUNK = 64 << 10
 _LINE = "\r\n"
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-
-def base32(hex_col: Column, n_bytes: int = 20) -> Column:
-    """RFC 4648 base32 of a hex digest of whole 5-byte groups: 5 hex digits are 4 letters; 60 bits are converted at a time."""
-    parts = []
-    for at in range(0, 2 * n_bytes, 15):
-        digits = min(15, 2 * n_bytes - at)
-        parts.append(F.lpad(F.conv(F.substring(hex_col, at + 1, digits), 16, 32), digits * 4 // 5, "0"))
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _ALPHABET)
 
 
 def assign_records(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -44,42 +35,85 @@ def assign_records(pages: DataFrame, least: int = 0) -> DataFrame:
     return joined.select("page_id", "uri", "payload", "payload_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
-def record_id(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
+_CHUNK = "record long, copy long, chunk_no int, chunks int, data binary, running long"
+BATCH_BYTES = 4 << 20
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_END = b"\r\n\r\n"
+
+
+def _header(page, uri: str, n_bytes: int, sha1: str, kind: str, refers_to, block: int, date: str) -> bytes:
+    name = lambda p: f"<urn:page:{'none' if p is None else p}>"
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {name(page)}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {uri}",
+        "Content-Type: application/http; msgtype=response",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+        f"X-Payload-Length: {n_bytes}",
+    ]
+    if kind == "revisit":
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+    return _LINE.join([*lines, f"Content-Length: {block}"]).encode() + _END
+
+
+def _write(date: str, chunk: int):
+    """Chunk rows of each record. A payload is cut where the batch holds it; no record is put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        names = [c.split()[0] for c in _CHUNK.split(", ")]
+        out: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            bodies = batch["body"].cast(pa.large_binary())
+            fields = batch.select([n for n in batch.schema.names if n != "body"]).to_pylist()
+            for i, f in enumerate(fields):
+                body = memoryview(bodies[i].as_buffer()) if bodies[i].is_valid else memoryview(b"")
+                chunks = max(1, -(-len(body) // chunk))
+                head = _header(f["page_id"], f["uri"], f["payload_bytes"], f["sha1"], f["record_type"], f["refers_to"], len(_HTTP) + len(body), date) + _HTTP
+                running = 0
+                for k in range(chunks):
+                    piece = body[k * chunk : (k + 1) * chunk]
+                    running = zlib.crc32(piece, running)
+                    data = b"".join([head if k == 0 else b"", piece, _END if k == chunks - 1 else b""])
+                    out.append((f["record"], f["copy"], k, chunks, data, running))
+                    held += len(data)
+                    if held > BATCH_BYTES:
+                        yield flush()
+                        out, held = [], 0
+        if out:
+            yield flush()
+
+    return run
 
 
 def to_chunks(records: DataFrame, date: str = "2024-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
-    """Rows (record, copy, chunk_no, chunks, data): a header, then the block in pieces of at most ``chunk`` bytes; joined, a WARC/1.1 record.
+    """Rows (record, copy, chunk_no, chunks, data, running): a header, then the payload in pieces of at most ``chunk`` bytes; joined, a WARC/1.1 record.
 
-    A revisit carries no payload: its header names the payload's digest and length and the record it refers to.
-    record is a hash that tells rows apart; rows repeated as a whole share it and differ by copy. Write the result before
-    reading it: copy numbers hold for one run.
+    running is the CRC-32 of the payload up to the chunk's end, each carried on from the chunk before, so a reader finds
+    the first chunk that is damaged or missing. A revisit carries no payload: its header names the payload's digest and
+    length and the record it refers to. record is a hash that tells rows apart; rows repeated as a whole share it and
+    differ by copy. Write the result before reading it: copy numbers hold for one run.
     """
-    rows = records.withColumn("record", F.xxhash64("page_id", "uri", "sha1")).withColumn("copy", F.monotonically_increasing_id())
-    http = F.lit(f"HTTP/1.1 200 OK{_LINE}Content-Type: text/html; charset=utf-8{_LINE}{_LINE}").cast("binary")
-    is_revisit = F.col("record_type") == "revisit"
-    block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("payload")))
-    fields = [
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
-        F.lit(f"WARC-Date: {date}"),
+    rows = records.select(
+        F.xxhash64("page_id", "uri", "sha1").alias("record"),
+        F.monotonically_increasing_id().alias("copy"),
+        "page_id",
         # control characters would end the line
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("uri", F.lit("")), "[\\x00-\\x20\\x7f]", "")),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1"))),
-        F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
-        F.when(is_revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(is_revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to")))),
-        F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
-    ]
-    header = F.concat(F.concat_ws(_LINE, *fields), F.lit(_LINE + _LINE)).cast("binary")
-    whole = rows.withColumn("block", block).select("record", "copy", header.alias("header"), "block", F.octet_length("block").alias("n"))
-    starts = F.sequence(F.lit(1), F.greatest("n", F.lit(1)), F.lit(chunk))
-    pieces = whole.select("record", "copy", "header", "block", "n", F.posexplode(starts).alias("at", "start"))
-    end = F.lit(_LINE + _LINE).cast("binary")
-    data = F.concat(F.when(F.col("at") == 0, F.col("header")).otherwise(F.lit(b"")), F.substring("block", F.col("start"), F.lit(chunk)), F.when(F.col("start") + chunk > F.col("n"), end).otherwise(F.lit(b"")))
-    return pieces.select("record", "copy", F.col("at").alias("chunk_no"), F.ceil(F.greatest("n", F.lit(1)) / chunk).cast("int").alias("chunks"), data.alias("data"))
+        F.regexp_replace(F.coalesce("uri", F.lit("")), "[\\x00-\\x20\\x7f]", "").alias("uri"),
+        "payload_bytes",
+        "sha1",
+        "record_type",
+        "refers_to",
+        F.when(F.col("record_type") == "response", F.col("payload")).alias("body"),
+    )
+    return rows.mapInArrow(tidied(_write(date, chunk)), _CHUNK)
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -90,10 +124,19 @@ class _Record:
 
     def __init__(self):
         self.head, self.http, self.fields, self.left = bytearray(), None, None, 0
-        self.sha, self.n = hashlib.sha1(), 0
-
-    def feed(self, data: bytes) -> bytes:
-        """Takes the next bytes; returns the payload bytes among them."""
+        self.sha, self.n, self.crc = hashlib.sha1(), 0, 0
+
+    def feed(self, data: bytes, running: int | None = None) -> bytes:
+        """Takes the next bytes; returns the payload bytes among them. running: the checksum that the payload must have after them."""
+        payload = self._payload(data)
+        self.sha.update(payload)
+        self.crc = zlib.crc32(payload, self.crc)
+        self.n += len(payload)
+        if running is not None and running != self.crc:
+            raise ValueError(f"a chunk is damaged or missing: after {self.n} bytes of payload")
+        return payload
+
+    def _payload(self, data: bytes) -> bytes:
         if self.fields is None:
             self.head += data
             end = self.head.find(b"\r\n\r\n")
@@ -113,8 +156,6 @@ class _Record:
             if end < 0:
                 return b""
             data, self.http = bytes(self.http[end + 4 :]), None
-        self.sha.update(data)
-        self.n += len(data)
         return data
 
     def row(self) -> tuple:
@@ -135,12 +176,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records from chunk rows that arrive in order of record, copy and chunk."""
     now, record, out = None, None, []
     for batch in batches:
-        for rec, copy, data in zip(batch["record"].to_pylist(), batch["copy"].to_pylist(), batch["data"], strict=True):
+        for rec, copy, data, running in zip(batch["record"].to_pylist(), batch["copy"].to_pylist(), batch["data"], batch["running"].to_pylist(), strict=True):
             if now != (rec, copy):
                 if record is not None:
                     out.append(record.row())
                 now, record = (rec, copy), _Record()
-            record.feed(data.as_py())
+            record.feed(data.as_py(), running)
         if len(out) > 5_000:
             yield _rows(out)
             out = []
@@ -166,11 +207,16 @@ def read_archive(chunks: DataFrame) -> DataFrame:
 
 
 def archive_pages(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Write a record for each row, read the archive back. Null payloads are empty; other columns are not read."""
+    """Write a record for each row, read the archive back.
+
+    Null payloads are empty, null uris too; null ids are written as none and read back as null. Rows repeated as a whole
+    are records of their own. A very long payload passes in chunks. Other columns are not read; an empty table gives no rows.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     return read_archive(materialise(to_chunks(assign_records(pages, least), chunk=chunk), "warc"))
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages as an archive, read back: identical payloads of any length are revisits of the smallest page_id."""
     return archive_pages(table(spark, sf_dir, "pages"))

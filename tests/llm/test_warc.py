@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.llm.warc import archive_pages, assign_records, to_chunks
+from tessera.llm.warc import archive_pages, assign_records, read_archive, to_chunks
 
 SCHEMA = "page_id long, url string, html string, record string, data int"
 
@@ -53,5 +53,21 @@ def test_chunks_join_to_a_warc_file(spark):
     assert sorted(types) == [b"response", b"revisit"]
 
 
+def test_a_payload_of_fifty_megabytes_passes_in_chunks(spark):
+    df = spark.range(1).selectExpr("1L page_id", "'u' uri", "CAST(repeat('0123456789', 5000000) AS BINARY) payload")
+    chunks = to_chunks(assign_records(df))
+    sizes = chunks.selectExpr("length(data) n", "chunks", "chunk_no").agg({"n": "max", "chunks": "max", "chunk_no": "count"}).first().asDict()
+    assert sizes["max(n)"] < (64 << 10) + 1000 and sizes["max(chunks)"] == sizes["count(chunk_no)"] == 763
+    got = archive_pages(df.selectExpr("page_id", "uri url", "payload html")).first()
+    assert (got.payload_bytes, got.payload_digest) == (50_000_000, base64.b32encode(hashlib.sha1(b"0123456789" * 5_000_000).digest()).decode())
+
+
+def test_a_lost_chunk_is_found(spark):
+    df = spark.createDataFrame([(1, "http://x", b"hello" * 50)], "page_id long, uri string, payload binary")
+    chunks = to_chunks(assign_records(df), chunk=64).where("chunk_no <> 1")
+    with pytest.raises(Exception, match="damaged or missing|ends early"):
+        read_archive(chunks).collect()
+
+
 def test_empty(spark):
     assert archive_pages(spark.createDataFrame([], SCHEMA)).collect() == []
