@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, table, tidied
 
 RATE = 12_000
 UP, DOWN = 2, 3
@@ -30,6 +30,7 @@ UNIT = 192  # samples: HOP * DOWN / UP
 BLOCK_UNITS = 4096
 RISE, FALL = 3.0, 1.0  # dB over the median energy: a segment starts above the first and ends below the second
 HEADER = 44
+BATCH_BYTES = 4 << 20
 
 
 def _little(n: Column) -> Column:
@@ -128,54 +129,70 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(mel), segments(np.concatenate(energy))
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, segments long"
+_STORED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "frames int, starts array<double>, ends array<double>, segment_starts array<double>, segment_ends array<double>, tensors array<binary>"
+)
+_NAMES = [c.split()[0] for c in _STORED.split(", ")]
+_KINDS = (*(pa.int64(),) * 3, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *(pa.list_(pa.float64()),) * 4, pa.list_(pa.binary()))
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (PATCH, MELS))
+SECONDS = UNIT / RATE  # of one frame
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def to_tensors(mel: np.ndarray) -> pa.ExtensionArray:
+    """Frames in patches of PATCH, the last one filled up with zeros, as an Array of fixed-shape tensors."""
+    n = -(-len(mel) // PATCH)
+    filled = np.zeros((n * PATCH, MELS), np.float16)
+    filled[: len(mel)] = mel
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(filled.ravel()), PATCH * MELS))
+
+
+def from_bytes(stored: pa.Array) -> pa.ExtensionArray:
+    """Stored tensors (the bytes of each, little-endian) as an Array of fixed-shape tensors."""
+    values = np.frombuffer(b"".join(stored.to_pylist()), "<f2")
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(values), PATCH * MELS))
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each recording is, with its tensors, their time spans and its segments."""
     for batch in batches:
         out: list[tuple] = []
-        for value in batch["media"].cast(pa.large_binary()):
+        size = 0
+        for doc, n_bytes, value in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"].cast(pa.large_binary()), strict=True):
             media = value.as_py()
             payload = samples_of(media)
             mel, spans = features(media)
-            # tenths of a dB, so that the last bits of sums don't show
-            marks = hashlib.sha256(np.rint(mel * 10).astype("<i2").tobytes() + spans.astype("<i8").tobytes()).hexdigest()[:32]
-            mean = " ".join(f"{v:.1f}" for v in mel.mean(axis=0, dtype=np.float64)[:: MELS // 4] + 0.0)
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{marks} mel {mean}", len(mel), len(spans)))
-        cols = list(zip(*out, strict=True)) if out else [()] * 8
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[c.split()[0] for c in _DIGEST.split(", ")])
-
-
-def _patches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seconds = UNIT / RATE
-    for batch in batches:
-        for doc, value in zip(batch["doc_id"].to_pylist(), batch["media"].cast(pa.large_binary()), strict=True):
-            mel, spans = features(value.as_py())
-            out = []
-            for k, (lo, hi) in enumerate(spans.tolist()):
-                for at in range(lo, hi, PATCH):
-                    end = min(at + PATCH, hi)
-                    tensor = np.zeros((PATCH, MELS), np.float32)
-                    tensor[: end - at] = mel[at:end]
-                    # frame i is around sample i*UNIT: a run of frames spans half a hop to either side
-                    out.append((doc, k, (at - 0.5) * seconds, (end - 0.5) * seconds, end - at, tensor.ravel()))
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "segment", "start_s", "end_s", "frames", "tensor"])
+            # frame i is around sample i*UNIT: a run of frames spans half a hop to either side
+            at = np.arange(0, len(mel), PATCH)
+            starts, ends = (at - 0.5) * SECONDS, (np.minimum(at + PATCH, len(mel)) - 0.5) * SECONDS
+            tensors = [x.astype("<f2").tobytes() for x in to_tensors(mel).to_numpy_ndarray()]
+            facts = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+            out.append((doc, n_bytes, *facts, len(mel), starts, ends, *((spans - 0.5) * SECONDS).T, tensors))
+            size += len(media)
+            if size > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def audio_tensors(stored: DataFrame) -> DataFrame:
-    """(doc_id, media) -> a row for each tensor of a segment: its time span, frames in use and PATCH x MELS values."""
-    return stored.select("doc_id", "media").mapInArrow(_patches, "doc_id long, segment int, start_s double, end_s double, frames int, tensor array<float>")
+_DIGEST = _STORED[: _STORED.index("frames int")] + "feature string, frames long, segments long"
 
 
-def as_tensor_table(rows: pa.Table) -> pa.Table:
-    """An Arrow table of audio_tensors() rows with the tensor column in Arrow's fixed-shape tensor type."""
-    at = rows.schema.get_field_index("tensor")
-    flat = rows["tensor"].combine_chunks()
-    fixed = pa.FixedSizeListArray.from_arrays(flat.flatten(), PATCH * MELS)
-    return rows.set_column(at, "tensor", pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)), fixed))
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature column from the tensors and spans that were read back."""
+    for batch in batches:
+        marks, spoken = [], batch["segment_starts"]
+        for frames, tensors, *spans in zip(batch["frames"].to_pylist(), batch["tensors"], *(batch[c] for c in ("starts", "ends", "segment_starts", "segment_ends")), strict=True):
+            mel = from_bytes(tensors.values).to_numpy_ndarray().reshape(-1, MELS)[:frames]
+            # half a dB, so that the last bits of sums don't show
+            digest = hashlib.sha256(np.rint(mel.astype(np.float32) * 2).astype("<i2").tobytes())
+            for s in spans:
+                digest.update(np.rint(s.values.to_numpy(zero_copy_only=False) / SECONDS * 2).astype("<i8").tobytes())
+            mean = " ".join(f"{v:.1f}" for v in mel.mean(axis=0, dtype=np.float64)[:: MELS // 4] + 0.0)
+            marks.append(f"{digest.hexdigest()[:32]} mel {mean}")
+        plain = [batch[n] for n in _NAMES[:7]]
+        yield pa.RecordBatch.from_arrays([*plain, pa.array(marks, pa.string()), batch["frames"].cast(pa.int64()), pa.array([len(s) for s in spoken], pa.int64())], names=[c.split()[0] for c in _DIGEST.split(", ")])
 
 
 def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,10 +201,34 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return materialise(df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), wav(text_col).alias("media")), "media")
 
 
+def store_tensors(media: DataFrame) -> DataFrame:
+    """Written and read again: per recording what it is, and its log-mel frames as tensors with time spans, and its segments.
+
+    A tensor is stored as the bytes of PATCH x MELS half-precision numbers; from_bytes() gives Arrow's fixed-shape type back.
+    """
+    return materialise(media.mapInArrow(tidied(_measure), _STORED), "tensors")
+
+
 def describe_audio(stored: DataFrame) -> DataFrame:
-    """Per stored row: what was read back and a digest of its features. Equal texts give equal values."""
+    """Per row of store_tensors(): its facts and a digest of its features, from the tensors read back. Equal texts give equal values."""
     return stored.mapInArrow(_digests, _DIGEST)
 
 
+def audio_tensors(stored: DataFrame) -> DataFrame:
+    """store_tensors() -> a row for each tensor: doc_id, its number, time span, frames in use, whether a segment meets it, its bytes."""
+    met = F.exists(F.sequence(F.lit(0), F.greatest(F.size("segment_starts") - 1, F.lit(0))), lambda i: (F.get("segment_starts", i) < F.col("end_s")) & (F.get("segment_ends", i) > F.col("start_s")))
+    rows = stored.select("doc_id", "frames", "starts", "ends", "segment_starts", "segment_ends", F.posexplode("tensors").alias("number", "tensor"))
+    spans = rows.select("*", F.get("starts", "number").alias("start_s"), F.get("ends", "number").alias("end_s"))
+    used = F.least(F.col("frames") - F.col("number") * PATCH, F.lit(PATCH)).alias("frames")
+    return spans.select("doc_id", "number", "start_s", "end_s", used, F.coalesce(met, F.lit(False)).alias("in_segment"), "tensor")
+
+
+def as_tensor_table(rows: pa.Table) -> pa.Table:
+    """An Arrow table of audio_tensors() rows with the tensor column in Arrow's fixed-shape tensor type."""
+    at = rows.schema.get_field_index("tensor")
+    return rows.set_column(at, "tensor", from_bytes(rows["tensor"].combine_chunks()))
+
+
 def op2_audio_features(spark, sf_dir: str) -> DataFrame:
-    return describe_audio(store_audio(table(spark, sf_dir, "documents")))
+    """Every document as a WAV file, its log-mel tensors with spans, and a digest of them, each read back from what was stored."""
+    return describe_audio(store_tensors(store_audio(table(spark, sf_dir, "documents"))))

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from tessera.llm import audio
-from tessera.llm.audio import as_tensor_table, audio_tensors, describe_audio, features, log_mel, resample, segments, store_audio
+from tessera.llm.audio import as_tensor_table, audio_tensors, describe_audio, features, log_mel, mel_bank, phases, resample, segments, store_audio, store_tensors
 
 SCHEMA = "doc_id long, text string, media string, n_bytes string"
 ROWS = [(1, "abc é", None, "x"), (2, None, None, None), (3, "", None, None), (4, "x" * 192, None, None), (5, "y" * 193, None, None), (5, "y" * 193, None, None), (None, "ab " * 40_000, None, None), (8, " " * 9000 + "~!" * 900 + " " * 9000, None, None)]
@@ -14,7 +14,7 @@ ROWS = [(1, "abc é", None, "x"), (2, None, None, None), (3, "", None, None), (4
 
 def test_round_trip(spark):
     stored = store_audio(spark.createDataFrame(ROWS, SCHEMA).repartition(3))
-    got = sorted(describe_audio(stored).collect(), key=str)
+    got = sorted(describe_audio(store_tensors(stored)).collect(), key=str)
     media = {(r.doc_id, r.n_bytes): bytes(r.media) for r in stored.collect()}
     want = []
     for d, t, *_ in ROWS:
@@ -52,14 +52,52 @@ def test_hysteresis():
 
 def test_tensors(spark):
     stored = store_audio(spark.createDataFrame(ROWS, SCHEMA))
-    found = as_tensor_table(audio_tensors(stored).where("doc_id = 8").toArrow())
-    assert found.schema.field("tensor").type.shape == [audio.PATCH, audio.MELS] and found.num_rows
+    found = as_tensor_table(audio_tensors(store_tensors(stored)).where("doc_id = 8").orderBy("number").toArrow())
     mel, spans = features(bytes(stored.where("doc_id = 8").first().media))
-    first = found["tensor"].chunk(0).to_numpy_ndarray()[0]
-    lo = spans[0][0]
-    n = found["frames"][0].as_py()
-    assert np.allclose(first[:n], mel[lo : lo + n]) and abs(found["start_s"][0].as_py() - (lo - 0.5) * 192 / 12000) < 1e-9
+    assert found.schema.field("tensor").type.shape == [audio.PATCH, audio.MELS] and found.num_rows == -(-len(mel) // audio.PATCH)
+    values = np.concatenate([c.to_numpy_ndarray() for c in found["tensor"].chunks]).reshape(-1, audio.MELS)
+    assert np.allclose(values[: len(mel)].astype(float), mel, atol=0.05) and not values[len(mel) :].any()
+    assert found["frames"].to_pylist()[:-1] == [audio.PATCH] * (found.num_rows - 1) and sum(found["frames"].to_pylist()) == len(mel)
+    assert abs(found["start_s"][1].as_py() - (audio.PATCH - 0.5) * 192 / 12000) < 1e-9
+    inside = {n for lo, hi in spans for n in range(lo // audio.PATCH, (hi - 1) // audio.PATCH + 1)}
+    assert {n for n, x in zip(found["number"].to_pylist(), found["in_segment"].to_pylist()) if x} == inside and inside
+
+
+def test_features_against_plain_sums():
+    """Resampling, frames, filterbank and segments once more, a sum at a time."""
+    raw = np.random.default_rng(2).integers(0, 256, 192 * 6, dtype=np.uint8).tobytes()
+    x = {i: (b - 128) / 128 for i, b in enumerate(raw)}
+    up, down, taps = audio.UP, audio.DOWN, audio.TAPS
+    n = up * taps
+    t = (np.arange(n) - (n - 1) / 2) / max(up, down)
+    h = np.sinc(t) * np.kaiser(n, 6.0)
+    h = h * up / h.sum()
+    # output m stands at m*down/up of the input; the impulse response is read backwards at every up-th tap
+    y = lambda m: sum(h[::-1][up - 1 - (m * down % up) + up * k] * x.get(m * down // up + k - taps // 2, 0.0) for k in range(taps))
+    frames = len(raw) // audio.UNIT + 1
+    bank, window = mel_bank(), np.hanning(audio.FRAME)
+    want = []
+    for f in range(frames):
+        s = np.array([y(m) for m in range((f - 1) * audio.HOP, (f + 1) * audio.HOP)]) * window
+        power = np.array([abs(sum(s * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FRAME))) ** 2 for k in range(audio.FRAME // 2 + 1)])
+        want.append(10 * np.log10(power @ bank + 1e-6))
+    got = np.concatenate([m for m, _ in log_mel(memoryview(raw))])
+    assert got.shape == (frames, audio.MELS) and np.allclose(got, np.array(want), atol=0.02)
+    assert phases().shape == (up, taps)
+
+
+def test_segments_against_a_state_at_a_time():
+    e = np.cumsum(np.random.default_rng(3).normal(size=500))
+    on, want, level = False, [], e - np.median(e)
+    for i, v in enumerate(level):
+        if not on and v > 3.0:
+            on = True
+            want.append([i, len(e)])
+        elif on and v < 1.0:
+            on = False
+            want[-1][1] = i
+    assert segments(e).tolist() == want
 
 
 def test_empty(spark):
-    assert describe_audio(store_audio(spark.createDataFrame([], SCHEMA))).collect() == []
+    assert describe_audio(store_tensors(store_audio(spark.createDataFrame([], SCHEMA)))).collect() == []
