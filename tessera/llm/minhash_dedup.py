@@ -2,22 +2,24 @@
 
 1. Each text becomes a set of 64-bit hashes of its five-word shingles. One permutation hashing keeps the smallest hash of
    each of ``BINS`` ranges; empty ranges copy another range's value, chosen by hashing (range, attempt) until a full one
-   is met (optimal densification). Equal word sequences are one class from here on.
+   is met (optimal densification). Equal word sequences, told by 128 bits, are one class from here on.
 2. ``BANDS`` groups of ``ROWS`` values are bucket keys: a pair of similarity 0.75 misses every bucket with probability
    (1 - 0.75**3)**21 = 1e-5. Buckets of one class are dropped; buckets with many classes are dealt out by a salt.
 3. In a bucket the class that is closest to the others by 128-bit sketches leads, those close to it are its star, and the
    rest goes on in the same way: candidate pairs form stars, so there are fewer of them than classes. Leaders of a
-   dealt-out bucket meet again among themselves.
+   dealt-out bucket meet again among themselves, dealt out anew while they are many.
 4. Candidates are confirmed on the full shingle sets; confirmed pairs give components.
-5. Buckets that still hold several components are gone through once more, with the full sets at hand: all pairs across
-   components whose signatures are close are compared, each in its first common bucket, so a star whose middle is too far
-   from one member loses nothing. Only links leave the task, and those between components that it has joined already are
-   left out, so what is written stays below the number of classes.
+5. Buckets that still hold several components are gone through once more: first by signatures alone, for the classes that
+   are close to one of another component, then with the full sets of those classes at hand. All their pairs across
+   components are compared, each in its first common bucket, so a star whose middle is too far from one member loses
+   nothing. Only links leave the task, and those between components that it has joined already are left out, so what is
+   written stays below the number of classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, materialise, table, tidied
+from tessera.llm.common import connected_components, materialise, row_key, table, tidied
 
 WORDS = 5
 BINS = 128
@@ -33,6 +35,8 @@ ROWS = 3
 BANDS = 21
 HOT_BUCKET = 4096
 HOT_STAR = 2048
+#: How often the leaders of dealt-out buckets meet again at most; what is open then is left to the last pass.
+LEADER_TURNS = 4
 #: Rows of a block in the last pass, where rows carry their sets.
 BLOCK = 1024
 #: A pair counts as close when its estimate is at most so many standard deviations below the similarity asked for.
@@ -118,26 +122,29 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words_of = _WordHashes()
     for batch in batches:
-        node, count, keys, low, high, values = [], [], [], [], [], []
+        node, mark, count, keys, low, high, values = [], [], [], [], [], [], []
         for text in batch["text"].cast(pa.large_binary()):
             hashes, words = shingles(text.as_py() or b"", words_of)
             count.append(len(hashes))
             if len(hashes):
                 sig = signature(hashes)
-                node.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
+                whole = xxhash.xxh3_128_intdigest(b" ".join(words))
+                node.append((whole >> 64) - (1 << 63))
+                mark.append((whole & ((1 << 64) - 1)) - (1 << 63))
                 keys.append(bands(sig))
                 a, b = sketch(sig).tolist()
                 values.append((sig & _U(0xFF)).astype(np.uint8).tobytes())
             else:
                 node.append(None)
+                mark.append(None)
                 keys.append(None)
                 values.append(None)
                 a = b = 0
             low.append(a)
             high.append(b)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(values, pa.binary())],
-            names=["doc_id", "node", "n_shingles", "bands", "low", "high", "sig"],
+            [batch["doc_id"], batch["rid"], pa.array(node, pa.int64()), pa.array(mark, pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(values, pa.binary())],
+            names=["doc_id", "rid", "node", "mark", "n_shingles", "bands", "low", "high", "sig"],
         )
 
 
@@ -231,34 +238,57 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
     return denominator * both >= numerator * (len(a) + len(b) - both)
 
 
-def _across(similarity: tuple[int, int]):
-    """Links (u, v) between different components in each run; tiles of a large bucket hold two blocks each.
+def _close_pairs(x: dict[str, np.ndarray], share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, those after i whose signatures are close to its own, the components), for one run of _across's rows.
 
-    A pair that meets in several buckets is compared in the first of its common bands only.
+    The components may be changed while the pairs are gone through. A pair that meets in several buckets is seen in the
+    first of its common bands only; in a tile of two blocks only pairs of both.
     """
-    share = similarity[0] / similarity[1]
     close = 64 + 64 * least_agreement(share, np.sqrt((1 - share**2) / BINS))
     closer = BINS * least_agreement(share, 0)
+    low, high, block, comp = x["low"], x["high"], x["block"], x["component"].copy()
+    key, grams = x["key"][0], np.minimum(x["grams"], BINS)
+    sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(low), BINS)
+    keys = np.stack(x["bands"])
+    tile = x["lo"][0] != x["hi"][0]
+    for i in range(len(low) - 1):
+        least = np.minimum(grams[i + 1 :], grams[i])
+        near = (comp[i + 1 :] != comp[i]) & (_agree(low[i + 1 :], high[i + 1 :], low[i], high[i]) >= close[least])
+        if tile:
+            near &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(near)
+        at = at[(sig[i + 1 + at] == sig[i]).sum(axis=1) >= closer[least[at]]] + i + 1
+        if len(at):
+            at = at[keys[i][(keys[at] == keys[i]).argmax(axis=1)] == key]
+        yield i, at, comp
+
+
+def _close(share: float):
+    """Classes (key, node) with a close signature in another component of the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _runs(batches, ["key", "lo", "hi"]):
+            met = np.zeros(len(x["node"]), bool)
+            for i, at, _ in _close_pairs(x, share):
+                met[at] = True
+                met[i] |= len(at) > 0
+            if met.any():
+                found = x["node"][met]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x["key"][0])), pa.array(found)], names=["key", "node"])
+
+    return run
+
+
+def _across(similarity: tuple[int, int]):
+    """Links (u, v) between different components in each run; tiles of a large bucket hold two blocks each."""
+    share = similarity[0] / similarity[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for x in _runs(batches, ["key", "lo", "hi"]):
-            nodes, low, high, block, grams = (x[c] for c in ("node", "low", "high", "block", "grams"))
-            comp = x["component"].copy()
-            key, grams = x["key"][0], np.minimum(grams, BINS)
-            sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(nodes), BINS)
-            keys = np.stack(x["bands"])
+            nodes = x["node"]
             sets = [np.frombuffer(m, np.uint64) for m in x["members"]]
-            tile = x["lo"][0] != x["hi"][0]
-            for i in range(len(nodes) - 1):
-                least = np.minimum(grams[i + 1 :], grams[i])
-                near = (comp[i + 1 :] != comp[i]) & (_agree(low[i + 1 :], high[i + 1 :], low[i], high[i]) >= close[least])
-                if tile:
-                    near &= block[i + 1 :] != block[i]
-                at = np.flatnonzero(near)
-                at = at[(sig[i + 1 + at] == sig[i]).sum(axis=1) >= closer[least[at]]] + i + 1
-                same = keys[at] == keys[i]
-                at = at[keys[i][same.argmax(axis=1)] == key] if len(at) else at
+            for i, at, comp in _close_pairs(x, share):
                 for j in at.tolist():
                     if comp[i] != comp[j] and similar(sets[i], sets[j], similarity):
                         out.append((int(nodes[i]), int(nodes[j])))
@@ -272,6 +302,21 @@ def _across(similarity: tuple[int, int]):
     return run
 
 
+def _tiles(rows: DataFrame, block: int, nodes: DataFrame) -> DataFrame:
+    """Rows (key, node, component) of buckets as pairs of blocks of about ``block`` classes, with their signatures."""
+    counted = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "key")
+    return (
+        counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component")
+        .join(nodes.select("node", "bands", "sig", "low", "high", "grams"), "node")
+    )
+
+
+def _by_tile(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words_of = _WordHashes()
     for batch in batches:
@@ -309,81 +354,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(tidied(_confirm(similarity)), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), hot: int = HOT_BUCKET) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), hot: int = HOT_BUCKET, with_keys: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept; with_keys adds rid, which tells
+    rows of one id apart, and component, which tells components apart and is null where there are no shingles.
 
     Null and empty texts have no shingles and link with nothing. Rows of equal word sequences are linked at once. A null
     id is never the smallest; a row without another id in its class has component_id null and is kept. Rows that share an
-    id but not a text are told apart. Other columns are not read.
+    id but not a text are told apart. A very long text is a set like others, made in one task. Other columns are not read;
+    an empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInArrow(tidied(_signatures), "doc_id long, node long, n_shingles long, bands array<long>, low long, high long, sig binary"), "signatures")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(df, id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    signed = materialise(docs.mapInArrow(tidied(_signatures), "doc_id long, rid long, node long, mark long, n_shingles long, bands array<long>, low long, high long, sig binary"), "signatures")
     wanted_share = similarity[0] / similarity[1]
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sig").alias("sig"), F.first("n_shingles").alias("grams"))
-    nodes = materialise(nodes, "classes")
+    while True:
+        nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sig").alias("sig"), F.first("n_shingles").alias("grams"), F.first(F.struct("doc_id", "rid")).alias("row"), F.min("mark").alias("mark"), F.max("mark").alias("other"))
+        nodes = materialise(nodes, "classes")
+        if nodes.where("mark <> other").isEmpty():
+            break
+        # two word sequences have met in the first 64 bits: all nodes are named anew from 128
+        signed = materialise(signed.withColumn("node", F.when(F.col("node").isNotNull(), F.xxhash64("node", "mark"))), "signatures")
+    nodes = nodes.drop("mark", "other")
     banded = nodes.select(F.explode("bands").alias("key"), "node", "low", "high", "grams")
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(crowded, "key"), "buckets")
 
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / hot)).cast("int"))
-    sort = ["key", "salt", "node"]
-    stars = materialise(salted.repartition("key", "salt").sortWithinPartitions(*sort).mapInArrow(_stars(wanted_share), _STAR), "stars")
-    leaders = stars.where("b is null").join(members.where(F.col("n") > hot).select("key").distinct(), "key", "left_semi")
-    again = leaders.select("key", F.col("a").alias("node"), "low", "high", "grams", F.lit(0).alias("salt"))
-    more = again.repartition("key").sortWithinPartitions(*sort).mapInArrow(_stars(wanted_share), _STAR)
-    pairs = materialise(stars.unionByName(more).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    # any row of a class will do for its set; a class without an id is found by its text alone
-    texts = _texts(docs, signed, wanted)
+    many = members.withColumn("salts", F.ceil(F.col("n") / hot))
+    stars = []
+    for turn in range(LEADER_TURNS):
+        salted = many.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("salts")).cast("int"))
+        found = materialise(salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_stars(wanted_share), _STAR), "stars")
+        stars.append(found)
+        # leaders of dealt-out buckets, where they have become fewer; the last pass goes through all of them anyway
+        dealt = many.where("salts > 1").groupBy("key").agg(F.count("*").alias("before"))
+        leaders = found.where("b is null").join(dealt, "key").select("key", F.col("a").alias("node"), "low", "high", "grams", "before")
+        left = leaders.groupBy("key").agg(F.count("*").alias("n"), F.first("before").alias("before")).where("2 * n <= before").select("key", F.ceil(F.col("n") / hot).alias("salts"))
+        many = leaders.drop("before").join(left, "key")
+        if many.isEmpty():
+            break
+    pairs = reduce(DataFrame.unionByName, stars).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+
+    # any row of a class will do for its set
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("row.doc_id").alias("_id"), F.col("row.rid").alias("_rid")), "node")
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid"))).select("node", "text")
+    if not signed.groupBy("doc_id", "rid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
     sets = materialise(texts.mapInArrow(tidied(_sets), "node long, members binary"), "sets")
     links = materialise(_confirmed(pairs, sets, similarity), "links")
     parts = materialise(connected_components(links), "parts")
 
-    labelled = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    blocks = F.ceil(F.col("n") / min(hot, BLOCK)).cast("int")
-    tiles = (
-        labelled.join(mixed, "key")
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "low", "high", "grams")
-        .join(nodes.select("node", "bands", "sig"), "node")
-        .join(sets, "node")
-    )
-    more = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(tidied(_across(similarity)), "u long, v long")
+    mixed = labelled.join(mixed, "key").select("key", "node", "component")
+    close = _by_tile(_tiles(mixed, min(hot, BLOCK), nodes)).mapInArrow(tidied(_close(wanted_share)), "key long, node long").distinct()
+    close = materialise(close.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "close")
+    more = _by_tile(_tiles(close, min(hot, BLOCK), nodes).join(sets, "node")).mapInArrow(tidied(_across(similarity)), "u long, v long")
     more = materialise(more, "across")
     if not more.isEmpty():
         parts = materialise(connected_components(links.unionByName(more)), "parts")
 
     classes = nodes.select("node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = classes.join(smallest, "component").select("node", "component_id")
-    return signed.select("doc_id", "node", "n_shingles").join(named, "node", "left").select(
+    # a component of rows without ids has no smallest one
+    named = classes.join(smallest, "component").select("node", "component", "component_id")
+    return signed.select("doc_id", "rid", "node", "n_shingles").join(named, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        *(["rid", "component"] if with_keys else []),
     )
 
 
-def _texts(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted classes, one row each: the text is looked up by id, and by class for repeated ids."""
-    found = wanted.select("node", F.col("doc_id").alias("_id"))
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return joined.mapInArrow(_of_class, "node long, text string").dropDuplicates(["node"]) if _ids_repeat(signed) else joined
-
-
-def _ids_repeat(signed: DataFrame) -> bool:
-    return not signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-
-
-def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [b" ".join((t.as_py() or b"").lower().split()) for t in batch["text"].cast(pa.large_binary())]
-        own = [w != b"" and xxhash.xxh3_64_intdigest(w) - (1 << 63) == n for w, n in zip(words, batch["node"].to_pylist(), strict=True)]
-        yield batch.filter(pa.array(own))
-
-
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents at a similarity of 0.75 of five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))

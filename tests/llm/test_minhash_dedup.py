@@ -63,5 +63,35 @@ def test_against_brute_force(spark, hot):
     assert sorted((tuple(x) for x in got), key=str) == expected(rows)
 
 
+def test_word_sequences_that_share_64_bits_stay_apart(spark, monkeypatch):
+    import tessera.llm.minhash_dedup as m
+
+    real = m.xxhash.xxh3_128_intdigest
+    rows = corpus(5)
+    classes = m.near_duplicates(spark.createDataFrame(rows, SCHEMA)).count()
+    assert classes == len(rows)
+
+    def signatures(batches):  # runs in the tests' own worker: the first 64 bits are the same for all
+        m.xxhash.xxh3_128_intdigest = lambda raw: real(raw) & ((1 << 64) - 1)
+        try:
+            yield from real_signatures(batches)
+        finally:
+            m.xxhash.xxh3_128_intdigest = real
+
+    real_signatures = m._signatures
+    monkeypatch.setattr(m, "_signatures", signatures)
+    got = m.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((tuple(x) for x in got), key=str) == expected(rows)
+
+
+def test_long_texts_and_a_hot_shingle(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join("%x" % r.getrandbits(30) for _ in range(n))
+    shared, long = "one line that all of these texts share word by word", words(60_000)
+    rows = [(i, f"{words(2)} {shared} {words(2)}", None, 1) for i in range(120)] + [(500, long, None, 1), (501, long + " more", None, 1), (502, words(60_000), None, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), hot=8).collect()
+    assert sorted((tuple(x) for x in got), key=str) == expected(rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
