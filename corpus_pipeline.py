@@ -13,8 +13,6 @@ from tessera.llm import importance, minhash_dedup, mixing, packing, suffix_dedup
 from tessera.llm.common import materialise, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bytes that a passage of 51 words reaches, and the levels scaled to it.
-PASSAGE, PASSAGE_LEVELS = 240, (80, 192, 240)
 
 
 def _matching(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -31,18 +29,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; texts without words are in no group and stay."""
-    kept = materialise(minhash_dedup.near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    n = kept.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("ids")).first()
-    ids = kept.distinct().withColumnRenamed("doc_id", "_id")
-    once = docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows that repeat an id: one of them stays where their texts are equal
-    return (once if n.rows == n.ids else once.dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    """One document of each near-duplicate group: a row with the smallest id. Texts without words are in no group and stay."""
+    found = materialise(minhash_dedup.near_duplicates(docs, with_keys=True).where("kept").select("doc_id", "rid", "component"), "kept")
+    # all kept rows of a component have one id, or none: of several rows the one with the smallest key stays
+    chosen = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "rid")).alias("row"), F.count("*").alias("n"))
+    one = _matching(docs, chosen.select("row.doc_id", "row.rid"))
+    # a row may be there several times as a whole
+    one = one if chosen.where("n > 1").isEmpty() else one.dropDuplicates(["doc_id", "text"])
+    return one.unionByName(_matching(docs, found.where("component is null").select("doc_id", "rid").distinct()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages that repeat; n_chars follows the text where it was cut."""
-    cut = suffix_dedup.remove_repeats(docs, min_len=PASSAGE, levels=PASSAGE_LEVELS, with_text=True, keep=("lang", "source", "n_chars"))
+    cut = suffix_dedup.remove_repeats(docs, min_len=suffix_dedup.PASSAGE, levels=suffix_dedup.PASSAGE_LEVELS, with_text=True, keep=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("n_spans") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
