@@ -1,13 +1,15 @@
 """Quality by importance resampling: hashed n-gram generative models for target and raw text, sampled by Gumbel top-k.
 
-N-grams (words, word pairs, beginnings of words) are hashed to ``BUCKETS``. The raw model counts all documents; the target
-models come from a bounded sample of labelled rows: clean text (quality 1, toxic 0) and, for what must not be drawn, toxic
-text. The log ratio of clean to raw text over a document's words and pairs is its likeness to the target. What speaks
-against it are markers: words and beginnings, told apart by their whole hash, that enough more toxic than clean rows hold.
-The strongest markers of each window of words are summed; the worst window counts, and the mean of all. All are put on the
-scale of held-out clean labelled rows, and the smallest margin is the log weight. None depends on a text's length: likeness
-is a mean from ``FULL`` on, and the cut-off of the worst window rises with the number of windows. The k documents with the
-largest log weight plus Gumbel noise are drawn, k being the number of documents whose log weight is not negative.
+Words and word pairs are hashed to ``BUCKETS``. The raw model counts all documents, the target model a bounded sample of
+clean labelled text (quality 1, toxic 0). The log weight of a document is the log ratio of both models over its words and
+pairs; as those of one text depend on each other, a text of n of them counts as ``LOOKS * sqrt(n)``, from ``FULL`` on as
+one of FULL. Documents are drawn without replacement in proportion to their weights: those with the k largest log weights
+plus Gumbel noise. k is the number of documents whose log weight is not below what nearly all held-out clean rows reach.
+
+Toxic text is told apart on its own and is never drawn: markers, words and beginnings by their whole hash, are what enough
+more toxic than clean rows of the sample hold. The strongest markers of each window of words are summed; the worst window
+counts, and the mean of all. Neither depends on a text's length: the cut-off of the worst window rises with the number of
+windows.
 """
 
 from __future__ import annotations
@@ -29,72 +31,81 @@ LABELLED = 20_000
 BEGINNING = 5
 STRONGEST = 3
 WINDOW = 512  # words
-FULL = 1024  # words and pairs
+FULL, LOOKS = 1024, 8  # words and pairs
 SUPPORT, SURE = 5, 4.0  # toxic rows that hold a marker; standard deviations above what clean rows lead to expect
 PSEUDO_RAW, PSEUDO_TOXIC = 5.0, 2.0
-LOSS = 0.005  # share of held-out clean rows that each margin may turn down
-TEMPERATURE = 0.02
+LOSS = 0.005  # share of held-out clean rows that each cut-off may turn down
+TEMPERATURE = 1.0
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
 class _Words(dict):
-    """Hash of each word; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    """Numbers of words, with the hashes of each and of its beginning; emptied between texts when it has grown large."""
 
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.empty((1 << 12, 2), np.uint64)
 
-class _Beginnings(dict):
     def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:BEGINNING].lower(), seed=7)
+        self[word] = n
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > 200_000:
+            self.__init__()
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word[:BEGINNING].lower(), seed=7)
-        return h
-
-
-class _Hashes:
-    def __init__(self):
-        self.words, self.beginnings = _Words(), _Beginnings()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hashes[at]
 
 
-def ngrams(raw: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ngrams(raw: bytes, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of words and pairs with repeats, hashes of the words, hashes of their beginnings)."""
     words = raw.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.words.__getitem__, words), np.uint64, len(words))
-    start = np.fromiter(map(hashes.beginnings.__getitem__, words), np.uint64, len(words))
+    h, start = known.of(words).T
     own = h * _M1
     pairs = (own[:-1] + h[1:] * _M2) * _M1
     return (np.concatenate([own, pairs]) >> _U(64 - BITS)).astype(np.int64), h, start
 
 
-_COUNTS = "bucket int, raw long, clean long"
+_COUNTS = "bucket int, n long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task by bucket; kind 1 is clean and used for fitting, others count as raw."""
-    hashes = _Hashes()
-    raw, clean = (np.zeros(BUCKETS, np.int64) for _ in range(2))
+    """Counts of this task by bucket."""
+    known = _Words()
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         held, size = [], 0
-        for text, kind in zip(batch["text"].cast(pa.large_binary()), batch["kind"].to_pylist(), strict=True):
-            grams = ngrams(text.as_py() or b"", hashes)[0]
-            held.append(grams)
-            size += len(grams)
-            if kind == 1:
-                np.add.at(clean, grams, 1)
+        for text in batch["text"].cast(pa.large_binary()):
+            held.append(ngrams(text.as_py() or b"", known)[0])
+            size += len(held[-1])
             if size > 1 << 20:
-                raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 held, size = [], 0
         if held:
-            raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c[some]) for c in (raw, clean))], names=[c.split()[0] for c in _COUNTS.split(", ")])
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+
+
+def counts(texts: DataFrame) -> np.ndarray:
+    """Counts of all texts by bucket; BUCKETS rows at most reach the driver."""
+    found = texts.select("text").mapInArrow(tidied(_count), _COUNTS).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def log_ratios(clean: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """By bucket: log of its probability in the target model over that in the raw one, both smoothed by the raw one."""
+    return np.log((clean + PSEUDO_RAW) / (raw * (clean.sum() / max(1.0, raw.sum())) + PSEUDO_RAW))
 
 
 _HELD_BY = "gram long, clean_docs long, toxic_docs long"
@@ -102,7 +113,7 @@ _HELD_BY = "gram long, clean_docs long, toxic_docs long"
 
 def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many clean (kind 1) and toxic (kind 2) rows hold each word and each beginning, by hash."""
-    hashes = _Hashes()
+    known = _Words()
 
     def summed(grams: list[np.ndarray], kinds: list[int]) -> pa.RecordBatch:
         found, at = np.unique(np.concatenate(grams), return_inverse=True)
@@ -113,7 +124,7 @@ def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, kinds, size = [], [], 0
     for batch in batches:
         for text, kind in zip(batch["text"].cast(pa.large_binary()), batch["kind"].to_pylist(), strict=True):
-            grams.append(np.unique(np.concatenate(ngrams(text.as_py() or b"", hashes)[1:])))
+            grams.append(np.unique(np.concatenate(ngrams(text.as_py() or b"", known)[1:])))
             kinds.append(kind)
             size += len(grams[-1])
             if size > 1 << 20:
@@ -125,15 +136,13 @@ def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Log ratios by bucket (fixed size), markers (sorted hashes) with their log ratios, and the margins' scales."""
+    """Log ratios by bucket (fixed size), markers (sorted hashes) with their log ratios, and the cut-offs."""
 
-    likeness: np.ndarray
+    ratios: np.ndarray
     markers: np.ndarray
     toxicity: np.ndarray
-    low: float = 0.0
-    high: float = 0.0
-    low_scale: float = 1.0
-    high_scale: float = 1.0
+    low: float = 0.0  # of the log weight
+    high: float = 0.0  # of the worst window; and how far clean ones go beyond it
     tail: float = 0.0
 
     def __post_init__(self):
@@ -162,22 +171,25 @@ class Model:
             sums.append([float(np.sort(ratios)[-STRONGEST:].sum()) for ratios in parts])
         return max(map(max, sums)), sum(sums[0]) / -(-len(words) // WINDOW)
 
+    def log_weight(self, grams: np.ndarray) -> float:
+        n = min(len(grams), FULL)
+        return float(self.ratios[grams].mean() * min(n, LOOKS * np.sqrt(n))) if n else 0.0
+
     def parts(self, grams: np.ndarray, words: np.ndarray, beginnings: np.ndarray) -> tuple[float, float, float, int]:
-        """Likeness, the worst and the mean window, and the number of windows."""
+        """Log weight, the worst and the mean window, and the number of windows."""
         if not len(grams):
             return 0.0, 0.0, 0.0, 1
-        like = self.likeness[grams].mean() * np.sqrt(min(len(grams), FULL))
-        return float(like), *self.against(words, beginnings), -(-len(words) // WINDOW)
+        return self.log_weight(grams), *self.against(words, beginnings), -(-len(words) // WINDOW)
 
 
-_PARTS = "likeness double, against double, usual double, windows long"
+_PARTS = "log_weight double, against double, usual double, windows long"
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        known = _Words()
         for batch in batches:
-            parts = [model.parts(*ngrams(t.as_py() or b"", hashes)) for t in batch["text"].cast(pa.large_binary())]
+            parts = [model.parts(*ngrams(t.as_py() or b"", known)) for t in batch["text"].cast(pa.large_binary())]
             cols = (pa.array([p[k] for p in parts], kind) for k, kind in enumerate((*(pa.float64(),) * 3, pa.int64())))
             rest = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *cols], names=[*rest, *(c.split()[0] for c in _PARTS.split(", "))])
@@ -196,33 +208,27 @@ def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     return usable.select("doc_id", (kind + held).alias("kind")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(limit)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
-    """Models from (doc_id, text) and labels; the sample of at most ``limit`` ids is broadcast, counts cover all documents."""
-    sample = labelled_sample(labels, limit)
-    known = materialise(sample, "labelled")
-    marked = docs.join(F.broadcast(known), "doc_id", "left").select("text", "kind")
-    counts = marked.mapInArrow(tidied(_count), _COUNTS).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "clean")))
-    raw, clean = (np.zeros(BUCKETS) for _ in range(2))
-    table_ = counts.toArrow()  # BUCKETS rows at most
-    at = table_["bucket"].to_numpy()
-    for into, name in ((raw, "raw"), (clean, "clean")):
-        into[at] = table_[name].to_numpy()
+def fit(rows: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
+    """Models from (doc_id, rid, text) and labels; the sample of at most ``limit`` ids is broadcast, raw counts cover all rows."""
+    known = materialise(labelled_sample(labels, limit), "labelled")
     shown = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    texts = materialise(docs.join(F.broadcast(known.where("kind in (1, 2, 4)")), "doc_id").select("text", "kind"), "labelled-texts")
+    # one text for each id of the sample, however many rows have it
+    of_sample = rows.join(F.broadcast(known.where("kind in (1, 2, 4)")), "doc_id")
+    texts = materialise(of_sample.groupBy("doc_id", "kind").agg(F.min(F.struct("rid", "text")).alias("first")).select("kind", "first.text"), "labelled-texts")
+    ratios = log_ratios(counts(texts.where("kind = 1")), counts(rows))
     held_by = texts.where("kind < 3").mapInArrow(tidied(_held_by), _HELD_BY).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs")))
     expected = F.col("clean_docs") * F.lit(shown.get(2, 0) / max(1, shown.get(1, 0)))
     # a text holds as many grams as it has words, so rows of SUPPORT and more are few beside the sample's texts
     solid = held_by.where((F.col("toxic_docs") >= SUPPORT) & (F.col("toxic_docs") - expected >= SURE * F.sqrt(expected + 1))).select("gram", F.log((F.col("toxic_docs") + PSEUDO_TOXIC) / (expected + PSEUDO_TOXIC)).alias("ratio")).toArrow()
-    markers, ratios = solid["gram"].to_numpy().view(_U), solid["ratio"].to_numpy()
+    markers, strength = solid["gram"].to_numpy().view(_U), solid["ratio"].to_numpy()
     by = np.argsort(markers)
-    model = Model(np.log((clean + PSEUDO_RAW) / (raw * (clean.sum() / max(1.0, raw.sum())) + PSEUDO_RAW)), markers[by], ratios[by])
-    held = texts.where("kind = 4").select("text").mapInArrow(tidied(_score(model)), _PARTS).toPandas()
+    model = Model(ratios, markers[by], strength[by])
+    held = texts.where("kind = 4").select("text").mapInArrow(tidied(_score(model)), _PARTS).toPandas()  # at most ``limit`` rows
     if len(held):
-        model.low, model.high = float(held["likeness"].quantile(LOSS)), float(held["against"].quantile(1 - LOSS))
-        model.low_scale, model.high_scale = float(held["likeness"].std() or 0) or 1.0, float(held["against"].std() or 0) or 1.0
+        model.low, model.high = float(held["log_weight"].quantile(LOSS)), float(held["against"].quantile(1 - LOSS))
         model.tail = float((held["against"] - model.high).clip(lower=0).sum() / max(1, (held["against"] > model.high).sum()))
     # one marker is a word and its beginning: clean texts hold it by chance if they are long enough
-    model.high = max(model.high, float(ratios.max(initial=1.0)))
+    model.high = max(model.high, float(strength.max(initial=1.0)))
     return model
 
 
@@ -232,52 +238,49 @@ def gumbel(*key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(scored: DataFrame, key: str, k: int, tie: list[str], rounds: int = 6, bins: int = 1024) -> DataFrame:
-    """The rows with the k largest keys. The k-th key is found by counting in ever finer bins, never by a global sort."""
-    total = scored.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if k >= total.n or total.lo == total.hi and k <= 0:
-        return scored if k >= total.n else scored.limit(0)
+def kth_largest(scored: DataFrame, key: str, k: int, bins: int = 1024, few: int = 1000) -> float:
+    """The k-th largest key, minus infinity if there are no more than k: found by counting in ever finer bins, never by a sort."""
+    lo, hi, n = scored.agg(F.min(key), F.max(key), F.count(key)).first()
+    if k >= n:
+        return float("-inf")
     if k <= 0:
-        return scored.limit(0)
-    lo, hi, above = total.lo, total.hi, 0
-    for _ in range(rounds):
+        return float("inf")
+    inside, above = scored.select(key), 0
+    while lo < hi and n > few:
         width = (hi - lo) / bins
-        if width <= 0 or lo + width == lo:
-            break
-        inside = scored.where(F.col(key).between(F.lit(lo), F.lit(hi)))
-        counts = dict(inside.groupBy(F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect())
-        for b in range(bins - 1, -1, -1):
-            n = counts.get(b, 0)
-            if above + n >= k:
+        at = F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1)).cast("int")
+        found = {r.bin: r for r in inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
+        for b in sorted(found, reverse=True):
+            if above + found[b].n >= k:
                 break
-            above += n
-        edges = inside.where(F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1)) == b).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-        lo, hi = edges.lo, edges.hi
-        if n <= 1000 or lo == hi:
-            break
-    rest = k - above
-    # rows between lo and hi: a few, or many with one key, of which any may be drawn: those with the smallest tie hash
-    border = scored.where(F.col(key).between(F.lit(lo), F.lit(hi))).orderBy(F.desc(key), F.xxhash64(*tie), *tie).limit(rest)
-    return scored.where(F.col(key) > F.lit(hi)).unionByName(border)
+            above += found[b].n
+        if len(found) == 1:
+            break  # keys as close as numbers can be
+        lo, hi, n = found[b].lo, found[b].hi, found[b].n
+        inside = scored.select(key).where(F.col(key).between(F.lit(lo), F.lit(hi)))
+    if lo == hi:
+        return lo
+    return sorted((r[0] for r in inside.collect()), reverse=True)[k - above - 1]
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELLED, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
-    """Per row: id, rid, log_weight, kept. k: how many rows to draw; by default as many as have no negative log weight.
+    """Per row: id, rid, log_weight, toxicity (how far beyond what clean text reaches; above 0 a row is never drawn), kept.
 
-    Texts without words (null, empty) have ratios of one and the margins that follow. Rows that are equal as a whole share
-    rid, noise and fate. Without labelled rows every text has the same ratio. Other columns are not read.
+    k: how many rows to draw; by default as many as are not toxic and reach the level of held-out clean rows. Rows that tie
+    with the last one drawn are drawn too: those are rows equal as a whole, which share rid, noise and fate. Texts without
+    words (null, empty) have a log weight of 0. Null ids have no label. Without labelled rows every text has log weight 0. A
+    very long text is scored whole, in one task. Other columns are not read; an empty table gives no rows.
     """
     rows = df_rows(docs, id_col, text_col)
-    model = fit(rows.select("doc_id", "text"), labels, limit)
-    scored = rows.select("doc_id", "rid", "text").mapInArrow(tidied(_score(model)), f"doc_id long, rid long, {_PARTS}")
+    model = fit(rows, labels, limit)
+    scored = rows.mapInArrow(tidied(_score(model)), f"doc_id long, rid long, {_PARTS}")
     spare = F.least(model.high + model.tail * F.log(F.col("windows").cast("double")) - F.col("against"), model.high - F.col("usual"))
-    weight = F.least((F.col("likeness") - model.low) / model.low_scale, spare / model.high_scale)
-    scored = materialise(scored.select("doc_id", "rid", weight.alias("log_weight")).withColumn("key", F.col("log_weight") + temperature * gumbel("doc_id", "rid", F.lit(23))), "scored")
+    noisy = F.col("log_weight") + temperature * gumbel("doc_id", "rid", F.lit(23))
+    scored = materialise(scored.select("doc_id", "rid", "log_weight", (-spare).alias("toxicity"), F.when(spare >= 0, noisy).alias("key")), "scored")
     if k is None:
-        k = scored.where("log_weight >= 0").count()
-    drawn = top_k(scored, "key", k, ["doc_id", "rid"]).select("doc_id", "rid").distinct().withColumn("kept", F.lit(True)).withColumnsRenamed({"doc_id": "_id", "rid": "_rid"})
-    joined = scored.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")), "left")
-    return joined.select("doc_id", "rid", "log_weight", F.coalesce("kept", F.lit(False)).alias("kept"))
+        k = scored.where(F.col("key").isNotNull() & (F.col("log_weight") >= F.lit(model.low))).count()
+    least = kth_largest(scored.where("key is not null"), "key", k)
+    return scored.select("doc_id", "rid", "log_weight", "toxicity", F.coalesce(F.col("key") >= F.lit(least), F.lit(False)).alias("kept"))
 
 
 def df_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -285,6 +288,6 @@ def df_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def op5_importance_resampling(spark, sf_dir: str) -> DataFrame:
-    """doc_id, log_weight (rounded to 6 digits) and kept, for every document."""
+    """doc_id, log_weight and toxicity (rounded to 6 digits) and kept, for every document."""
     out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), "kept")
+    return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("toxicity", 6).alias("toxicity"), "kept")

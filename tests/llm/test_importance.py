@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter
 
-from pyspark.sql import functions as F
+import xxhash
 
-from tessera.llm.importance import resample, top_k
+from tessera.llm import importance
+from tessera.llm.importance import kth_largest, resample
 
 SCHEMA = "doc_id long, text string, kept string, quality string"
 
@@ -40,7 +43,8 @@ def test_held_out_accuracy(spark):
         if x.doc_id is not None and x.doc_id < 5000 and x.doc_id % 3 and x.kept != (kinds[x.doc_id] == "clean"):
             wrong[kinds[x.doc_id]] += 1
     assert wrong["toxic"] == wrong["junk"] == 0 and wrong["clean"] <= 30
-    assert sum(x.kept for x in resample(df, lab, k=100).collect()) == 100
+    drawn = [x for x in resample(df, lab, k=100).collect() if x.kept]
+    assert len(drawn) == 100 and all(x.toxicity <= 0 for x in drawn)
 
 
 def test_length_alone_rejects_nothing(spark):
@@ -62,12 +66,52 @@ def test_without_labels_and_rows(spark):
     assert len(resample(spark.createDataFrame([(1, "a b", None, None), (2, None, None, None)], SCHEMA), lab).collect()) == 2
 
 
-def test_top_k(spark):
+def test_kth_largest(spark):
     r = random.Random(2)
     keys = [r.choice([r.random(), 0.5, r.randrange(3)]) for _ in range(5000)]
     df = spark.createDataFrame([(i, float(k)) for i, k in enumerate(keys)], "id long, key double")
-    for k in (0, 1, 777, 2500, 4999, 5000):
-        got = sorted((x.key for x in top_k(df, "key", k, ["id"], bins=16).collect()), reverse=True)
-        assert got == sorted(map(float, keys), reverse=True)[:k]
-    same = df.withColumn("key", F.lit(1.0))
-    assert top_k(same, "key", 10, ["id"]).count() == 10
+    for k in (1, 777, 2500, 4999):
+        assert kth_largest(df, "key", k, bins=16, few=10) == sorted(map(float, keys), reverse=True)[k - 1]
+    assert kth_largest(df, "key", 5000) == -math.inf and kth_largest(df, "key", 0) == math.inf
+    assert kth_largest(df.selectExpr("id", "1.0D key"), "key", 10) == 1.0
+
+
+def test_log_weights_against_plain_sums(spark):
+    data, labels = rows()
+    data = data[:400]
+    got = {x.doc_id: x.log_weight for x in resample(spark.createDataFrame(data, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.encode().split()]
+        own = [x * 0x9E3779B97F4A7C15 & mask for x in h]
+        pairs = [(a + b * 0xC2B2AE3D27D4EB4F) * 0x9E3779B97F4A7C15 & mask for a, b in zip(own, h[1:])]
+        return [g >> 46 for g in own + pairs]
+
+    usable = [(i, q, t) for i, q, t in labels if None not in (i, q, t)]
+    held = {x.doc_id for x in importance.labelled_sample(spark.createDataFrame(usable, "doc_id long, quality int, toxic int")).where("kind >= 3").collect()}
+    fitting = {i for i, q, t in usable if q == 1 and t == 0 and i not in held}
+    raw, clean = Counter(), Counter()
+    for i, text, *_ in data:
+        raw.update(grams(text))
+        if i in fitting:
+            clean.update(grams(text))
+    share = sum(clean.values()) / sum(raw.values())
+    for i, text, *_ in data:
+        g = grams(text)
+        mean = sum(math.log((clean[x] + 5) / (raw[x] * share + 5)) for x in g) / len(g)
+        n = min(len(g), 1024)
+        assert abs(got[i] - mean * min(n, 8 * math.sqrt(n))) < 1e-6
+
+
+def test_draws_follow_the_weights(spark):
+    """Gumbel top-1 of a table draws each row in proportion to its weight."""
+    weights = [0.0, math.log(2), math.log(5)]
+    df = spark.range(30_000).selectExpr("id % 10000 game", "cast(id / 10000 as int) option")
+    from pyspark.sql import functions as F
+
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("option") + 1)
+    keyed = df.withColumn("key", weight + importance.gumbel("game", "option", F.lit(23)))
+    won = keyed.groupBy("game").agg(F.max_by("option", "key").alias("option")).groupBy("option").count().collect()
+    for r in won:
+        assert abs(r["count"] / 10_000 - [1, 2, 5][r.option] / 8) < 0.02
