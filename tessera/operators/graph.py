@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import stable_hash
-from tessera.llm.common import materialise
+from tessera.scratch import materialise
 from tessera.operators.relational import top_one
 
 #: Levels of kinds and kinds of relations.
