@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.values import bound
+
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd")
@@ -55,23 +57,27 @@ def add_years(day: Column, years: Column) -> Column:
 
 
 def term(text: Column) -> Column:
-    """DAT-05: struct(valid_from, valid_until, years, description) of a term's wording."""
-    t = F.trim(text)
-    ru = r"(\d{2}\.\d{2}\.\d{4})"
-    span, years = rf"с\s+{ru}\s+по\s+{ru}", rf"с\s+{ru}\s+(?:сроком\s+на\s+(\d+)\s+лет|(\d+)\s*лет)"
-    start = rf"с\s+{ru}"
-    n = F.coalesce(_group(t, years, 2), _group(t, years, 3)).try_cast("int")
-    since = date_ru(_group(t, years, 1))
-    make = lambda a, b, y, d: F.struct(a.cast("date").alias("valid_from"), b.cast("date").alias("valid_until"), y.cast("int").alias("years"), d.cast("string").alias("description"))
-    none = F.lit(None)
-    return (
-        F.when(F.coalesce(t, F.lit("")) == "", make(none, none, none, none))
-        .when(t.rlike(r"(?iu)бессрочно|на неопределённый срок|не установлен"), make(none, none, none, F.lit("бессрочно")))
-        .when(t.rlike(span), make(date_ru(_group(t, span, 1)), date_ru(_group(t, span, 2)), none, none))
-        .when(t.rlike(years), make(since, add_years(since, n), n, none))
-        .when(t.rlike(start), make(date_ru(_group(t, start, 1)), none, none, none))
-        .otherwise(make(none, none, none, t))
-    )
+    """DAT-05: struct(valid_from, valid_until, years, description) of a term's wording: span before years before start."""
+    ru = r"с\s+(\d{2}\.\d{2}\.\d{4})"
+    span, years = ru + r"\s+по\s+(\d{2}\.\d{2}\.\d{4})", ru + r"\s+(?:сроком\s+на\s+(\d+)\s+лет|(\d+)\s*лет)"
+    day = lambda c: F.try_to_date(c, "dd.MM.yyyy")
+
+    def read(t: Column) -> Column:
+        is_open = t.rlike(r"(?iu)бессрочно|на неопределённый срок|не установлен")
+        return F.struct(
+            t.alias("t"),
+            is_open.alias("open"),
+            *(F.when(~is_open, c).alias(n) for n, c in {"a": _group(t, span, 1), "b": _group(t, span, 2), "y": _group(t, years, 1), "n": F.coalesce(_group(t, years, 2), _group(t, years, 3)).try_cast("int"), "s": _group(t, ru, 1)}.items()),
+        )
+
+    def result(p: Column) -> Column:
+        by_years = p["a"].isNull() & p["y"].isNotNull()
+        since = day(F.coalesce(p["a"], p["y"], p["s"]))
+        until = F.when(p["a"].isNotNull(), day(p["b"])).when(by_years, bound(since, lambda d: add_years(d, p["n"])))
+        wording = F.when(p["open"], F.lit("бессрочно")).when(p["s"].isNull(), F.nullif(p["t"], F.lit("")))
+        return F.struct(since.alias("valid_from"), until.alias("valid_until"), F.when(by_years, p["n"]).alias("years"), wording.alias("description"))
+
+    return bound(bound(F.coalesce(F.trim(text), F.lit("")), read), result)
 
 
 def ledger_period(title: Column) -> Column:

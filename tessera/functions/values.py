@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ PAID = ("платн", "заказать отчет", "доступно в отч
 EMPTY = ("-", "—", "–", "", "не указано", "нет данных")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def decode(code: Column, labels: dict[str, str], default: Column | None = None) -> Column:
     """PRJ-02: code to label."""
     found = F.try_element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), code)
