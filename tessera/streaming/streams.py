@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,22 +13,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.operators.relational import top_one
 
 
-def _folded(df: DataFrame, key: str, fields: list[str], start: Column, step) -> DataFrame:
-    """(key, out): a fold over a key's rows in the order of the fields; `out` is the last state."""
-    rows = F.array_sort(F.collect_list(F.struct(*fields)))
-    return df.groupBy(key).agg(rows.alias("_rows")).select(key, F.aggregate("_rows", start, step).alias("out"))
+def _carried(df: DataFrame, key: str, order: list[str], step, fields: str) -> DataFrame:
+    """Rows of each key in order, one after the other with a carried state: sorted partitions, never a key as one row.
+
+    step(state, t, r, f) gives the next state and a row's value, None for rows that fall away; state None begins a key.
+    fields: name and type of the row and of its value.
+    """
+    names = [c.split()[0] for c in fields.split(", ")]
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {fields}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            at, rows, values = [], [], []
+            flags = batch["f"].to_pylist() if "f" in batch.schema.names else [None] * batch.num_rows
+            for i, (k, t, r, f) in enumerate(zip(batch[key].to_pylist(), batch["t"].to_pylist(), batch["r"].to_pylist(), flags, strict=True)):
+                if k != now:
+                    now, state = k, None
+                state, value = step(state, t, f)
+                if value is not None:
+                    at.append(i)
+                    rows.append(r)
+                    values.append(value)
+            kept = batch[key].take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept, pa.array(rows, pa.int64()), *([pa.array(values, pa.bool_())] if len(names) > 1 else [])], names=[key, *names])
+
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def debounce(df: DataFrame, key: str, time: str, row: str, gap: float) -> DataFrame:
     """STM-02: rows at least `gap` after the last accepted one of their key (not after the last one)."""
-    state = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<t:double,r:bigint>>").alias("kept"))
 
-    def step(s: Column, x: Column) -> Column:
-        ok = s["at"].isNull() | (x["t"] - s["at"] >= gap)
-        return F.struct(F.when(ok, x["t"]).otherwise(s["at"]).alias("at"), F.when(ok, F.concat(s["kept"], F.array(F.struct(x["t"].alias("t"), x["r"].alias("r"))))).otherwise(s["kept"]).alias("kept"))
+    def step(at: float | None, t: float, _) -> tuple:
+        return (t, True) if at is None or t - at >= gap else (at, None)
 
     timed = df.select(key, seconds(F.col(time)).alias("t"), F.col(row).cast("long").alias("r"))
-    return _folded(timed, key, ["t", "r"], state, step).select(key, F.inline("out.kept")).select(key, F.col("r").alias(row))
+    return _carried(timed, key, ["t", "r"], step, f"{row} long")
 
 
 def seconds(moment: Column) -> Column:
@@ -37,19 +58,19 @@ def seconds(moment: Column) -> Column:
 
 def limiter(df: DataFrame, key: str, time: str, row: str, failed: Column, limit: int, window: float, block: float) -> DataFrame:
     """STM-03: (key, row, blocked) for each failure: a window opens at its first failure, `limit` failures in it block; a success resets."""
-    kept = "array<struct<r:bigint,b:boolean>>"
-    make = lambda n, first, until, rows: F.struct(n.cast("int").alias("n"), first.cast("double").alias("first"), until.cast("double").alias("until"), rows.alias("rows"))
-    start = make(F.lit(0), F.lit(None), F.lit(0), F.array().cast(kept))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["first"].isNull() | (x["t"] - s["first"] > window)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        until = F.when(n >= limit, x["t"] + block).otherwise(F.when(fresh, F.lit(0.0)).otherwise(s["until"]))
-        hit = make(n, F.when(fresh, x["t"]).otherwise(s["first"]), until, F.concat(s["rows"], F.array(F.struct(x["r"].alias("r"), (until > x["t"]).alias("b")))))
-        return F.when(x["f"], hit).otherwise(make(F.lit(0), F.lit(None), F.lit(0), s["rows"]))
+    def step(state: tuple | None, t: float, f: bool) -> tuple:
+        n, first, until = state or (0, None, 0.0)
+        if not f:
+            return (0, None, 0.0), None
+        if first is None or t - first > window:
+            n, first, until = 0, t, 0.0
+        n += 1
+        until = t + block if n >= limit else until
+        return (n, first, until), until > t
 
     timed = df.select(key, seconds(F.col(time)).alias("t"), F.col(row).cast("long").alias("r"), failed.alias("f"))
-    return _folded(timed, key, ["t", "r", "f"], start, step).select(key, F.inline("out.rows")).select(key, F.col("r").alias(row), F.col("b").alias("blocked"))
+    return _carried(timed, key, ["t", "r", "f"], step, f"{row} long, blocked boolean")
 
 
 def _sorted(pdfs: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
@@ -134,6 +155,18 @@ def upsert_batches(stream: DataFrame, table: str, keys: list[str], order: list[C
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def load_last(spark, table: str, schema) -> DataFrame:
+    """STM-07: all rows of the last version; no rows before the first one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        versions = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(table).select(F.regexp_extract("path", r"/v(\d+)/", 1).cast("long").alias("v"))
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    last = versions.agg(F.max("v")).first()[0]
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{table}/v{last}")
+
+
 def monitor(objects: DataFrame, seen: DataFrame, key: str, content: str) -> DataFrame:
     """STM-06: a log row for each monitored object: new, changed or same."""
     last = seen.select(key, F.col(content).alias("_old"))
