@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import ranked
+
 
 def latest(df: DataFrame, key: str, day: str, out: str = "latest") -> DataFrame:
     """AGG-01."""
@@ -78,8 +80,7 @@ def grouped(df: DataFrame, key: Column, out: str, missing: str = "— без а
     """AGG-11/12: (group, size, place): groups from large to small; those without a key near the end, `last` at the end."""
     named = df.groupBy(F.coalesce(F.nullif(key, F.lit("")), F.lit(missing)).alias(out)).agg(F.count("*").alias("size"))
     rank = F.when(F.col(out) == F.lit(last), 2).when(F.col(out) == missing, 1).otherwise(0)
-    # one row for each group is left, so one ordered pass over them is small
-    return named.withColumn("place", F.row_number().over(Window.orderBy(rank, F.desc("size"), out)))
+    return ranked(named.withColumn("_rank", rank), [F.col("_rank"), F.desc("size"), F.col(out)], "place").drop("_rank")
 
 
 def anchors(df: DataFrame, group: str, key: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import stable_hash
-from tessera.scratch import materialise
 from tessera.operators.relational import top_one
+from tessera.scratch import materialise
 
 #: Levels of kinds and kinds of relations.
 LEVELS = {"land": 0, "building": 1, "structure": 1, "ons": 1, "bu": 1, "room": 2, "accessory": 2, "equipment": 2, "device": 2, "level": 2}
@@ -88,19 +88,22 @@ def node_index(frame: DataFrame, key: str, locals_: list[str]) -> DataFrame:
 def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop: str) -> DataFrame:
     """GRF-06: from each start up its parents to the first node that stops: (start, found, path, depth); cycles end a walk.
 
-    One join a level, written to the shared folder, until no walk is open; rows that have ended leave the next join.
+    Walks are joined with walks: each round doubles their length, so a chain of any depth takes as many joins as its depth
+    has binary digits. Each round is written to the shared folder.
     """
-    up = parents.select(F.col(node).alias("_n"), F.col(parent).alias("_up"), F.col(stop).alias("_stop"))
-    walk = starts.select(F.col(node).alias("start"), F.col(node).alias("at"), F.array(F.col(node)).alias("path"))
-    is_open = F.expr("coalesce(not _stop, false) and _up is not null and not array_contains(path, _up)")
-    done: list[DataFrame] = []
-    while True:
-        here = materialise(walk.join(up, F.col("at") == F.col("_n")).where(F.col("_stop") | is_open), "chains")
-        done.append(here.where("_stop").select("start", F.col("at").alias("found"), "path", F.lit(len(done)).alias("depth")))
-        ahead = here.where(is_open)
-        if ahead.isEmpty():
-            return union_all(*done)
-        walk = ahead.select("start", F.col("_up").alias("at"), F.concat("path", F.array("_up")).alias("path"))
+    up = parents.select(F.col(node).alias("start"), F.col(parent).alias("next"), F.col(stop).alias("_stop"))
+    own = F.array("start").alias("path")
+    done = up.where("_stop").select("start", F.col("start").alias("found"), own).distinct()
+    walk = materialise(up.where("not _stop and next is not null and next <> start").select("start", "next", own).distinct(), "chains")
+    while not walk.isEmpty():
+        known = done.select("start", "found", F.lit(None).cast(walk.schema["next"].dataType).alias("next"), "path").unionByName(walk.withColumn("found", F.lit(None).cast(done.schema["found"].dataType)))
+        ahead = known.select(F.col("start").alias("_at"), F.col("found").alias("_found"), F.col("next").alias("_next"), F.col("path").alias("_path"))
+        met = walk.join(ahead, F.col("next") == F.col("_at")).where(~F.arrays_overlap("path", "_path"))
+        met = materialise(met.select("start", "_found", "_next", F.concat("path", "_path").alias("path")), "chains")
+        done = done.unionByName(met.where("_found is not null").select("start", F.col("_found").alias("found"), "path"))
+        walk = met.where("_next is not null and not array_contains(path, _next)").select("start", F.col("_next").alias("next"), "path")
+    wanted = starts.select(F.col(node).alias("start")).distinct()
+    return done.join(wanted, "start").select("start", "found", "path", (F.size("path") - 1).alias("depth"))
 
 
 def chains_recursive(spark, view: str, node: str, parent: str, stop: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import materialise
+
 
 def contains_any(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
     """FLT-07: rows where one of the columns contains the query, whatever the case."""
@@ -57,6 +59,21 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Places 1, 2, ... of all rows in an order that the caller makes total, without one task that sees them all.
+
+    Rows are sorted by ranges; a row's place is its number inside its range and the sizes of the ranges before, of which
+    there are as many as partitions.
+    """
+    rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, place).drop("_id", "_part", "_before")
+
+
 def next_numbers(new: DataFrame, old: DataFrame, key: str, number: str, order: list[Column]) -> DataFrame:
     """WIN-03: new rows numbered on from the largest number that the key has."""
     last = old.groupBy(key).agg(F.max(number).alias("_last"))
@@ -164,11 +181,62 @@ def last_writer(left: DataFrame, on: Column, right: DataFrame, right_key: Column
     return left.withColumn("_lk", on).join(best, F.col("_lk") == F.col("_k"), "left").drop("_lk", "_k")
 
 
-def by_beginning(left: DataFrame, name: str, right: DataFrame, other: str, n: int = 10) -> DataFrame:
-    """JON-23: the first (smallest) right name with the same first n letters of its key; names shorter than n must be equal."""
-    key = lambda c: F.substring(F.lower(F.regexp_replace(F.col(c), r"(?U)[\s\"«»]+", "")), 1, n)
-    found = right.groupBy(key(other).alias("_k")).agg(F.min(other).alias("matched"))
-    return left.join(found, key(name) == F.col("_k"), "left").drop("_k")
+#: Kinds of subjects that are no legal entities.
+NOT_LEGAL = ("ip", "person", "Индивидуальный предприниматель", "Физическое лицо")
+
+
+def enterprise_match(enterprises: DataFrame, name: str, subjects: DataFrame, key: str, full: str, short: str, kind: str, order: str) -> DataFrame:
+    """JON-23: the first legal subject whose full or short name contains the enterprise's name or begins with its first ten letters.
+
+    Pairs meet where the first letters (four at most) of the enterprise's name are a piece of the subject's, never all with all.
+    """
+    target = F.upper(F.coalesce(F.col(name), F.lit("")))
+    begin = enterprises.select(F.col(name), target.alias("_t")).distinct().where("_t <> ''").withColumn("_b", F.substring("_t", 1, 4))
+    legal = subjects.where(~F.coalesce(F.col(kind), F.lit("")).isin(*NOT_LEGAL)).select(F.col(key), F.col(order).alias("_o"), *(F.upper(F.coalesce(F.col(c), F.lit(""))).alias(a) for c, a in ((full, "_f"), (short, "_s"))))
+    pieces = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.col(c), i, n))))
+    met = begin.join(legal.withColumn("_b", F.explode(F.array_distinct(F.concat(pieces("_f"), pieces("_s"))))), "_b")
+    found = met.where(F.col("_f").contains(F.col("_t")) | F.col("_s").contains(F.col("_t")) | F.col("_f").startswith(F.substring("_t", 1, 10)))
+    return enterprises.join(top_one(found, [name], [F.col("_o"), F.col(key)]).select(name, key), name, "left")
+
+
+def photo_objects(photos: DataFrame, objects: DataFrame, equipment: DataFrame, units: DataFrame) -> DataFrame:
+    """JON-22: photos(photo, kind, key, lat) to objects, by folder key: (photo, cad, source).
+
+    A photo with a place of its own needs no object. Else the folder's key is an object (`cad`), an inventory number
+    (`eq`: equipment(inv, seq, object_id), the first one's object) or a unit (`bu`: units(unit, slug, seq, object_ids), by
+    id or slug, the first of its objects that has a place). objects(id, cad, has_place); others are left out.
+    """
+    own = photos.where("lat is not null").select("photo", F.lit(None).cast("string").alias("cad"), F.lit("exif").alias("source"))
+    rest = photos.where("lat is null")
+    placed = objects.where("has_place").select("id", "cad")
+    by_cad = rest.where("kind = 'cad'").join(placed.select(F.col("cad").alias("key"), "cad"), "key").select("photo", "cad", F.lit("object").alias("source"))
+    first_eq = top_one(equipment, ["inv"], [F.col("seq")]).select(F.col("inv").alias("key"), F.col("object_id").alias("id"))
+    by_eq = rest.where("kind = 'eq'").join(first_eq, "key").join(placed, "id").select("photo", "cad", F.lit("equipment").alias("source"))
+    named = units.select("seq", "object_ids", F.explode(F.array_distinct(F.array("unit", "slug"))).alias("key"))
+    members = top_one(named, ["key"], [F.col("seq")]).select("key", F.posexplode("object_ids").alias("at", "id")).join(placed, "id")
+    first_bu = top_one(members, ["key"], [F.col("at")]).select("key", "cad")
+    by_bu = rest.where("kind = 'bu'").join(first_bu, "key").select("photo", "cad", F.lit("unit").alias("source"))
+    return reduce(DataFrame.unionByName, (own, by_cad, by_eq, by_bu))
+
+
+#: Kinds of extracts by the short kind of a file.
+EXTRACT_KINDS = {"egrn": "egrn_extract", "egrul": "egrul_extract", "egrip": "egrip_extract"}
+
+
+def document_nodes(files: DataFrame, by_artifact: DataFrame, by_extract: DataFrame, cads: DataFrame, inns: DataFrame, ogrns: DataFrame) -> DataFrame:
+    """JON-25: files(file, cad, kind, inn, ogrn) to a document and a node of the graph: (file, doc_id, node, node_by).
+
+    The document: by the artifact's file name, else by (cad, kind of extract). The node: the document's, else that of the
+    object, tax id or registration id, or the id's own formula where the graph has no such node.
+    """
+    kind = F.create_map(*(F.lit(x) for kv in EXTRACT_KINDS.items() for x in kv))
+    one = lambda df, on, value, alias: df.groupBy(*on).agg(F.max(value).alias(alias))  # noqa: E731  # the last stated one wins; ids are in order
+    out = files.join(one(by_artifact, ["file"], "doc_id", "_a"), "file", "left").withColumn("_kind", F.try_element_at(kind, F.col("kind")))
+    out = out.join(one(by_extract.withColumnRenamed("kind", "_kind"), ["cad", "_kind"], "doc_id", "_e"), ["cad", "_kind"], "left").withColumn("doc_id", F.coalesce("_a", "_e"))
+    for table, column in ((cads, "cad"), (inns, "inn"), (ogrns, "ogrn")):
+        out = out.join(one(table, [column], "node", f"_{column}"), column, "left")
+    stages = [("doc", F.concat(F.lit("doc::"), F.nullif("doc_id", F.lit("")))), ("cad", F.coalesce("_cad", F.nullif("cad", F.lit("")))), ("inn", F.coalesce("_inn", F.concat(F.lit("legal::inn::"), F.nullif("inn", F.lit(""))))), ("ogrn", F.coalesce("_ogrn", F.concat(F.lit("legal::ogrn::"), F.nullif("ogrn", F.lit("")))))]
+    return out.select("file", "doc_id", F.coalesce(*(c for _, c in stages)).alias("node"), F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in stages)).alias("node_by"))
 
 
 def evidence_cascade(candidates: DataFrame, key: str, target: str, rule: str) -> DataFrame:
