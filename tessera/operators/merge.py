@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import stable_hash, texts_differ, values_differ
+from tessera.functions.text import short_form
 from tessera.operators.relational import top_one
 
 #: Source kinds by weight; an unknown source weighs nothing.
@@ -32,18 +33,76 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, numbers: list[str], tex
     return both.select(key, F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, content: str, policy: str = "replace", fill: list[str] | None = None) -> DataFrame:
-    """MRG-01: all rows after the upsert, with the action: inserted, skipped (equal, known content), replaced, enriched, kept.
+def upsert(old: DataFrame, new: DataFrame, key: str, content: str, policy: str = "replace", fill: list[str] | None = None, accepted: DataFrame | None = None) -> DataFrame:
+    """MRG-01: all rows after the upsert, with the action: inserted, skipped (equal content), replaced, enriched, kept.
 
-    Policy enrich (and ask_enrich) only fills fields that are NULL; other policies replace.
+    Policy replace takes the new row, enrich only fills fields that are NULL (those of `fill`, or all), ask_enrich takes
+    the new values of the fields that `accepted`(key, field) names, where they are stated. Two unknown contents are equal.
     """
-    both, enrich = _both(old, new, key), policy in ("enrich", "ask_enrich")
-    same = F.col(f"o.{content}").isNotNull() & (F.col(f"o.{content}") == F.col(f"n.{content}"))
-    action = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(same, "skipped").otherwise("enriched" if enrich else "replaced")
-    value = lambda c: F.when(F.col("n").isNull(), F.col(f"o.{c}")).when(F.col("o").isNull(), F.col(f"n.{c}")).when(same, F.col(f"o.{c}")).otherwise(F.coalesce(f"o.{c}", f"n.{c}") if enrich and c in (fill or old.columns) else F.col(f"o.{c}" if enrich else f"n.{c}"))
+    both = _both(old, new, key)
+    if policy == "ask_enrich":
+        # (key, fields) of what was agreed to; nothing agreed leaves a row as it is
+        said = accepted.groupBy(key).agg(F.collect_set("field").alias("_ok")) if accepted is not None else old.limit(0).select(key, F.lit(None).cast("array<string>").alias("_ok"))
+        both = both.join(said, key, "left")
+    same = F.col("o").isNotNull() & F.col(f"o.{content}").eqNullSafe(F.col(f"n.{content}"))
+    action = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(same, "skipped").otherwise("replaced" if policy == "replace" else "enriched")
+
+    def changed(c: str) -> Column:
+        if policy == "replace":
+            return F.col(f"n.{c}")
+        if policy == "ask_enrich":
+            return F.when(F.coalesce(F.array_contains("_ok", c), F.lit(False)), F.coalesce(f"n.{c}", f"o.{c}")).otherwise(F.col(f"o.{c}"))
+        return F.coalesce(f"o.{c}", f"n.{c}") if c in (fill or old.columns) else F.col(f"o.{c}")
+
+    value = lambda c: F.when(F.col("n").isNull(), F.col(f"o.{c}")).when(F.col("o").isNull(), F.col(f"n.{c}")).when(same, F.col(f"o.{c}")).otherwise(changed(c))
     return both.select(key, *(value(c).alias(c) for c in old.columns if c != key), action.alias("action"))
 
 
+def upsert_events(old: DataFrame, new: DataFrame, key: str, content: str, numbers: list[str], texts: list[str]) -> DataFrame:
+    """MRG-01: (key, event, fields, content) that an upsert emits: created for new keys; modified, with the significant
+    fields that changed, for keys whose content differs and that have any."""
+    known = old.select(F.col(key), F.col(content).alias("_c"))
+    made = new.join(known, key, "left_anti").select(key, F.lit("created").alias("event"), F.array().cast("array<string>").alias("fields"), F.col(content).alias("content"))
+    other = new.join(known, key).where(~F.col(content).eqNullSafe(F.col("_c"))).drop("_c")
+    diffs = field_diff(old, other, key, numbers, texts).groupBy(key).agg(F.array_sort(F.collect_list("field")).alias("fields"))
+    return made.unionByName(other.select(key, F.col(content).alias("content")).join(diffs, key).withColumn("event", F.lit("modified")))
+
+
+def merge_parsed(store: dict[str, DataFrame], parsed: dict[str, DataFrame], object_key: str, policy: str = "replace", fill: list[str] | None = None) -> dict[str, DataFrame]:
+    """MRG-15: extracts, objects, rights and holders of parsed documents into a store; the store's tables after it.
+
+    Extracts are told by number and object, the last stated one counts; objects go by upsert(); a right whose number is
+    known, or comes twice, is the one there is, a right without a number is always new; holders follow their right and
+    are there once by kind, name and tax id. rights and holders have a `ref` that ties them in the parsed documents.
+    """
+    extracts = store["extracts"].join(parsed["extracts"].select("extract_number", object_key), ["extract_number", object_key], "left_anti").unionByName(top_one(parsed["extracts"], ["extract_number", object_key], [F.desc("extract_date")]))
+    objects = upsert(store["objects"], top_one(parsed["objects"], [object_key], [F.col("content_hash")]), object_key, "content_hash", policy, fill).drop("action")
+    known = store["rights"].where("right_number is not null").groupBy("right_number").agg(F.min("right_id").alias("_known"))
+    # the id of a right that is new: its own number's, or its place in the documents
+    fresh = F.when(F.col("right_number").isNotNull(), stable_hash(F.col("right_number"))).otherwise(stable_hash(F.col("ref")))
+    named = parsed["rights"].join(known, "right_number", "left").withColumn("right_id", F.coalesce("_known", fresh))
+    added = top_one(named.where("_known is null"), ["right_id"], [F.col("ref")]).drop("_known", "ref")
+    rights = store["rights"].unionByName(added.select(*store["rights"].columns))
+    holders = parsed["holders"].join(named.select("ref", "right_id"), "ref").drop("ref").withColumn("name", short_form(F.col("name")))
+    same = ["right_id", "holder_type", "name", "inn"]
+    both = store["holders"].select(*same).unionByName(holders.select(*same)).distinct()
+    return {"extracts": extracts, "objects": objects, "rights": rights, "holders": both}
+
+
+def commit(store: dict[str, DataFrame], folder: str, version: int) -> None:
+    """MRG-15: all tables of a version or none: the file that names it is written last, and readers go by that file."""
+    spark = next(iter(store.values())).sparkSession
+    for name, df in store.items():
+        df.write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
+    spark.createDataFrame([(version, sorted(store))], "version long, tables array<string>").coalesce(1).write.mode("append").json(f"{folder}/committed")
+
+
+def last_committed(spark, folder: str) -> dict[str, DataFrame]:
+    """MRG-15: the tables of the last version that was written whole."""
+    last = spark.read.schema("version long, tables array<string>").json(f"{folder}/committed").orderBy(F.desc("version")).first()
+    return {name: spark.read.parquet(f"{folder}/v{last.version}/{name}") for name in last.tables}
+
+
 def add_source(known: Column, source: Column) -> Column:
     """MRG-02: sources joined by ' | ', each named once."""
     return F.when(known.isNull() | (known == ""), source).when(source.isNull() | known.contains(source), known).otherwise(F.concat_ws(" | ", known, source))

@@ -68,6 +68,29 @@ def pledges_prohibitions(store: Store) -> DataFrame:
     return out.withColumn("category_ru", decode(F.col("right_category"), CATEGORIES))
 
 
+#: One restriction of an object's JSON list.
+RESTRICTION = "array<struct<type:string,description:string,registry_number:string,valid_from:string,valid_to:string,notes:string,source_extract:string,basis_doc:struct<type:string,number:string,date:string>>>"
+
+
+def restrictions(store: Store) -> DataFrame:
+    """COL-02: the restrictions of objects, a row for each entry of their JSON lists, and those of rights, in one schema.
+
+    A list that is malformed has no entries.
+    """
+    columns = {"land_objects": "cad_number", "building_objects": "cad_number"}
+    own = [store[t].select(F.col(c).alias("cad_number"), F.inline(F.from_json("object_restrictions", RESTRICTION))) for t, c in columns.items() if t in store]
+    of_objects = conformed(*own).select(
+        F.lit("object").alias("kind"), "cad_number", F.lit(None).cast("string").alias("right_number"), F.coalesce("registry_number", "type").alias("registry_number"), "description",
+        F.col("basis_doc.type").alias("basis_type"), F.col("basis_doc.number").alias("basis_number"), F.col("basis_doc.date").alias("basis_date"), "valid_from", "valid_to",
+        F.lit(None).cast("string").alias("beneficiary_inn"), F.lit(None).cast("string").alias("beneficiary_name"), "notes",
+    )
+    of_rights = store["rights"].where("right_category = 'restriction'").select(
+        F.lit("right").alias("kind"), F.col("object_key_value").alias("cad_number"), "right_number", F.col("right_type").alias("description"),
+        F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_until").cast("string").alias("valid_to"), "beneficiary_inn", "beneficiary_name", F.col("basis").alias("notes"),
+    )
+    return conformed(of_objects, of_rights)
+
+
 def object_dossier(store: Store) -> DataFrame:
     """v_object_dossier: a row for each object with owners, leases, counts, last extract and book values.
 
