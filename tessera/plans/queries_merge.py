@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,49 @@ def upsert_actions(t: Tables) -> DataFrame:
     return M.upsert(*_old_new(t), "c_custkey", "h").select("c_custkey", "action", "c_name")
 
 
+@query(_UPSERT.replace("'replaced'", "'enriched'").replace("ELSE n.c_name END AS c_name", "WHEN o.c_custkey % 3 = 1 THEN n.c_name ELSE o.c_name END AS c_name"))
+def upsert_agreed(t: Tables) -> DataFrame:
+    """MRG-01, policy ask_enrich: only the fields that were agreed to."""
+    agreed = t.customer.where("c_custkey % 3 = 1").select("c_custkey", F.lit("c_name").alias("field"))
+    return M.upsert(*_old_new(t), "c_custkey", "h", "ask_enrich", accepted=agreed).select("c_custkey", "action", "c_name")
+
+
+@query(_UPSERT[: _UPSERT.index("SELECT coalesce(o.c_custkey")] + """
+SELECT n.c_custkey, 'created' AS event, '' AS fields FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)
+UNION ALL SELECT n.c_custkey, 'modified', 'c_name' FROM n JOIN o ON o.c_custkey = n.c_custkey WHERE o.c_name <> n.c_name""")
+def upsert_events(t: Tables) -> DataFrame:
+    """MRG-01: what an upsert says it did."""
+    old, new = _old_new(t)
+    return M.upsert_events(old, new, "c_custkey", "h", [], ["c_name", "c_mktsegment"]).select("c_custkey", "event", F.array_join("fields", ",").alias("fields"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linenumber <> 2 THEN l_orderkey || '-' || l_linenumber END AS number FROM lineitem)
+SELECT 'extracts' AS "table", count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders UNION ALL SELECT 'objects', count(*), count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'rights', count(DISTINCT coalesce(number, o || '/' || n)), count(DISTINCT number) FROM r UNION ALL SELECT 'holders', count(DISTINCT l_orderkey || '-' || l_linenumber || 'ООО s' || l_suppkey), count(DISTINCT l_suppkey) FROM lineitem""")
+def parsed_results(t: Tables) -> DataFrame:
+    """MRG-15: parsed documents into a store that holds a part of them already, written as one version and read back."""
+    from tessera.scratch import scratch_path
+
+    number = F.when(F.col("l_linenumber") != 2, F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    extracts = t.orders.select(F.col("o_orderkey").cast("string").alias("extract_number"), F.col("o_orderkey").alias("cad"), F.col("o_orderdate").cast("string").alias("extract_date"))
+    objects = t.orders.select(F.col("o_orderkey").alias("cad"), "o_totalprice", F.md5(F.col("o_totalprice").cast("string").cast("binary")).alias("content_hash"))
+    rights = t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("ref"), F.col("l_orderkey").alias("cad"), number.alias("right_number"))
+    holders = t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("ref"), F.lit("legal_entity").alias("holder_type"), F.concat(F.lit("Общество с ограниченной ответственностью s"), F.col("l_suppkey").cast("string")).alias("name"), F.lit(None).cast("string").alias("inn"))
+    parsed = {"extracts": extracts, "objects": objects, "rights": rights, "holders": holders}
+    empty = {"extracts": extracts.limit(0), "objects": objects.limit(0), "rights": rights.limit(0).select(F.lit("").alias("right_id"), "cad", "right_number"), "holders": holders.limit(0).select(F.lit("").alias("right_id"), "holder_type", "name", "inn")}
+    folder = scratch_path(t.spark, "store")
+    # half of the orders first; then all of them, of which that half is known
+    half = lambda df, key: df.where(F.pmod(F.element_at(F.split(F.col(key).cast("string"), "/"), 1).cast("long"), F.lit(2)) == 0)
+    first = {"extracts": half(extracts, "cad"), "objects": half(objects, "cad"), "rights": half(rights, "ref").where("right_number is not null"), "holders": half(holders, "ref")}
+    M.commit(M.merge_parsed(empty, first, "cad"), folder, 1)
+    M.commit(M.merge_parsed(M.last_committed(t.spark, folder), parsed, "cad"), folder, 2)
+    out = M.last_committed(t.spark, folder)
+    counted = lambda name, key: out[name].agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
+    holder = F.regexp_extract("name", r"^ООО (s\d+)$", 1)
+    return reduce(DataFrame.unionByName, [counted("extracts", F.col("cad")), counted("objects", F.col("cad")), counted("rights", F.col("right_number")), counted("holders", F.nullif(holder, F.lit("")))])
+
+
 @query(_UPSERT.replace("'replaced'", "'enriched'").replace("THEN o.c_name ELSE n.c_name END", "THEN o.c_name ELSE coalesce(o.c_name, n.c_name) END"))
 def upsert_enrich(t: Tables) -> DataFrame:
     """MRG-01, policy enrich: only what is missing is filled."""
@@ -262,11 +307,13 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_variant_get(F.try_parse_json(broken), "$.k", "bigint").alias("lenient"))
 
 
-@query("SELECT 'customer' AS doc, CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_custkey % 9 = 0")
+@query("SELECT 'event' AS doc, CAST(event_id AS VARCHAR) AS k, json_extract_string(props, '$.k') AS inner, CASE WHEN event_id % 5 = 0 THEN 'null' END AS bad FROM events")
 def dump_rows(t: Tables) -> DataFrame:
-    """SNK-02: rows as JSON read back by key."""
-    lines = sinks.dump(t.customer.where("c_custkey % 9 = 0").select(F.lit("customer").alias("doc"), "c_custkey", F.lit('{"a":1}').alias("extra")), ["extra"])
-    return lines.where(F.get_json_object("value", "$.extra.a") == "1").select(F.get_json_object("value", "$.doc").alias("doc"), F.get_json_object("value", "$.c_custkey").alias("k"))
+    """SNK-02: every event as JSON, its JSON text as an object, malformed text as null; read back by key."""
+    broken = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.lit("{}"))
+    lines = sinks.dump(t.events.select(F.lit("event").alias("doc"), "event_id", "props", broken.alias("bad")), ["props", "bad"])
+    field = lambda p: F.get_json_object("value", p)
+    return lines.select(field("$.doc").alias("doc"), field("$.event_id").alias("k"), field("$.props.k").alias("inner"), F.when(F.col("value").contains('"bad":null'), "null").alias("bad"))
 
 
 @query("SELECT 'customer' AS doc, CAST(c_custkey AS VARCHAR) AS k FROM customer")

@@ -115,7 +115,7 @@ def id_spellings(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ООО "' ELSE 'ПАО "' END || c_name || '"' AS short, CASE WHEN c_custkey % 2 = 0 THEN 'ооо' ELSE 'пао' END || lower(c_name) AS key, CASE WHEN c_custkey % 2 = 0 THEN 'ownership' ELSE 'mortgage' END AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'okn_territory' ELSE 'czuit_zone' END AS zone FROM customer""")
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ООО "' ELSE 'ПАО "' END || c_name || '"' AS short, CASE WHEN c_custkey % 2 = 0 THEN 'ооо' ELSE 'публичноеао' END || lower(c_name) AS key, CASE WHEN c_custkey % 2 = 0 THEN 'ownership' ELSE 'mortgage' END AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'okn_territory' ELSE 'czuit_zone' END AS zone FROM customer""")
 def holder_names(t: Tables) -> DataFrame:
     """TXT-05/06/07/14/15."""
     even = F.col("c_custkey") % 2 == 0
@@ -140,8 +140,8 @@ def addresses(t: Tables) -> DataFrame:
     n = F.col("p_size").cast("string")
     a = F.concat(F.lit("344000, Россия, Ростовская область, город Ростов-на-Дону, улица Садовая, дом "), n)
     b = F.concat(F.lit("г. Москва, ул. Садовая, д. "), F.when(F.col("p_size") % 2 == 0, n).otherwise(F.concat(n, F.lit("7"))))
-    s = address.signature(a)
-    return t.part.select("p_partkey", address.normal(a).alias("norm"), s["street"].alias("street"), s["house"].alias("house"), address.likeness(a, b).alias("score"))
+    both = t.part.select("p_partkey", address.facts(a).alias("a"), address.facts(b).alias("b"))
+    return both.select("p_partkey", "a.norm", "a.street", "a.house", address.likeness_of(F.col("a"), F.col("b")).alias("score"))
 
 
 @query("""
