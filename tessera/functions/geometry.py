@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.values import bound
+
 LON_METRES, LAT_METRES = 111_320.0, 110_540.0
 GOLDEN = math.pi * (3 - math.sqrt(5))
 MERCATOR_RADIUS = 6_378_137.0
@@ -30,8 +32,7 @@ def bbox(ring: Column) -> Column:
 
 def bbox_centre(ring: Column) -> Column:
     """GEO-03."""
-    b = bbox(ring)
-    return F.array((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    return bound(bbox(ring), lambda b: F.array((b[0] + b[2]) / 2, (b[1] + b[3]) / 2))
 
 
 def closed(ring: Column) -> Column:
@@ -41,15 +42,23 @@ def closed(ring: Column) -> Column:
 
 def normalised(ring: Column, points: int = 24) -> Column:
     """GEO-02: struct(points around the box centre in units of its longer side, centre, bbox, count); at most `points`, closed."""
-    b, c = bbox(ring), bbox_centre(ring)
-    span = F.greatest(b[2] - b[0], b[3] - b[1])
-    unit = F.when(span == 0, F.lit(1e-6)).otherwise(span)
-    shape = F.transform(ring, lambda p: F.array(F.round((p[0] - c[0]) / unit, 4), F.round((p[1] - c[1]) / unit, 4)))
-    step = F.size(ring) / F.lit(float(points))
-    fewer = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.get(shape, F.floor(i * step).cast("int")))
-    kept = F.when(F.size(ring) > points, fewer).otherwise(shape)
     rounded = lambda a: F.transform(a, lambda x: F.round(x, 6))
-    return F.when(F.size(ring) >= 3, F.struct(closed(kept).alias("points"), rounded(c).alias("centre"), rounded(b).alias("bbox"), F.size(ring).alias("count")))
+    step = F.size(ring) / F.lit(float(points))
+
+    def frame(b: Column) -> Column:
+        span = F.greatest(b[2] - b[0], b[3] - b[1])
+        return F.struct(b.alias("b"), F.array((b[0] + b[2]) / 2, (b[1] + b[3]) / 2).alias("c"), F.when(span == 0, F.lit(1e-6)).otherwise(span).alias("unit"))
+
+    def shape(f: Column) -> Column:
+        at = lambda p, i: F.round((p[i] - f["c"][i]) / f["unit"], 4)
+        return F.struct(f["b"].alias("b"), f["c"].alias("c"), F.transform(ring, lambda p: F.array(at(p, 0), at(p, 1))).alias("s"))
+
+    def result(f: Column) -> Column:
+        fewer = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.get(f["s"], F.floor(i * step).cast("int")))
+        kept = bound(F.when(F.size(ring) > points, fewer).otherwise(f["s"]), closed)
+        return F.struct(kept.alias("points"), rounded(f["c"]).alias("centre"), rounded(f["b"]).alias("bbox"), F.size(ring).alias("count"))
+
+    return F.when(F.size(ring) >= 3, bound(bound(bound(bbox(ring), frame), shape), result))
 
 
 def vertex_mean(ring: Column) -> Column:
@@ -70,15 +79,15 @@ def signed_area(ring: Column) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """GEO-04: area-weighted centroid; the vertex mean where the area is nothing."""
-    area = signed_area(ring)
-    part = lambda f: F.aggregate(_crosses(ring), F.lit(0.0), lambda a, s: a + s[f] * s.c) / (6.0 * area)
-    return F.when(area == 0, vertex_mean(ring)).otherwise(F.array(part("x"), part("y")))
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("a", "x", "y")))
+    sums = F.aggregate(_crosses(ring), zero, lambda t, s: F.struct((t.a + s.c).alias("a"), (t.x + s.x * s.c).alias("x"), (t.y + s.y * s.c).alias("y")))
+    return bound(sums, lambda t: F.when(t.a == 0, vertex_mean(ring)).otherwise(F.array(t.x / (3.0 * t.a), t.y / (3.0 * t.a))))
 
 
 def to_metres(ring: Column, origin: Column) -> Column:
     """GEO-05: local plane around an origin."""
-    k = F.cos(F.radians(origin[1])) * LON_METRES
-    return F.transform(ring, lambda p: F.array((p[0] - origin[0]) * k, (p[1] - origin[1]) * LAT_METRES))
+    facts = F.struct(origin.alias("o"), (F.cos(F.radians(origin[1])) * LON_METRES).alias("k"))
+    return bound(facts, lambda f: F.transform(ring, lambda p: F.array((p[0] - f["o"][0]) * f["k"], (p[1] - f["o"][1]) * LAT_METRES)))
 
 
 def area(outer: Column, holes: Column | None = None) -> Column:

@@ -292,11 +292,11 @@ def bundle_digest(t: Tables) -> DataFrame:
     return a.join(b.select("digest"), "digest").select("rows")
 
 
-@query("SELECT sum(CAST(l_quantity AS BIGINT)) AS total, count(*) AS lines FROM lineitem")
+@query("SELECT '| ' || c_custkey || ' | ' || CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment || '\\|x' ELSE '' END || ' | ' || c_name || ' |' AS value FROM customer")
 def markdown_report(t: Tables) -> DataFrame:
-    """SNK-07: lines of a table that read back to the same sums."""
-    lines = sinks.markdown_table(t.lineitem.select(F.col("l_quantity").cast("long").alias("q"), "l_returnflag"), ["q", "l_returnflag"])
-    return lines.agg(F.sum(F.split("value", r" \| ")[0].substr(3, 20).cast("long")).alias("total"), F.count("*").alias("lines"))
+    """SNK-07: rows as lines of a table; bars inside cells are escaped, missing values empty."""
+    rows = t.customer.select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, F.concat("c_mktsegment", F.lit("|x"))).alias("kind"), "c_name")
+    return sinks.markdown_table(rows, ["c_custkey", "kind", "c_name"])
 
 
 @query("""

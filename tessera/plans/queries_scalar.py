@@ -299,7 +299,7 @@ def value_forms(t: Tables) -> DataFrame:
 @query("""
 SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS mails, regexp_extract(text, '[0-9]{4,}', 0) AS first_long FROM documents""")
 def text_extract(t: Tables) -> DataFrame:
-    """TXT-01/02, MTH-01 over free texts."""
+    """Patterns of numbers and addresses over whole free texts."""
     n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
     return t.documents.select("doc_id", n("[0-9]+").alias("numbers"), n("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("mails"), F.regexp_extract("text", "[0-9]{4,}", 0).alias("first_long"))
 

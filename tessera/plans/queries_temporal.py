@@ -83,14 +83,15 @@ def current_edges(t: Tables) -> DataFrame:
 @query("""
 WITH l AS (SELECT user_id, event_id % 50 AS geo FROM events WHERE event_type = 'signup' AND ts <= TIMESTAMP '2024-01-15'),
  p AS (SELECT event_id % 50 AS geo, event_id AS lat, row_number() OVER (PARTITION BY event_id % 50 ORDER BY ts DESC, event_id) AS rn FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 10 DAY > TIMESTAMP '2024-01-15')
-SELECT user_id AS asset_id, l.geo AS geo_uuid, CAST(lat AS BIGINT) AS lat FROM l LEFT JOIN p ON p.geo = l.geo AND rn = 1""")
+, c AS (SELECT event_id % 50 AS geo, 'g' || event_id AS geometry, row_number() OVER (PARTITION BY event_id % 50 ORDER BY ts DESC, 'g' || event_id) AS rn FROM events WHERE event_type = 'click' AND ts <= TIMESTAMP '2024-01-15' AND (event_id % 3 = 0 OR ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-15'))
+SELECT user_id AS asset_id, l.geo AS geo_uuid, CAST(lat AS BIGINT) AS lat, geometry FROM l LEFT JOIN p ON p.geo = l.geo AND p.rn = 1 LEFT JOIN c ON c.geo = l.geo AND c.rn = 1""")
 def geo_snapshot(t: Tables) -> DataFrame:
     """TMP-03: links with the last place that holds."""
     geo, none = (F.col("event_id") % 50).alias("geo_uuid"), F.lit(None).cast("timestamp_ntz")
     links = t.events.where(F.col("event_type") == "signup").select(F.col("user_id").alias("asset_id"), geo, F.lit("site").alias("role"), F.col("ts").alias("valid_from"), none.alias("valid_to"))
     points = t.events.where(F.col("event_type") == "view").select(geo, F.col("event_id").alias("lat"), F.lit(0).alias("lon"), F.col("ts").alias("valid_from"), (F.col("ts") + F.expr("INTERVAL 10 DAY")).alias("valid_to"))
-    contours = points.where("false").select("geo_uuid", F.lit("").alias("geometry"), "valid_from", "valid_to")
-    return P.geo_snapshot(links, points, contours, _moment("2024-01-15")).select("asset_id", "geo_uuid", "lat")
+    contours = t.events.where(F.col("event_type") == "click").select(geo, F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("geometry"), F.col("ts").alias("valid_from"), F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL 5 DAY")).alias("valid_to"))
+    return P.geo_snapshot(links, points, contours, _moment("2024-01-15")).select("asset_id", "geo_uuid", "lat", "geometry")
 
 
 @query("""
