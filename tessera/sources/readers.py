@@ -50,9 +50,6 @@ def file_kind(text: Column) -> Column:
     return F.coalesce(*(F.when(F.get_json_object(text, k).isNotNull(), F.lit(v)) for k, v in KINDS.items()), F.lit("unknown"))
 
 
-EXTRACT = "header struct<number:string,date:string>, object struct<cad:string,kind:string,address:string,area:string,name:string,floors:string>, rights array<struct<number:string,type:string,date:string,share:string,holder:string,inn:string>>, restrictions array<struct<type:string,number:string,date:string,term:string,beneficiary:string>>"
-
-
 def xml_records(spark: SparkSession, folder: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
     """SRC-04/09: elements of XML files as rows; namespaces don't count."""
     reader = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").option("recursiveFileLookup", "true")

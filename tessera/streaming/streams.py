@@ -139,32 +139,53 @@ def file_index(events: DataFrame, path: str, time: str, kind: str, target: str)
     return top_one(gone.unionByName(made), ["file"], [F.desc("at"), F.desc("there")]).where("there = 1").select("file", "at")
 
 
-def upsert_batches(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str):
-    """STM-01/07: a stream kept as the last row of each key: each batch is merged into a new version of the table.
+BUCKETS = 64
 
-    The batch's number is in the version's name, so a batch that is tried again writes the same version.
+
+def upsert_batches(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str, buckets: int = BUCKETS):
+    """STM-01/07: a stream kept as the last row of each key.
+
+    Keys are dealt to buckets; a batch writes anew only those that it touches, and last of all a list of which version
+    each bucket stands in. Versions are named by the batch's number, so a batch that is tried again writes the same ones,
+    and one that breaks off leaves the list of the batch before.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = top_one(batch, keys, order)
-        old = spark.read.parquet(f"{table}/v{number - 1}") if number else None
-        merged = fresh if old is None else old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
-        merged.write.mode("overwrite").parquet(f"{table}/v{number}")
+        schema = batch.schema
+        dealt = top_one(batch, keys, order).withColumn("_b", F.pmod(F.hash(*keys), F.lit(buckets)))
+        at = versions(spark, table, number - 1)
+        touched = [r[0] for r in dealt.select("_b").distinct().collect()]  # at most ``buckets`` rows
+        old = _rows(spark, table, {b: v for b, v in at.items() if b in touched}, schema)
+        merged = old.join(dealt.select(*keys), keys, "left_anti").withColumn("_b", F.pmod(F.hash(*keys), F.lit(buckets))).unionByName(dealt)
+        merged.write.mode("overwrite").partitionBy("_b").parquet(f"{table}/v{number}")
+        now = sorted((at | {b: number for b in touched}).items())
+        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").json(f"{table}/versions/v{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def load_last(spark, table: str, schema) -> DataFrame:
-    """STM-07: all rows of the last version; no rows before the first one."""
+def versions(spark, table: str, number: int | None = None) -> dict[int, int]:
+    """The version in which each bucket stands, by the last list, or the last one up to a batch's number."""
     from pyspark.errors import AnalysisException
 
     try:
-        versions = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(table).select(F.regexp_extract("path", r"/v(\d+)/", 1).cast("long").alias("v"))
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    last = versions.agg(F.max("v")).first()[0]
-    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{table}/v{last}")
+        lists = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(f"{table}/versions")
+    except AnalysisException:  # no batch yet
+        return {}
+    numbers = lists.select(F.regexp_extract("path", r"/v(\d+)/[^/]*$", 1).cast("long").alias("v"))
+    last = numbers.where(F.lit(number is None) | (F.col("v") <= F.lit(number))).agg(F.max("v")).first()[0]
+    return {} if last is None else {r.bucket: r.version for r in spark.read.schema("bucket int, version long").json(f"{table}/versions/v{last}").collect()}
+
+
+def _rows(spark, table: str, at: dict[int, int], schema) -> DataFrame:
+    paths = [f"{table}/v{v}/_b={b}" for b, v in at.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def load_last(spark, table: str, schema) -> DataFrame:
+    """STM-07: all rows as the last batch left them; no rows before the first one."""
+    return _rows(spark, table, versions(spark, table), schema)
 
 
 def monitor(objects: DataFrame, seen: DataFrame, key: str, content: str) -> DataFrame:

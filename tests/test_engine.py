@@ -99,7 +99,15 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in"))
-    streams.upsert_batches(s, str(tmp_path / "out"), ["k"], [F.desc("v")], str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v0")).collect())) == [(1, "b"), (2, "c")]
+    schema = "k int, v string"
+    folder, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    run = lambda: streams.upsert_batches(spark.readStream.schema(schema).parquet(folder), table, ["k"], [F.desc("v")], checkpoint, buckets=4).awaitTermination()
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), *((i, "x") for i in range(10, 30))], schema).coalesce(1).write.parquet(folder)
+    run()
+    first = streams.versions(spark, table)
+    assert len(first) == 4 and set(first.values()) == {0}
+    spark.createDataFrame([(2, "d"), (2, "e")], schema).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    assert sorted(map(tuple, streams.load_last(spark, table, schema).collect())) == [(1, "b"), (2, "e"), *((i, "x") for i in range(10, 30))]
+    assert sorted(streams.versions(spark, table).values()) == [0, 0, 0, 1]  # only the bucket of key 2 was written anew
+    assert streams.versions(spark, table, 0) == first and streams.load_last(spark, str(tmp_path / "none"), schema).collect() == []
