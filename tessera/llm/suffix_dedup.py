@@ -78,9 +78,9 @@ def key_runs(payloads: list[bytes], k: int, min_len: int, powers, only: list | N
     """Runs of starts with one key: arrays of row, first start, number of starts, key, places of the smallest piece, proof.
 
     only: per row, ranges of starts. A run of one place has no string twice in itself. proof: 16 bytes that tell strings
-    apart where the key is that of the whole string, else nothing.
+    apart where the key is that of the whole string, else NULL.
     """
-    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64), [])
+    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64), pa.nulls(0, pa.binary()))
     lens = np.fromiter(map(len, payloads), np.int64, len(payloads))
     ends = np.cumsum(lens)
     begins = ends - lens
@@ -119,7 +119,7 @@ def key_runs(payloads: list[bytes], k: int, min_len: int, powers, only: list | N
     moved = np.ones(len(starts), np.int64)
     moved[1:] = at[1:] != at[:-1]
     moved[first] = 1
-    proof = [xxhash.xxh3_128_digest(data[at : at + k]) for at in starts[first].tolist()] if k == min_len else [None] * len(first)
+    proof = pa.array([xxhash.xxh3_128_digest(data[at : at + k]) for at in starts[first].tolist()], pa.binary()) if k == min_len else pa.nulls(len(first), pa.binary())
     return row[first], starts[first] - begins[row[first]], length, key[first], np.add.reduceat(moved, first), proof
 
 
@@ -141,7 +141,7 @@ def _runs_of(k: int, min_len: int, ranged: bool):
                 if len(row):
                     take = pa.array(row + at)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), rids.take(take), pa.array(first, pa.int32()), pa.array(starts, pa.int32()), pa.array(key.view(np.int64)), pa.array(places), pa.array(proof, pa.binary())],
+                        [ids.take(take), rids.take(take), pa.array(first, pa.int32()), pa.array(starts, pa.int32()), pa.array(key.view(np.int64)), pa.array(places), proof],
                         names=["doc_id", "rid", "first", "starts", "key", "places", "proof"],
                     )
 
@@ -187,13 +187,21 @@ def _cut(reach: int):
     return run
 
 
-WORD = 8
+WORD, SEED = 8, 128
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def seed_length(limit: int) -> int:
+    """The largest length of prefix doubling up to SEED and limit: the expansion starts from the strings of that length."""
+    h = min(WORD, limit)
+    while 2 * h <= min(SEED, limit):
+        h *= 2
+    return h
+
+
+def suffix_order(data: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of data (cyclic) sorted by their first ``depth`` bytes, by prefix doubling on the parts still tied.
 
-    Also where, in that order, the first WORD bytes (or depth, if less) change.
+    Also where, in that order, the first ``seed`` bytes change.
     """
     n = len(data)
     h = min(WORD, depth)
@@ -228,6 +236,8 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         new[slots] = apart
         rank[pos] = slots[np.maximum.accumulate(np.where(apart, np.arange(len(slots)), 0))]
         h += step
+        if h <= seed:
+            words = new.copy()
     return order, words
 
 
@@ -236,8 +246,8 @@ def bounded_boundaries(data: np.ndarray, order: np.ndarray, limits: list[int], w
 
     Breadth-first interval expansion: the interval of a string w in the order gives, by backward extension with each
     byte c before it, the interval of cw. A right end not met before is a common prefix of value l at length l; only
-    such intervals are expanded further. The last limit is not expanded. words: where the first min(WORD, limit) bytes change,
-    to start from the intervals of these strings rather than from the empty one.
+    such intervals are expanded further. The last limit is not expanded. words: where the first seed_length(limits[0])
+    bytes change, to start from the intervals of these strings rather than from the empty one.
     """
     n = len(data)
     before = order - 1
@@ -254,7 +264,7 @@ def bounded_boundaries(data: np.ndarray, order: np.ndarray, limits: list[int], w
     left, right = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
     length = 0
     if words is not None:
-        length = min(WORD, limits[0])
+        length = seed_length(limits[0])
         found[:n] |= words
         left = np.flatnonzero(words).astype(np.int32)
         right = np.append(left[1:] - 1, n - 1).astype(np.int32)
@@ -287,7 +297,7 @@ def bounded_boundaries(data: np.ndarray, order: np.ndarray, limits: list[int], w
     return [*passed, found[:n]]
 
 
-def repeated_ranges(bodies: list[bytes], starts: list[int], weights: list[int], lengths: list[int]) -> list[list[np.ndarray]]:
+def repeated_ranges(bodies: list[bytes], starts: list[int], weights: np.ndarray, lengths: list[int]) -> list[list[np.ndarray]]:
     """For each length (ascending) and distinct body, the covered [from, to) ranges whose string of that length occurs twice or more.
 
     Only the first ``starts`` places of a body count as starts, those of them where the string fits.
@@ -295,7 +305,7 @@ def repeated_ranges(bodies: list[bytes], starts: list[int], weights: list[int],
     lens = np.fromiter(map(len, bodies), np.int64, len(bodies))
     data = np.frombuffer(b"".join(b + bytes([SEPARATOR]) for b in bodies), np.uint8)
     begins = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-    order, words = suffix_order(data, lengths[-1])
+    order, words = suffix_order(data, lengths[-1], seed_length(lengths[0]))
     w, most = np.asarray(weights, np.int64), np.asarray(starts, np.int64)
     out = []
     for length, cuts in zip(lengths, bounded_boundaries(data, order, lengths, words), strict=True):
@@ -324,35 +334,59 @@ _SPAN = "doc_id long, rid long, length int, lo int, hi int"
 
 def _expand_bucket(lengths: list[int]):
     def run(group: pa.Table) -> pa.Table:
-        docs, rids, firsts = ([x.values for x in group[c].combine_chunks()] for c in ("doc_ids", "rids", "firsts"))
-        out: list[list] = [[], [], [], [], []]
+        lists = [group[c].combine_chunks() for c in ("doc_ids", "rids", "firsts")]
+        each = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        places = [x.flatten() for x in lists]
+        row_of = np.repeat(np.arange(len(each)), each)
+        only = group["long_only"].to_numpy()
+        starts, bodies = group["starts"].to_pylist(), group["body"].to_pylist()
+        out = []
         # texts whose shorter strings are settled already are gone through for the longest length alone
         for long_only in (False, True):
-            members: dict[tuple[int, bytes], list[int]] = {}
-            for i, (only, starts, body) in enumerate(zip(group["long_only"].to_pylist(), group["starts"].to_pylist(), group["body"].to_pylist(), strict=True)):
-                if only == long_only:
-                    members.setdefault((starts, body), []).append(i)
-            if not members:
+            members: dict[tuple[int, bytes], int] = {}
+            rows = np.flatnonzero(only == long_only).tolist()
+            if not rows:
                 continue
+            body_of = np.full(len(only), -1, np.int64)
+            for i in rows:
+                body_of[i] = members.setdefault((starts[i], bodies[i]), len(members))
+            own = np.flatnonzero(body_of[row_of] >= 0)  # places of these rows
+            body = body_of[row_of[own]]
+            weights = np.bincount(body, minlength=len(members))
             wanted = lengths[-1:] if long_only else lengths
-            weights = [sum(len(docs[i]) for i in own) for own in members.values()]
-            found = repeated_ranges([b for _, b in members], [n for n, _ in members], weights, wanted)
-            for length, each in zip(wanted, found, strict=True):
-                for own, spans in zip(members.values(), each, strict=True):
-                    for i in own:
-                        at = firsts[i].to_numpy(zero_copy_only=False)
-                        for lo, hi in spans:
-                            out[0].append(docs[i])
-                            out[1].append(rids[i])
-                            out[2].append(pa.array(np.full(len(at), length, np.int32)))
-                            out[3].append(pa.array(at + lo, pa.int32()))
-                            out[4].append(pa.array(at + hi, pa.int32()))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table([pa.chunked_array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _SPAN.split(", ")])
+            longer = None
+            for length, found in reversed([*zip(wanted, repeated_ranges([b for _, b in members], [n for n, _ in members], weights, wanted), strict=True)]):
+                if longer is not None:  # what lies inside a longer span says nothing more
+                    found = _outside(found, longer)
+                longer = found
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                begin = np.cumsum(counts) - counts
+                # each place with each span of its body
+                times = counts[body]
+                at = np.repeat(own, times)
+                span = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[body], times)
+                flat = np.concatenate([*found, np.empty((0, 2), np.int64)])[span]
+                where = pa.array(at)
+                first = places[2].take(where).to_numpy(zero_copy_only=False)
+                cols = [places[0].take(where), places[1].take(where), pa.array(np.full(len(at), length, np.int32)), pa.array((first + flat[:, 0]).astype(np.int32)), pa.array((first + flat[:, 1]).astype(np.int32))]
+                out.append(pa.table(cols, names=[c.split()[0] for c in _SPAN.split(", ")]))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _outside(short: list[np.ndarray], long: list[np.ndarray]) -> list[np.ndarray]:
+    """Per body, the short spans that no long one contains; spans of a body are in order."""
+    flat = lambda found: (np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.empty((0, 2), np.int64)]).astype(np.int64))
+    (a, s), (b, g) = flat(short), flat(long)
+    at = np.searchsorted(b << 32 | g[:, 0], a << 32 | s[:, 0], side="right") - 1
+    near = np.maximum(at, 0)
+    inside = (at >= 0) & (b[near] == a) & (g[near, 1] >= s[:, 1]) if len(b) else np.zeros(len(a), bool)
+    kept = s[~inside]
+    cuts = np.searchsorted(a[~inside], np.arange(len(short) + 1))
+    return [kept[cuts[i] : cuts[i + 1]] for i in range(len(short))]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     merged: list[list[int]] = []
     for lo, hi in sorted(spans):
