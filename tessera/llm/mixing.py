@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source and exact length. Each source's budget is first spread evenly over its lengths, then large
-documents are added while much is left, and a bounded-knapsack dynamic programme over the counts that remain fits the
-rest to the word. The documents of a length are chosen by a seeded hash.
+Documents are counted by source and exact length. Each source's budget is spread evenly over its lengths: each length gets
+its share rounded down, and one document more where the largest remainders are, until a bounded part of the budget is
+left. A bounded-knapsack dynamic programme over the counts that remain fits that rest to the word. The documents of a
+length are chosen by a seeded hash.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tessera.llm.common import materialise, table
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2
-#: Largest budget that the dynamic programme sees; more is taken as large documents before.
+#: Largest budget that the dynamic programme sees: words.
 EXACT_BUDGET = 1 << 16
 PART_ROWS = 20_000
 
@@ -40,6 +41,11 @@ def water_fill(sizes: list[int], weights: list[float], total: float, limit: floa
     return targets
 
 
+def _mixed(n: int) -> int:
+    """An order of lengths that isn't one of size; no two are equal."""
+    return (n * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
+
+
 def fit_budget(counts: dict[int, int], budget: int, exact: int = EXACT_BUDGET) -> dict[int, int]:
     """How many documents of each length to take (at most counts) for a sum near budget and not above it."""
     whole = sum(n * c for n, c in counts.items())
@@ -47,22 +53,29 @@ def fit_budget(counts: dict[int, int], budget: int, exact: int = EXACT_BUDGET) -
         return dict(counts)
     took = {n: c * budget // whole for n, c in counts.items()}
     left = budget - sum(n * c for n, c in took.items())
-    for n in sorted(counts, reverse=True):
-        while left > exact and n <= left and took[n] < counts[n]:
-            more = min(counts[n] - took[n], max(1, (left - exact) // n), left // n)
-            took[n] += more
-            left -= n * more
+    # no length is favoured: what is left is less than one document of each
+    for n in sorted(counts, key=lambda n: (-(counts[n] * budget % whole), _mixed(n))):
+        if left <= exact:
+            break
+        if n <= left and took[n] < counts[n]:
+            took[n] += 1
+            left -= n
     # sums that can be reached, as the bits of one number; one state for each power-of-two batch of a length
     states, items, reach, mask = [], [], 1, (1 << (left + 1)) - 1
-    for n in sorted(counts):
-        free, batch = counts[n] - took[n], 1
-        while free and n * batch <= left and not reach >> left & 1:
-            use = min(batch, free)
+    # one document of each length, lengths in no order of size, then two of each, then four, until the rest is met
+    free, batch = {n: counts[n] - took[n] for n in sorted(counts, key=_mixed) if counts[n] > took[n] and n <= left}, 1
+    while free and not reach >> left & 1:
+        for n in list(free):
+            use = min(batch, free[n])
             states.append(reach)
             items.append((n, use))
             reach |= (reach << (n * use)) & mask
-            free -= use
-            batch *= 2
+            free[n] -= use
+            if not free[n] or 2 * batch * n > left:
+                del free[n]
+            if reach >> left & 1:
+                break
+        batch *= 2
     at = reach.bit_length() - 1
     for before, (n, use) in zip(reversed(states), reversed(items), strict=True):
         if not before >> at & 1:
@@ -94,7 +107,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """Per row: id, size, source_size, target, taken (0, 1 or 2 times size) and the columns named in keep.
 
     Null text has size 0; null source is a source of its own, last in order. Documents without words take nothing. Equal
-    rows are told apart by an order of their own inside their hash, so a part of them may be taken. An empty table gives no rows.
+    rows are told apart by an order of their own inside their hash, so a part of them may be taken. A very long text is a
+    length of its own. The table of sources is gathered, a row for each. An empty table gives no rows.
     """
     spark = df.sparkSession
     src = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
@@ -121,4 +135,5 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of each document, sources weighing 5, 2, 1, repeating."""
     return mix(table(spark, sf_dir, "documents"))

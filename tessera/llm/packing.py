@@ -92,7 +92,8 @@ def _pack(length: int):
 def pack(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, seed: int = 29) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null text is empty: its end id alone is packed.
 
-    Rows repeated as a whole are packed as documents of their own. Other columns are not read; an empty table gives no rows.
+    Rows repeated as a whole are packed as documents of their own, null ids too. A very long text is cut into full sequences
+    and one rest, in one task. Other columns are not read; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialise(docs.mapInArrow(tidied(_pieces(tokenizer_path, length, end_id)), _PIECE), "pieces")
@@ -103,6 +104,7 @@ def pack(df: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int =
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -178,7 +178,8 @@ def _sum(group: pa.Table) -> pa.Table:
 def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit. Null text counts as empty; repeated rows and ids stay rows of their own.
 
-    Blocks are written before they are used, so their names hold. Other columns are not read; an empty table gives no rows.
+    A very long text is a block of its own. Blocks are written before they are used, so their names hold. Other columns are
+    not read; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     freq = materialise(docs.mapInArrow(tidied(_frequencies(tokenizer_path)), _FREQ), "frequencies")
@@ -190,6 +191,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col:
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether there are more than 2048."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

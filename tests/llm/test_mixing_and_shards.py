@@ -28,6 +28,24 @@ def test_fit_budget_is_exact_where_it_can_be():
         assert got == floor + max(x for x in rest if floor + x <= budget) or whole <= budget
 
 
+def test_what_is_left_favours_no_length():
+    counts = {n: 7 for n in range(1, 2001)}
+    whole = 7 * sum(counts)
+    for budget in (whole // 3, whole // 2 + 12345):
+        took = fit_budget(counts, budget)
+        assert sum(n * k for n, k in took.items()) == budget
+        share = 7 * budget / whole
+        assert all(abs(k - share) <= 2 for k in took.values())
+        long = sum(k for n, k in took.items() if n > 1000) / sum(took.values())
+        assert abs(long - 0.5) < 0.02
+
+
+def test_a_very_long_text_in_a_mix(spark):
+    data = [(1, "w " * 300_000, "a", None, None), *((i, "w " * (i % 50), "b", None, None) for i in range(2, 400)), (None, "a b", None, None, None)]
+    got = {x.doc_id: x for x in mix(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got[1].size == 300_000 and got[1].taken in (0, 300_000, 600_000) and got[None].size == 2
+
+
 def test_water_fill():
     assert water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, 2 / 3 * 250, 1 / 3 * 250]
     assert water_fill([0, 10], [5, 2], 15, 2) == [0.0, 15.0]

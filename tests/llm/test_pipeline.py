@@ -1,6 +1,10 @@
 import random
+from collections import Counter
+from itertools import groupby
 
 import corpus_pipeline
+import test_minhash_dedup
+import test_suffix_dedup
 from tessera.llm.common import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,3 +71,38 @@ def test_passages_of_just_over_fifty_words(spark):
             assert passages[i % 4] not in got[i] and len(got[i]) <= len(t) - len(passages[i % 4])
         else:
             assert got[i] == t
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Near-duplicates, passages, mix and packing once more in plain Python, each on the rows that its stage was given."""
+    folder = str(tmp_path)
+    corpus(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held[name] = sorted(((r.doc_id, r.text, r.source) for r in docs.collect()), key=str)
+        docs = materialise(stage(spark, docs, folder), "stage")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+    given = held["MinHash near-dedup"]
+    # one row of each group: that of the smallest id
+    want = Counter()
+    for row, group in zip(sorted(given, key=lambda r: str(r[0])), sorted(test_minhash_dedup.expected([(d, t) for d, t, _ in given]), key=lambda g: str(g[0]))):
+        assert row[0] == group[0]
+        if group[3]:
+            want[row[0]] = 1
+    assert Counter(d for d, *_ in held["suffix-array dedup"]) == want
+    cut = {doc: bytes(b for b, h in zip(raw, hit) if not h).decode() for doc, raw, hit, _ in test_suffix_dedup.covered([(d, t) for d, t, _ in held["suffix-array dedup"]], 240)}
+    assert {d: t or "" for d, t, _ in held["mixing sources to target weights"]} == cut
+    words = {d: len((t or "").split()) for d, t, _ in held["mixing sources to target weights"]}
+    total, by = sum(words.values()), Counter()
+    for d, _, s in held["mixing sources to target weights"]:
+        by[s] += words[d]
+    mixed = rows(docs)
+    taken = Counter(d for d, _ in mixed)
+    assert max(taken.values()) <= 2 and all(words[d] for d in taken)
+    assert abs(sum(words[d] * k for d, k in taken.items()) - 1.5 * total) <= len(by)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    for _, own in groupby(sorted(pieces, key=lambda p: p.sequence_id), key=lambda p: p.sequence_id):
+        own = sorted(own, key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))] and sum(p.length for p in own) <= 2048
+    assert Counter(p.doc_id for p in pieces if p.start == 0) == taken
