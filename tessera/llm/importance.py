@@ -7,9 +7,9 @@ one of FULL. Documents are drawn without replacement in proportion to their weig
 plus Gumbel noise. k is the number of documents whose log weight is not below what nearly all held-out clean rows reach.
 
 Toxic text is told apart on its own and is never drawn: markers, words and beginnings by their whole hash, are what enough
-more toxic than clean rows of the sample hold. The strongest markers of each window of words are summed; the worst window
-counts, and the mean of all. Neither depends on a text's length: the cut-off of the worst window rises with the number of
-windows.
+more toxic than clean rows of the sample hold, each as strong as the log ratio of its occurrences in both. The strongest
+occurrences in each window of words are summed; the worst window counts, and the mean of all. Neither depends on a text's
+length: the cut-off of the worst window rises with the number of windows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ BITS = 18
 BUCKETS = 1 << BITS
 LABELLED = 20_000
 BEGINNING = 5
-STRONGEST = 3
-WINDOW = 512  # words
+STRONGEST = 4
+WINDOW = 128  # words
 FULL, LOOKS = 1024, 8  # words and pairs
 SUPPORT, SURE = 5, 4.0  # toxic rows that hold a marker; standard deviations above what clean rows lead to expect
 PSEUDO_RAW, PSEUDO_TOXIC = 5.0, 2.0
@@ -108,25 +108,26 @@ def log_ratios(clean: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((clean + PSEUDO_RAW) / (raw * (clean.sum() / max(1.0, raw.sum())) + PSEUDO_RAW))
 
 
-_HELD_BY = "gram long, clean_docs long, toxic_docs long"
+_HELD_BY = "gram long, clean_docs long, toxic_docs long, clean_n long, toxic_n long"
 
 
 def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many clean (kind 1) and toxic (kind 2) rows hold each word and each beginning, by hash."""
+    """How many clean (kind 1) and toxic (kind 2) rows hold each word and each beginning, by hash, and how often they occur."""
     known = _Words()
 
-    def summed(grams: list[np.ndarray], kinds: list[int]) -> pa.RecordBatch:
-        found, at = np.unique(np.concatenate(grams), return_inverse=True)
-        toxic = np.repeat(np.array(kinds) == 2, [len(g) for g in grams])
-        counts = (np.bincount(at[of], minlength=len(found)).astype(np.int64) for of in (~toxic, toxic))
+    def summed(grams: list[tuple], kinds: list[int]) -> pa.RecordBatch:
+        found, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+        n = np.concatenate([n for _, n in grams])
+        toxic = np.repeat(np.array(kinds) == 2, [len(g) for g, _ in grams])
+        counts = (np.bincount(at[of], weights=None if w is None else w[of], minlength=len(found)).astype(np.int64) for w in (None, n) for of in (~toxic, toxic))
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, counts)], names=[c.split()[0] for c in _HELD_BY.split(", ")])
 
     grams, kinds, size = [], [], 0
     for batch in batches:
         for text, kind in zip(batch["text"].cast(pa.large_binary()), batch["kind"].to_pylist(), strict=True):
-            grams.append(np.unique(np.concatenate(ngrams(text.as_py() or b"", known)[1:])))
+            grams.append(np.unique(np.concatenate(ngrams(text.as_py() or b"", known)[1:]), return_counts=True))
             kinds.append(kind)
-            size += len(grams[-1])
+            size += len(grams[-1][0])
             if size > 1 << 20:
                 yield summed(grams, kinds)
                 grams, kinds, size = [], [], 0
@@ -159,17 +160,19 @@ class Model:
         return at[same], which[same]
 
     def against(self, words: np.ndarray, beginnings: np.ndarray) -> tuple[float, float]:
-        """The strongest different markers of the worst window, and of all on average; for the worst, windows overlap by half."""
+        """The strongest occurrences of the worst window, and of all on average; for the worst, windows overlap by half."""
         (a, x), (b, y) = self.found(words), self.found(beginnings)
-        place, which = np.concatenate([a, b]), np.concatenate([x, y])
+        place, strength = np.concatenate([a, b]), self.toxicity[np.concatenate([x, y])]
         if not len(place):
             return 0.0, 0.0
         sums = []
         for ahead in (0, WINDOW // 2):
-            each = np.unique(np.stack([(place + ahead) // WINDOW, which], axis=1), axis=0)
-            parts = np.split(self.toxicity[each[:, 1]], np.flatnonzero(np.diff(each[:, 0])) + 1)
-            sums.append([float(np.sort(ratios)[-STRONGEST:].sum()) for ratios in parts])
-        return max(map(max, sums)), sum(sums[0]) / -(-len(words) // WINDOW)
+            window = (place + ahead) // WINDOW
+            by = np.lexsort((-strength, window))
+            first = np.flatnonzero(np.diff(window[by], prepend=-1))
+            rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+            sums.append(np.add.reduceat(np.where(rank < STRONGEST, strength[by], 0.0), first))
+        return float(max(s.max() for s in sums)), float(sums[0].sum()) / -(-len(words) // WINDOW)
 
     def log_weight(self, grams: np.ndarray) -> float:
         n = min(len(grams), FULL)
@@ -216,10 +219,13 @@ def fit(rows: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     of_sample = rows.join(F.broadcast(known.where("kind in (1, 2, 4)")), "doc_id")
     texts = materialise(of_sample.groupBy("doc_id", "kind").agg(F.min(F.struct("rid", "text")).alias("first")).select("kind", "first.text"), "labelled-texts")
     ratios = log_ratios(counts(texts.where("kind = 1")), counts(rows))
-    held_by = texts.where("kind < 3").mapInArrow(tidied(_held_by), _HELD_BY).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs")))
+    held_by = texts.where("kind < 3").mapInArrow(tidied(_held_by), _HELD_BY).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs", "clean_n", "toxic_n")))
+    held_by = materialise(held_by, "held-by")
+    total = held_by.agg(F.sum("clean_n").alias("clean"), F.sum("toxic_n").alias("toxic")).first()
     expected = F.col("clean_docs") * F.lit(shown.get(2, 0) / max(1, shown.get(1, 0)))
+    expected_n = F.col("clean_n") * F.lit(float((total.toxic or 0) / max(1, total.clean or 0)))
     # a text holds as many grams as it has words, so rows of SUPPORT and more are few beside the sample's texts
-    solid = held_by.where((F.col("toxic_docs") >= SUPPORT) & (F.col("toxic_docs") - expected >= SURE * F.sqrt(expected + 1))).select("gram", F.log((F.col("toxic_docs") + PSEUDO_TOXIC) / (expected + PSEUDO_TOXIC)).alias("ratio")).toArrow()
+    solid = held_by.where((F.col("toxic_docs") >= SUPPORT) & (F.col("toxic_docs") - expected >= SURE * F.sqrt(expected + 1))).select("gram", F.log((F.col("toxic_n") + PSEUDO_TOXIC) / (expected_n + PSEUDO_TOXIC)).alias("ratio")).toArrow()
     markers, strength = solid["gram"].to_numpy().view(_U), solid["ratio"].to_numpy()
     by = np.argsort(markers)
     model = Model(ratios, markers[by], strength[by])
