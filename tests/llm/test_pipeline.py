@@ -51,7 +51,10 @@ def test_stages(spark, tmp_path):
         if name == "quality classifier":
             assert bad(docs) == 0 and docs.count() >= 0.9 * (before.count() - bad(before))
         if name == "MinHash near-dedup":
-            assert docs.where("doc_id >= 1000 and doc_id < 2000").count() <= 2
+            # the draw before may have taken a copy and not its original; of both, the original stays
+            there = {r.doc_id for r in before.select("doc_id").collect()}
+            copies = [r.doc_id for r in docs.where("doc_id >= 1000 and doc_id < 2000").select("doc_id").collect()]
+            assert sum((c - 1000 if c % 10 == 0 else c - 1100) in there for c in copies) <= 2
             assert docs.where("doc_id = 0").count() <= 1
         if name == "suffix-array dedup":
             assert docs.count() == before.count() and docs.agg({"n_chars": "sum"}).first()[0] < before.agg({"n_chars": "sum"}).first()[0]
