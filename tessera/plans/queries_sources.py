@@ -62,7 +62,7 @@ def _cad(n: Column) -> Column:
     return F.concat(F.lit("61:44:0050706:"), _s(n))
 
 
-def _documents(t: Tables) -> DataFrame:
+def _documents(t: Tables, *keep: str) -> DataFrame:
     """Extracts of four kinds, one for each customer, in one line each."""
     k = F.col("c_custkey")
     kind = k % 4
@@ -73,7 +73,7 @@ def _documents(t: Tables) -> DataFrame:
         .when(kind == 2, F.concat(_tag("area", _s(k + 100)), _tag("name", F.lit("-")), _tag("type", _tag("value", F.lit("Жилое")))))
         .otherwise(_tag("main_characteristics", _tag("type", F.lit("протяженность")), _tag("value", F.concat(_s(k), F.lit(",5"))), _tag("unit", F.lit("м"))))
     )
-    head = _tag("details", _tag("group_top_requisites", _tag("organ_registr_rights", F.lit(" Росреестр ")), _tag("date_formation", F.lit("30.12.2020")), _tag("registration_number", F.concat(F.lit("99/"), _s(k)))))
+    head = _tag("details", _tag("group_top_requisites", _tag("organ_registr_rights", F.when(k % 7 == 0, " &#171;Росреестр&#xBB; ").when(k % 7 == 1, "<![CDATA[ Росреестр & <Ко> ]]>").otherwise(" Росреестр <!-- без отдела --> ")), _tag("date_formation", F.lit("30.12.2020")), _tag("registration_number", F.concat(F.lit("99/"), _s(k)))))
     record = _tag("record", _tag("record_info", _tag("registration_date", F.lit("2015-03-04T00:00:00+03:00"))), _tag("object", _tag("cad_number", _cad(k))), _tag("params", params), _tag("address", _tag("readable_address", F.concat(F.lit("г.  Город, "), F.col("c_mktsegment")))), _tag("cost", _tag("value", F.concat(_s(k), F.lit(",25")))), F.when(kind == 2, _tag("parent_cad_number", _tag("cad_number", _cad(k + 1)))))
     holder = _tag("right_holder", F.when(k % 3 == 0, _tag("legal_entity", _tag("full_name", F.col("c_name")), _tag("inn", F.lpad(_s(k), 10, "0")))).when(k % 3 == 1, _tag("individual", _tag("surname", F.lit("Н")), _tag("inn", F.lpad(_s(k), 12, "0")))).otherwise(_tag("public_formation", _tag("name", _tag("value", F.lit("Российская Федерация"))))))
     share = F.when(k % 2 == 0, _tag("share", _tag("numerator", F.lit("1")), _tag("denominator", _s(k % 5 + 1)))).otherwise(_tag("share", F.lit("доля 2/7")))
@@ -81,23 +81,26 @@ def _documents(t: Tables) -> DataFrame:
     limit = _tag("restrict_record", _tag("restrictions_encumbrances_data", _tag("restriction_encumbrance_number", F.when(k % 6 != 0, F.concat(_cad(k), F.lit("-2")))), _tag("restriction_encumbrance_type", _tag("value", F.lit("Аренда"))), _tag("start_date", F.lit("2020-01-01")), _tag("end_date", F.lit("2030-01-01"))), _tag("right_holders", F.when(k % 2 == 0, _tag("right_holder", _tag("legal_entity", _tag("name", F.lit("ООО"))))).otherwise(_tag("right_holder", _tag("undefined", F.lit("x"))))))
     zone = _tag("restriction_encumbrance", _tag("number", F.lit("z1")), _tag("encumbrance_type", _tag("value", F.when(k % 2 == 0, "Памятник").otherwise("Охранная зона"))))
     body = F.concat(head, record, _tag("right_records", right), _tag("restrict_records", limit), zone, zone, F.when(kind == 3, _tag("special_notes", F.lit("особая отметка"))).otherwise("<special_notes/>"), _tag("status", F.when(k % 11 == 0, "Снят с учета").otherwise("Актуальные")))
-    # half of the documents have a prefix on every name
-    plain = F.concat(F.lit('<?xml version="1.0"?><'), root, F.lit(">"), body, F.lit("</"), root, F.lit(">"))
-    return t.customer.select(F.when(k % 2 == 0, F.regexp_replace(plain, r"<(/?)(\w)", "<$1x:$2")).otherwise(plain).alias("value"))
+    # half of the documents have a prefix on every name, a third names in capitals
+    start, stop = F.concat(F.lit("<"), root, F.lit(">")), F.concat(F.lit("</"), root, F.lit(">"))
+    plain = F.concat(start, body, stop)
+    shown = F.when(k % 2 == 0, F.regexp_replace(F.regexp_replace(plain, r"<(/?)(\w)", "<$1x:$2"), r"^<x:(\w+)", '<x:$1 xmlns:x="urn:extract"')).otherwise(plain)
+    shown = F.when(k % 3 == 0, F.replace(F.replace(shown, F.lit("cad_number>"), F.lit("Cad_Number>")), F.lit("right_record>"), F.lit("RIGHT_RECORD>"))).otherwise(shown)
+    return t.customer.select(*keep, F.concat(F.lit('<?xml version="1.0"?><!-- <cad_number>0:0:0:0</cad_number> -->'), shown).alias("value"))
 
 
 @query("""
 WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS m, * FROM customer)
-SELECT '99/' || k AS extract_number, '2020-12-30' AS extract_date, 'Росреестр' AS organ, ['land', 'building', 'room', 'structure'][m + 1] AS object_type, '61:44:0050706:' || k AS cad_number, '61:44:0050706' AS quarter_cad_number,
+SELECT '99/' || k AS extract_number, '2020-12-30' AS extract_date, CASE k % 7 WHEN 0 THEN '«Росреестр»' WHEN 1 THEN 'Росреестр & <Ко>' ELSE 'Росреестр' END AS organ, ['land', 'building', 'room', 'structure'][m + 1] AS object_type, '61:44:0050706:' || k AS cad_number, '61:44:0050706' AS quarter_cad_number,
  'г. Город, ' || c_mktsegment AS address, k + 0.25 AS cadastral_value, CASE WHEN k % 11 = 0 THEN 'deregistered' ELSE 'active' END AS lifecycle_status, '2015-03-04' AS registration_date, CASE WHEN m < 3 THEN CAST(k + 100 AS DOUBLE) END AS area, CASE m WHEN 0 THEN CAST(k % 7 AS DOUBLE) END AS area_error,
  CASE m WHEN 0 THEN 'Земли населенных пунктов' END AS land_category, CASE m WHEN 0 THEN c_mktsegment END AS permitted_uses, CASE m WHEN 0 THEN 'Земельный участок 61:44:0050706:' || k || ', ' || (k + 100) || '.0 кв.м' WHEN 1 THEN replace(c_name, '#', '&') END AS name,
  CASE m WHEN 1 THEN CAST(k % 30 - k % 2 AS INTEGER) END AS floors_above_ground, CASE m WHEN 1 THEN CAST(1900 + k % 100 AS INTEGER) END AS year_built, CASE m WHEN 2 THEN 'Жилое' END AS room_type, CASE m WHEN 2 THEN '61:44:0050706:' || (k + 1) END AS parent_cad_number, CASE m WHEN 3 THEN k + 0.5 END AS main_value, CASE m WHEN 3 THEN 'м' END AS main_unit,
  CASE WHEN k % 2 = 0 THEN 'okn_territory' ELSE 'czuit_zone' END || ':z1' || CASE m WHEN 3 THEN ';other:' ELSE '' END AS object_restrictions FROM c""")
 def xml_objects(t: Tables) -> DataFrame:
     """SRC-04: header, object and its restrictions of four kinds of extracts."""
-    found = extracts.read_extracts(_lines(t, _documents(t), "xml"), "value")
-    zones = F.array_join(F.transform("object_restrictions", lambda r: F.concat(r["type"], F.lit(":"), F.coalesce(r["registry_number"], F.lit("")))), ";")
     columns = "extract_number extract_date organ object_type cad_number quarter_cad_number address cadastral_value lifecycle_status registration_date area area_error land_category permitted_uses name floors_above_ground year_built room_type parent_cad_number main_value main_unit"
+    found = extracts.read_extracts(_lines(t, _documents(t), "xml"), "value", (*columns.split(), "object_restrictions"))
+    zones = F.array_join(F.transform("object_restrictions", lambda r: F.concat(r["type"], F.lit(":"), F.coalesce(r["registry_number"], F.lit("")))), ";")
     return found.select(*columns.split(), zones.alias("object_restrictions"))
 
 
@@ -108,13 +111,25 @@ SELECT '61:44:0050706:' || k AS cad_number, '61:44:0050706:' || k || '-1' AS rig
 UNION ALL SELECT '61:44:0050706:' || k, '61:44:0050706:' || k || '-2', CASE WHEN k % 2 = 0 THEN 'encumbrance' ELSE 'restriction' END, 'lease', NULL, '2030-01-01', NULL, CASE WHEN k % 2 = 0 THEN 'legal_entity|ООО|' ELSE '' END FROM c WHERE k % 6 <> 0""")
 def xml_rights(t: Tables) -> DataFrame:
     """SRC-04: rights, encumbrances and their holders; of a private person the tax id only."""
-    rows = extracts.read_extracts(_lines(t, _documents(t), "xml"), "value").select("cad_number", F.inline("rights"))
+    rows = extracts.read_extracts(_lines(t, _documents(t), "xml"), "value", ("cad_number", "rights")).select("cad_number", F.inline("rights"))
     empty = lambda c: F.coalesce(c, F.lit(""))
     holders = F.array_join(F.transform("holders", lambda h: F.concat_ws("|", h["holder_type"], empty(h["name"]), empty(h["inn"]))), ";")
     share = F.concat_ws("/", _s("share_numerator"), _s("share_denominator"))
     return rows.select("cad_number", "right_number", "right_category", "right_type_code", "right_date", "valid_until", F.nullif(share, F.lit("")).alias("share"), holders.alias("holders"))
 
 
+@query("""
+SELECT CASE c_custkey % 5 WHEN 0 THEN 'not well-formed' WHEN 1 THEN 'not an extract' WHEN 2 THEN 'no cadastral number' WHEN 3 THEN 'no text' ELSE 'none' END AS problem, count(*) AS documents, count(*) FILTER (c_custkey % 5 = 4) AS objects FROM customer GROUP BY 1""")
+def xml_problems(t: Tables) -> DataFrame:
+    """SRC-04: documents that give no object are reported, each with what is wrong; none is half read."""
+    k, text = F.col("c_custkey") % 5, F.col("value")
+    cut = F.when(k == 0, F.expr("substring(value, 1, length(value) - 9)")).when(k == 1, F.lit("<kml><cad_number>1:2:3:4</cad_number></kml>")).when(k == 2, F.lit("<extract_about_property_land/>")).when(k == 3, F.lit("")).otherwise(text)
+    documents = _documents(t, "c_custkey").select("c_custkey", cut.alias("value"))
+    found = extracts.read_extracts(documents, "value", ("cad_number", "address"))
+    kind = F.coalesce(F.regexp_extract("problem", "^[^:]+", 0), F.lit("none"))
+    return found.groupBy(kind.alias("problem")).agg(F.count("*").alias("documents"), F.count(F.coalesce("cad_number", "address")).alias("objects"))
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'encumbrance' WHEN o_orderkey % 3 = 2 THEN 'restriction' ELSE 'right' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN '1/' || (o_custkey % 9 + 1) END AS share, '61:44:0050706:31-61/001/2020-' || o_orderkey AS right_number, strftime(o_orderdate, '%Y-%m-%d') AS right_date, CASE WHEN o_orderkey % 3 = 1 THEN 'Банк ' || o_custkey END AS beneficiary FROM orders""")
 def pdf_rights(t: Tables) -> DataFrame:

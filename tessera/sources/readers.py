@@ -51,28 +51,11 @@ def file_kind(text: Column) -> Column:
 
 
 def xml_records(spark: SparkSession, folder: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """SRC-04/09: elements of XML files as rows; namespaces don't count."""
+    """SRC-09: elements of XML files as rows; namespaces don't count."""
     reader = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").option("recursiveFileLookup", "true")
     return (reader.schema(schema) if schema else reader).load(folder)
 
 
-def xml_extracts(df: DataFrame, text: str) -> DataFrame:
-    """SRC-04: a registry extract's XML text as header, object, rights and restrictions. Paths go by local names."""
-    node = lambda *names: "/" + "".join(f"/*[local-name()='{n}']" for n in names)
-    one = lambda *names: F.nullif(F.trim(F.xpath_string(F.col(text), F.lit(node(*names) + "/text()"))), F.lit(""))
-    many = lambda *names: F.xpath(F.col(text), F.lit(node(*names) + "/text()"))
-    return df.withColumns({
-        "extract_number": one("registration_number"),
-        "extract_date": date_any(one("date_formation")),
-        "cad_number": cad_number(one("cad_number")),
-        "address": one("readable_address"),
-        "area": number(one("area", "value")),
-        "right_numbers": many("right_number"),
-        "right_types": many("right_type", "value"),
-        "holders": many("legal_entity", "name"),
-    })
-
-
 def pdf_text_rights(df: DataFrame, text: str) -> DataFrame:
     """SRC-05: right blocks of an extract's text: one row a block of (line 0 kind and share, line 1 number, line 2 day)."""
     blocks = F.filter(F.split(F.col(text), r"\n\s*\n"), lambda b: b.rlike(r"\d+/\d+-\d+/|-\d{2}/\d+/\d{4}-\d+|\d{2}:\d{2}:\d{6,7}:\d+-\d+"))

@@ -22,9 +22,6 @@ def test_readers(spark, tmp_path):
 
 
 def test_xml_and_text(spark, tmp_path):
-    xml = '<x:r xmlns:x="u"><x:registration_number>99/1</x:registration_number><x:date_formation>30.12.2002</x:date_formation><x:cad_number>61:44:0050706:31</x:cad_number><x:area><x:value>12,5</x:value></x:area><x:right_number>n1</x:right_number><x:right_number>n2</x:right_number></x:r>'
-    r = readers.xml_extracts(spark.createDataFrame([(xml,)], "t string"), "t").first()
-    assert (r.extract_number, r.extract_date, r.cad_number, r.area, list(r.right_numbers)) == ("99/1", "2002-12-30", "61:44:0050706:31", 12.5, ["n1", "n2"])
     (tmp_path / "p.xml").write_text("<a><Placemark><name>n</name></Placemark><Placemark><name>m</name></Placemark></a>")
     assert {x.name for x in readers.xml_records(spark, str(tmp_path), "Placemark", "name string").collect()} == {"n", "m"}
     page = "Собственность, 1/2\n61:44:0050706:31-61/001/2020-1\n01.02.2020\n\nИпотека\n61:44:0050706:31-61/001/2020-2\n03.02.2020\nв пользу: Банк\n\nпрочее"

@@ -29,7 +29,39 @@ def test_extract_with_prefixes_entities_and_gaps(spark):
     a = r[0]
     assert (a.object_type, a.organ, a.area, a.name, a.floors_above_ground, a.quarter_cad_number, a.old_numbers) == ("building", "Филиал & Ко", 10.5, None, 3, "61:44:0050706", "Инвентарный номер 143/2")
     assert [(x.right_type_code, x.right_number, [h.name for h in x.holders]) for x in a.rights] == [("ownership", "n1", ["А"])]
-    assert [x.object_type for x in r[1:]] == ["unknown", "unknown"] and r[1].cad_number is None
+    assert sorted((x.object_type, x.cad_number, x.problem.split(":")[0]) for x in r[1:]) == [(None, None, "no text"), (None, None, "not well-formed")]
+
+
+def test_extract_by_a_parser(spark):
+    """References, CDATA, comments, names in any case, elements nested in those of their own name, first by depth or by child."""
+    root = "extract_about_property_land"
+    xml = f"""<{root}><!-- <cad_number>0:0:0:0</cad_number> --><Group_Top_Requisites><organ_registr_rights>&#171;А&#xBB; &lt;Б&gt;</organ_registr_rights></Group_Top_Requisites>
+      <land_record><record_info><registration_date>2015-03-04</registration_date></record_info><CAD_NUMBER><![CDATA[61:44:0050706:31]]></CAD_NUMBER>
+        <area><area><value>1</value></area><value>12,5</value></area><cost><!-- 5 --><value> 7 </value></cost></land_record>
+      <prev_cad_number><x><cad_number>61:44:0050706:1</cad_number></x></prev_cad_number><prev_cad_number/><prev_cad_number><cad_number>61:44:0050706:2</cad_number></prev_cad_number>
+      <permitted_use_established><by_document>Сад</by_document></permitted_use_established><permitted_use_established><by_document>Сад</by_document></permitted_use_established>
+      <right_record><number>7</number><right_type><value>Аренда (особая)</value></right_type><registration_date>01.02.2016</registration_date><duration><a>с 01.02.2016</a><b>по 01.02.2017</b></duration><share><numerator>1</numerator><denominator>x</denominator></share></right_record>
+      <right_record><right_type/><record_info><registration_date>02.02.2016</registration_date></record_info><right_holders><right_holder><person><inn>123456789012</inn><name>N</name></person></right_holder><right_holder><subject_rf/></right_holder></right_holders></right_record>
+      <restrict_record><restrictions_encumbrances_data><restriction_encumbrance_number>r1</restriction_encumbrance_number><restriction_encumbrance_type>Арест</restriction_encumbrance_type><period><start_date/><starting_date>2020-01-01</starting_date></period></restrictions_encumbrances_data>
+        <right_holders><right_holder><undefined>x</undefined></right_holder></right_holders><underlying_document><document_name>Акт</document_name><document_number>-</document_number><document_issuer>Суд</document_issuer></underlying_document></restrict_record>
+      <restriction_encumbrance><number><number>z1</number></number><reg_number_border>b</reg_number_border><content_restrict_encumbrances>Памятник</content_restrict_encumbrances></restriction_encumbrance>
+      <restriction_encumbrance><number>z2</number><reg_number_border>b2</reg_number_border></restriction_encumbrance><restriction_encumbrance><reg_number_border>b2</reg_number_border></restriction_encumbrance>
+    </{root}>"""
+    bad = [f"<{root}><cad_number>1:2:3:4</cad_number>", f"<{root}><a></b></{root}>", f"<{root}>&nosuch;</{root}>", f"<x:{root}/>", "<html><cad_number>1:2:3:4</cad_number></html>", f"<{root}/>"]
+    windows = f'<?xml version="1.0" encoding="windows-1251"?><{root}><cad_number>1:2:3:4</cad_number><readable_address>ул. Мира</readable_address></{root}>'.encode("cp1251")
+    text = [(0, xml), *((i, b) for i, b in enumerate(bad, 1))]
+    r = extracts.read_extracts(spark.createDataFrame(text, "id long, x string"), "x").orderBy("id").collect()
+    a = r[0]
+    assert (a.problem, a.object_type, a.organ, a.cad_number, a.registration_date, a.area, a.cadastral_value) == (None, "land", "«А» <Б>", "61:44:0050706:31", "2015-03-04", 12.5, 7.0)
+    assert (a.predecessor_cad_numbers, a.permitted_uses, a.name) == ("61:44:0050706:1; 61:44:0050706:2", "Сад; Сад", "Земельный участок 61:44:0050706:31, 12.5 кв.м")
+    got = [(x.right_category, x.right_type_code, x.right_number, x.right_date, x.share_numerator, x.valid_from, x.valid_until, x.basis, [(h.holder_type, h.name, h.inn) for h in x.holders]) for x in a.rights]
+    assert got[0] == ("restriction", "other", "7", "2016-02-01", 1, "2016-02-01", "2017-02-01", None, [])
+    assert got[1] == ("encumbrance", "other", None, "2016-02-02", None, None, None, None, [("individual", None, "123456789012"), ("public", "Российская Федерация", None)])
+    assert got[2] == ("restriction", "arrest", "r1", None, None, "2020-01-01", None, "Акт, Суд", [])
+    assert [(x.type, x.registry_number) for x in a.object_restrictions] == [("okn_territory", "z1"), ("czuit_zone", "b2")]
+    assert [x.problem.split(":")[0] for x in r[1:]] == ["not well-formed"] * 4 + ["not an extract", "no cadastral number"] and all(x.cad_number is None and x.rights is None for x in r[1:])
+    b = extracts.read_extracts(spark.createDataFrame([(bytearray(windows),)], "x binary"), "x", ("cad_number", "address")).first()
+    assert tuple(b) == (None, "1:2:3:4", "ул. Мира")
 
 
 def test_address_of_many_parts(spark):
