@@ -1,7 +1,7 @@
 """Token ids of a corpus in files: one concatenated array of ids, and document boundaries in Elias-Fano form.
 
 Documents stand in ascending order of doc_id. The array is cut into shards (ranges of doc_id, in order) and shards into
-segments of about a million ids. A segment is a row of Parquet: the ids as little-endian integers of the vocabulary's width,
+segments of about half a million ids. A segment is a row of Parquet: the ids as little-endian integers of the vocabulary's width,
 the ends of its documents and their doc_ids, both as Elias-Fano bytes. A document longer than a segment is a segment of
 several rows (chunks). A second, small table has the number of ids before each shard. So a document's offset is the shard's,
 plus the segment's within the shard, plus a select.
@@ -26,7 +26,9 @@ from tessera.scratch import scratch_path
 
 END_ID = 2
 #: Ids of a segment, and of a chunk of a long document.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 19
+#: Bytes of a Parquet row group of segments: what a reader holds at a time.
+ROW_GROUP = 4 << 20
 #: Bytes of ids that a shard has on the average, at most.
 SHARD_BYTES = 256 << 20
 _SIGN = np.uint64(1 << 63)
@@ -137,13 +139,19 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
     shards = max(-(-4 * total // shard_bytes), min(spark.sparkContext.defaultParallelism, -(-total // segment_ids)), 1)
     order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "crc", "place"]
     ranged = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order, "piece")
-    ranged.mapInArrow(tidied(_segments(segment_ids)), _SEGMENT_DDL).write.option("compression", "zstd").parquet(f"{path}/segments")
+    ranged.mapInArrow(tidied(_segments(segment_ids)), _SEGMENT_DDL).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/segments")
     sizes = spark.read.schema(_SEGMENT_DDL).parquet(f"{path}/segments").where("chunk = 0").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"))
     # one small row for each shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes.select("shard", "n_ids", "n_docs", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first")).write.parquet(f"{path}/shards")
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: a batch may hold many segments."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _crc(ids: bytes, width: int, running: int = 0) -> int:
     return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes(), running)
 
@@ -154,7 +162,7 @@ def _documents(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running, seen, held = 0, 0, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 ids, width = row["ids"], row["width"]
                 ends = EliasFano.from_bytes(row["ends"]).all().astype(np.int64)
                 known = (EliasFano.from_bytes(row["doc_ids"]).all() ^ _SIGN).view(np.int64)
@@ -198,7 +206,7 @@ def _one(doc_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = doc_id + (1 << 63)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 names, ends = EliasFano.from_bytes(row["doc_ids"]), EliasFano.from_bytes(row["ends"])
                 low, high = 0, len(names)
                 while low < high:
