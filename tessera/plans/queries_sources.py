@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.registry import Tables, query
 from tessera.scratch import scratch_path
-from tessera.sources import extracts, readers, sinks
+from tessera.sources import extracts, pages, readers, sinks
 
 
 def _s(column: str | Column) -> Column:
@@ -130,15 +130,74 @@ def xml_problems(t: Tables) -> DataFrame:
     return found.groupBy(kind.alias("problem")).agg(F.count("*").alias("documents"), F.count(F.coalesce("cad_number", "address")).alias("objects"))
 
 
+def _printed(t: Tables) -> DataFrame:
+    """Pages of extracts, one extract for each customer: section 1 of four kinds, section 2 with a block for each order."""
+    k, text = F.col("c_custkey"), lambda *parts: F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+    kind = k % 4
+    named = F.element_at(F.array(*map(F.lit, ("Земельный участок", "Здание", "Помещение", "Сооружение"))), (kind + 1).cast("int"))
+    said = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    own = (
+        F.when(kind == 0, text(F.concat(F.lit("Площадь: "), _s(k + 100), F.lit(" +/- "), _s(k % 7)), "Категория земель:", "Земли населенных пунктов", said("Виды разрешенного использования", F.col("c_mktsegment")), F.concat(F.lit("Кадастровые номера расположенных в пределах земельного участка объектов недвижимости: "), _cad(k + 1), F.lit(", "), _cad(k + 2))))
+        .when(kind == 1, text(F.concat(F.lit("Площадь, м2: "), _s(k + 100), F.lit(",5")), "Назначение: Нежилое", said("Наименование", F.col("c_name")), F.concat(F.lit("Количество этажей, в том числе подземных этажей: "), _s(k % 30 + 2), F.lit(", в том числе подземных "), _s(k % 2)), said("Год завершения строительства", _s(1900 + k % 100)), F.concat(F.lit("Расположен в пределах "), _cad(k + 3))))
+        .when(kind == 2, text(F.concat(F.lit("Площадь, м2: "), _s(k + 100)), "Вид жилого помещения: Квартира", "Наименование:", "данные отсутствуют", F.concat(F.lit("Кадастровые номера иных объектов недвижимости, в пределах которых расположен: "), _cad(k + 1))))
+        .otherwise(text("Основная характеристика сооружения", "тип значение единица измерения", F.concat(F.lit("протяженность "), _s(k % 1000 + 1), F.lit(".5 в погонных метрах")), said("Наименование", F.col("c_name"))))
+    )
+    zone = F.when(k % 5 < 4, text(F.concat(F.lit("Земельный участок полностью расположен в границах зоны с реестровым номером 61:00-6."), _s(k)), F.when(k % 2 == 0, "вид/наименование: Территория памятника; тип: Иная").otherwise("вид/наименование: Охранная зона, тип: Охранная"), "дата решения: 01.02.2015, номер решения: 5-п", F.concat(F.lit("полностью расположен в границах зоны с реестровым номером 61:00-6."), _s(k)))).otherwise(text("Особые отметки:", "вид ограничения (обременения): Водоохранная зона; номер решения: 7", "вид ограничения (обременения): данные отсутствуют", "Получатель выписки: Иванов"))
+    first = text(
+        "Филиал публично-правовой компании «Роскадастр»  по области", F.when(k % 3 == 0, "Выписка об основных характеристиках").otherwise("Выписка об объекте недвижимости"), F.concat(F.lit("Раздел 1 Лист № 1 раздела 1\n30.12.2020г. № КУВИ-001/2020-"), _s(k)), F.concat(named, F.lit("\nвид объекта недвижимости")), "Всего листов выписки: 3 Всего разделов: 2",
+        F.when(k % 2 == 0, said("Кадастровый номер", _cad(k))).otherwise(F.concat(F.lit("Кадастровый номер:\n"), _cad(k))), "Дата присвоения кадастрового номера: 04.03.2015", "Ранее присвоенный государственный учетный номер: Инвентарный номер 12- 3", F.concat(F.lit("Местоположение: г.  Город, "), F.col("c_mktsegment")), own,
+        F.when(k % 7 == 0, "Кадастровая стоимость: не определена").otherwise(said("Кадастровая стоимость, руб.", F.concat(_s(k), F.lit(",25")))), F.concat(F.lit("Статус записи об объекте недвижимости: Сведения об объекте недвижимости имеют статус "), F.when(k % 11 == 0, '"Снят с учета"').otherwise('"Актуальные"')), zone,
+    )
+    n, o = F.col("o_orderkey") % 3, F.col("o_orderkey")
+    numbered, day = F.concat(F.lit("61:44:0050706:31-61/001/2020-"), _s(o)), F.date_format("o_orderdate", "dd.MM.yyyy")
+    block = (
+        F.when(n == 0, text(F.concat(F.lit("2.1 Собственность, 1/"), _s(F.col("o_custkey") % 9 + 1)), F.concat(F.when(o % 2 == 0, "права: ").otherwise(""), numbered), day))
+        .when(n == 1, text("4.1 вид: Ипотека", said("дата государственной регистрации", day), said("номер государственной регистрации", numbered), F.when(o % 2 == 0, "срок, на который установлено ограничение прав: с 01.02.2020 сроком на 5 лет"), "лицо, в пользу которого установлено ограничение прав:", F.concat(F.lit("Банк "), _s("o_custkey"), F.when(o % 4 < 2, ",\nИНН: 7700000001").otherwise("")), "основание государственной регистрации: Договор"))
+        .otherwise(text("вид: Запрещение регистрации", said("номер государственной регистрации", numbered), said("дата государственной регистрации", day), "лицо, в пользу которого установлено ограничение прав: данные отсутствуют"))
+    )
+    blocks = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("blocks"))
+    lines = F.split("blocks", "\n")
+    # a page may end inside a block; the page after says nothing of its section
+    half = F.floor(F.size(lines) / 2).cast("int")
+    sheet = lambda n, c: F.struct(F.lit(n).alias("page"), c.alias("text"))
+    second = F.concat(F.lit("Лист № 1 раздела 2\n"), F.array_join(F.slice(lines, 1, half), "\n"))
+    third = F.array_join(F.concat(F.slice(lines, half + 1, F.size(lines)), F.array(F.lit("Договоры участия в долевом строительстве: вид: нет"))), "\n")
+    sheets = F.array(sheet(1, first), sheet(2, second), sheet(3, third))
+    return t.customer.join(blocks, "c_custkey", "left").select("c_custkey", F.inline(sheets)).where("text is not null")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS m, * FROM customer)
+SELECT k AS c_custkey, 'КУВИ-001/2020-' || k AS extract_number, '2020-12-30' AS extract_date, 'Филиал публично-правовой компании «Роскадастр» по области' AS organ, CASE WHEN k % 3 = 0 THEN 'brief' ELSE 'full' END AS template, CAST(3 AS INTEGER) AS total_sheets, '61:44:0050706:' || k AS cad_number,
+ ['land', 'building', 'room', 'structure'][m + 1] AS object_type, 'г. Город, ' || c_mktsegment AS address, '2015-03-04' AS registration_date, 'Инвентарный номер 12-3' AS old_numbers, CASE m WHEN 1 THEN k + 100.5 WHEN 3 THEN NULL ELSE CAST(k + 100 AS DOUBLE) END AS area, CASE m WHEN 0 THEN CAST(k % 7 AS DOUBLE) END AS area_error,
+ CASE m WHEN 0 THEN 'Земли населенных пунктов' END AS land_category, CASE m WHEN 0 THEN c_mktsegment END AS permitted_uses, CASE WHEN k % 7 <> 0 THEN k + 0.25 END AS cadastral_value, CASE WHEN k % 11 = 0 THEN 'deregistered' ELSE 'active' END AS lifecycle_status, CASE WHEN k % 11 = 0 THEN 'Снят с учета' ELSE 'Актуальные' END AS status_text,
+ CASE m WHEN 0 THEN '61:44:0050706:' || (k + 1) || '; 61:44:0050706:' || (k + 2) END AS nested_objects, CASE m WHEN 0 THEN 'Земельный участок 61:44:0050706:' || k || ', ' || (k + 100) || '.0 кв.м' WHEN 2 THEN NULL ELSE c_name END AS name, CASE m WHEN 1 THEN 'Нежилое' END AS purpose, CASE m WHEN 1 THEN CAST(k % 30 + 2 - k % 2 AS INTEGER) END AS floors_above_ground,
+ CASE m WHEN 1 THEN CAST(1900 + k % 100 AS INTEGER) END AS year_built, CASE m WHEN 2 THEN 'Квартира' END AS room_type, CASE m WHEN 2 THEN '61:44:0050706:' || (k + 1) END AS parent_cad_number, CASE m WHEN 1 THEN '61:44:0050706:' || (k + 3) END AS land_cad_numbers, CASE m WHEN 3 THEN 'протяженность' END AS main_type, CASE m WHEN 3 THEN k % 1000 + 1.5 END AS main_value, CASE m WHEN 3 THEN 'в погонных метрах' END AS main_unit FROM c""")
+def printed_objects(t: Tables) -> DataFrame:
+    """SRC-05: header and section 1 of four kinds of objects, values beside their label or below it."""
+    found = pages.printed_objects(pages.printed_lines(_printed(t), "c_custkey", "page", "text"))
+    columns = "extract_number extract_date organ template total_sheets cad_number object_type address registration_date old_numbers area area_error land_category permitted_uses cadastral_value lifecycle_status status_text nested_objects name purpose floors_above_ground year_built room_type parent_cad_number land_cad_numbers main_type main_value main_unit"
+    return found.select(F.col("document").alias("c_custkey"), *columns.split())
+
+
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'encumbrance' WHEN o_orderkey % 3 = 2 THEN 'restriction' ELSE 'right' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN '1/' || (o_custkey % 9 + 1) END AS share, '61:44:0050706:31-61/001/2020-' || o_orderkey AS right_number, strftime(o_orderdate, '%Y-%m-%d') AS right_date, CASE WHEN o_orderkey % 3 = 1 THEN 'Банк ' || o_custkey END AS beneficiary FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'encumbrance' WHEN o_orderkey % 3 = 2 THEN 'restriction' ELSE 'right' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN '1/' || (o_custkey % 9 + 1) END AS share, '61:44:0050706:31-61/001/2020-' || o_orderkey AS right_number, strftime(o_orderdate, '%Y-%m-%d') AS right_date, CASE WHEN o_orderkey % 3 = 1 THEN 'Банк ' || o_custkey END AS beneficiary,
+ ['ownership', 'mortgage', 'prohibition'][o_orderkey % 3 + 1] AS code, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 THEN '2025-02-01' END AS valid_until, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 4 < 2 THEN '7700000001' END AS inn, '61:44:0050706:' || o_custkey AS cad_number FROM orders""")
 def pdf_rights(t: Tables) -> DataFrame:
-    """SRC-05: blocks of an extract's page; what isn't about a right falls away."""
-    k = F.col("o_orderkey") % 3
-    kind = F.when(k == 0, F.concat(F.lit("Собственность, 1/"), _s(F.col("o_custkey") % 9 + 1))).when(k == 1, "Ипотека").otherwise("Запрет регистрации")
-    page = F.concat(F.lit("Раздел 2\nсведения\n\n"), kind, F.lit("\n61:44:0050706:31-61/001/2020-"), _s("o_orderkey"), F.lit("\n"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.when(k == 1, F.concat(F.lit("\nв пользу: Банк "), _s("o_custkey"))).otherwise(""), F.lit("\n\nконец"))
-    rows = readers.pdf_text_rights(t.orders.select("o_orderkey", page.alias("page")), "page")
-    return rows.select("o_orderkey", "category", "share", "right_number", _s("right_date").alias("right_date"), "beneficiary")
+    """SRC-05: blocks of section 2 of any number of lines, also across pages; what isn't about a right falls away."""
+    rows = pages.printed_rights(pages.printed_lines(_printed(t), "c_custkey", "page", "text"))
+    share = F.nullif(F.concat_ws("/", _s("share_numerator"), _s("share_denominator")), F.lit(""))
+    order = F.regexp_extract("right_number", r"(\d+)$", 1).cast("long")
+    return rows.select(order.alias("o_orderkey"), F.col("right_category").alias("category"), share.alias("share"), "right_number", "right_date", F.col("beneficiary_name").alias("beneficiary"), F.col("right_type_code").alias("code"), "valid_until", F.col("beneficiary_inn").alias("inn"), "cad_number")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 < 4 THEN 'okn_territory' ELSE 'czuit_zone' END AS type, CASE WHEN c_custkey % 5 = 4 THEN 'Водоохранная зона; номер решения: 7' WHEN c_custkey % 2 = 0 THEN 'Территория памятника' ELSE 'Охранная зона' END AS description, CASE WHEN c_custkey % 5 < 4 THEN '61:00-6.' || c_custkey END AS registry_number,
+ CASE WHEN c_custkey % 5 = 4 THEN '7' ELSE '5-п' END AS document_number, CASE WHEN c_custkey % 5 < 4 THEN '2015-02-01' END AS document_date FROM customer""")
+def printed_restrictions(t: Tables) -> DataFrame:
+    """SRC-05: zones of an object by number, each once; special notes where there is none."""
+    found = pages.printed_restrictions(pages.printed_lines(_printed(t), "c_custkey", "page", "text"))
+    return found.select(F.col("document").alias("c_custkey"), "type", "description", "registry_number", "document_number", "document_date")
 
 
 @query("""

@@ -56,25 +56,6 @@ def xml_records(spark: SparkSession, folder: str, row_tag: str, schema: T.Struct
     return (reader.schema(schema) if schema else reader).load(folder)
 
 
-def pdf_text_rights(df: DataFrame, text: str) -> DataFrame:
-    """SRC-05: right blocks of an extract's text: one row a block of (line 0 kind and share, line 1 number, line 2 day)."""
-    blocks = F.filter(F.split(F.col(text), r"\n\s*\n"), lambda b: b.rlike(r"\d+/\d+-\d+/|-\d{2}/\d+/\d{4}-\d+|\d{2}:\d{2}:\d{6,7}:\d+-\d+"))
-    rows = df.select(*(c for c in df.columns if c != text), F.posexplode(blocks).alias("block_no", "block"))
-    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    line = lambda i: F.get(lines, F.lit(i))
-    beneficiary = group(F.col("block"), r"(?iu)в пользу:?\s*([^\n]+)")
-    return rows.withColumns({
-        "right_type": F.regexp_replace(line(0), r",?\s*\d+/\d+.*$", ""),
-        "share": group(line(0), r"(\d+/\d+)"),
-        "right_number": line(1),
-        "right_date": date_ru(line(2)),
-        "beneficiary": beneficiary,
-        # a named beneficiary makes it an encumbrance
-        "category": F.when(beneficiary.isNotNull(), "encumbrance").when(F.lower("block").rlike("огранич|запрет"), "restriction").otherwise("right"),
-        "term": term(F.col("block")),
-    })
-
-
 def storeys(total: Column, underground: Column) -> Column:
     """SRC-05: struct(above, below); 200 and more aren't storeys, above is the total without those below."""
     ok = lambda c: F.when(c.try_cast("int") < 200, c.try_cast("int"))

@@ -24,9 +24,6 @@ def test_readers(spark, tmp_path):
 def test_xml_and_text(spark, tmp_path):
     (tmp_path / "p.xml").write_text("<a><Placemark><name>n</name></Placemark><Placemark><name>m</name></Placemark></a>")
     assert {x.name for x in readers.xml_records(spark, str(tmp_path), "Placemark", "name string").collect()} == {"n", "m"}
-    page = "Собственность, 1/2\n61:44:0050706:31-61/001/2020-1\n01.02.2020\n\nИпотека\n61:44:0050706:31-61/001/2020-2\n03.02.2020\nв пользу: Банк\n\nпрочее"
-    rows = readers.pdf_text_rights(spark.createDataFrame([(1, page)], "id int, t string"), "t").orderBy("block_no").collect()
-    assert [(x.category, x.share, str(x.right_date)) for x in rows] == [("right", "1/2", "2020-02-01"), ("encumbrance", None, "2020-02-03")]
 
 
 def test_ledgers(spark):

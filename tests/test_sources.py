@@ -8,7 +8,7 @@ from tessera.functions import address, text
 from tessera.operators import graph as G
 from tessera.operators import matching, merge
 from tessera.operators import relational as R
-from tessera.sources import extracts
+from tessera.sources import extracts, pages
 from tessera.streaming import streams
 
 
@@ -147,3 +147,31 @@ def test_upsert_policies(spark):
     assert rows(merge.upsert(old, new, "k", "h", "ask_enrich", accepted=agreed))[1] == ("X", None, "enriched")
     events = {r.k: (r.event, list(r.fields)) for r in merge.upsert_events(old, new, "k", "h", [], ["a", "b"]).collect()}
     assert events == {4: ("created", []), 1: ("modified", ["a", "b"])}
+
+
+def test_printed_extract(spark):
+    """Sections by page, labels with values below them, blocks of any length, across pages, with consent blocks taken out."""
+    first = "\n".join(["Выписка об основных характеристиках", "12.01.2021 г. № КУВИ-002/2021-5", "Раздел 1", "Лист № 1 раздела 1", "Всего листов выписки: 4", "полное наименование органа", "Здание", "вид объекта недвижимости", "Кадастровый номер: 61:44:0050706:31",
+        "Местоположение: данные отсутствуют", "Адрес:", "  г. Ростов  ", "Площадь, м2: 1 250,7", "Назначение: Нежилое", "Наименование: Склад", "Наименование: Другое", "Количество этажей, в том числе подземных этажей: 2023", "Год завершения строительства: 1987"])
+    second = "\n".join(["Лист № 1 раздела 2", "Сведения о зарегистрированных правах", "1.1 Правообладатель: Иванов", "Сведения о возможности предоставления третьим лицам персональных данных: согласие", "вид: Ипотека", "2 Вид, номер, дата", "2.1 Общая долевая собственность, 3/7", "61-61/001/2020-1", "01.02.2020 10:20:30",
+        "2.2 Аренда", "дата 05.06.2020", "61-61/001/2020-2", "4 вид: Публичный сервитут", "номер государственной регистрации: 61-9", "срок, на который установлено ограничение: с 01.02.2020 по 29.02.2020", "лицо, в пользу которого установлено", "ограничение прав и обременение объекта недвижимости: Общество с ограниченной ответственностью «Дон»,"])
+    third = "\n".join(["ИНН: 7700000001", "основание государственной регистрации: Договор", "№ 5 от вчера", "2.3 Собственность", "61-61/001/2020-3", "вид: Арест", "дата государственной регистрации: 03.04.2020", "вид: Запрещение", "номер государственной регистрации: 61-9", "Правопритязания", "вид: после конца"])
+    plan = "Лист № 1 раздела 3\nвид: план\nСобственность\n61-0"
+    whole = "Кадастровый номер: 61:44:0050706:7\nСведения о зарегистрированных правах\nСобственность\n61-7\nОсобые отметки: данные отсутствуют"
+    rows = [("a", 1, first), ("a", 2, second), ("a", 3, third), ("a", 4, plan), ("b", 1, whole), ("c", 1, "письмо"), ("d", 1, None), ("e", 1, "")]
+    lines = pages.printed_lines(spark.createDataFrame(rows, "d string, p int, t string").repartition(3), "d", "p", "t")
+    objects = {x.document: x for x in pages.printed_objects(lines).collect()}
+    a = objects["a"]
+    assert set(objects) == {"a", "b"} and (a.template, a.extract_number, a.extract_date, a.total_sheets, a.object_type, a.cad_number) == ("brief", "КУВИ-002/2021-5", "2021-01-12", 4, "building", "61:44:0050706:31")
+    assert (a.address, a.area, a.purpose, a.name, a.floors_total, a.year_built) == ("г. Ростов", 1250.7, "Нежилое", "Склад", None, 1987)
+    got = [(x.document, x.right_category, x.right_type_code, x.right_number, x.right_date, x.share_denominator, x.valid_until, x.beneficiary_name, x.beneficiary_inn, x.basis) for x in pages.printed_rights(lines).orderBy("document", "at").collect()]
+    assert got == [
+        ("a", "right", "shared", "61-61/001/2020-1", "2020-02-01 10:20:30", 7, None, None, None, None),
+        ("a", "right", "lease", "61-61/001/2020-2", None, None, None, None, None, None),
+        ("a", "encumbrance", "pub_easement", "61-9", None, None, "2020-02-29", "ООО «Дон»", "7700000001", "Договор № 5 от вчера"),
+        ("a", "right", "ownership", "61-61/001/2020-3", None, None, None, None, None, None),
+        ("a", "restriction", "arrest", None, "2020-04-03", None, None, None, None, None),
+        ("a", "restriction", "other", None, None, None, None, None, None, None),
+        ("b", "right", "ownership", "61-7", None, None, None, None, None, None),
+    ]
+    assert pages.printed_restrictions(lines).count() == 0
