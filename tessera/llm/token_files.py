@@ -128,6 +128,7 @@ def _segments(limit: int):
 def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS, shard_bytes: int = SHARD_BYTES) -> None:
     """Write the ids of all texts, each followed by end_id, to the folder path: tables ``segments`` and ``shards``.
 
+    Segments aren't compressed: a split of the files then is what a reading task holds, and an id's place is one in the file.
     Null text is empty: its end id alone is written. Null ids come first. Rows that share an id stand in order of length, then
     of checksum; rows repeated as a whole are documents of their own. A shard boundary may fall between rows of one id, and
     between the chunks of one document never. Other columns are not read; an empty table gives empty files.
@@ -139,7 +140,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
     shards = max(-(-4 * total // shard_bytes), min(spark.sparkContext.defaultParallelism, -(-total // segment_ids)), 1)
     order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "crc", "place"]
     ranged = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order, "piece")
-    ranged.mapInArrow(tidied(_segments(segment_ids)), _SEGMENT_DDL).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/segments")
+    ranged.mapInArrow(tidied(_segments(segment_ids)), _SEGMENT_DDL).write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/segments")
     sizes = spark.read.schema(_SEGMENT_DDL).parquet(f"{path}/segments").where("chunk = 0").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"))
     # one small row for each shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
