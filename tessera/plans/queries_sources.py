@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.registry import Tables, query
 from tessera.scratch import scratch_path
-from tessera.sources import extracts, pages, readers, sinks
+from tessera.sources import extracts, pages, readers, sinks, tax_extracts
 
 
 def _s(column: str | Column) -> Column:
@@ -200,6 +200,63 @@ def printed_restrictions(t: Tables) -> DataFrame:
     return found.select(F.col("document").alias("c_custkey"), "type", "description", "registry_number", "document_number", "document_date")
 
 
+def _numbered(df: DataFrame, key: str, first: Column, lines: list[tuple[str, Column | str | None]]) -> DataFrame:
+    """Table lines of a document, numbered on from first; a line whose value is NULL isn't there."""
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("field"), (v if isinstance(v, Column) else F.lit(v)).cast("string").alias("value")) for i, (f, v) in enumerate(lines)))
+    return df.select(F.col(key).alias("document"), first.alias("first"), F.inline(cells)).where("value is not null").select("document", (F.col("first") + F.col("i")).alias("no"), "field", "value")
+
+
+def _tax_lines(t: Tables) -> DataFrame:
+    """An entry of the register of legal entities for each customer: a block of a founder or a director for each order."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    n, pledged, person = o % 3, (o % 6 == 0), "ГРН и дата внесения в ЕГРЮЛ сведений о данном лице"
+    when = lambda c, v: F.when(c, v)
+    head = _numbered(t.customer, "c_custkey", F.lit(0).cast("long"), [
+        ("Полное наименование на русском языке", F.concat(F.lit("ООО\n"), F.col("c_name"))), ("ОГРН", F.concat(F.lit("1 "), F.lpad(_s(k), 12, "0"))), ("Дата присвоения ОГРН", "4.3.2015"), ("Адрес юридического лица", F.concat(F.lit("г.  Город,\n"), F.col("c_mktsegment"), F.lit(", "))), ("ИНН юридического лица", F.lpad(_s(k), 10, "0")), ("Размер (в рублях)", "10 000,50"),
+    ])
+    blocks = _numbered(t.orders, "o_custkey", o * 100 + 1000, [
+        (person, "1 / 2"), ("Фамилия  Имя\nОтчество", when(n > 0, "ПЕТРОВ\nПЁТР")), ("ОГРН", when(n == 0, F.concat(F.lit("1 "), F.lpad(_s(o), 12, "0")))), ("ИНН", F.lpad(_s(o), 12, "0")), ("Полное наименование", when(n == 0, F.concat(F.lit("ООО "), _s(o)))), ("Должность", when(n == 1, "Директор")),
+        ("Номинальная стоимость доли (в рублях)", when(n == 0, "1 000,5")), ("Размер доли (в процентах)", when(n != 1, _s(o % 100))),
+        ("Сведения об обременении", when(pledged, "")), ("Сведения о договоре залога", when(pledged, F.concat(F.lit("Номер договора залога: 1 2-"), _s(o), F.lit("\nДата договора залога: 5.06.2020")))), ("Сведения о нотариусе, удостоверившем договор залога", when(pledged, "ИВАНОВ\nИВАН\nИВАНОВИЧ")),
+        ("Сведения о залогодержателе", when(pledged, "")), (person, when(pledged, "3")), ("ОГРН", when(pledged, F.lpad(_s("o_custkey"), 13, "9"))), ("Полное наименование", when(pledged, "Банк\nДон")),
+    ])
+    tail = _numbered(t.customer, "c_custkey", F.lit(10**15), [("Код и наименование вида деятельности", "01.11 Выращивание\nзерна"), ("Код и наименование вида деятельности", "46.2 Торговля"), ("Код и наименование вида деятельности", "без кода"), ("ОГРН", "0"), ("Полное наименование на русском языке", "второе")])
+    return head.unionByName(blocks).unionByName(tail)
+
+
+@query("""
+SELECT o_custkey AS c_custkey, ['legal', 'director', 'person'][o % 3 + 1] AS kind, CASE WHEN o % 3 = 0 THEN 'ООО ' || o ELSE 'Петров Пётр' END AS name, lpad(CAST(o AS VARCHAR), 12, '0') AS inn, CASE WHEN o % 3 = 0 THEN '1' || lpad(CAST(o AS VARCHAR), 12, '0') END AS ogrn, CASE WHEN o % 3 = 1 THEN 'Директор' END AS position,
+ CASE WHEN o % 3 = 0 THEN 1000.5 END AS share_nominal, CASE WHEN o % 3 <> 1 THEN CAST(o % 100 AS DOUBLE) END AS share_percent, CASE WHEN o % 6 = 0 THEN '12-' || o END AS contract_number, CASE WHEN o % 6 = 0 THEN '2020-06-05' END AS contract_date, CASE WHEN o % 6 = 0 THEN 'Иванов Иван Иванович' END AS notary,
+ CASE WHEN o % 6 = 0 THEN 'Банк Дон' END AS holder_name, CASE WHEN o % 6 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 13, '9') END AS holder_ogrn FROM (SELECT o_orderkey AS o, o_custkey FROM orders)""")
+def tax_members(t: Tables) -> DataFrame:
+    """SRC-11: directors and founders of legal entities, with the pledges of their shares."""
+    found = tax_extracts.legal_entities(_tax_lines(t), "document", "no", "field", "value")
+    rows = found.select(F.col("document").alias("c_custkey"), F.inline(F.concat("directors", "founders")))
+    p = F.get("pledges", F.lit(0))
+    return rows.select("c_custkey", "kind", "name", "inn", "ogrn", "position", "share_nominal", "share_percent", p["contract_number"].alias("contract_number"), p["contract_date"].alias("contract_date"), p["notary"].alias("notary"), p["holder"]["name"].alias("holder_name"), p["holder"]["ogrn"].alias("holder_ogrn"))
+
+
+@query("""
+SELECT c_custkey, 'ООО ' || c_name AS name_full, '1' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS ogrn, '2015-03-04' AS reg_date, 'г. Город, ' || c_mktsegment AS address, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS inn, CAST(10000 AS BIGINT) AS capital, '01.11' AS activity, 'Выращивание зерна' AS activity_name, '46.2' AS others,
+ CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 1) AS INTEGER) AS directors, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 <> 1) AS INTEGER) AS founders FROM customer""")
+def tax_entities(t: Tables) -> DataFrame:
+    """SRC-11: a legal entity's own fields, of which the first line counts, and its activities."""
+    found = tax_extracts.legal_entities(_tax_lines(t), "document", "no", "field", "value")
+    return found.select(F.col("document").alias("c_custkey"), "name_full", "ogrn", "reg_date", "address", "inn", "capital", F.col("activity_main.code").alias("activity"), F.col("activity_main.name").alias("activity_name"), F.array_join(F.transform("activities_other", lambda a: a["code"]), ",").alias("others"), F.size("directors").alias("directors"), F.size("founders").alias("founders"))
+
+
+@query("""
+SELECT s_suppkey, 'Петрова Анна Ивановна оглы' AS name_full, 'Петрова' AS last_name, 'Анна' AS first_name, 'Ивановна оглы' AS patronymic, 'женский' AS gender, '3' || lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS ogrn, lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS inn, '2020-01-02' AS reg_date, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '@x' END AS email, '47.1' AS activity FROM supplier""")
+def tax_traders(t: Tables) -> DataFrame:
+    """SRC-11: sole traders of the other register."""
+    k = F.col("s_suppkey")
+    lines = _numbered(t.supplier, "s_suppkey", F.lit(1).cast("long"), [
+        ("Фамилия Имя Отчество", "ПЕТРОВА\nАННА\nИВАНОВНА ОГЛЫ"), ("Пол", "Женский"), ("ОГРНИП", F.concat(F.lit("3"), F.lpad(_s(k), 14, "0"))), ("Дата регистрации", "2.1.2020"), ("Идентификационный номер налогоплательщика (ИНН)", F.lpad(_s(k), 12, "0")), ("E-mail", F.when(k % 2 == 0, F.concat("s_name", F.lit("@x")))), ("Код и наименование вида деятельности", "47.1 Торговля"), ("Пол", "мужской"),
+    ])
+    found = tax_extracts.sole_traders(lines, "document", "no", "field", "value")
+    return found.select(F.col("document").alias("s_suppkey"), "name_full", "last_name", "first_name", "patronymic", "gender", "ogrn", "inn", "reg_date", "email", F.col("activity_main.code").alias("activity"))
+
+
 @query("""
 WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_tax, CASE WHEN l_linenumber <= 3 THEN '01.01' ELSE '01.К' END AS account FROM lineitem)
 SELECT l_orderkey, account, name, kind, round(amount, 2) AS amount FROM (

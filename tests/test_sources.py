@@ -8,7 +8,7 @@ from tessera.functions import address, text
 from tessera.operators import graph as G
 from tessera.operators import matching, merge
 from tessera.operators import relational as R
-from tessera.sources import extracts, pages
+from tessera.sources import extracts, pages, tax_extracts
 from tessera.streaming import streams
 
 
@@ -175,3 +175,26 @@ def test_printed_extract(spark):
         ("b", "right", "ownership", "61-7", None, None, None, None, None, None),
     ]
     assert pages.printed_restrictions(lines).count() == 0
+
+
+def test_tax_extract(spark):
+    """Blocks that others close, a pledge without a founder, two pledges of one share, lines repeated inside and outside of blocks."""
+    person = "ГРН и дата внесения в ЕГРЮЛ сведений о данном лице"
+    lines = [
+        ("Сокращенное наименование на русском языке", ""), ("Сокращенное наименование на русском языке", "ООО «Б»"), ("Дата регистрации", "11.12.2001"), ("Сведения о договоре залога", "Номер договора залога: 9"),
+        (person, "1"), ("Полное наименование", "АО"), ("ОГРН", "1 1"), ("ОГРН", "1 2"), ("Размер доли", "33,3 %"),
+        ("Сведения об обременении", ""), ("Сведения о договоре залога", "номер договора залога: А 1 Дата договора залога: 1.2.2003"), ("Сведения о залогодержателе", ""), (person, "2"), ("ИНН", "5"), ("Полное наименование на русском языке", "ООО «Большое»"),
+        ("Сведения об обременении", ""), ("Сведения о нотариусе (договор залога)", "ИВАНОВ ИВАН"), (person, "3"), ("Фамилия, имя, отчество", "СИДОРОВ\nСИДОР"), ("Номинальная стоимость доли", "—"), ("Номинальная стоимость доли", "1 000"),
+        ("КПП юридического лица", "6 1"), ("ОГРН", "1 7"), ("Должность", "вне блока"), (person, "4"), ("Полное наименование", "без доли"), (person, "5"), ("Должность", "Директор"), ("ОГРН", "8"), ("", ""),
+    ]
+    rows = [("a", i, f, v) for i, (f, v) in enumerate(lines)] + [("b", 1, "Способ образования", None), ("b", 2, None, None)]
+    r = {x.document: x for x in tax_extracts.legal_entities(spark.createDataFrame(rows, "d string, n int, f string, v string").repartition(3), "d", "n", "f", "v").collect()}
+    a = r["a"]
+    assert (a.name_short, a.name_full, a.reg_date, a.ogrn, a.kpp, a.activity_main) == (None, "ООО «Большое»", "2001-12-11", "17", "61", None)
+    assert [(x.kind, x.name, x.position, x.ogrn) for x in a.directors] == [("director", None, "Директор", None)]
+    assert [(x.kind, x.name, x.ogrn, x.share_percent, x.share_nominal) for x in a.founders] == [("legal", "АО", "12", 33.3, None), ("person", "Сидоров Сидор", None, None, 1000.0)]
+    assert [(p.contract_number, p.contract_date, p.notary, p.holder.inn, p.holder.name) for p in a.founders[0].pledges] == [("А1", "2003-02-01", None, "5", None), (None, None, "ИВАНОВ ИВАН", None, None)]
+    assert (r["b"].ogrn, r["b"].founders, r["b"].directors) == (None, [], [])
+    text = "Сведения о держателе реестра акционеров\nОГРН 1027700000001\nИНН 7700000001\nПолное наименование АО «Реестр»\nДон ГРН и дата\n Сведения о лице"
+    k = one(spark, tax_extracts.registrar(F.lit(text)))
+    assert tuple(k) == ("1027700000001", "7700000001", "АО «Реестр» Дон") and one(spark, tax_extracts.register(F.lit("Выписка из Единого государственного реестра индивидуальных предпринимателей"))) == "ip"
