@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import importance, minhash_dedup, mixing, packing, suffix_dedup
+from tessera.llm import importance, minhash_dedup, mixing, packing, passage_dedup
 from tessera.llm.common import materialise, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +23,11 @@ def _matching(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards clean labelled text draws."""
+    """Documents that importance resampling towards clean labelled text draws.
+
+    Rows that share an id are drawn apart by their text; rows repeated as a whole stay or go together. Null and empty texts have
+    no n-grams and weigh 0. Equal keys are broken by the row's hash. Without documents or labels of both kinds see resample().
+    """
     drawn = importance.resample(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id", "rid").distinct()
     return _matching(docs, drawn)
 
@@ -40,20 +44,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages that repeat; n_chars follows the text where it was cut."""
-    cut = suffix_dedup.remove_repeats(docs, min_len=suffix_dedup.PASSAGE, levels=suffix_dedup.PASSAGE_LEVELS, with_text=True, keep=("lang", "source", "n_chars"))
-    n_chars = F.when(F.col("n_spans") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    """All documents, without the words of passages of over 50 words that repeat; n_chars follows the text where it was cut.
+
+    Null texts stay null; rows repeated as a whole are each other's repeats; an empty table gives no rows.
+    """
+    cut = passage_dedup.remove_passages(docs, keep=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("words_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it (0, 1 or 2); texts without words add nothing to a mix and go."""
+    """Each document as many times as the mix takes it (0, 1 or 2); texts without words, null ones too, add nothing to a mix and go.
+
+    A null source is a source of its own; of equal rows a part may be taken. An empty table gives no rows.
+    """
     chosen = mixing.mix(docs, keep=("text", "lang", "source", "n_chars")).where("taken > 0")
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, each with its sequence and place in it."""
+    """Pieces of token sequences, each with its sequence and place in it.
+
+    Null and empty texts are packed as their end id alone; repeated rows are documents of their own. An empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
