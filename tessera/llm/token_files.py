@@ -1,7 +1,7 @@
 """Token ids of a corpus in files: one concatenated array of ids, and document boundaries in Elias-Fano form.
 
 Documents stand in ascending order of doc_id. The array is cut into shards (ranges of doc_id, in order) and shards into
-segments of about half a million ids. A segment is a row of Parquet: the ids as little-endian integers of the vocabulary's width,
+segments of up to 131,072 ids. A segment is a row of Parquet: the ids as little-endian integers of the vocabulary's width,
 the ends of its documents and their doc_ids, both as Elias-Fano bytes. A document longer than a segment is a segment of
 several rows (chunks). A second, small table has the number of ids before each shard. So a document's offset is the shard's,
 plus the segment's within the shard, plus a select.
@@ -26,9 +26,9 @@ from tessera.scratch import scratch_path
 
 END_ID = 2
 #: Ids of a segment, and of a chunk of a long document.
-SEGMENT_IDS = 1 << 19
-#: Bytes of a Parquet row group of segments: what a reader holds at a time.
-ROW_GROUP = 4 << 20
+SEGMENT_IDS = 1 << 17
+#: Row groups of segments are small, as a reader holds one at a time. Left alone, the writer looks at their size after 100 rows only.
+LAYOUT = {"compression": "none", "parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 2, "parquet.page.size.row.check.min": 2}
 #: Bytes of ids that a shard has on the average, at most.
 SHARD_BYTES = 256 << 20
 _SIGN = np.uint64(1 << 63)
@@ -140,7 +140,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
     shards = max(-(-4 * total // shard_bytes), min(spark.sparkContext.defaultParallelism, -(-total // segment_ids)), 1)
     order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "crc", "place"]
     ranged = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order, "piece")
-    ranged.mapInArrow(tidied(_segments(segment_ids)), _SEGMENT_DDL).write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/segments")
+    ranged.mapInArrow(tidied(_segments(segment_ids)), _SEGMENT_DDL).write.options(**LAYOUT).parquet(f"{path}/segments")
     sizes = spark.read.schema(_SEGMENT_DDL).parquet(f"{path}/segments").where("chunk = 0").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"))
     # one small row for each shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
