@@ -5,50 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.relational import top_one
-
-
-def _carried(df: DataFrame, key: str, order: list[str], step, fields: str) -> DataFrame:
-    """Rows of each key in order, one after the other with a carried state: sorted partitions, never a key as one row.
-
-    step(state, t, r, f) gives the next state and a row's value, None for rows that fall away; state None begins a key.
-    fields: name and type of the row and of its value.
-    """
-    names = [c.split()[0] for c in fields.split(", ")]
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {fields}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
-        for batch in batches:
-            at, rows, values = [], [], []
-            flags = batch["f"].to_pylist() if "f" in batch.schema.names else [None] * batch.num_rows
-            for i, (k, t, r, f) in enumerate(zip(batch[key].to_pylist(), batch["t"].to_pylist(), batch["r"].to_pylist(), flags, strict=True)):
-                if k != now:
-                    now, state = k, None
-                state, value = step(state, t, f)
-                if value is not None:
-                    at.append(i)
-                    rows.append(r)
-                    values.append(value)
-            kept = batch[key].take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept, pa.array(rows, pa.int64()), *([pa.array(values, pa.bool_())] if len(names) > 1 else [])], names=[key, *names])
-
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+from tessera.streaming.greedy import micros, since_anchor
 
 
 def debounce(df: DataFrame, key: str, time: str, row: str, gap: float) -> DataFrame:
     """STM-02: rows at least `gap` after the last accepted one of their key (not after the last one)."""
-
-    def step(at: float | None, t: float, _) -> tuple:
-        return (t, True) if at is None or t - at >= gap else (at, None)
-
-    timed = df.select(key, seconds(F.col(time)).alias("t"), F.col(row).cast("long").alias("r"))
-    return _carried(timed, key, ["t", "r"], step, f"{row} long")
+    return since_anchor(df, key, time, row, gap).where("since = 1").select(key, F.col("row").alias(row))
 
 
 def seconds(moment: Column) -> Column:
@@ -57,20 +24,12 @@ def seconds(moment: Column) -> Column:
 
 
 def limiter(df: DataFrame, key: str, time: str, row: str, failed: Column, limit: int, window: float, block: float) -> DataFrame:
-    """STM-03: (key, row, blocked) for each failure: a window opens at its first failure, `limit` failures in it block; a success resets."""
+    """STM-03: (key, row, blocked) for each failure: a window opens at its first failure, `limit` failures in it block; a success resets.
 
-    def step(state: tuple | None, t: float, f: bool) -> tuple:
-        n, first, until = state or (0, None, 0.0)
-        if not f:
-            return (0, None, 0.0), None
-        if first is None or t - first > window:
-            n, first, until = 0, t, 0.0
-        n += 1
-        until = t + block if n >= limit else until
-        return (n, first, until), until > t
-
-    timed = df.select(key, seconds(F.col(time)).alias("t"), F.col(row).cast("long").alias("r"), failed.alias("f"))
-    return _carried(timed, key, ["t", "r", "f"], step, f"{row} long, blocked boolean")
+    A failure is blocked if it is the limit's in its window or comes after that one, as each of them begins the block anew.
+    """
+    counted = since_anchor(df, key, time, row, window, strict=True, reset=~failed).where("since > 0")
+    return counted.select(key, F.col("row").alias(row), ((F.col("since") >= limit) & F.lit(block > 0)).alias("blocked"))
 
 
 def _sorted(pdfs: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
@@ -116,20 +75,69 @@ def limiter_stream(df: DataFrame, key: str, time: str, row: str, failed: Column,
     return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, {row} long, blocked boolean", "n int, first double, until double", "append", GroupStateTimeout.NoTimeout)
 
 
-def change_stream(df: DataFrame, key: str, time: str, row: str, value: str, final: str | None = None) -> DataFrame:
-    """STM-04 on a stream: rows whose value changes; after the final value a key says nothing more."""
+TIMEOUT = "timeout"
+
+
+def changes_until(df: DataFrame, key: str, time: str, row: str, value: str, final: str, timeout: float, now: str) -> DataFrame:
+    """STM-04: (key, row, value) where a key's value changes, in runs of `timeout` seconds from the run's first row.
+
+    After the final value a run says nothing more. A run without it ends with one row of its own: value 'timeout', row NULL, once
+    its end is not after `now`. The next row of the key begins a new run.
+    """
+    runs = since_anchor(df, key, time, row, timeout).withColumnsRenamed({"row": row})
+    rows = df.select(key, F.col(row).cast("long").alias(row), F.col(value).alias("v"), micros(F.col(time)).alias("t")).join(runs, [key, row])
+    by_key = Window.partitionBy(key).orderBy("t", row)
+    rows = rows.withColumn("run", F.last(F.when(F.col("since") == 1, F.col("t")), ignorenulls=True).over(by_key))
+    in_run = Window.partitionBy(key, "run").orderBy("t", row)
+    ended = F.coalesce(F.max(F.col("v") == final).over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumns({"_before": F.lag("v").over(in_run), "_ended": ended})
+    told = rows.where(((F.col("since") == 1) | ~F.col("v").eqNullSafe(F.col("_before"))) & ~F.col("_ended")).select(key, row, F.col("v").alias(value))
+    silent = rows.groupBy(key, "run").agg(F.max(F.coalesce(F.col("v") == final, F.lit(False))).alias("done")).where(~F.col("done") & (F.col("run") + round(timeout * 1_000_000) <= F.unix_micros(F.lit(now).cast("timestamp"))))
+    return told.unionByName(silent.select(key, F.lit(None).cast("long").alias(row), F.lit(TIMEOUT).alias(value)))
+
+
+def change_stream(df: DataFrame, key: str, time: str, row: str, value: str, final: str | None = None, timeout: float | None = None, late: str = "0 seconds") -> DataFrame:
+    """STM-04 on a stream: rows whose value changes; after the final value a key says nothing more.
+
+    With timeout, runs end as in `changes_until`: a timer of event time, `timeout` seconds after a run's first row, tells the end
+    of a run that has gone silent, once, and frees its state. Rows may be late by `late`.
+    """
+    limit = None if timeout is None else round(timeout * 1_000_000)
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, out = state.get[0] if state.exists else None, []
-        for _, r, v in _sorted(pdfs, ["t", "r"])[["t", "r", "v"]].itertuples(index=False):
-            if v != last and (final is None or last != final):
+        last, since, out = None, None, []
+        if state.exists:
+            last, since = state.get
+        if state.hasTimedOut:
+            if last != final:
+                out.append((k[0], None, TIMEOUT))
+            state.remove()
+            yield _told(out, key, row, value)
+            return
+        for t, r, v in _sorted(pdfs, ["t", "r"])[["t", "r", "v"]].itertuples(index=False):
+            if limit is not None and since is not None and t - since >= limit:
+                if last != final:
+                    out.append((k[0], None, TIMEOUT))
+                last, since = None, None
+            begins = since is None
+            since = t if begins else since
+            if (begins or v != last) and (final is None or last != final):
                 out.append((k[0], r, v))
                 last = v
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, row, value])
+        state.update((last, since))
+        if limit is not None:
+            # a deadline that the watermark has passed already is told by the next one
+            state.setTimeoutTimestamp(max(-(-(since + limit) // 1000), state.getCurrentWatermarkMs() + 1))
+        yield _told(out, key, row, value)
+
+    timed = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if timeout is not None else df
+    timed = timed.select(F.col(key).cast("long").alias(key), micros(F.col(time)).alias("t"), F.col(row).cast("long").alias("r"), F.col(value).alias("v"), *([time] if timeout is not None else []))
+    kind = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, {row} long, {value} string", "last string, since long", "append", kind)
+
 
-    timed = df.select(F.col(key).cast("long").alias(key), seconds(F.col(time)).alias("t"), F.col(row).cast("long").alias("r"), F.col(value).alias("v"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, {row} long, {value} string", "last string", "append", GroupStateTimeout.NoTimeout)
+def _told(out: list[tuple], key: str, row: str, value: str) -> pd.DataFrame:
+    return pd.DataFrame({key: [x[0] for x in out], row: pd.array([x[1] for x in out], "Int64"), value: pd.array([x[2] for x in out], "object")})
 
 
 def file_index(events: DataFrame, path: str, time: str, kind: str, target: str) -> DataFrame:
