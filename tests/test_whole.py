@@ -25,6 +25,18 @@ def test_names_against_all_pairs(spark):
     assert got == want and "abxcdyef" in got and "abcdef" in got
 
 
+def test_names_of_one_form(spark):
+    """Few pairs are met, each once, and none that reaches the level is lost."""
+    a, b = [f"customer{i:09d}" for i in range(0, 1500, 5)], [f"customer{i:09d}" for i in range(1, 1500, 5)]
+    items = [matching._letters(spark.createDataFrame([(x,) for x in names], f"{k} string"), k) for names, k in ((a, "kl"), (b, "kr"))]
+    counts = items[0].select("item").unionByName(items[1].select("item")).groupBy("item").count().collect()
+    rarity = spark.createDataFrame([(x.item, i) for i, x in enumerate(sorted(counts, key=lambda x: (x["count"], x.item)))], "item string, rank int")
+    ranked = [matching._ranked(i, rarity, k, p) for i, k, p in zip(items, ("kl", "kr"), "lr")]
+    pairs = [tuple(x) for x in matching.name_candidates(*ranked, 0.93).collect()]
+    close = {(x, y) for x in a for y in b if difflib.SequenceMatcher(None, x, y).ratio() >= 0.93}
+    assert len(pairs) == len(set(pairs)) < 0.1 * len(a) * len(b) and close <= set(pairs) and close
+
+
 def test_streets_against_all_pairs(spark):
     r = random.Random(2)
     names = ["садовая", "новосадовая", "сад", "са", "садовый", "вая", "мира", "мираж", "адмирал"]
