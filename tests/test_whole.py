@@ -40,18 +40,26 @@ def test_names_of_one_form(spark):
 def test_streets_against_all_pairs(spark):
     r = random.Random(2)
     names = ["садовая", "новосадовая", "сад", "са", "садовый", "вая", "мира", "мираж", "адмирал"]
-    rows = lambda n: [(i, f"ул {r.choice(names)} д {r.choice(['1', '2', '1/2'])}" if r.random() < 0.8 else f"ул {r.choice(names)}") for i in range(n)]
-    a, b = spark.createDataFrame(rows(40), "i long, a string"), spark.createDataFrame(rows(40), "j long, b string").withColumn("rank", F.col("j") % 3)
-    got = {x.i: x.j for x in matching.by_address(a, b, "i", "j", "a", "b", "rank").collect()}
+    more = lambda: " ".join(r.sample(["ростов", "южный", "северный", "донской", "центр", "поле"], r.randrange(5)))
+    rows = lambda n: [(i, f"{more()} ул {r.choice(names)} д {r.choice(['1', '2', '1/2'])}" if r.random() < 0.6 else r.choice([f"{more()} ул {r.choice(names)}", "д ул д"])) for i in range(n)]
+    a, b = spark.createDataFrame(rows(120), "i long, a string"), spark.createDataFrame(rows(80), "j long, b string").withColumn("rank", F.col("j") % 3)
+    got = {x.i: (x.j, round(x.score, 9)) for x in matching.by_address(a, b, "i", "j", "a", "b", "rank").collect()}
     all_pairs = a.crossJoin(b).withColumn("s", address.likeness(F.col("a"), F.col("b"))).where("s >= 0.6").collect()
     want = {}
     for x in sorted(all_pairs, key=lambda x: (x["rank"], -x.s, x.j)):
-        want.setdefault(x.i, x.j)
+        want.setdefault(x.i, (x.j, round(x.s, 9)))
     assert got == want
     one = lambda x, c: spark.createDataFrame([(1, x, 1)], f"{c} long, t{c} string, rank int")
     assert matching.by_address(one("ул садовая д 1", "i").drop("rank"), one("ул новосадовая д 1", "j"), "i", "j", "ti", "tj", "rank").count() == 1
 
 
+def test_a_street_without_numbers_is_not_paired(spark):
+    """3,000 rows on either side of one street: what meets grows with the rows, not with their product."""
+    side = lambda c: spark.range(3000).select(F.col("id").alias(c), F.concat(F.lit("город ростов ул садовая офис "), (F.col("id") % 500 + 10).cast("string")).alias(f"t{c}"))
+    got = matching.by_address(side("i"), side("j").withColumn("rank", F.col("j") % 2), "i", "j", "ti", "tj", "rank")
+    assert {x.i: x.j for x in got.collect()} == {i: i % 500 if i % 2 == 0 else 0 for i in range(3000)}
+
+
 def test_founder_levels_has_no_depth(spark, tmp_path):
     spark.createDataFrame([(1, -5.0), (100, 1.0), (10_000, 1.0), (1_000_000, 1.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted((x.start, x.found, x.path, x.depth) for x in catalogue.QUERIES["founder_levels"](spark, str(tmp_path)).collect())
