@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.registry import Tables, query
 from tessera.scratch import scratch_path
-from tessera.sources import extracts, pages, readers, sinks, tax_extracts
+from tessera.sources import archives, extracts, pages, photos, readers, sheets, sinks, tax_extracts
 
 
 def _s(column: str | Column) -> Column:
@@ -501,3 +501,79 @@ def bundle_written(t: Tables) -> DataFrame:
     tables = {"customer": t.customer, "orders": t.orders}
     same = sinks.write_bundle(tables, a) == sinks.write_bundle({n: df.repartition(3) for n, df in tables.items()}, b)
     return t.spark.read.schema("table string, rows long, digest string").json(f"{a}/manifest").where(F.lit(same)).select("table", "rows")
+
+
+@query("""
+SELECT p_partkey, round(CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * (p_size + 0.51), 6) AS gps_lat, round(p_partkey % 170 + 0.25, 6) AS gps_lon, CASE WHEN p_size % 3 <> 0 THEN p_size * 1.5 END AS bearing, strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y-%m-%d') || ' 10:20:30' AS taken,
+ CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand || '/' || p_name END AS loc_path FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 5 = 0""")
+def photo_files(t: Tables) -> DataFrame:
+    """SRC-13: facts of photos from their bytes, in both byte orders; every fifth is cut off within its segment."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    comment = F.when(k % 4 == 0, "[1]").otherwise(F.to_json(F.struct(F.lit("gpp").alias("app"), F.struct(F.concat_ws("/", "p_brand", "p_name").alias("path")).alias("loc"))))
+    taken = F.concat(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), size), "yyyy:MM:dd"), F.lit(" 10:20:30"))
+    made = photos.photos(t.part.select("p_partkey", "p_size", "p_brand", "p_name"), F.when(size % 2 == 0, -1).otherwise(1) * (size + 0.51), k % 170 + 0.25, F.when(size % 3 != 0, size * 1.5), taken, comment, k % 2 == 0)
+    path = scratch_path(t.spark, "photos")
+    made.select("p_partkey", F.when(k % 5 == 0, F.substring("content", 1, 12)).otherwise(F.col("content")).alias("content")).write.parquet(path)
+    found = photos.photo_facts(t.spark.read.parquet(path), "content", app="gpp")
+    return found.select("p_partkey", F.round("gps_lat", 6).alias("gps_lat"), F.round("gps_lon", 6).alias("gps_lon"), "bearing", F.date_format("taken", "yyyy-MM-dd HH:mm:ss").alias("taken"), "loc_path")
+
+
+def _read_back(t: Tables, chunks: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(t.spark, name)
+    chunks.write.parquet(path)
+    return t.spark.read.schema(chunks.schema).parquet(path)
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS archive, 'customer.jsonl' AS path, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS sha256, CAST(NULL AS VARCHAR) AS problem FROM customer
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders.jsonl', sha256(string_agg('{"c_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}', chr(10) ORDER BY '{"c_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}')), NULL FROM orders GROUP BY o_custkey""")
+def bundle_archives(t: Tables) -> DataFrame:
+    """SNK-04: a zip file for each customer with its rows of two tables and a manifest of their hashes, written and read back."""
+    tables = {"customer": t.customer.select("c_custkey", "c_name"), "orders": t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")}
+    chunks = _read_back(t, archives.zip_entries(archives.slices(tables, "c_custkey"), "archive", "path", "content"), "bundles")
+    return archives.read_entries(chunks).select("archive", "path", "sha256", "problem")
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS archive, c_name AS name, c_mktsegment || ' & co' AS description FROM customer")
+def kmz_written(t: Tables) -> DataFrame:
+    """SNK-06: the placemarks of each nation as a KMZ file, read back from its one entry."""
+    ring = F.array(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(2.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(1.0)))
+    marks = t.customer.select("c_nationkey", sinks.placemark(F.col("c_name"), F.concat("c_mktsegment", F.lit(" & co")), ring).alias("mark"))
+    documents = marks.groupBy("c_nationkey").agg(F.concat(F.lit("<kml>"), F.array_join(F.collect_list("mark"), ""), F.lit("</kml>")).alias("kml"))
+    chunks = _read_back(t, archives.zip_entries(documents.withColumn("path", F.lit("doc.kml")), "c_nationkey", "path", "kml", manifest=False), "kmz")
+    entries = archives.read_entries(chunks).select("archive", F.col("content").cast("string").alias("kml"))
+    found = entries.select("archive", F.inline(F.arrays_zip(F.expr("xpath(kml, '//Placemark/name/text()')").alias("name"), F.expr("xpath(kml, '//Placemark/description/text()')").alias("description"))))
+    return found.select("archive", "name", "description")
+
+
+@query("""
+SELECT CAST(s_nationkey AS VARCHAR) AS archive, 'Suppliers' AS sheet, s_name AS name, round(s_acctbal, 2) AS amount FROM supplier UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'Customers & co', c_name, round(c_acctbal, 2) FROM customer""")
+def workbook_files(t: Tables) -> DataFrame:
+    """SNK-03: a workbook with two sheets for each nation as an XLSX file, read back cell by cell."""
+    a = t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount"))
+    b = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    grid = sheets.grid_of(a, "nation", "Suppliers", ["name"], ["name", "amount"], 1).unionByName(sheets.grid_of(b, "nation", "Customers & co", ["name"], ["name", "amount"], 2))
+    files = sinks.joined_chunks(_read_back(t, sheets.write_workbooks(grid), "workbooks"))
+    cells = sheets.read_cells(files, "archive", "content")
+    rows = [sheets.table_rows(cells, n, {"name": 1, "amount": 2}, 2, "name").withColumn("sheet", F.lit(n)) for n in ("Suppliers", "Customers & co")]
+    return rows[0].unionByName(rows[1]).select("archive", "sheet", "name", F.round(F.col("amount").cast("double"), 2).alias("amount"))
+
+
+@query("""
+SELECT p_brand AS archive, '61:44:0050706:' || p_partkey AS cad_number, p_name AS address, CAST(p_size AS DOUBLE) AS area, 'Группа ' || p_brand AS owner FROM part WHERE p_size % 2 = 0""")
+def asset_template(t: Tables) -> DataFrame:
+    """SRC-08: rows of the asset template's land sheet from the third line on, a merged owner for all of them; those without a number fall away."""
+    columns = sheets.ASSETS["Земельные участки"]
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = t.part.withColumns({"row": n + 2, "rows": F.count("*").over(Window.partitionBy("p_brand"))})
+    cell = lambda name, value, numeric=False, until=None: F.struct((F.lit(columns.index(name) + 1)).alias("col"), value.cast("string").alias("value"), F.lit(numeric).alias("numeric"), (until if until is not None else F.lit(None).cast("string")).alias("until"))
+    last = F.concat(F.lit(sheets.letters(columns.index("owner") + 1)), _s(F.col("rows") + 2))
+    values = F.array(
+        cell("num", F.col("row") - 2, True), cell("cad_number", F.when(F.col("p_size") % 2 == 0, _cad(F.col("p_partkey")))), cell("address", F.col("p_name")), cell("area", F.col("p_size"), True),
+        cell("owner", F.when(F.col("row") == 3, F.concat(F.lit("Группа "), "p_brand")), False, F.when(F.col("rows") > 1, last)),
+    )
+    heads = t.part.select(F.col("p_brand").alias("archive")).distinct().select("archive", F.explode(F.array(F.lit(1), F.lit(2))).alias("row"), F.lit(6).alias("col"), F.lit("Кадастровый номер").alias("value"), F.lit(False).alias("numeric"), F.lit(None).cast("string").alias("until"))
+    grid = rows.select(F.col("p_brand").alias("archive"), "row", F.inline(values)).where("value is not null").unionByName(heads).withColumns({"sheet": F.lit("Земельные участки"), "ord": F.lit(1)})
+    files = sinks.joined_chunks(_read_back(t, sheets.write_workbooks(grid), "assets"))
+    found = sheets.asset_rows(sheets.read_cells(files, "archive", "content", fill=True), "Земельные участки")
+    return found.select("archive", "cad_number", "address", F.col("area").cast("double").alias("area"), "owner")

@@ -31,9 +31,19 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """SNK-04: (rows, digest): a digest that doesn't depend on the order of rows; equal rows count each."""
-    row = F.xxhash64(*(F.col(c) for c in sorted(df.columns)))
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string"), 256).alias("digest"))
+    """SNK-04: (rows, digest): a SHA-256 that doesn't depend on the order of rows; equal rows count each.
+
+    Rows are hashed as JSON, hashes put in order and hashed by their first six signs, those by three, and those as a whole: no
+    group has more than a 4096th of what is below it, and tables agree in it only if they do in all rows.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    level = df.select(row.alias("h"), F.lit(1).cast("long").alias("n"))
+    for signs in (6, 3, 0):
+        joined = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
+        mark = F.substring("h", 1, signs).alias("k")
+        # the first signs of a group stay those of its hash, so that the next level can group by them
+        level = level.groupBy(mark).agg(F.concat(F.first(F.substring("h", 1, signs)), joined).alias("h"), F.sum("n").alias("n")) if signs else level.agg(joined.alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return level.select(F.col("n").alias("rows"), F.col("h").alias("digest"))
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> str:
@@ -52,6 +62,12 @@ def write_bundle(tables: dict[str, DataFrame], folder: str) -> str:
     return hashlib.sha256(json.dumps(entries).encode()).hexdigest()
 
 
+def joined_chunks(chunks: DataFrame) -> DataFrame:
+    """(archive, content): files of (archive, chunk, data), for those of which one fits a row."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "data"))), lambda c: c["data"])
+    return chunks.groupBy("archive").agg(F.aggregate(ordered, F.lit(b""), lambda a, d: F.concat(a, d)).alias("content"))
+
+
 def write_profiles(df: DataFrame, project: str, folder: str) -> None:
     """SNK-05: profiles as JSON, a folder for each project."""
     df.write.mode("overwrite").partitionBy(project).json(folder)
