@@ -68,39 +68,57 @@ def upsert_events(old: DataFrame, new: DataFrame, key: str, content: str, number
     return made.unionByName(other.select(key, F.col(content).alias("content")).join(diffs, key).withColumn("event", F.lit("modified")))
 
 
-def merge_parsed(store: dict[str, DataFrame], parsed: dict[str, DataFrame], object_key: str, policy: str = "replace", fill: list[str] | None = None) -> dict[str, DataFrame]:
-    """MRG-15: extracts, objects, rights and holders of parsed documents into a store; the store's tables after it.
+def parsed_changes(store: dict[str, DataFrame], parsed: dict[str, DataFrame], object_key: str, policy: str = "replace", fill: list[str] | None = None) -> dict[str, DataFrame]:
+    """MRG-15: what extracts, objects, rights and holders of parsed documents add to a store, and the objects that they change.
 
     Extracts are told by number and object, the last stated one counts; objects go by upsert(); a right whose number is
     known, or comes twice, is the one there is, a right without a number is always new; holders follow their right and
     are there once by kind, name and tax id. rights and holders have a `ref` that ties them in the parsed documents.
     """
-    extracts = store["extracts"].join(parsed["extracts"].select("extract_number", object_key), ["extract_number", object_key], "left_anti").unionByName(top_one(parsed["extracts"], ["extract_number", object_key], [F.desc("extract_date")]))
-    objects = upsert(store["objects"], top_one(parsed["objects"], [object_key], [F.col("content_hash")]), object_key, "content_hash", policy, fill).drop("action")
+    extracts = top_one(parsed["extracts"], ["extract_number", object_key], [F.desc("extract_date")]).join(store["extracts"].select("extract_number", object_key), ["extract_number", object_key], "left_anti")
+    new = top_one(parsed["objects"], [object_key], [F.col("content_hash")])
+    objects = upsert(store["objects"], new, object_key, "content_hash", policy, fill).where("action not in ('kept', 'skipped')").drop("action")
     known = store["rights"].where("right_number is not null").groupBy("right_number").agg(F.min("right_id").alias("_known"))
     # the id of a right that is new: its own number's, or its place in the documents
     fresh = F.when(F.col("right_number").isNotNull(), stable_hash(F.col("right_number"))).otherwise(stable_hash(F.col("ref")))
     named = parsed["rights"].join(known, "right_number", "left").withColumn("right_id", F.coalesce("_known", fresh))
     added = top_one(named.where("_known is null"), ["right_id"], [F.col("ref")]).drop("_known", "ref")
-    rights = store["rights"].unionByName(added.select(*store["rights"].columns))
-    holders = parsed["holders"].join(named.select("ref", "right_id"), "ref").drop("ref").withColumn("name", short_form(F.col("name")))
+    # each name is shortened once, however many rights it stands in
+    short = parsed["holders"].select("name").distinct().select(F.col("name").alias("_name"), short_form(F.col("name")).alias("_short"))
+    held = parsed["holders"].join(named.select("ref", "right_id"), "ref").join(short, F.col("name").eqNullSafe(F.col("_name"))).withColumn("name", F.col("_short"))
     same = ["right_id", "holder_type", "name", "inn"]
-    both = store["holders"].select(*same).unionByName(holders.select(*same)).distinct()
-    return {"extracts": extracts, "objects": objects, "rights": rights, "holders": both}
+    return {"extracts": extracts, "objects": objects, "rights": added.select(*store["rights"].columns), "holders": held.select(*same).subtract(store["holders"].select(*same))}
+
+
+def merge_parsed(store: dict[str, DataFrame], parsed: dict[str, DataFrame], object_key: str, policy: str = "replace", fill: list[str] | None = None) -> dict[str, DataFrame]:
+    """MRG-15: the store's tables after parsed_changes()."""
+    changes = parsed_changes(store, parsed, object_key, policy, fill)
+    objects = store["objects"].join(changes["objects"].select(object_key), object_key, "left_anti")
+    return {n: (objects if n == "objects" else store[n]).unionByName(changes[n]) for n in store}
 
 
-def commit(store: dict[str, DataFrame], folder: str, version: int) -> None:
-    """MRG-15: all tables of a version or none: the file that names it is written last, and readers go by that file."""
-    spark = next(iter(store.values())).sparkSession
-    for name, df in store.items():
-        df.write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
-    spark.createDataFrame([(version, sorted(store))], "version long, tables array<string>").coalesce(1).write.mode("append").json(f"{folder}/committed")
+def commit(changes: dict[str, DataFrame], folder: str, version: int) -> None:
+    """MRG-15: the changes of a version, all tables or none: the file that names it is written last, and readers go by that file.
+
+    A version that is tried again overwrites what it had written; what other versions wrote is never touched.
+    """
+    spark = next(iter(changes.values())).sparkSession
+    for name, df in changes.items():
+        df.withColumn("_version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
+    spark.createDataFrame([(version, sorted(changes))], "version long, tables array<string>").coalesce(1).write.mode("append").json(f"{folder}/committed")
 
 
-def last_committed(spark, folder: str) -> dict[str, DataFrame]:
-    """MRG-15: the tables of the last version that was written whole."""
-    last = spark.read.schema("version long, tables array<string>").json(f"{folder}/committed").orderBy(F.desc("version")).first()
-    return {name: spark.read.parquet(f"{folder}/v{last.version}/{name}") for name in last.tables}
+def last_committed(spark, folder: str, keys: dict[str, str]) -> dict[str, DataFrame]:
+    """MRG-15: the tables as the versions that were written whole left them; of a table in keys the last version of each key.
+
+    One small file is read for each version.
+    """
+    done = spark.read.schema("version long, tables array<string>").json(f"{folder}/committed").distinct().collect()
+    out = {}
+    for name in sorted({n for r in done for n in r.tables}):
+        rows = spark.read.parquet(*(f"{folder}/v{r.version}/{name}" for r in done if name in r.tables))
+        out[name] = (top_one(rows, [keys[name]], [F.desc("_version")]) if name in keys else rows).drop("_version")
+    return out
 
 
 def add_source(known: Column, source: Column) -> Column:

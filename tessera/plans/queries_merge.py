@@ -71,7 +71,7 @@ WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linenumber <>
 SELECT 'extracts' AS "table", count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders UNION ALL SELECT 'objects', count(*), count(DISTINCT o_orderkey) FROM orders
 UNION ALL SELECT 'rights', count(DISTINCT coalesce(number, o || '/' || n)), count(DISTINCT number) FROM r UNION ALL SELECT 'holders', count(DISTINCT l_orderkey || '-' || l_linenumber || 'ООО s' || l_suppkey), count(DISTINCT l_suppkey) FROM lineitem""")
 def parsed_results(t: Tables) -> DataFrame:
-    """MRG-15: parsed documents into a store that holds a part of them already, written as one version and read back."""
+    """MRG-15: parsed documents into a store that holds a part of them already, written as a version of what they change and read back."""
     from tessera.scratch import scratch_path
 
     number = F.when(F.col("l_linenumber") != 2, F.concat_ws("-", "l_orderkey", "l_linenumber"))
@@ -85,9 +85,9 @@ def parsed_results(t: Tables) -> DataFrame:
     # half of the orders first; then all of them, of which that half is known
     half = lambda df, key: df.where(F.pmod(F.element_at(F.split(F.col(key).cast("string"), "/"), 1).cast("long"), F.lit(2)) == 0)
     first = {"extracts": half(extracts, "cad"), "objects": half(objects, "cad"), "rights": half(rights, "ref").where("right_number is not null"), "holders": half(holders, "ref")}
-    M.commit(M.merge_parsed(empty, first, "cad"), folder, 1)
-    M.commit(M.merge_parsed(M.last_committed(t.spark, folder), parsed, "cad"), folder, 2)
-    out = M.last_committed(t.spark, folder)
+    M.commit(M.parsed_changes(empty, first, "cad"), folder, 1)
+    M.commit(M.parsed_changes(M.last_committed(t.spark, folder, {"objects": "cad"}), parsed, "cad"), folder, 2)
+    out = M.last_committed(t.spark, folder, {"objects": "cad"})
     counted = lambda name, key: out[name].agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
     holder = F.regexp_extract("name", r"^ООО (s\d+)$", 1)
     return reduce(DataFrame.unionByName, [counted("extracts", F.col("cad")), counted("objects", F.col("cad")), counted("rights", F.col("right_number")), counted("holders", F.nullif(holder, F.lit("")))])

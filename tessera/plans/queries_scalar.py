@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import address, dates, geometry, numbers, text, values
+from tessera.functions import address, dates, geometry, inflection, numbers, text, values
 from tessera.operators import matching
 from tessera.operators import relational as R
 from tessera.plans.registry import Tables, query
@@ -320,3 +320,23 @@ def map_forms(t: Tables) -> DataFrame:
     kept = values.without_technical(values.without_keys(attrs, ["phone"]))
     links = values.links(F.array(F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")), F.array(F.lit("c"), F.lit("n")))
     return t.customer.select("c_custkey", F.array_join(F.transform(links, lambda x: F.concat(x["kind"], x["id"])), ";").alias("entries"), F.array_join(F.map_values(kept), ",").alias("kept"))
+
+
+#: Phrases in the six cases.
+_INFLECTED = [
+    ("Земельный участок", "Земельного участка", "Земельному участку", "Земельный участок", "Земельным участком", "Земельном участке"),
+    ("нежилое здание", "нежилого здания", "нежилому зданию", "нежилое здание", "нежилым зданием", "нежилом здании"),
+    ("центральная часть города", "центральной части города", "центральной части города", "центральную часть города", "центральной частью города", "центральной части города"),
+    ("Производственная территория ООО", "Производственной территории ООО", "Производственной территории ООО", "Производственную территорию ООО", "Производственной территорией ООО", "Производственной территории ООО"),
+    ("склад и административное помещение", "склада и административного помещения", "складу и административному помещению", "склад и административное помещение", "складом и административным помещением", "складе и административном помещении"),
+    ("транспортная доступность, общая площадь", "транспортной доступности, общей площади", "транспортной доступности, общей площади", "транспортную доступность, общую площадь", "транспортной доступностью, общей площадью", "транспортной доступности, общей площади"),
+    ("в центральной части", "в центральной части", "в центральной части", "в центральной части", "в центральной части", "в центральной части"),
+    ("подъездная дорога № 2", "подъездной дороги № 2", "подъездной дороге № 2", "подъездную дорогу № 2", "подъездной дорогой № 2", "подъездной дороге № 2"),
+]
+
+
+@query("WITH f(i, nom, gen, dat, acc, ins, loc) AS (VALUES " + ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in f) + ")" for i, f in enumerate(_INFLECTED)) + ") SELECT p_partkey, nom, gen, dat, acc, ins, loc FROM part JOIN f ON i = p_partkey % 8")
+def inflected_phrases(t: Tables) -> DataFrame:
+    """TXT-28: a lot's phrases in six cases."""
+    phrase = F.element_at(F.array(*(F.lit(f[0]) for f in _INFLECTED)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return t.part.select("p_partkey", inflection.inflected(phrase, *inflection.CASES).alias("f")).select("p_partkey", "f.*")

@@ -128,12 +128,34 @@ def test_ranks_of_all_rows(spark):
     assert R.ranked(spark.createDataFrame([], "i long, v long"), [F.col("v")], "place").collect() == []
 
 
-def test_only_whole_versions_count(spark, tmp_path):
-    folder = str(tmp_path)
-    merge.commit({"a": spark.range(3), "b": spark.range(1)}, folder, 1)
-    spark.range(9).write.parquet(f"{folder}/v2/a")  # a version that broke off
-    store = merge.last_committed(spark, folder)
-    assert {n: df.count() for n, df in store.items()} == {"a": 3, "b": 1}
+def test_versions_hold_what_changed(spark, tmp_path):
+    """Only new and changed rows are written; a version that breaks off leaves the one before; a retry overwrites it."""
+    folder = str(tmp_path / "store")
+    empty = {"extracts": spark.createDataFrame([], "extract_number string, cad long, extract_date string"), "objects": spark.createDataFrame([], "cad long, area double, content_hash string"), "rights": spark.createDataFrame([], "right_id string, cad long, right_number string"), "holders": spark.createDataFrame([], "right_id string, holder_type string, name string, inn string")}
+
+    def documents(*cads):
+        rows = [(c, f"{c}-{v}") for c, v in cads]
+        frame = lambda rs, schema: spark.createDataFrame(rs, schema)
+        return {
+            "extracts": frame([(n, c, "2020") for c, n in rows], empty["extracts"].schema), "objects": frame([(c, float(c), n) for c, n in rows], empty["objects"].schema),
+            "rights": frame([(f"{c}/1", c, f"r{c}") for c, _ in rows] + [(f"{n}/2", c, None) for c, n in rows], "ref string, cad long, right_number string"),
+            "holders": frame([(f"{c}/1", "legal_entity", "Общество с ограниченной ответственностью А", None) for c, _ in rows] * 2, "ref string, holder_type string, name string, inn string"),
+        }
+
+    read = lambda: merge.last_committed(spark, folder, {"objects": "cad"})
+    state = lambda store: {n: sorted(map(str, map(tuple, df.collect()))) for n, df in store.items()}
+    merge.commit(merge.parsed_changes(empty, documents((1, 1), (2, 1)), "cad"), folder, 1)
+    want = merge.merge_parsed(read(), documents((2, 2), (3, 1), (1, 1)), "cad")
+    want, before = state(want), state(read())
+    changes = merge.parsed_changes(read(), documents((2, 2), (3, 1), (1, 1)), "cad")
+    changes["objects"].limit(1).withColumn("_version", F.lit(2)).write.parquet(f"{folder}/v2/objects")  # broken off
+    assert state(read()) == before
+    merge.commit(changes, folder, 2)
+    assert state(read()) == want and len(want["objects"]) == 3 and len(want["holders"]) == 3
+    written = {n: spark.read.parquet(f"{folder}/v2/{n}").count() for n in empty}
+    assert written == {"extracts": 2, "objects": 2, "rights": 4, "holders": 1}
+    assert [x for x in want["holders"] if "'ООО А'" not in x] == []
+
 
 
 def test_upsert_policies(spark):
