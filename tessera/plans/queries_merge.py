@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import content_hash
 from tessera.operators import merge as M
+from tessera.operators import schema as X
 from tessera.operators import validate as V
 from tessera.plans.registry import Tables, query
 from tessera.sources import sinks
@@ -328,3 +329,37 @@ def folder_report(t: Tables) -> DataFrame:
     """SNK-09, AGG-09: every file counts in each folder above it."""
     files = t.documents.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "n_chars")
     return sinks.folder_report(files, "path", {"long": F.col("n_chars") > 1000})
+
+
+INVOICE = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+ <xs:simpleType name="Tin"><xs:restriction base="xs:string"><xs:pattern value="\\d{10}"/><xs:pattern value="\\d{12}"/></xs:restriction></xs:simpleType>
+ <xs:complexType name="Party"><xs:choice><xs:element name="tin" type="Tin"/><xs:element name="name" type="xs:string"/></xs:choice></xs:complexType>
+ <xs:element name="invoice"><xs:complexType><xs:sequence>
+  <xs:element name="day" type="xs:date"/><xs:element name="seller" type="Party"/><xs:element name="buyer" type="Party" minOccurs="0"/>
+  <xs:element name="line" maxOccurs="unbounded"><xs:complexType><xs:sequence>
+   <xs:element name="quantity"><xs:simpleType><xs:restriction base="xs:decimal"><xs:minInclusive value="1"/><xs:maxInclusive value="40"/></xs:restriction></xs:simpleType></xs:element>
+   <xs:element name="flag"><xs:simpleType><xs:restriction base="xs:string"><xs:enumeration value="A"/><xs:enumeration value="N"/></xs:restriction></xs:simpleType></xs:element>
+  </xs:sequence><xs:attribute name="number" use="required"/></xs:complexType></xs:element>
+ </xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS bad FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))
+SELECT k AS o_orderkey, '/invoice/day' AS path, 'text' AS rule FROM o WHERE bad = 1 UNION ALL SELECT k, '/invoice/seller', 'children' FROM o WHERE bad = 2 UNION ALL SELECT k, '/invoice', 'children' FROM o WHERE bad IN (3, 4)
+UNION ALL SELECT k, '/invoice/seller/tin', 'text' FROM o WHERE bad = 5 UNION ALL SELECT k, NULL, 'not well-formed' FROM o WHERE bad = 6
+UNION ALL SELECT l_orderkey, '/invoice/line/quantity', 'bounds' FROM lineitem JOIN o ON k = l_orderkey WHERE l_quantity > 40 AND bad <> 6 UNION ALL SELECT l_orderkey, '/invoice/line/flag', 'listed' FROM lineitem JOIN o ON k = l_orderkey WHERE l_returnflag = 'R' AND bad <> 6
+UNION ALL SELECT l_orderkey, '/invoice/line', 'attribute missing: number' FROM lineitem JOIN o ON k = l_orderkey WHERE l_linenumber = 3 AND bad <> 6""")
+def invoice_check(t: Tables) -> DataFrame:
+    """VAL-09: an invoice for each order with its lines against a schema; each breach by path and rule."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("<line"), F.when(F.col("l_linenumber") == 3, "").otherwise(F.concat(F.lit(' number="'), text("l_linenumber"), F.lit('"'))), F.lit("><quantity>"), text("l_quantity"), F.lit("</quantity><flag>"), F.col("l_returnflag"), F.lit("</flag></line>"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(line), "").alias("lines"))
+    bad = F.col("o_orderkey") % 7
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    party = lambda name, inside: F.concat(F.lit(f"<{name}>"), inside, F.lit(f"</{name}>"))
+    tin = F.when(bad == 5, "12345").otherwise("1234567890")
+    seller = party("seller", F.when(bad == 2, "<tin>1234567890</tin><name>A</name>").otherwise(F.concat(F.lit("<tin>"), tin, F.lit("</tin>"))))
+    buyer = F.when(bad == 3, "<buyer><name>B</name></buyer><buyer><name>C</name></buyer>").when(bad == 0, "").otherwise("<buyer><name>B</name></buyer>")
+    body = F.concat(F.when(bad == 4, "").otherwise(F.concat(F.lit("<day>"), F.when(bad == 1, F.concat(day, F.lit("T1"))).otherwise(day), F.lit("</day>"))), seller, buyer, "lines")
+    documents = t.orders.join(lines, "o_orderkey").select("o_orderkey", F.concat(F.lit("<invoice>"), body, F.when(bad == 6, "").otherwise("</invoice>")).alias("xml"))
+    return X.breaches(documents, "xml", INVOICE).select("o_orderkey", "path", "rule")

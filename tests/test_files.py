@@ -96,3 +96,38 @@ def test_a_workbook_written_and_read(spark):
     files = sinks.joined_chunks(sheets.write_workbooks(sheets.grid_of(df, "book", "a/b & c", [F.desc("n")], ["n", "text", "amount"])))
     got = sheets.table_rows(sheets.read_cells(files, "archive", "content"), "a/b & c", {"n": 1, "text": 2, "amount": 3}, 2, "n").collect()
     assert [(int(x.n), x.text, None if x.amount is None else float(x.amount)) for x in sorted(got, key=lambda x: x.row)] == [(n, t or None, a) for _, n, t, a in reversed(rows)]
+
+
+XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType><xs:sequence>
+ <xs:element name="a" type="Code" minOccurs="0" maxOccurs="2"/><xs:choice maxOccurs="unbounded"><xs:element name="b" type="xs:integer"/><xs:element name="c"><xs:complexType><xs:simpleContent><xs:extension base="Code"><xs:attribute name="id" use="required"/></xs:extension></xs:simpleContent></xs:complexType></xs:element></xs:choice>
+ <xs:element name="d" minOccurs="0"><xs:complexType><xs:all><xs:element name="x" type="xs:date"/><xs:element name="y" type="xs:string" minOccurs="0"/></xs:all></xs:complexType></xs:element>
+ </xs:sequence><xs:attribute name="v"/></xs:complexType></xs:element>
+ <xs:simpleType name="Code"><xs:restriction base="Short"><xs:enumeration value="k1"/><xs:enumeration value="k22"/></xs:restriction></xs:simpleType>
+ <xs:simpleType name="Short"><xs:restriction base="xs:string"><xs:maxLength value="2"/></xs:restriction></xs:simpleType></xs:schema>"""
+
+
+def test_documents_against_a_schema(spark):
+    from tessera.operators import schema
+
+    good = ["<r><b>1</b></r>", '<r v="1"><a>k1</a><a>k1</a><c id="1">k1</c><b> -2 </b><d><y/><x>2020-02-03</x></d></r>', '<n:r xmlns:n="u"><n:b>7</n:b><!-- x --></n:r>', "<r><b>1</b><d><x>2020-02-03</x></d></r>"]
+    bad = {
+        "<r/>": [("/r", "children")], "<r><a>k1</a></r>": [("/r", "children")], "<r><a>k1</a><a>k1</a><a>k1</a><b>1</b></r>": [("/r", "children")], "<r><b>1</b><e/></r>": [("/r", "children")], "<r><b>x</b></r>": [("/r/b", "text")],
+        "<r><a>k22</a><b>1</b></r>": [("/r/a", "length")], "<r><a>k3</a><b>1</b></r>": [("/r/a", "listed")], "<r><c>k1</c></r>": [("/r/c", "attribute missing: id")], '<r w="1"><b>1</b></r>': [("/r", "attribute: w")],
+        "<r><b>1</b><d><y/></d></r>": [("/r/d", "children")], "<r><b>1</b><d><x>2020-02-03</x><x>2020-02-03</x></d></r>": [("/r/d", "children")], "<r><b>1</b><d><x>2020-02-30</x></d></r>": [], "<r><b>1</b><d><x>2020-13-03</x></d></r>": [("/r/d/x", "text")],
+        "<q/>": [("/q", "root")], "<r>": [(None, "not well-formed")], "": [(None, "not well-formed")], "<r><b>1</b><b><b/></b></r>": [("/r/b", "children")],
+    }
+    texts = [*good, *bad, None]
+    got = {}
+    for x in schema.breaches(spark.createDataFrame(list(enumerate(texts)), "id int, xml string"), "xml", XSD).collect():
+        got.setdefault(x.id, []).append((x.path, x.rule))
+    want = {i: bad.get(t, []) for i, t in enumerate(texts)} | {len(texts) - 1: [(None, "not well-formed")]}
+    assert {i: sorted(map(str, w)) for i, w in got.items()} == {i: sorted(map(str, w)) for i, w in want.items() if w}
+
+
+def test_a_type_that_holds_itself(spark):
+    import pytest
+
+    from tessera.operators import schema
+
+    with pytest.raises(ValueError, match="holds itself"):
+        schema.Schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r" type="T"/><xs:complexType name="T"><xs:sequence><xs:element name="r" type="T" minOccurs="0"/></xs:sequence></xs:complexType></xs:schema>')
