@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import row_key, tidied
+from tessera.llm.common import materialise, row_key, tidied
 from tessera.llm.suffix_dedup import _merged, _with, repeated_spans
 
 #: A passage of 51 words, the outermost of which may be joined to what stands beside them.
@@ -82,7 +82,8 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as further occurrences. Null texts stay null. A very long text is worked on whole, in one task. An empty table gives no rows.
     """
     whole = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(df, id_col, text_col).alias("rid"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    docs = whole.select("doc_id", "rid", F.col("text").cast("binary").alias("text")).mapInArrow(tidied(_coded), "doc_id long, rid long, text binary")
+    # written, as the operator goes over it several times; a task then has one Python worker
+    docs = materialise(whole.select("doc_id", "rid", F.col("text").cast("binary").alias("text")).mapInArrow(tidied(_coded), "doc_id long, rid long, text binary"), "words")
     size = CODE * least
     joined = _with(whole, repeated_spans(docs, size, (size // 3, size * 4 // 5, size)), "left").drop("rid")
     schema = T.StructType([f for f in joined.schema.fields if f.name not in ("text", "spans")]).add("kept_text", "string").add("words_removed", "long")
