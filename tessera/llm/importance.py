@@ -269,10 +269,11 @@ def kth_largest(scored: DataFrame, key: str, k: int, bins: int = 1024, few: int
     return sorted((r[0] for r in inside.collect()), reverse=True)[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELLED, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELLED, temperature: float = TEMPERATURE, k: int | None = None, seed: int = 23) -> DataFrame:
     """Per row: id, rid, log_weight, toxicity (how far beyond what clean text reaches; above 0 a row is never drawn), kept.
 
-    k: how many rows to draw; by default as many as are not toxic and reach the level of held-out clean rows. Rows that tie
+    seed, temperature: of the draw; by default its noise is small beside the spread of weights, so that rows far from the k-th
+    weight have a sure fate. k: how many rows to draw; by default as many as are not toxic and reach the level of held-out clean rows. Rows that tie
     with the last one drawn are drawn too: those are rows equal as a whole, which share rid, noise and fate. Texts without
     words (null, empty) have a log weight of 0. Null ids have no label. Without labelled rows every text has log weight 0. A
     very long text is scored whole, in one task. Other columns are not read; an empty table gives no rows.
@@ -281,7 +282,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(rows, labels, limit)
     scored = rows.mapInArrow(tidied(_score(model)), f"doc_id long, rid long, {_PARTS}")
     spare = F.least(model.high + model.tail * F.log(F.col("windows").cast("double")) - F.col("against"), model.high - F.col("usual"))
-    noisy = F.col("log_weight") + temperature * gumbel("doc_id", "rid", F.lit(23))
+    noisy = F.col("log_weight") + temperature * gumbel("doc_id", "rid", F.lit(seed))
     scored = materialise(scored.select("doc_id", "rid", "log_weight", (-spare).alias("toxicity"), F.when(spare >= 0, noisy).alias("key")), "scored")
     if k is None:
         k = scored.where(F.col("key").isNotNull() & (F.col("log_weight") >= F.lit(model.low))).count()

@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import importance
 from tessera.llm.importance import kth_largest, resample
@@ -115,3 +117,40 @@ def test_draws_follow_the_weights(spark):
     won = keyed.groupBy("game").agg(F.max_by("option", "key").alias("option")).groupBy("option").count().collect()
     for r in won:
         assert abs(r["count"] / 10_000 - [1, 2, 5][r.option] / 8) < 0.02
+
+
+def test_windows_against_loops():
+    """The strongest four occurrences of each 128 words, windows overlapping by half, in plain loops."""
+    r = random.Random(11)
+    markers = np.unique(np.array([r.randrange(1 << 64) for _ in range(40)], np.uint64))
+    model = importance.Model(np.zeros(1), markers, np.array([r.random() * 3 for _ in markers]))
+    strength = dict(zip(markers.tolist(), model.toxicity.tolist()))
+    for n in [0, 1, 5, 64, 127, 128, 129, 500, 2000]:
+        draw = lambda: np.array([r.choice(markers.tolist()) if r.random() < 0.05 else r.randrange(1 << 64) for _ in range(n)], np.uint64)  # noqa: B023, E731
+        words, beginnings = draw(), draw()
+        at = sorted((i, strength[h]) for hashes in (words, beginnings) for i, h in enumerate(hashes.tolist()) if h in strength)
+
+        def windows(ahead):
+            held = {}
+            for i, x in at:  # noqa: B023
+                held.setdefault((i + ahead) // 128, []).append(x)
+            return [sum(sorted(xs, reverse=True)[:4]) for xs in held.values()]
+
+        worst, usual = model.against(words, beginnings)
+        assert math.isclose(worst, max([*windows(0), *windows(64)], default=0.0), abs_tol=1e-9)
+        assert math.isclose(usual, sum(windows(0)) / max(1, -(-n // 128)), abs_tol=1e-9)
+
+
+def test_kept_are_the_k_largest_of_weight_and_noise(spark):
+    docs, labels = rows()
+    docs = spark.createDataFrame(docs, SCHEMA)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    drawn = {}
+    for seed in (1, 2):
+        scored = resample(docs, labels, temperature=20.0, k=300, seed=seed).withColumn("noise", importance.gumbel("doc_id", "rid", F.lit(seed))).collect()
+        key = {x.doc_id: x.log_weight + 20.0 * x.noise for x in scored if x.toxicity <= 0}
+        drawn[seed] = {x.doc_id for x in scored if x.kept}
+        assert drawn[seed] == set(sorted(key, key=key.get, reverse=True)[:300]) and len(key) > 600
+        plain = sorted((x for x in scored if x.toxicity <= 0), key=lambda x: -x.log_weight)[:300]
+        assert 30 < len(drawn[seed] - {x.doc_id for x in plain}) < 270  # the draw decides, and so do the weights
+    assert drawn[1] != drawn[2]
