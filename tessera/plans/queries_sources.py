@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.registry import Tables, query
 from tessera.scratch import scratch_path
-from tessera.sources import archives, extracts, pages, photos, readers, sheets, sinks, tax_extracts
+from tessera.sources import archives, entities, extracts, pages, photos, readers, sheets, sinks, tax_extracts
 
 
 def _s(column: str | Column) -> Column:
@@ -577,3 +577,69 @@ def asset_template(t: Tables) -> DataFrame:
     files = sinks.joined_chunks(_read_back(t, sheets.write_workbooks(grid), "assets"))
     found = sheets.asset_rows(sheets.read_cells(files, "archive", "content", fill=True), "Земельные участки")
     return found.select("archive", "cad_number", "address", F.col("area").cast("double").alias("area"), "owner")
+
+
+def _entity_json(t: Tables) -> DataFrame:
+    """A JSON document for each customer: its orders are founders by turns Russian, foreign, persons and the state's bodies."""
+    k, o, n = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_orderkey") % 4
+    share = F.struct((o % 50).alias("Процент"), F.lit(1000.5).alias("Номинал"))
+    pledge = F.struct(F.struct(F.lpad(_s(o), 13, "9").alias("ОГРН"), F.lit("Банк").alias("НаимСокр")).alias("Залогодерж"), F.struct(_s(o).alias("Номер"), F.lit("2020-06-05").alias("Дата"), F.lit("Нотариус").alias("ФИО")).alias("Нотариал"))
+    company = F.when(n == 0, F.struct(F.lpad(_s(o), 13, "1").alias("ОГРН"), F.concat(F.lit("ООО "), _s(o)).alias("НаимПолн"), share.alias("Доля"), F.when(o % 8 == 0, F.array(pledge)).alias("Обрем")))
+    foreign = F.when(n == 1, F.struct(F.concat(F.lit("Ltd "), _s(o)).alias("Наим"), F.when(o % 8 == 1, '{"Наим":"Кипр"}').otherwise("Мальта").alias("Страна"), _s(o).alias("РегНомер"), share.alias("Доля")))
+    person = F.when(n == 2, F.struct(F.lit("Иванов").alias("ФИО")))
+    state = F.when(n == 3, F.struct(share.alias("Доля"), F.array(F.struct(F.lpad(_s(o), 10, "7").alias("ИНН"), F.lit("Росимущество").alias("НаимПолн"))).alias("ОргОсущПрав")))
+    each = lambda c: F.array_sort(F.collect_list(c))
+    lists = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.struct(each(company).alias("РосОрг"), each(foreign).alias("ИнОрг"), each(person).alias("ФЛ"), F.collect_list(state).alias("РФ")).alias("f"))
+    entity = F.struct(F.when(k % 3 == 0, F.lpad(_s(k), 13, "0")).alias("ogrn"), F.when(k % 3 == 1, F.lpad(_s(k), 10, "0")).alias("inn"), F.lit("1").alias("kpp"), F.col("c_name").alias("name_short"), F.col("c_mktsegment").alias("address"))
+    raw = F.struct(F.array(F.struct(_s(k).alias("Номер"), F.lit("Торговля").alias("ВидДеят"))).alias("Лиценз"), F.col("f").alias("Учред"), F.struct(F.array(F.struct(F.lit("Филиал").alias("Наим"), F.when(k % 2 == 0, "Ростов").alias("Адрес"))).alias("Филиал")).alias("Подразд"))
+    return t.customer.join(lists, "c_custkey", "left").select("c_custkey", F.replace(F.to_json(F.struct(entity.alias("entity"), raw.alias("raw_data"))), F.lit('"{\\"Наим\\":\\"Кипр\\"}"'), F.lit('{"Наим":"Кипр"}')).alias("text"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c_custkey, o_orderkey AS o, o_orderkey % 4 AS n FROM orders)
+SELECT c_custkey, ['legal', 'foreign', 'person', 'rf_org'][n + 1] AS kind, CASE n WHEN 0 THEN 'ООО ' || o WHEN 1 THEN 'Ltd ' || o WHEN 3 THEN 'Росимущество' END AS name, CAST(o % 50 AS VARCHAR) AS share_percent, CASE WHEN o % 8 = 1 THEN 'Кипр' WHEN n = 1 THEN 'Мальта' END AS country, CASE WHEN n = 0 THEN o % 8 = 0 END AS has_pledge, NULL::INTEGER AS persons FROM o WHERE n <> 2
+UNION ALL SELECT c_custkey, 'person', NULL, NULL, NULL, NULL, CAST(count(*) AS INTEGER) FROM o WHERE n = 2 GROUP BY 1""")
+def legal_founders(t: Tables) -> DataFrame:
+    """SRC-23: founders of each kind from a legal entity's JSON document."""
+    return entities.legal_entities(_entity_json(t), "text").select("c_custkey", F.inline("founders")).select("c_custkey", "kind", "name", "share_percent", "country", "has_pledge", "persons")
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'legal::ogrn::' || lpad(CAST(c_custkey AS VARCHAR), 13, '0') WHEN 1 THEN 'legal::inn::' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') ELSE 'legal::name::' || substr(sha1(lower(c_name) || chr(0)), 1, 16) END AS key, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '|Ростов' ELSE '' END AS addresses, CAST(c_custkey AS VARCHAR) AS licence,
+ (SELECT coalesce(string_agg('ООО ' || o_orderkey || ':' || o_orderkey || ':Банк:Нотариус', ';' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 13, '1')), '') FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 8 = 0) AS pledges FROM customer""")
+def legal_documents(t: Tables) -> DataFrame:
+    """SRC-23: keys, addresses with those of branches, licences and pledges of shares."""
+    found = entities.legal_entities(_entity_json(t), "text")
+    pledges = F.array_join(F.transform("pledges", lambda p: F.concat_ws(":", p["founder"], p["contract_number"], p["holder_name"], p["notary"])), ";")
+    return found.select("c_custkey", "key", F.array_join(F.transform("addresses", lambda a: a["address"]), "|").alias("addresses"), F.get("licences", F.lit(0))["number"].alias("licence"), pledges.alias("pledges"))
+
+
+@query("""
+SELECT 'person' AS kind, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'legal::inn::' || s_suppkey ELSE 'person::' || substr(sha1(lower(s_name) || chr(0)), 1, 16) END AS key, s_name AS name, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS links FROM supplier
+UNION ALL SELECT 'ip', p_partkey, 'legal::ogrn::3' || p_partkey, p_name, NULL FROM part""")
+def person_documents(t: Tables) -> DataFrame:
+    """SRC-28: persons with the active companies that they founded, and sole traders."""
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    company = lambda n, status: F.struct(F.lit(n).alias("ОГРН"), F.lit("ООО").alias("НаимПолн"), status.alias("Статус"))
+    text = F.to_json(F.struct(F.struct(F.when(k % 2 == 0, _s(k)).alias("inn"), F.col("s_name").alias("fio")).alias("entity"), F.struct(F.array(company("1", F.lit(None).cast("string")), company("2", F.when(k % 3 == 0, "Не действует").otherwise("Действует"))).alias("Учред")).alias("raw_data")))
+    found = entities.persons(t.supplier.select("s_suppkey", text.alias("text")), "text").select("kind", F.col("s_suppkey").alias("id"), "key", "name", F.size("links").alias("links"))
+    trader = F.to_json(F.struct(F.struct(F.concat(F.lit("3"), _s(p)).alias("ogrnip"), F.col("p_name").alias("name_full")).alias("entity")))
+    more = entities.sole_traders(t.part.select("p_partkey", trader.alias("text")), "text").select("kind", F.col("p_partkey").alias("id"), "key", "name", F.lit(None).cast("int").alias("links"))
+    return found.unionByName(more)
+
+
+@query("""
+SELECT 'object' AS part, CAST(o_orderkey AS VARCHAR) AS cad, CASE o_orderkey % 3 WHEN 0 THEN 'Здание' WHEN 1 THEN 'Помещение' ELSE 'Неизвестно' END AS kind, NULL AS number, NULL AS extract_date, NULL::BOOLEAN AS is_right FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT 'right', CAST(l_orderkey AS VARCHAR), NULL, l_orderkey || '/' || l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END, l_returnflag = 'N' FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def registry_json(t: Tables) -> DataFrame:
+    """SRC-19: objects and rights of registry documents; a right has the date of the extract that it names, if the document has it."""
+    o, l = F.col("o_orderkey"), F.col("l_linenumber")  # noqa: E741
+    right = F.struct(F.when(F.col("l_returnflag") == "N", "Right").otherwise("encumbrance").alias("right_category"), _s("l_orderkey").alias("object_key_value"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("right_number"), F.when(l % 2 == 1, F.concat(F.lit("e"), _s("l_orderkey"))).otherwise("other").alias("source_extract_number"))
+    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(right).alias("rights"))
+    number, day = F.concat(F.lit("e"), _s(o)), F.date_format("o_orderdate", "yyyy-MM-dd")
+    extracts_ = F.array(F.struct(number.alias("extract_number"), F.lit("1999-01-01").alias("extract_date")), F.struct(number.alias("extract_number"), day.alias("extract_date")))
+    kind = F.when(o % 3 == 0, "building").when(o % 3 == 1, "room").otherwise("boat")
+    objects = F.array(F.create_map(F.lit("cad_number"), _s(o), F.lit("object_type"), kind, F.lit("address"), F.lit("")), F.create_map(F.lit("object_type"), F.lit("room")))
+    text = F.to_json(F.struct(F.struct(extracts_.alias("extracts"), objects.alias("building_objects"), F.col("rights")).alias("tables")))
+    found, rights = entities.registry_documents(t.orders.join(lists, "o_orderkey").select(text.alias("text")), "text")
+    return found.select(F.lit("object").alias("part"), "cad", "kind", F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("extract_date"), F.lit(None).cast("boolean").alias("is_right")).unionByName(rights.select(F.lit("right").alias("part"), "cad", F.lit(None).cast("string").alias("kind"), F.col("right_number").alias("number"), "extract_date", "is_right"))

@@ -131,3 +131,27 @@ def test_a_type_that_holds_itself(spark):
 
     with pytest.raises(ValueError, match="holds itself"):
         schema.Schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r" type="T"/><xs:complexType name="T"><xs:sequence><xs:element name="r" type="T" minOccurs="0"/></xs:sequence></xs:complexType></xs:schema>')
+
+
+def test_entity_documents(spark):
+    """Missing parts, other layouts of a field, documents that aren't JSON or have no entity."""
+    from tessera.sources import entities
+
+    full = {
+        "entity": {"ogrn": "", "inn": "", "name_full": "", "name_short": "  ООО Б ", "okved_main": {"code": "1", "name": "x"}, "okved_additional": [{"code": "2", "name": "y"}], "contacts": {"phones": ["1"]}, "directors": [{"fio": "И", "position": None}]},
+        "raw_data": {"Учред": {"ИнОрг": [{"НаимПолн": "A", "Страна": {"Наим": "Кипр"}}, {"Наим": "B", "Страна": "Мальта"}], "РФ": [{"Доля": {"Процент": 5}, "ОргОсущПрав": []}], "ФЛ": [{}, {}]}, "ДержРеестрАО": {"ИНН": "7", "НаимСокр": "Реестр"}, "Подразд": {"Филиал": [{"Наим": "Ф", "Адрес": ""}]}},
+    }
+    texts = [json.dumps(full, ensure_ascii=False), '{"entity": {}}', "{}", "not json", None, '{"entity": {"inn": "77"}, "raw_data": null}']
+    got = {x.id: x for x in entities.legal_entities(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text").collect()}
+    a = got[0]
+    assert a.key.startswith("legal::name::") and (a.activity, a.activities, a.phones, a.registrar.name, a.licences) == ("1 — x", ["2 — y"], ["1"], "Реестр", [])
+    assert [(x.kind, x.name, x.country, x.persons) for x in a.founders] == [("foreign", "A", "Кипр", None), ("foreign", "B", "Мальта", None), ("person", None, None, 2)]
+    assert [x.label for x in a.addresses] == ["Юридический адрес"] and a.pledges == []
+    assert got[5].key == "legal::inn::77" and got[5].founders == [] and not {2, 3, 4} & set(got)
+    person = entities.persons(spark.createDataFrame([('{"entity":{"name_full":"Я"},"raw_data":{"Учред":[{"Статус":"НЕ ДЕЙСТВУЕТ с 2020"},{"НаимСокр":"К","НаимПолн":"Компания"}]}}',)], "text string"), "text").first()
+    assert person.key.startswith("person::") and len(person.founded) == 2 and [x.name for x in person.links] == ["К"]
+    registry = {"tables": {"extracts": [{"extract_number": "1", "organ": "a"}, {"extract_number": "1", "organ": "b"}], "building_objects": [{"cad_number": "1:2", "area": 5.5, "name": ""}], "land_objects": [{"cad_number": "1:2", "object_type": "land"}, {"cad_number": None}], "rights": [{"right_category": None, "right_number": "Р 1", "right_type_code": "X"}, {"right_category": "RIGHT", "right_number": "р1", "right_type_code": "x", "source_extract_number": "1"}]}}
+    objects, rights = entities.registry_documents(spark.createDataFrame([(1, json.dumps(registry)), (2, "{"), (3, '{"tables": {}}')], "id int, text string"), "text")
+    assert [(x.id, x.cad, x.kind, x.attrs) for x in objects.collect()] == [(1, "1:2", "Земельный участок", {"cad_number": "1:2", "object_type": "Земельный участок"})]
+    r = sorted(rights.collect(), key=lambda x: x.is_right)
+    assert [(x.is_right, x.extract_number, x.organ) for x in r] == [(False, None, None), (True, "1", "b")] and r[0].dedup_key == r[1].dedup_key
