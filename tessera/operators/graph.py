@@ -108,17 +108,25 @@ def chains(parents: DataFrame, starts: DataFrame, node: str, parent: str, stop:
 
 def chains_recursive(spark, view: str, node: str, parent: str, stop: str) -> DataFrame:
     """GRF-06 as a recursive query over a registered view; only a stop, a cycle or a missing parent ends a walk. The session's
-    limits of rows and levels for recursion are lifted: the rows are at most the nodes times the depth."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    return spark.sql(f"""
+    limits of rows and levels for recursion are lifted while it runs (the rows are at most the nodes times the depth): the
+    result is written."""
+    walks = f"""
         WITH RECURSIVE up(start, at, path, depth, hit, next) AS (
           SELECT {node}, {node}, array({node}), 0, {stop}, {parent} FROM {view}
           UNION ALL
           SELECT u.start, v.{node}, concat(u.path, array(v.{node})), u.depth + 1, v.{stop}, v.{parent}
           FROM up u JOIN {view} v ON v.{node} = u.next
           WHERE NOT u.hit AND NOT array_contains(u.path, v.{node}))
-        SELECT start, at AS found, path, depth FROM up WHERE hit""")
+        SELECT start, at AS found, path, depth FROM up WHERE hit"""
+    limits = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k in limits:
+            spark.conf.set(k, "-1")
+        return materialise(spark.sql(walks), "chains")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def pledge_holders(by_right: DataFrame, by_register: DataFrame, entities: DataFrame, inn: str = "inn") -> DataFrame:
