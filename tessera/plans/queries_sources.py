@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.registry import Tables, query
 from tessera.scratch import scratch_path
-from tessera.sources import archives, entities, extracts, pages, photos, readers, sheets, sinks, tax_extracts
+from tessera.sources import archives, documents, entities, extracts, pages, photos, readers, sheets, sinks, tax_extracts
 
 
 def _s(column: str | Column) -> Column:
@@ -643,3 +643,16 @@ def registry_json(t: Tables) -> DataFrame:
     text = F.to_json(F.struct(F.struct(extracts_.alias("extracts"), objects.alias("building_objects"), F.col("rights")).alias("tables")))
     found, rights = entities.registry_documents(t.orders.join(lists, "o_orderkey").select(text.alias("text")), "text")
     return found.select(F.lit("object").alias("part"), "cad", "kind", F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("extract_date"), F.lit(None).cast("boolean").alias("is_right")).unionByName(rights.select(F.lit("right").alias("part"), "cad", F.lit(None).cast("string").alias("kind"), F.col("right_number").alias("number"), "extract_date", "is_right"))
+
+
+@query("""
+SELECT CAST(c_nationkey AS VARCHAR) AS archive, c_name AS tenant, '61:44:0050706:' || c_custkey AS cad, CASE WHEN c_custkey % 3 <> 0 THEN 'с 01.02.2020 по 01.02.2025' END AS term FROM customer""")
+def lease_documents(t: Tables) -> DataFrame:
+    """SRC-07, SNK-07: a Word document for each nation with a table of leases, written and read back by its headings."""
+    k = F.col("c_custkey")
+    row = F.array(_cad(k), F.when(k % 3 != 0, "с 01.02.2020\nпо 01.02.2025").otherwise(""), F.col("c_name"))
+    tables = t.customer.groupBy(_s("c_nationkey").alias("archive")).agg(F.concat(F.array(F.array(F.lit("Кадастровый номер"), F.lit("Срок аренды"), F.lit("Арендатор & Ко"))), F.collect_list(row)).alias("rows"))
+    blocks = tables.select("archive", F.inline(F.array(F.struct(F.lit(1).alias("ord"), F.lit("Справка <об аренде>\nСписок").alias("text"), F.lit(None).cast("array<array<string>>").alias("rows")), F.struct(F.lit(2).alias("ord"), F.lit(None).cast("string").alias("text"), F.col("rows").alias("rows")))))
+    files = sinks.joined_chunks(_read_back(t, documents.write_documents(blocks), "documents"))
+    rows = documents.rows_by_keyword(documents.read_tables(files, "archive", "content"), {"tenant": ["арендатор"], "cad": ["номер", "кадастр"], "term": ["период", "срок"]})
+    return rows.select("archive", "tenant", "cad", F.replace("term", F.lit("\n"), F.lit(" ")).alias("term"))

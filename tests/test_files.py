@@ -155,3 +155,24 @@ def test_entity_documents(spark):
     assert [(x.id, x.cad, x.kind, x.attrs) for x in objects.collect()] == [(1, "1:2", "Земельный участок", {"cad_number": "1:2", "object_type": "Земельный участок"})]
     r = sorted(rights.collect(), key=lambda x: x.is_right)
     assert [(x.is_right, x.extract_number, x.organ) for x in r] == [(False, None, None), (True, "1", "b")] and r[0].dedup_key == r[1].dedup_key
+
+
+def test_tables_of_documents(spark):
+    """Cells over several columns and rows, text of several runs, tables in cells, broken files."""
+    from tessera.sources import documents
+
+    cell = lambda text, facts="": f"<w:tc>{'<w:tcPr>' + facts + '</w:tcPr>' if facts else ''}<w:p><w:r><w:t>{text}</w:t></w:r><w:r><w:tab/><w:t>+</w:t></w:r></w:p></w:tc>"
+    down, on = '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = [cell("Номер", '<w:gridSpan w:val="2"/>') + cell("Арендатор"), cell("a", down) + cell("b") + cell("c"), cell("", on) + cell("d") + "<w:tc><w:p/></w:tc>"]
+    body = f'<w:document xmlns:w="{documents.WORD}"><w:body><w:p/><w:tbl>{"".join(f"<w:tr>{r}</w:tr>" for r in rows)}</w:tbl></w:body></w:document>'
+    raw, other = io.BytesIO(), io.BytesIO()
+    for b, parts in ((raw, {"word/document.xml": body}), (other, {"x": "1"})):
+        with zipfile.ZipFile(b, "w") as z:
+            for n, c in parts.items():
+                z.writestr(n, c)
+    files = spark.createDataFrame([("ok", bytearray(raw.getvalue())), ("bad", bytearray(b"PK")), ("other", bytearray(other.getvalue())), ("null", None)], "path string, content binary")
+    grid = documents.read_tables(files, "path", "content")
+    assert sorted(tuple(x)[2:] for x in grid.where("archive = 'ok'").collect()) == [(1, 1, "Номер\t+"), (1, 2, "Номер\t+"), (1, 3, "Арендатор\t+"), (2, 1, "a\t+"), (2, 2, "b\t+"), (2, 3, "c\t+"), (3, 1, "a\t+"), (3, 2, "d\t+")]
+    assert grid.where("table is null and value like 'not readable%'").count() == 3
+    got = documents.rows_by_keyword(grid, {"who": ["арендатор"], "what": ["кадастр", "номер"], "none": ["нет"]}).orderBy("row").collect()
+    assert [(x.row, x.who, x.what, x.none) for x in got] == [(2, "c\t+", "a\t+", None), (3, None, "a\t+", None)]
