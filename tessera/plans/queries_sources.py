@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.plans.registry import Tables, query
 from tessera.scratch import scratch_path
-from tessera.sources import archives, documents, entities, extracts, pages, photos, readers, sheets, sinks, tax_extracts
+from tessera.sources import archives, documents, entities, extracts, ledgers, pages, photos, readers, sheets, sinks, tax_extracts
 
 
 def _s(column: str | Column) -> Column:
@@ -656,3 +656,35 @@ def lease_documents(t: Tables) -> DataFrame:
     files = sinks.joined_chunks(_read_back(t, documents.write_documents(blocks), "documents"))
     rows = documents.rows_by_keyword(documents.read_tables(files, "archive", "content"), {"tenant": ["арендатор"], "cad": ["номер", "кадастр"], "term": ["период", "срок"]})
     return rows.select("archive", "tenant", "cad", F.replace("term", F.lit("\n"), F.lit(" ")).alias("term"))
+
+
+@query("""
+WITH i AS (SELECT CAST(s_nationkey AS VARCHAR) AS archive, 'Склад ' || s_suppkey || ' инв. № И-' || s_suppkey AS item_name, '01.01' AS account, 'И-' || s_suppkey AS inventory_number, NULL AS cad, CAST(s_suppkey % 50 AS DOUBLE) AS s, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_suppkey % 50 + 0.5 END AS e, CAST(s_suppkey % 7 AS DOUBLE) AS t FROM supplier
+ UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'Участок 61:44:0050706:' || (c_custkey + 1), '01.К', NULL, '61:44:0050706:' || (c_custkey + 1), CAST(c_custkey % 5 AS DOUBLE), 0.0, CAST(c_custkey % 11 AS DOUBLE) FROM customer)
+SELECT archive, item_name, account, inventory_number, cad, kind, amount, day FROM (
+ SELECT *, 'initial' AS kind, s AS amount, '2026-01-01' AS day FROM i WHERE s > 0 UNION ALL SELECT *, 'residual', e, '2026-03-31' FROM i WHERE e > 0 UNION ALL SELECT *, 'writeoff', t, '2026-03-31' FROM i WHERE account = '01.01' AND e < 1 AND t > 0
+ UNION ALL SELECT *, 'lease_annual', round(t * 4.055556, 2), '2026-03-31' FROM i WHERE account = '01.К' AND t > 0)""")
+def ledger_workbooks(t: Tables) -> DataFrame:
+    """SRC-06: a trial balance for each nation as an XLSX file, read back by its layout: own assets, then leased ones, their values."""
+    cell = lambda i, v, numeric=False: F.struct(F.lit(i).alias("col"), v.cast("string").alias("value"), F.lit(numeric).alias("numeric"))
+
+    def records(df: DataFrame, nation: str, key: str, name: Column, kind: str, opening: Column, credit: Column, closing: Column, at: int) -> DataFrame:
+        row = F.row_number().over(Window.partitionBy(nation).orderBy(key)) * 2 + at
+        one = lambda r, b: F.struct(r.alias("row"), F.array(cell(1, name), cell(2, F.lit(b)), cell(3, opening, True), cell(6, credit, True), cell(7, closing, True)).alias("cells"))
+        both = df.select(_s(nation).alias("archive"), row.alias("r"), F.inline(F.array(one(F.lit(0), kind), one(F.lit(1), "ВР"))))
+        return both.select("archive", (F.col("r") + F.col("row")).cast("int").alias("row"), F.inline("cells"))
+
+    nations = t.supplier.select(F.col("s_nationkey").alias("n")).union(t.customer.select("c_nationkey")).distinct().select(_s("n").alias("archive"))
+    text = lambda r, i, v: F.struct(F.lit(r).alias("row"), F.lit(i).alias("col"), F.lit(v).alias("value"), F.lit(False).alias("numeric"))
+    middle, last = 100_000, 1_000_000
+    fixed = F.array(*(text(r, i, v) for r, i, v in [(1, 1, "ООО Дон"), (2, 1, "Оборотно-сальдовая ведомость за 1 квартал 2026 г."), (7, 1, "01"), (7, 2, "БУ"), (8, 2, "НУ"), (9, 1, "01.02.2020"), (9, 2, "БУ"), (middle, 1, "01.К"), (middle, 2, "БУ"), (last, 1, "Итого"), (last + 1, 1, "После"), (last + 1, 2, "НУ"), (last + 1, 3, "9")]))
+    own, leased = F.col("s_suppkey"), F.col("c_custkey")
+    parts = [
+        nations.select("archive", F.inline(fixed)),
+        records(t.supplier, "s_nationkey", "s_suppkey", F.concat(F.lit("Склад "), _s(own), F.lit(" инв. № И-"), _s(own)), "БУ", own % 50, own % 7, F.when(own % 3 == 0, 0.0).otherwise(own % 50 + 0.5), 10),
+        records(t.customer, "c_nationkey", "c_custkey", F.concat(F.lit("Участок "), _cad(leased + 1)), "НУ", leased % 5, leased % 11, F.lit(0), middle + 1),
+    ]
+    grid = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({"sheet": F.lit("TDSheet"), "ord": F.lit(1), "until": F.lit(None).cast("string")})
+    files = sinks.joined_chunks(_read_back(t, sheets.write_workbooks(grid), "ledgers"))
+    values = ledgers.ledger_values(ledgers.ledger_assets(sheets.read_cells(files, "archive", "content")))
+    return values.select("archive", "item_name", "account", "inventory_number", "cad", "kind", "amount", _s("day").alias("day"))

@@ -176,3 +176,19 @@ def test_tables_of_documents(spark):
     assert grid.where("table is null and value like 'not readable%'").count() == 3
     got = documents.rows_by_keyword(grid, {"who": ["арендатор"], "what": ["кадастр", "номер"], "none": ["нет"]}).orderBy("row").collect()
     assert [(x.row, x.who, x.what, x.none) for x in got] == [(2, "c\t+", "a\t+", None), (3, None, "a\t+", None)]
+
+
+def test_ledger_layout(spark):
+    """Markers, totals, records that count and others, fragments of ids, a title without a period."""
+    from tessera.sources import ledgers
+
+    lines = {
+        1: ["ООО Дон"], 2: ["за 9 месяцев 2025 г"], 6: ["заголовок", "БУ"], 7: ["01", "БУ", 1], 8: ["Дом :1234 (123456)", "БУ", "1 000,5", None, None, 0, 7], 9: ["", "НУ", 3], 10: ["Дом", "ВР", 9], 11: ["2020-01-01 00:00:00", "БУ", 5],
+        12: ["Списан инв. 77", "БУ", 0, None, None, 20, 0.5], 13: ["01.К", "НУ", 1], 14: ["01.К", "", 1], 15: ["Свой", "БУ", 8], 16: ["Аренда 61:44:0050706:31", "НУ", 0, None, None, 273, 0], 17: ["ИТОГО", "БУ", 1], 18: ["После", "НУ", 1],
+    }
+    cells = [("f", "s", r, c, str(v)) for r, row in lines.items() for c, v in enumerate(row, 1) if v is not None and v != ""] + [("g", "s", 7, 1, "X"), ("g", "s", 7, 2, "БУ"), ("g", "s", 7, 6, "2")]
+    assets = ledgers.ledger_assets(spark.createDataFrame(cells, "archive string, sheet string, row int, col int, value string"))
+    got = [(x.row, x.account, x.item_name, x.inventory_number, x.cad, x.cad_fragment, x.is_disposed) for x in assets.where("archive = 'f'").orderBy("row").collect()]
+    assert got == [(8, "01.01", "Дом :1234 (123456)", "123456", None, ":1234", False), (12, "01.01", "Списан инв. 77", "77", None, None, True), (16, "01.К", "Аренда 61:44:0050706:31", None, "61:44:0050706:31", None, False)]
+    values = [(x.archive, x.row, x.kind, x.amount, str(x.day)) for x in ledgers.ledger_values(assets).orderBy("archive", "row", "kind").collect()]
+    assert values == [("f", 8, "initial", 1000.5, "2025-01-01"), ("f", 8, "residual", 7.0, "2025-09-30"), ("f", 12, "residual", 0.5, "2025-09-30"), ("f", 12, "writeoff", 20.0, "2025-09-30"), ("f", 16, "lease_annual", 365.0, "2025-09-30"), ("g", 7, "writeoff", 2.0, "None")]
