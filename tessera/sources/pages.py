@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.dates import date_ru, datetime_ru, term
 from tessera.functions.numbers import number
 from tessera.functions.text import cad_numbers, cad_quarter, restriction_type, short_form, squeezed, tax_id, without_consent
-from tessera.functions.values import bound, parse_share
+from tessera.functions.values import parse_share
 from tessera.sources.extracts import ENCUMBRANCES, RIGHTS, stated
 
 #: Labels of section 1; of a field's labels the first one with a value counts.
@@ -102,7 +102,7 @@ def printed_fields(lines: DataFrame) -> DataFrame:
     within = F.when(F.col("in_1") & F.lower("line").rlike("пределах|расположен объект"), F.array_join(cad_numbers(F.col("line")), "; "))
     main = F.when(F.col("in_1") & F.lower("line").contains("основная характеристика"), F.col("at"))
     one = lambda f, c: F.struct(F.lit(f).alias("field"), F.lit(0).alias("rank"), c.alias("value"))
-    more = F.filter(F.array(one("name", name), one("status_anywhere", F.lit(None).cast("string"))), lambda e: e["value"].isNotNull())
+    more = F.filter(F.array(one("name", name)), lambda e: e["value"].isNotNull())
     found = lines.select("document", "cad", "at", F.inline(F.concat(F.when(F.col("in_1"), _labelled()).otherwise(F.array().cast("array<struct<field:string,rank:int,value:string>>")), _patterned(), more)))
     # the first match of a label counts, even where it says that there is nothing; then the field's next label does
     first = found.groupBy("document", "field", "rank").agg(F.min_by("value", "at").alias("value"))

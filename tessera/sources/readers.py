@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.dates import date_any, date_ru, term
-from tessera.functions.numbers import leading_number, number, stable_hash, year
+from tessera.functions.dates import date_any, term
+from tessera.functions.numbers import leading_number, stable_hash, year
 from tessera.functions.text import cad_number, first_of, group, holder_type, pairs
 from tessera.functions.values import cleaned, is_masked
 
