@@ -580,7 +580,10 @@ def asset_template(t: Tables) -> DataFrame:
 
 
 def _entity_json(t: Tables) -> DataFrame:
-    """A JSON document for each customer: its orders are founders by turns Russian, foreign, persons and the state's bodies."""
+    """A JSON document for each customer: its orders are founders by turns Russian, foreign, persons and the state's bodies.
+
+    Russian founders stand by number; padding gives orders like 408 and 11408 the same one, and these stand by order.
+    """
     k, o, n = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_orderkey") % 4
     share = F.struct((o % 50).alias("Процент"), F.lit(1000.5).alias("Номинал"))
     pledge = F.struct(F.struct(F.lpad(_s(o), 13, "9").alias("ОГРН"), F.lit("Банк").alias("НаимСокр")).alias("Залогодерж"), F.struct(_s(o).alias("Номер"), F.lit("2020-06-05").alias("Дата"), F.lit("Нотариус").alias("ФИО")).alias("Нотариал"))
@@ -589,7 +592,8 @@ def _entity_json(t: Tables) -> DataFrame:
     person = F.when(n == 2, F.struct(F.lit("Иванов").alias("ФИО")))
     state = F.when(n == 3, F.struct(share.alias("Доля"), F.array(F.struct(F.lpad(_s(o), 10, "7").alias("ИНН"), F.lit("Росимущество").alias("НаимПолн"))).alias("ОргОсущПрав")))
     each = lambda c: F.array_sort(F.collect_list(c))
-    lists = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.struct(each(company).alias("РосОрг"), each(foreign).alias("ИнОрг"), each(person).alias("ФЛ"), F.collect_list(state).alias("РФ")).alias("f"))
+    companies = F.transform(each(F.when(n == 0, F.struct(company["ОГРН"].alias("number"), o.alias("order"), company.alias("founder")))), lambda c: c["founder"])
+    lists = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.struct(companies.alias("РосОрг"), each(foreign).alias("ИнОрг"), each(person).alias("ФЛ"), F.collect_list(state).alias("РФ")).alias("f"))
     entity = F.struct(F.when(k % 3 == 0, F.lpad(_s(k), 13, "0")).alias("ogrn"), F.when(k % 3 == 1, F.lpad(_s(k), 10, "0")).alias("inn"), F.lit("1").alias("kpp"), F.col("c_name").alias("name_short"), F.col("c_mktsegment").alias("address"))
     raw = F.struct(F.array(F.struct(_s(k).alias("Номер"), F.lit("Торговля").alias("ВидДеят"))).alias("Лиценз"), F.col("f").alias("Учред"), F.struct(F.array(F.struct(F.lit("Филиал").alias("Наим"), F.when(k % 2 == 0, "Ростов").alias("Адрес"))).alias("Филиал")).alias("Подразд"))
     return t.customer.join(lists, "c_custkey", "left").select("c_custkey", F.replace(F.to_json(F.struct(entity.alias("entity"), raw.alias("raw_data"))), F.lit('"{\\"Наим\\":\\"Кипр\\"}"'), F.lit('{"Наим":"Кипр"}')).alias("text"))

@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import address
@@ -75,3 +76,18 @@ def test_recursive_chain_has_no_depth(spark):
 def test_every_customer_is_dumped(spark, tmp_path):
     spark.range(100).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert catalogue.QUERIES["dump_all_rows"](spark, str(tmp_path)).distinct().count() == 100
+
+
+def test_founders_of_one_number_stand_by_order(spark, tmp_path):
+    """Padding gives 408, 1408 and 11408 one number. Their order is open in the SQL; DuckDB keeps that of so few rows."""
+    spark.createDataFrame([(7, "Customer#7", "MACHINERY"), (8, "Customer#8", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [1, 408, 410, 1408, 2584, 11408]
+    spark.createDataFrame([(o, 7) for o in orders], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {x.c_custkey: x for x in catalogue.QUERIES["legal_documents"](spark, str(tmp_path)).collect()}
+    assert [p.split(":")[1] for p in got[7].pledges.split(";")] == ["408", "1408", "11408", "2584"] and got[8].pledges == ""
+    duck = duckdb.connect()
+    for t in ("customer", "orders"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    result = duck.execute(catalogue.ORACLE_SQL["legal_documents"])
+    names = [d[0] for d in result.description]
+    assert {r[0]: r for r in result.fetchall()} == {k: tuple(x[n] for n in names) for k, x in got.items()}
