@@ -12,6 +12,7 @@ import json
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,13 +80,22 @@ def _zipped(manifest: bool):
     return run
 
 
+def _by_archive(df: DataFrame, *order: str) -> DataFrame:
+    """Rows of an archive in one task, in order.
+
+    Dealt by a hash, not by the archive itself: Spark takes a union of tables that are grouped by archive as dealt by it already,
+    while adaptive execution joins each one's partitions by its own sizes.
+    """
+    return df.repartition(F.xxhash64("archive")).sortWithinPartitions("archive", *order)
+
+
 def zip_entries(df: DataFrame, archive: str, path: str, content: str, manifest: bool = True) -> DataFrame:
     """(archive, chunk, data): zip files of the entries (path, content) of each archive, in order of path.
 
     Text contents are written in UTF-8, NULL as empty. manifest: an entry of that name lists path, sha256 and bytes of the others.
     """
     rows = df.select(F.col(archive).cast("string").alias("archive"), F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
-    return rows.repartition("archive").sortWithinPartitions("archive", "path").mapInArrow(_zipped(manifest), "archive string, chunk long, data binary")
+    return _by_archive(rows, "path").mapInArrow(_zipped(manifest), "archive string, chunk long, data binary")
 
 
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +134,11 @@ def read_entries(chunks: DataFrame, archive: str = "archive", chunk: str = "chun
     An archive that can't be read is one row with its problem. One archive is held at a time.
     """
     rows = chunks.select(F.col(archive).cast("string").alias("archive"), F.col(chunk).cast("long").alias("chunk"), F.col(data).alias("data"))
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "chunk")
-    return ordered.mapInArrow(_unzipped, "archive string, path string, content binary, sha256 string, problem string")
+    return _by_archive(rows, "chunk").mapInArrow(_unzipped, "archive string, path string, content binary, sha256 string, problem string")
 
 
 def slices(tables: dict[str, DataFrame], key: str) -> DataFrame:
     """SNK-04: (archive, path, content): of each table the rows of one key as JSON lines in one order, as an entry of the key's bundle."""
-    out = None
-    for name, df in sorted(tables.items()):
-        line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-        rows = df.groupBy(F.col(key).cast("string").alias("archive")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary").alias("content")).select("archive", F.lit(f"{name}.jsonl").alias("path"), "content")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    lines = [df.select(F.col(key).cast("string").alias("archive"), F.lit(f"{name}.jsonl").alias("path"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line")) for name, df in sorted(tables.items())]
+    content = F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary")
+    return reduce(DataFrame.unionByName, lines).groupBy("archive", "path").agg(content.alias("content"))

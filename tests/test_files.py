@@ -59,6 +59,25 @@ def test_archives(spark):
     assert archives.read_entries(archives.zip_entries(df.limit(0), "name", "path", "text")).collect() == []
 
 
+def test_archives_of_tables_of_unlike_sizes(spark):
+    """Adaptive execution joins the partitions of each grouped table by its own sizes; an archive still is one stream."""
+    tables = {"few": spark.range(300).withColumnRenamed("id", "k"), "many": spark.range(9000).select((F.col("id") % 300).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("v"))}
+    entries = None
+    for name, df in tables.items():
+        rows = df.groupBy(F.col("k").cast("string").alias("archive")).agg(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))), "\n").alias("content")).withColumn("path", F.lit(f"{name}.jsonl"))
+        entries = rows if entries is None else entries.unionByName(rows)
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        for given in (entries, archives.slices(tables, "k").withColumn("content", F.col("content").cast("string"))):
+            got = archives.read_entries(archives.zip_entries(given, "archive", "path", "content")).collect()
+            assert len(got) == 600 and all(x.problem is None for x in got)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
 def test_digest_of_tables(spark):
     a = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "x int, y string")
     digest = lambda df: tuple(sinks.table_digest(df).first())
