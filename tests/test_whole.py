@@ -4,6 +4,7 @@ import difflib
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import address
@@ -38,6 +39,17 @@ def test_names_of_one_form(spark):
     assert len(pairs) == len(set(pairs)) < 0.1 * len(a) * len(b) and close <= set(pairs) and close
 
 
+def test_names_one_letter_off_are_met_by_it(spark, monkeypatch):
+    """Names of one form whose partner lacks one letter are settled without the pairs that have the same letters."""
+    monkeypatch.setattr(matching, "name_candidates", lambda *_: pytest.fail("all pairs of the same letters"))
+    names = [f"Customer#{i:09d}" for i in range(2000)]
+    a, b = spark.createDataFrame([(f"{x}x",) for x in names], "a string"), spark.createDataFrame([(x,) for x in names], "b string")
+    got = {x.l: (x.r, x.score) for x in matching.by_name(a, b, "a", "b").collect()}
+    assert got == {f"{x}x": (x, 36 / 37) for x in names}
+    got = matching.by_name(b, a, "b", "a").collect()
+    assert {x.l: (x.r, x.score) for x in got} == {x: (f"{x}x", 36 / 37) for x in names}
+
+
 def test_streets_against_all_pairs(spark):
     r = random.Random(2)
     names = ["садовая", "новосадовая", "сад", "са", "садовый", "вая", "мира", "мираж", "адмирал"]
