@@ -120,6 +120,15 @@ def test_tokens_against_all_pairs(spark):
     assert got == want
 
 
+def test_equal_names_stand_as_one(spark):
+    """Equal names meet others once, and are expanded in squares of bounded size."""
+    df = spark.range(5000).select(F.col("id").alias("i"), F.lit("b").alias("b"), F.when(F.col("id") < 10, "New rod").otherwise("rod  new").alias("n"))
+    groups = [x.l_ids for x in matching._members(df.select("b", F.col("i").alias("_id"), F.lit("x").alias("_s")), "b", "l").collect()]
+    assert sorted(i for g in groups for i in g) == list(range(5000)) and max(map(len, groups)) < 1300
+    got = matching.by_tokens(df, df, "b", "i", "i", "n", "n").where("l_id < 20").agg(F.count("*"), F.count_distinct("l_id", "r_id"), F.min("score"), F.max("score")).first()
+    assert tuple(got) == (100_000, 100_000, 1.0, 1.0)
+
+
 def test_ranks_of_all_rows(spark):
     r = random.Random(7)
     rows = [(i, r.randrange(50)) for i in range(1000)]
