@@ -66,6 +66,29 @@ def test_streets_against_all_pairs(spark):
     assert matching.by_address(one("ул садовая д 1", "i").drop("rank"), one("ул новосадовая д 1", "j"), "i", "j", "ti", "tj", "rank").count() == 1
 
 
+def met(df):
+    """The most rows that a join of df made; df is run for it."""
+    df.collect()
+
+    def most(node):
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+        return max([own, *map(most, inner)])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+def test_streets_that_share_a_beginning(spark):
+    """What meets grows with the names, not with their product, also where all begin alike; longer names than a piece are met by theirs."""
+    letters = lambda c: F.translate(F.col(c).cast("string"), "0123456789", "абвгдежзик")
+    names = lambda before, after: spark.range(1500).select(F.struct(F.concat(F.lit(before), letters("id"), F.lit(after)).alias("street")).alias("s"))
+    for after in ("ю", "ю" + "щ" * 100):
+        df = matching._streets(names("садовая", after), names("новосадовая", after))
+        assert met(df) < 10 * 1500
+        got = {tuple(x) for x in df.collect()}
+        assert len(got) == 1500 and all(r == f"ново{x}" for x, r in got)
+
+
 def test_a_street_without_numbers_is_not_paired(spark):
     """3,000 rows on either side of one street: what meets grows with the rows, not with their product."""
     side = lambda c: spark.range(3000).select(F.col("id").alias(c), F.concat(F.lit("город ростов ул садовая офис "), (F.col("id") % 500 + 10).cast("string")).alias(f"t{c}"))
