@@ -89,6 +89,19 @@ def test_streets_that_share_a_beginning(spark):
         assert len(got) == 1500 and all(r == f"ново{x}" for x, r in got)
 
 
+def test_best_candidates_of_classes(spark):
+    """What meets grows with the kinds and amounts of a block; the five best are those of all pairs, also where something isn't known."""
+    r = random.Random(3)
+    rows = [(i, r.choice("ab") if r.random() < 0.97 else None, r.choice(["x", "y", None]), r.choice([100.0, 100.9, 101.0, 104.0, 106.0, 300.0, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, b string, t string, x double")
+    out = matching.certificate_best(df, ["b"], "i", "t", "x")
+    assert met(out) < 10_000
+    a, b = df, df.select("b", F.col("i").alias("c"), F.col("t").alias("u"), F.col("x").alias("y"))
+    pairs = a.join(b, "b").where("i <> c").withColumn("score", matching.certificate_points(F.col("t") == F.col("u"), F.lit(0.0), F.col("x"), F.col("y")))
+    want = {tuple(x) for x in matching.best_candidates(pairs, "i", "c", "score").select("i", "c", "score", "place").collect()}
+    assert {tuple(x) for x in out.collect()} == want and want
+
+
 def test_a_street_without_numbers_is_not_paired(spark):
     """3,000 rows on either side of one street: what meets grows with the rows, not with their product."""
     side = lambda c: spark.range(3000).select(F.col("id").alias(c), F.concat(F.lit("город ростов ул садовая офис "), (F.col("id") % 500 + 10).cast("string")).alias(f"t{c}"))
