@@ -125,6 +125,21 @@ XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name
  <xs:simpleType name="Short"><xs:restriction base="xs:string"><xs:maxLength value="2"/></xs:restriction></xs:simpleType></xs:schema>"""
 
 
+def test_elements_of_many_documents_leave_together():
+    """Batches don't follow the documents, and each element keeps its document's columns."""
+    import pyarrow as pa
+
+    from tessera.operators import schema
+
+    texts = ["<r/>", "<r>", "<r>" + "<b>1</b>" * 25_000 + "</r>", None, *['<r x="1"><b/></r>'] * 9_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    out = list(schema._nodes("t")(iter([batch])))
+    rows = [x for b in out for x in b.to_pylist()]
+    assert len(out) == 3 and [x["k"] for x in rows] == [0, 1, *[2] * 25_001, 3, *[k for k in range(4, 9_004) for _ in range(2)]]
+    assert [x["path"] for x in rows[:4]] == ["/r", None, "/r", "/r/b"] and rows[-2]["attributes"] == [("x", "1")] and rows[-1]["place"] == 1
+    assert {path: usual for path, *_, usual in schema.Schema(XSD).rules} == {"/r": "b c ", "/r/a": "", "/r/b": "", "/r/c": "", "/r/d": "x ", "/r/d/x": "", "/r/d/y": ""}
+
+
 def test_documents_against_a_schema(spark):
     from tessera.operators import schema
 
