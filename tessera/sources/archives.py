@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MANIFEST = "manifest.json"
+CHUNKS = "archive string, chunk long, data binary"
+#: Bytes from which on a chunk leaves its task.
+CHUNK = 1 << 20
 _CHUNK = pa.schema([("archive", pa.string()), ("chunk", pa.int64()), ("data", pa.binary())])
 _ENTRY = pa.schema([("archive", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("sha256", pa.string()), ("problem", pa.string())])
 
@@ -33,7 +36,8 @@ class _Stream(io.RawIOBase):
         return True
 
     def write(self, data) -> int:
-        self.parts.append(bytes(data))
+        if len(data):
+            self.parts.append(bytes(data))
         return len(data)
 
     def drain(self) -> bytes:
@@ -42,6 +46,35 @@ class _Stream(io.RawIOBase):
         return out
 
 
+class Chunks:
+    """One archive being written: its parts, and what has been written so far as a chunk (a batch of one row)."""
+
+    def __init__(self, name: str):
+        self._name, self._number, self._stream = name, 0, _Stream()
+        self._zip = zipfile.ZipFile(self._stream, "w")
+
+    def part(self, path: str):
+        # one moment for all entries: equal contents give equal archives
+        info = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
+        info.compress_type = zipfile.ZIP_DEFLATED
+        return self._zip.open(info, "w")
+
+    def put(self, path: str, content: bytes) -> None:
+        with self.part(path) as f:
+            f.write(content)
+
+    def size(self) -> int:
+        return sum(map(len, self._stream.parts))
+
+    def chunk(self) -> pa.RecordBatch:
+        self._number += 1
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((self._name, self._number, self._stream.drain()), _CHUNK.types, strict=True)], schema=_CHUNK)
+
+    def close(self) -> pa.RecordBatch:
+        self._zip.close()
+        return self.chunk()
+
+
 def _zipped(manifest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, stream, archive, files = object(), 0, None, None, []
@@ -80,7 +113,7 @@ def _zipped(manifest: bool):
     return run
 
 
-def _by_archive(df: DataFrame, *order: str) -> DataFrame:
+def by_archive(df: DataFrame, *order: str) -> DataFrame:
     """Rows of an archive in one task, in order.
 
     Dealt by a hash, not by the archive itself: Spark takes a union of tables that are grouped by archive as dealt by it already,
@@ -95,7 +128,7 @@ def zip_entries(df: DataFrame, archive: str, path: str, content: str, manifest:
     Text contents are written in UTF-8, NULL as empty. manifest: an entry of that name lists path, sha256 and bytes of the others.
     """
     rows = df.select(F.col(archive).cast("string").alias("archive"), F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
-    return _by_archive(rows, "path").mapInArrow(_zipped(manifest), "archive string, chunk long, data binary")
+    return by_archive(rows, "path").mapInArrow(_zipped(manifest), CHUNKS)
 
 
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +167,7 @@ def read_entries(chunks: DataFrame, archive: str = "archive", chunk: str = "chun
     An archive that can't be read is one row with its problem. One archive is held at a time.
     """
     rows = chunks.select(F.col(archive).cast("string").alias("archive"), F.col(chunk).cast("long").alias("chunk"), F.col(data).alias("data"))
-    return _by_archive(rows, "chunk").mapInArrow(_unzipped, "archive string, path string, content binary, sha256 string, problem string")
+    return by_archive(rows, "chunk").mapInArrow(_unzipped, "archive string, path string, content binary, sha256 string, problem string")
 
 
 def slices(tables: dict[str, DataFrame], key: str) -> DataFrame:

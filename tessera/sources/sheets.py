@@ -6,17 +6,21 @@ cells share; a merged area has its value in its first cell, or on demand in all.
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
+import tempfile
+import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.archives import read_entries, zip_entries
+from tessera.sources import archives
 
 #: Names of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -29,6 +33,8 @@ ASSETS = {
     "Здания, сооружения": "num inventory_num name_accounting object_type name_egrn address cad_number area purpose floors_total underground_floors wall_material year_built year_used land_cad_number group_common group owner status right_type extract_number extract_date book_value_initial book_date book_value_residual book_date_residual encumbrances cadastral_value market_value".split(),
 }
 ASSETS_FROM = 3
+#: Cells of a batch, and texts of a workbook's table of shared ones.
+_CELLS, _SHARED = 10_000, 100_000
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _CELL = "archive string, sheet string, row int, col int, value string"
 
@@ -62,66 +68,114 @@ def _said(e: ElementTree.Element) -> str:
     return "".join(t.text or "" for part in e for t in ([part] if _local(part) == "t" else part if _local(part) == "r" else []) if _local(t) == "t")
 
 
-def cells(parts: dict[str, bytes], fill: bool = False) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, col, value) of a workbook's parts; booleans as TRUE and FALSE, errors as they are written."""
-    shared = [_said(e) for e in ElementTree.fromstring(parts["xl/sharedStrings.xml"])] if "xl/sharedStrings.xml" in parts else []
-    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(parts["xl/_rels/workbook.xml.rels"])}
-    for sheet in ElementTree.fromstring(parts["xl/workbook.xml"]).iter(f"{{{MAIN}}}sheet"):
-        target = targets[sheet.get(f"{{{RELATIONS}}}id")]
-        root = ElementTree.fromstring(parts[target.lstrip("/") if target.startswith("/") else f"xl/{target}"])
+class _Unordered(Exception):
+    """Rows of a sheet that don't come in order."""
+
+
+def _elements(z: zipfile.ZipFile, name: str, *tags: str) -> Iterator[ElementTree.Element]:
+    """Elements of a part as they end; what has been told is let go."""
+    with z.open(name) as f:
+        above: list[ElementTree.Element] = []
+        for event, e in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if _local(e) in tags:
+                yield e
+                if above:
+                    above[-1].clear()
+
+
+def _row_cells(r: ElementTree.Element, at_row: int, shared: list[str]) -> tuple[int, dict[tuple[int, int], str]]:
+    """The number of a row and its cells that have a value."""
+    at_row, at_col = int(r.get("r", at_row + 1)), 0
+    grid: dict[tuple[int, int], str] = {}
+    for c in r.iter(f"{{{MAIN}}}c"):
+        row, at_col = place(c.get("r")) if c.get("r") else (at_row, at_col + 1)
+        inside = {_local(e): e for e in c}
+        kind, value = c.get("t", "n"), inside["v"].text if "v" in inside else None
+        if kind == "s":
+            value = shared[int(value)] if value is not None else None
+        elif kind == "inlineStr":
+            value = _said(inside["is"]) if "is" in inside else None
+        elif kind == "b":
+            value = {"1": "TRUE", "0": "FALSE"}.get(value, value)
+        if value is not None and value != "":
+            grid[row, at_col] = value
+    return at_row, grid
+
+
+def cells(z: zipfile.ZipFile, fill: bool = False, whole: bool = False) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, col, value) of a workbook; booleans as TRUE and FALSE, errors as they are written.
+
+    One row is held at a time, and the table of shared texts; a whole sheet where merged areas are filled, or if `whole`: that is
+    needed where rows don't come in order, which is an error otherwise.
+    """
+    whole = whole or fill
+    shared = [_said(e) for e in _elements(z, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in z.namelist() else []
+    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{MAIN}}}sheet"):
+        target, name = targets[sheet.get(f"{{{RELATIONS}}}id")], sheet.get("name")
         grid: dict[tuple[int, int], str] = {}
-        at_row = 0
-        for r in root.iter(f"{{{MAIN}}}row"):
-            at_row, at_col = int(r.get("r", at_row + 1)), 0
-            for c in r.iter(f"{{{MAIN}}}c"):
-                row, at_col = place(c.get("r")) if c.get("r") else (at_row, at_col + 1)
-                inside = {_local(e): e for e in c}
-                kind, value = c.get("t", "n"), inside["v"].text if "v" in inside else None
-                if kind == "s":
-                    value = shared[int(value)] if value is not None else None
-                elif kind == "inlineStr":
-                    value = _said(inside["is"]) if "is" in inside else None
-                elif kind == "b":
-                    value = {"1": "TRUE", "0": "FALSE"}.get(value, value)
-                if value is not None and value != "":
-                    grid[row, at_col] = value
-        if fill:
-            for m in root.iter(f"{{{MAIN}}}mergeCell"):
-                (top, left), (bottom, right) = map(place, m.get("ref").split(":"))
+        at_row, last = 0, (0, 0)
+        for e in _elements(z, target.lstrip("/") if target.startswith("/") else f"xl/{target}", "row", "mergeCell"):
+            if e.tag == f"{{{MAIN}}}row":
+                at_row, found = _row_cells(e, at_row, shared)
+                if whole:
+                    grid |= found
+                    continue
+                for at in sorted(found):
+                    if at <= last:
+                        raise _Unordered
+                    last = at
+                    yield name, *at, found[at]
+            elif fill and e.tag == f"{{{MAIN}}}mergeCell":
+                (top, left), (bottom, right) = map(place, e.get("ref").split(":"))
                 value = grid.get((top, left))
                 if value is not None:
                     grid |= {(r, c): value for r in range(top, bottom + 1) for c in range(left, right + 1)}
-        yield from ((sheet.get("name"), r, c, v) for (r, c), v in sorted(grid.items()))
+        yield from ((name, r, c, v) for (r, c), v in sorted(grid.items()))
+
+
+def _put(name: str, raw: bytes, fill: bool, whole: bool, file) -> None:
+    """The cells of a workbook as batches of a stream in a file."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(_CELL.split(", "), kinds, strict=True)])
+    with pa.ipc.new_stream(file, schema) as out, zipfile.ZipFile(io.BytesIO(raw)) as z:
+        found = cells(z, fill, whole)
+        while rows := list(itertools.islice(found, _CELLS)):
+            out.write_batch(pa.RecordBatch.from_arrays([pa.array([name] * len(rows), kinds[0]), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))], schema=schema))
 
 
 def read_cells(files: DataFrame, path: str, content: str, fill: bool = False) -> DataFrame:
-    """SRC-08: (archive, sheet, row, col, value) of XLSX files. A file that can't be read is one row without a sheet; value tells why."""
-    entries = read_entries(files.select(F.col(path).alias("archive"), F.lit(0).alias("chunk"), F.col(content).alias("data")))
+    """SRC-08: (archive, sheet, row, col, value) of XLSX files. A file that can't be read is one row without a sheet; value tells why.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, {}
-
-        def told() -> pa.RecordBatch:
-            try:
-                if None in parts:
-                    raise ValueError(parts[None])
-                rows = [(now, *c) for c in cells(parts, fill)]
-            except (KeyError, ValueError, IndexError, TypeError, ElementTree.ParseError) as e:
-                rows = [(now, None, None, None, f"not readable: {e}")]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[c.split()[0] for c in _CELL.split(", ")])
+    Cells leave a task once the whole workbook has been read; until then they stand in a temporary file, not in memory.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, entry, raw, problem in zip(batch["archive"].to_pylist(), batch["path"].to_pylist(), batch["content"], batch["problem"].to_pylist(), strict=True):
-                if parts and name != now:
-                    yield told()
-                    parts = {}
-                now = name
-                parts[entry] = raw.as_py() if entry else problem
-        if parts:
-            yield told()
-
-    return entries.mapInArrow(run, _CELL)
+            for name, raw in zip(batch["archive"].to_pylist(), batch["data"], strict=True):
+                raw = raw.as_py() or b""
+                with tempfile.TemporaryFile() as file:
+                    try:
+                        try:
+                            _put(name, raw, fill, False, file)
+                        except _Unordered:
+                            file.seek(0)
+                            file.truncate()
+                            _put(name, raw, fill, True, file)
+                    except (KeyError, ValueError, IndexError, TypeError, AttributeError, EOFError, NotImplementedError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+                        row = (name, None, None, None, f"not readable: {e}")
+                        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _CELL.split(", ")])
+                        continue
+                    file.seek(0)
+                    with pa.ipc.open_stream(file) as read:
+                        yield from read
+
+    return files.select(F.col(path).cast("string").alias("archive"), F.col(content).alias("data")).mapInArrow(run, _CELL)
 
 
 def table_rows(grid: DataFrame, sheet: str, columns: dict[str, int], first: int, needed: str) -> DataFrame:
@@ -136,38 +190,75 @@ def asset_rows(grid: DataFrame, sheet: str) -> DataFrame:
     return table_rows(grid, sheet, {n: i for i, n in enumerate(ASSETS[sheet], 1)}, ASSETS_FROM, "cad_number")
 
 
-def _parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Parts of one workbook from its cells."""
-    pdf = pdf.sort_values(["ord", "sheet", "row", "col"])
+def _workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of workbooks from their cells in order; a row of a sheet is written when it ends."""
+    space = lambda t: ' xml:space="preserve"' if t != t.strip() else ""
+    book: archives.Chunks | None = None
+    sheets: list[str] = []
     shared: dict[str, int] = {}
-    sheets = list(dict.fromkeys(pdf["sheet"]))
-    out, merged = [], {}
-    for number, sheet in enumerate(sheets, 1):
-        body = []
-        mine = pdf[pdf["sheet"] == sheet]
-        for row, cells_ in mine.groupby("row", sort=True):
-            told = []
-            for col, value, numeric, until in zip(cells_["col"], cells_["value"], cells_["numeric"], cells_["until"], strict=True):
-                at = f"{letters(col)}{row}"
-                told.append(f'<c r="{at}"><v>{escape(value)}</v></c>' if numeric else f'<c r="{at}" t="s"><v>{shared.setdefault(value, len(shared))}</v></c>')
-                if until:
-                    merged.setdefault(sheet, []).append(f'<mergeCell ref="{at}:{until}"/>')
-            body.append(f'<row r="{row}">{"".join(told)}</row>')
-        areas = merged.get(sheet, [])
+    areas: list[str] = []
+    body: list[str] = []
+    now = sheet = row = part = None
+
+    def end_row() -> None:
+        if body:
+            part.write(f'<row r="{row}">{"".join(body)}</row>'.encode())
+            body.clear()
+
+    def end_sheet() -> None:
+        end_row()
         tail = f'<mergeCells count="{len(areas)}">{"".join(areas)}</mergeCells>' if areas else ""
-        out.append((f"xl/worksheets/sheet{number}.xml", f'{_HEAD}<worksheet xmlns="{MAIN}"><sheetData>{"".join(body)}</sheetData>{tail}</worksheet>'))
-    space = lambda t: ' xml:space="preserve"' if t != t.strip() else ""
-    out.append(("xl/sharedStrings.xml", f'{_HEAD}<sst xmlns="{MAIN}" uniqueCount="{len(shared)}">{"".join(f"<si><t{space(t)}>{escape(t)}</t></si>" for t in shared)}</sst>'))
-    listed = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="rId{i}"/>' for i, s in enumerate(sheets, 1))
-    out.append(("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{MAIN}" xmlns:r="{RELATIONS}"><sheets>{listed}</sheets></workbook>'))
-    related = "".join(f'<Relationship Id="rId{i}" Type="{RELATIONS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-    related += f'<Relationship Id="rId{len(sheets) + 1}" Type="{RELATIONS}/sharedStrings" Target="sharedStrings.xml"/>'
-    out.append(("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{PACKAGE}/relationships">{related}</Relationships>'))
-    out.append(("_rels/.rels", f'{_HEAD}<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{RELATIONS}/officeDocument" Target="xl/workbook.xml"/></Relationships>'))
-    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{WORKSHEET}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-    kinds += f'<Override PartName="/xl/workbook.xml" ContentType="{WORKSHEET}.sheet.main+xml"/><Override PartName="/xl/sharedStrings.xml" ContentType="{WORKSHEET}.sharedStrings+xml"/>'
-    out.append(("[Content_Types].xml", f'{_HEAD}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{kinds}</Types>'))
-    return pd.DataFrame({"archive": pdf["archive"].iloc[0], "path": [p for p, _ in out], "content": [c.encode() for _, c in out]})
+        part.write(f"</sheetData>{tail}</worksheet>".encode())
+        part.close()
+        areas.clear()
+
+    def end_book() -> pa.RecordBatch:
+        end_sheet()
+        with book.part("xl/sharedStrings.xml") as f:
+            f.write(f'{_HEAD}<sst xmlns="{MAIN}" uniqueCount="{len(shared)}">'.encode())
+            f.writelines(f"<si><t{space(t)}>{escape(t)}</t></si>".encode() for t in shared)
+            f.write(b"</sst>")
+        listed = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="rId{i}"/>' for i, s in enumerate(sheets, 1))
+        book.put("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{MAIN}" xmlns:r="{RELATIONS}"><sheets>{listed}</sheets></workbook>'.encode())
+        related = "".join(f'<Relationship Id="rId{i}" Type="{RELATIONS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        related += f'<Relationship Id="rId{len(sheets) + 1}" Type="{RELATIONS}/sharedStrings" Target="sharedStrings.xml"/>'
+        book.put("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{PACKAGE}/relationships">{related}</Relationships>'.encode())
+        book.put("_rels/.rels", f'{_HEAD}<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{RELATIONS}/officeDocument" Target="xl/workbook.xml"/></Relationships>'.encode())
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{WORKSHEET}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        kinds += f'<Override PartName="/xl/workbook.xml" ContentType="{WORKSHEET}.sheet.main+xml"/><Override PartName="/xl/sharedStrings.xml" ContentType="{WORKSHEET}.sharedStrings+xml"/>'
+        book.put("[Content_Types].xml", f'{_HEAD}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{kinds}</Types>'.encode())
+        return book.close()
+
+    for batch in batches:
+        for name, in_sheet, in_row, col, value, numeric, until in zip(*(batch[c].to_pylist() for c in ("archive", "sheet", "row", "col", "value", "numeric", "until")), strict=True):
+            if book is None or name != now:
+                if book is not None:
+                    yield end_book()
+                book, now, sheet = archives.Chunks(name), name, None
+                sheets, shared = [], {}
+            if in_sheet != sheet or not sheets:
+                if sheets:
+                    end_sheet()
+                sheet, row = in_sheet, None
+                sheets.append(sheet)
+                part = book.part(f"xl/worksheets/sheet{len(sheets)}.xml")
+                part.write(f'{_HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode())
+            if in_row != row:
+                end_row()
+                row = in_row
+                if book.size() >= archives.CHUNK:
+                    yield book.chunk()
+            at = f"{letters(col)}{row}"
+            if numeric:
+                body.append(f'<c r="{at}"><v>{escape(value)}</v></c>')
+            elif value in shared or len(shared) < _SHARED:
+                body.append(f'<c r="{at}" t="s"><v>{shared.setdefault(value, len(shared))}</v></c>')
+            else:
+                body.append(f'<c r="{at}" t="inlineStr"><is><t{space(value)}>{escape(value)}</t></is></c>')
+            if until:
+                areas.append(f'<mergeCell ref="{at}:{until}"/>')
+    if book is not None:
+        yield end_book()
 
 
 def grid_of(df: DataFrame, archive: str, sheet: str, order: list, columns: list[str], at: int = 1) -> DataFrame:
@@ -185,8 +276,9 @@ def grid_of(df: DataFrame, archive: str, sheet: str, order: list, columns: list[
 def write_workbooks(grid: DataFrame) -> DataFrame:
     """SNK-03: (archive, chunk, data): an XLSX file of each archive's cells (sheet, ord, row, col, value, numeric, until).
 
-    until: the last cell of an area that this one is merged over. A workbook is what one task can hold: the format ends at
-    1,048,576 rows of a sheet.
+    until: the last cell of an area that this one is merged over. Cells come in order and leave as chunks, so that no workbook is
+    held; texts beyond the table of shared ones stand in their cells. Each workbook is written by one task, as the format asks
+    for; it ends at 1,048,576 rows of a sheet.
     """
-    parts = grid.groupBy("archive").applyInPandas(_parts, "archive string, path string, content binary")
-    return zip_entries(parts, "archive", "path", "content", manifest=False)
+    rows = grid.select(F.col("archive").cast("string").alias("archive"), "ord", "sheet", "row", "col", "value", "numeric", "until")
+    return archives.by_archive(rows, "ord", "sheet", "row", "col").mapInArrow(_workbooks, archives.CHUNKS)

@@ -117,6 +117,33 @@ def test_a_workbook_written_and_read(spark):
     assert [(int(x.n), x.text, None if x.amount is None else float(x.amount)) for x in sorted(got, key=lambda x: x.row)] == [(n, t or None, a) for _, n, t, a in reversed(rows)]
 
 
+def test_a_workbook_is_a_stream(spark, monkeypatch):
+    """It leaves in chunks, its shared texts are bounded, and it is read row by row; rows out of order are put in order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sheets, "_SHARED", 5)
+    monkeypatch.setattr(archives, "CHUNK", 1000)
+    r = random.Random(5)
+    grid = [(a, s, i, j, r.choice(["<a>", " x "]) if r.random() < 0.3 else str(r.random()), j == 3) for a in "ab" for s in ("S&1", "S2") for i in range(1, 400) for j in (1, 3, 30)]
+    columns = [pa.array(c) for c in zip(*grid, strict=True)]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.nulls(len(grid), pa.string())], names=["archive", "sheet", "row", "col", "value", "numeric", "until"])
+    chunks = [x for b in sheets._workbooks(iter([batch.slice(0, 1000), batch.slice(1000)])) for x in b.to_pylist()]
+    for a in "ab":
+        mine = [x["data"] for x in chunks if x["archive"] == a]
+        assert len(mine) > 1 and max(map(len, mine)) < 100_000
+        with zipfile.ZipFile(io.BytesIO(b"".join(mine))) as z:
+            assert z.testzip() is None and z.read("xl/sharedStrings.xml").count(b"<si>") == 5
+            assert list(sheets.cells(z)) == [x[1:5] for x in grid if x[0] == a]
+            turned = io.BytesIO()
+            with zipfile.ZipFile(turned, "w") as t:
+                for n in z.namelist():
+                    body = z.read(n).decode()
+                    rows = body.split("<row ")
+                    t.writestr(n, "<row ".join([rows[0], *reversed(["".join(rows[-1].partition("</row>")[:2]), *rows[1:-1]])]) + rows[-1].partition("</row>")[2] if "worksheets" in n else body)
+    got = sheets.read_cells(spark.createDataFrame([("b", bytearray(turned.getvalue()))], "path string, content binary"), "path", "content").collect()
+    assert [tuple(x) for x in got] == [x[:5] for x in grid if x[0] == "b"]
+
+
 XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType><xs:sequence>
  <xs:element name="a" type="Code" minOccurs="0" maxOccurs="2"/><xs:choice maxOccurs="unbounded"><xs:element name="b" type="xs:integer"/><xs:element name="c"><xs:complexType><xs:simpleContent><xs:extension base="Code"><xs:attribute name="id" use="required"/></xs:extension></xs:simpleContent></xs:complexType></xs:element></xs:choice>
  <xs:element name="d" minOccurs="0"><xs:complexType><xs:all><xs:element name="x" type="xs:date"/><xs:element name="y" type="xs:string" minOccurs="0"/></xs:all></xs:complexType></xs:element>
